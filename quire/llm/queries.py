@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, packing, pii, quality, secret_scan, token_counts
+from . import decontaminate, html_density, neardup, packing, pii, quality, secret_scan, token_counts
 from .store import table
 
 
@@ -55,6 +55,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_pii": op2_pii,
         "op5_token_counts": op5_token_counts,
         "op6_secrets": op6_secrets,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
