@@ -17,8 +17,9 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 LENGTH, END_ID = 2048, 1
 SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP, HARD_STEP = 2, 6, 48, 16
 BLOCK = 1 << 20
-CACHED_WORDS, CACHED_CORES = 200_000, 400_000
+CACHED_WORDS, CACHED_CORES = 400_000, 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -59,18 +60,18 @@ class WordTokens:
             return core, word[len(core) :]
         return word, ""
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Make each of the words known."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         if len(self.cores) > CACHED_CORES:
             self.cores.clear()
-        new = [(w, *self._parts(w)) for w in set(words) if w not in self.known]
+        new = [(w, *self._parts(w)) for w in words if w not in self.known]
         cores = list({x for _, a, b in new for x in (a, b) if x not in self.cores})
         for at in range(0, len(cores), 20_000):
             part = cores[at : at + 20_000]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cores[x] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                self.cores[x] = array("I", e.ids).tobytes()
         for w, a, b in new:
             self.known[w] = self.cores[a] + self.cores[b]
 
@@ -187,7 +188,7 @@ def _pack(path: str):
 
         def some(ids, texts):
             split = [tokens.sentences(x) for x in texts]
-            tokens.learn(w for doc in split for s in doc for w in s)
+            tokens.learn(set().union(*(s for doc in split for s in doc)))
             for doc_id, doc in zip(ids, split):
                 data, ends = tokens.join(doc)
                 packer.add(doc_id, data + end, ends)
