@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, neardup, packing, pii, quality, secret_scan, token_counts
+from . import decontaminate, html_density, neardup, packing, pii, quality, secret_scan, substring, token_counts, topk
 from .store import table
 
 
@@ -33,6 +33,15 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, unigram_path()).select("doc_id", "n_pretokens", "n_tokens")
@@ -82,6 +91,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
         "op2_pii": op2_pii,
+        "op3_substring": op3_substring,
+        "op4_topk": op4_topk,
         "op5_token_counts": op5_token_counts,
         "op6_secrets": op6_secrets,
         "op7_near_duplicates": op7_near_duplicates,
