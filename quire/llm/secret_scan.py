@@ -156,3 +156,23 @@ def secrets(docs: DataFrame) -> DataFrame:
     table gives no rows. Columns of docs with the names of the new ones are replaced."""
     names = [f"n_{k}" for k in BASE_KINDS] + ["base", "spans"]
     return docs.drop(*names).withColumn("_found", _find(F.col("text").cast("string"))).select("*", "_found.*").drop("_found")
+
+
+@F.arrow_udf(T.StringType())
+def _redact(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x.as_py() is None else redacted(x.as_py()) for x in texts], pa.string())
+
+
+def redacted(text: str) -> str:
+    """The text with each stretch of secrets replaced by the mark of the kind that begins it."""
+    out, at, end = [], 0, 0
+    for kind, a, b in ordered([*detect(text), *confirmed(text)], KINDS):
+        if a >= end:
+            out += [text[at:a] if at <= a else "", f"<{kind.upper()}>"]
+        at = end = max(end, b)
+    return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with secrets (base and confirmed spans) replaced in text; null texts stay null."""
+    return docs.withColumn("text", _redact(F.col("text").cast("string")))
