@@ -48,6 +48,7 @@ def fit(text: str, width: int) -> list[str]:
 def _wrapped(texts: pa.Array, firsts: pa.Array, rests: pa.Array, widths: pa.Array, tails: pa.Array) -> pa.Array:
     out = []
     for text, first, rest, width, tail in zip(*(x.to_pylist() for x in (texts, firsts, rests, widths, tails))):
+        first, rest, tail = first or "", rest or "", tail or ""  # null for a document without lines
         lines = fit(text or "", max(1, width - width_of(first))) or [""]
         lines[-1] += tail
         out.append([(rest if i else first) + x for i, x in enumerate(lines)])
