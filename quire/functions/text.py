@@ -16,7 +16,10 @@ HEADING = r"^[ ]{0,3}#{1,6}(?:\p{IsWhite_Space}|\z)"
 BULLET = r"^(\p{IsWhite_Space}*(?:[-*+]|\p{Nd}+[.)])\p{IsWhite_Space}+(?:\[\p{IsWhite_Space}*(?:[xX]|\p{IsWhite_Space})\p{IsWhite_Space}*\]\p{IsWhite_Space}*)?)(.*)"
 QUOTE = r"^(\p{IsWhite_Space}*(?:>\p{IsWhite_Space}*)+)(.*)\z"
 FOOTNOTE_DEFINITION = r"^(\p{IsWhite_Space}*)(\[\^[^\]]+\]:\p{IsWhite_Space}*)(.*)\z"
-LINK_DEFINITION = r"^\p{IsWhite_Space}*\[[^\]^][^\]]*\]:(?:\p{IsWhite_Space}|\z)"
+LINK_DEFINITION = r"^\p{IsWhite_Space}*\[[^\]]+\]:"
+BARE_LABEL = r"^\p{IsWhite_Space}*\[[^\]]+\]:\p{IsWhite_Space}*\z"
+LINK_TITLE = r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^)\\]|\\.)*\))\p{IsWhite_Space}*\z"
+LINK_TARGET = r"^\p{IsWhite_Space}+(?:<[^>\p{IsWhite_Space}]+>|[^\p{IsWhite_Space}]+)(?:\p{IsWhite_Space}+" + LINK_TITLE[:-2] + r")?\z"
 DIRECTIVE = r"(?i)^\p{IsWhite_Space}*<!--\p{IsWhite_Space}*markdownlint-(?:disable|enable|disable-line|disable-next-line)(?:\p{IsWhite_Space}+[A-Za-z0-9_\-/]+)*\p{IsWhite_Space}*-->\p{IsWhite_Space}*\z"
 SEPARATOR = r"^[\p{IsWhite_Space}|:-]+\z"
 BREAK = r"^[ ]{0,3}((?:[ \t]*\*){3,}|(?:[ \t]*-){3,}|(?:[ \t]*_){3,})[ \t]*\z"

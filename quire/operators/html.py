@@ -83,14 +83,14 @@ def pipe_rows(block: list[str]) -> list[list[str]]:
     return out
 
 
-def parts_of(lines: list[str]) -> list[tuple[bool, list[str]]]:
+def parts_of(lines: list[str], fences: bool = True) -> list[tuple[bool, list[str]]]:
     """A document as stretches of lines, (True, pipe rows) where an HTML table stood. A table left open,
-    or cut by a fence, stays as it is."""
+    or cut by a fence, stays as it is; without fences, fenced code is converted like any text."""
     out: list[tuple[bool, list[str]]] = []
     state, block, depth = FenceState(), [], 0
     for line in lines:
         _, marker, inside, _ = state.read(line)
-        if marker or inside:
+        if fences and (marker or inside):
             out.append((False, [*block, line]))
             block, depth = [], 0
         elif block or _STARTS.match(line.lstrip()):
@@ -109,17 +109,21 @@ _PARTS = T.ArrayType(T.StructType([T.StructField("table", T.BooleanType()), T.St
 _PARTS_ARROW = pa.list_(pa.struct([("table", pa.bool_()), ("block", pa.list_(pa.string()))]))
 
 
-@F.arrow_udf(_PARTS)
-def _parts(column: pa.Array) -> pa.Array:
-    return pa.array([[{"table": t, "block": b} for t, b in parts_of(lines or [])] for lines in column.to_pylist()], _PARTS_ARROW)
+def _parts(fences: bool):
+    @F.arrow_udf(_PARTS)
+    def parts(column: pa.Array) -> pa.Array:
+        return pa.array([[{"table": t, "block": b} for t, b in parts_of(lines or [], fences)] for lines in column.to_pylist()], _PARTS_ARROW)
 
+    return parts("lines")
 
-def convert_html_tables(docs: DataFrame) -> DataFrame:
+
+def convert_html_tables(docs: DataFrame, fences: bool = True) -> DataFrame:
     """Documents with HTML tables outside fenced code as reflowed pipe tables. Only documents that hold
-    a table tag are parsed, and only they are shuffled."""
+    a table tag are parsed, and only they are shuffled. Without fences, tables in fenced code are
+    converted too."""
     tagged = F.exists("lines", lambda x: x.rlike(r"(?i)<table(?:\s|>|\z)"))
     rest = docs.where(~F.coalesce(tagged, F.lit(False)))
-    found = docs.where(tagged).select("doc_id", F.posexplode(_parts("lines")).alias("line_no", "p")).select("doc_id", "line_no", "p.*")
+    found = docs.where(tagged).select("doc_id", F.posexplode(_parts(fences)).alias("line_no", "p")).select("doc_id", "line_no", "p.*")
     done = reflow_block(found).withColumn("lines", F.when(F.col("table"), F.col("out")).otherwise(F.col("block")))
     packed = pack_lines(done.select("doc_id", "line_no", F.posexplode_outer("lines").alias("sub", "line")), sub="sub")
     return rest.select("doc_id", "lines").union(packed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .lines import FenceState, explode_lines, pack_lines
+from .lines import FenceState, explode_lines, pack_lines, with_link_parts
 
 Token = tuple[str, str, str, str]  # kind, raw, fence, code
 _RUN = re.compile(r"(?<!\\)((?:\\\\)*)(`+)")
@@ -87,7 +88,7 @@ def replace_ellipsis(docs: DataFrame) -> DataFrame:
     Indented lines are code when their run of indented or blank lines holds one that begins right after
     the start, a blank line, a heading, a link definition, a directive or a fence."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = explode_lines(docs)
+    rows = with_link_parts(explode_lines(docs))
     blank, indented = X.is_blank(line), X.indent_columns(line) >= 4
     kind = X.block_kind(line)
     opens = blank | kind.isin("heading", "link_reference_definition", "markdownlint_directive") | F.col("fence.marker")
@@ -95,7 +96,7 @@ def replace_ellipsis(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_run", F.sum((~(blank | indented)).cast("int")).over(w))
     run = Window.partitionBy("doc_id", "_run").orderBy("line_no")
     code = indented & ~blank & F.max(F.col("_opens") & indented).over(run)
-    skip = F.col("code") | code | F.coalesce(kind == "link_reference_definition", F.lit(False))
+    skip = F.col("code") | code | F.col("link_part") | F.coalesce(kind == "link_reference_definition", F.lit(False))
     return pack_lines(rows.withColumn("_code", skip).withColumn("line", F.when(F.col("_code"), line).otherwise(ellipsis_outside_spans(line))))
 
 
@@ -160,3 +161,14 @@ def fix_code_emphasis(docs: DataFrame) -> DataFrame:
     """Documents with emphasis around inline code repaired; those without any skip the reader."""
     touched = F.exists("lines", lambda x: x.rlike(HAS_EMPHASIS))
     return docs.withColumn("lines", F.when(touched, _emphasis("lines")).otherwise(F.col("lines")))
+
+
+def process_tokens(docs: DataFrame, change: Callable[[Token], str]) -> DataFrame:
+    """Documents rewritten token by token: change gets (kind, raw, fence, code) and returns the text to
+    put in its place. It runs on the executors."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def rewritten(column: pa.Array) -> pa.Array:
+        return pa.array(["".join(map(change, tokens_of(x))).split("\n") if x else x for x in column.to_pylist()], pa.list_(pa.string()))
+
+    return docs.withColumn("lines", rewritten("lines"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 _QUOTE = re.compile(r"[\s]*(?:>[\s]*)+")
 _FENCE = re.compile(r"[ \t  - 　]*(`{3,}|~{3,})([^\r\n]*)\Z")
 FENCE_STATE = T.ArrayType(
@@ -86,8 +88,20 @@ def explode_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("code", F.coalesce(F.col("fence.marker") | F.col("fence.is_in"), F.lit(False)))
 
 
-def by_line() -> Window:
-    return Window.partitionBy("doc_id").orderBy("line_no")
+def with_link_parts(rows: DataFrame) -> DataFrame:
+    """Exploded lines with link_part: the target or title of a link definition on a line of its own, or
+    the blank line that stands there instead. It takes no more than the two lines before to tell."""
+    line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
+    bare = ~F.col("code") & line.rlike(X.BARE_LABEL)
+    needs = ~F.col("code") & line.rlike(X.LINK_DEFINITION) & ~bare & ~line.rlike(r"\p{IsWhite_Space}" + X.LINK_TITLE) & ~line.rlike(X.FOOTNOTE_DEFINITION)
+    rows = rows.withColumn("_bare", F.coalesce(F.lag(bare).over(w), F.lit(False))).withColumn("_needs", F.coalesce(F.lag(needs).over(w), F.lit(False)))
+    target = F.col("_bare") & ~F.col("code") & line.rlike(X.LINK_TARGET) & X.block_kind(line).isNull()
+    rows = rows.withColumn("_target", F.coalesce(target, F.lit(False)))
+    open_ = F.lag(F.col("_target") & ~line.rlike(r"\p{IsWhite_Space}" + X.LINK_TITLE)).over(w)
+    rows = rows.withColumn("_needs", F.col("_needs") | F.coalesce(open_, F.lit(False)))
+    title = line.rlike(r"^\p{IsWhite_Space}{0,3}" + X.LINK_TITLE)
+    part = F.col("_target") | (F.col("_bare") & X.is_blank(line)) | (F.col("_needs") & (X.is_blank(line) | title))
+    return rows.withColumn("link_part", F.coalesce(part & ~F.col("code"), F.lit(False))).drop("_bare", "_needs", "_target")
 
 
 def pack_lines(rows: DataFrame, line: str = "line", sub: str | None = None) -> DataFrame:

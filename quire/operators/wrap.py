@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .lines import explode_lines, pack_lines
-
-_UNIT = re.compile(r"(?:(?<!`)(`+)(?!`).+?(?<!`)\1(?!`)|!?\[[^\]\s][^\]]*\](?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])|\S)+")
+from .lines import explode_lines, pack_lines, with_link_parts
+
+# Month names as they occur in dates.
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+_CODE = r"(?<!`)(?P<run{0}>`+)(?!`).+?(?<!`)(?P=run{0})(?!`)"
+_LINK = r"!?\[[^\]\s^][^\]]*\](?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])"
+_DAY, _YEAR = r"(?:[12][0-9]|3[01]|0?[1-9])(?:st|nd|rd|th)?,?", r"[12][0-9]{3}[.,;:!?)]*(?!\S)"
+#: A date, or pieces without white space, in which code and links count as one; a link holds on to a
+#: link or code span after it.
+_UNIT = re.compile(
+    rf"(?<!\S)(?:{_DAY}\s+(?i:{_MONTHS}),?\s+{_YEAR}|(?i:{_MONTHS})\s+{_DAY}\s+{_YEAR})"
+    rf"|(?:{_CODE.format(1)}|{_LINK}(?:\s+(?:{_LINK}|{_CODE.format(2)}))*|\S)+"
+)
+_BEFORE_NOTE = re.compile(r"([.,;:!?])\s+(?=\[\^[^\]]+\])")
 _HARD = r"(?:  |(?i:<br\p{IsWhite_Space}*/?>)\p{IsWhite_Space}*|(?<!\\)(?:\\\\)*\\)\z"
 
 
@@ -29,8 +40,9 @@ def width_of(text: str) -> int:
 
 
 def fit(text: str, width: int) -> list[str]:
-    """The text's units in lines of at most width columns; a longer unit has a line of its own."""
-    units = [m[0] for m in _UNIT.finditer(text)]
+    """The text's units in lines of at most width columns; a longer unit has a line of its own, and no
+    white space stays between punctuation and a footnote reference."""
+    units = [m[0] for m in _UNIT.finditer(_BEFORE_NOTE.sub(r"\1", text))]
     sizes, out, line, used = [width_of(u) for u in units], [], [], 0
     for i, (unit, size) in enumerate(zip(units, sizes)):
         last = i + 1 == len(units) or size + 1 + sizes[i + 1] > width or unit.endswith("`")
@@ -72,14 +84,14 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     tag or an odd backslash) ends one with two spaces. An item, definition or quote line is a paragraph
     of its own: its prefix is repeated for quotes, otherwise its continuation lines are indented."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = explode_lines(docs)
+    rows = with_link_parts(explode_lines(docs))
     kind = X.block_kind(line)
     prefix = (
         F.when(kind == "bullet", F.regexp_extract(line, X.BULLET, 1))
         .when(kind == "footnote_definition", F.concat(F.regexp_extract(line, X.FOOTNOTE_DEFINITION, 1), F.regexp_extract(line, X.FOOTNOTE_DEFINITION, 2)))
         .when(kind == "blockquote", F.regexp_extract(line, X.QUOTE, 1))
     )
-    rows = rows.withColumn("_as_is", F.col("code") | is_verbatim(line)).withColumn("_prefix", F.when(~F.col("_as_is"), prefix))
+    rows = rows.withColumn("_as_is", F.col("code") | F.col("link_part") | is_verbatim(line)).withColumn("_prefix", F.when(~F.col("_as_is"), prefix))
     hard = ~F.col("_as_is") & line.rlike(_HARD)
     rows = rows.withColumn("_hard", hard)
     alone = F.col("_as_is") | F.col("_prefix").isNotNull()

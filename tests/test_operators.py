@@ -131,6 +131,31 @@ def test_wrap(spark):
     assert any("`" + "y " * 40 + "z`" in x for x in got[6])
 
 
+def test_wrap_units(spark):
+    pad = "x" * 68
+    got = run(spark, wrap.wrap, [pad + " 25th December 2025 is it"], [pad + " [a b](u) [c](v) z"], ["[l]:", "  http://x.y", '  "Some title"', "a", "b"], ["Point. [^1] more"])
+    assert got[0] == [pad, "25th December 2025 is it"] and got[1] == [pad, "[a b](u) [c](v) z"]
+    assert got[2] == ["[l]:", "  http://x.y", '  "Some title"', "a b"] and got[3] == ["Point.[^1] more"]
+
+
+def test_process_tokens(spark):
+    upper = lambda t: t[1].upper() if t[0] == "text" else t[1]
+    assert run(spark, lambda d: inline.process_tokens(d, upper), ["a `b` c", "```", "d", "```", ""], []) == [["A `b` C", "```", "d", "```", ""], []]
+
+
+def test_html_in_fences(spark):
+    doc = ["```", "<table><tr><td>1</td></tr><tr><td>2</td></tr></table>", "```"]
+    assert run(spark, lambda d: html.convert_html_tables(d, fences=False), doc)[0][1:4] == ["| 1   |", "| --- |", "| 2   |"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    (tmp_path / "a.md").write_text("1. a\n4. b\n")
+    assert main(["--renumber", str(tmp_path / "a.md")]) == 0 and capsys.readouterr().out == "1. a\n2. b\n"
+    assert main([str(tmp_path / "no.md")]) == 1 and "no such file" in capsys.readouterr().err
+
+
 @pytest.mark.parametrize(("line", "kind"), [("#123", "heading"), ("- a", "bullet"), ("1. a", "bullet"), ("> a", "blockquote"), ("[^1]: x", "footnote_definition"), ("[a]: u", "link_reference_definition"), ("2024 a", "digit_prefix"), ("    - a", None), ("a", None)])
 def test_block_kind(spark, line, kind):
     assert spark.createDataFrame([(line,)], "x string").select(X.block_kind(F.col("x"))).first()[0] == kind
