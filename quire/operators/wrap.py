@@ -82,7 +82,8 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
 
     Plain lines join into one paragraph under the first one's indent; a hard break (two spaces, a br
     tag or an odd backslash) ends one with two spaces. An item, definition or quote line is a paragraph
-    of its own: its prefix is repeated for quotes, otherwise its continuation lines are indented."""
+    of its own, with the lines that end a code span it leaves open: its prefix is repeated for quotes,
+    otherwise its continuation lines are indented."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
     rows = with_link_parts(explode_lines(docs))
     kind = X.block_kind(line)
@@ -96,7 +97,16 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     rows = rows.withColumn("_hard", hard)
     alone = F.col("_as_is") | F.col("_prefix").isNotNull()
     rows = rows.withColumn("_alone", alone)
-    starts = F.col("_alone") | F.coalesce(F.lag(F.col("_alone") | F.col("_hard")).over(w), F.lit(True))
+    # lines that go on with a code span which an item or quote has left open belong to it: those behind
+    # which, from the item on, the count of backtick runs has been odd all along
+    rows = rows.withColumn("_group", F.sum(F.col("_alone").cast("int")).over(w))
+    group = Window.partitionBy("doc_id", "_group").orderBy("line_no")
+    runs = F.size(F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"(?<!\\)`+"), F.lit(0)))
+    rows = rows.withColumn("_open", F.sum(runs).over(group) % 2).withColumn("_item", F.first(F.col("_prefix").isNotNull()).over(group))
+    goes_on = ~F.col("_alone") & F.col("_item") & (F.min("_open").over(group.rowsBetween(Window.unboundedPreceding, -1)) == 1)
+    rows = rows.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
+    before = F.lag(F.col("_alone") | F.col("_hard") | F.col("_on")).over(w)
+    starts = ~F.col("_on") & (F.col("_alone") | F.coalesce(before, F.lit(True)))
     rows = rows.withColumn("_part", F.sum(starts.cast("int")).over(w))
     text = F.when(F.col("_hard"), F.regexp_replace(line, r"(?:\p{IsWhite_Space}+|(?i:<br\p{IsWhite_Space}*/?>)\p{IsWhite_Space}*)\z", "")).otherwise(line)
     # the prefix is cut by length: what follows it may hold anything

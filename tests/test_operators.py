@@ -138,6 +138,11 @@ def test_wrap_units(spark):
     assert got[2] == ["[l]:", "  http://x.y", '  "Some title"', "a b"] and got[3] == ["Point.[^1] more"]
 
 
+def test_wrap_open_code(spark):
+    got = run(spark, wrap.wrap, ["- [ ] run `a b", "  c d` then", "next"], ["- one `x` two", "three"])
+    assert got == [["- [ ] run `a b c d` then", "next"], ["- one `x` two", "three"]]
+
+
 def test_process_tokens(spark):
     upper = lambda t: t[1].upper() if t[0] == "text" else t[1]
     assert run(spark, lambda d: inline.process_tokens(d, upper), ["a `b` c", "```", "d", "```", ""], []) == [["A `b` C", "```", "d", "```", ""], []]
