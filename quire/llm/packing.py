@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 LENGTH, END_ID = 2048, 1
-SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP, HARD_STEP = 2, 6, 48, 16
+SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP, HARD_STEP = 2, 6, 64, 32
 BLOCK = 1 << 20
 CACHED_WORDS, CACHED_CORES = 400_000, 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t\r\n]+|[\r\n]+")
+#: A sentence ends at a single mark or a line break; rows of marks, as in shouted or broken text, end none.
+_SENTENCE = re.compile(r"(?<=[^.!?][.!?])[ \t\r\n]+|[\r\n]+")
 _BLANKS = re.compile(r"[ \t\r\n]+")
 _ODD_BLANKS = re.compile("[\x1c-\x1f]")
 _PUNCTUATION = ",.!*$%&#;:?"
@@ -54,26 +55,31 @@ class WordTokens:
         self.known: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        core = word.rstrip(_PUNCTUATION)
-        if core and len(core) < len(word) and core[-1].isalnum() and "<" not in word:
-            return core, word[len(core) :]
-        return word, ""
-
     def learn(self, words: set[str]) -> None:
-        """Make each of the words known."""
+        """Make each of the words known: as a core and its punctuation where it ends in some."""
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         if len(self.cores) > CACHED_CORES:
             self.cores.clear()
-        new = [(w, *self._parts(w)) for w in words if w not in self.known]
-        cores = list({x for _, a, b in new for x in (a, b) if x not in self.cores})
-        for at in range(0, len(cores), 20_000):
-            part = cores[at : at + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cores[x] = array("I", e.ids).tobytes()
-        for w, a, b in new:
-            self.known[w] = self.cores[a] + self.cores[b]
+        whole, split = [], []
+        for w in words - self.known.keys():
+            if w[-1] in _PUNCTUATION and "<" not in w:
+                core = w.rstrip(_PUNCTUATION)
+                if core and core[-1].isalnum():
+                    split.append((w, core, w[len(core) :]))
+                    continue
+            whole.append(w)
+        need = set(whole)
+        for _, core, tail in split:
+            need.add(core)
+            need.add(tail)
+        new = list(need - self.cores.keys())
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.cores.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
+        cores = self.cores
+        self.known.update(zip(whole, map(cores.__getitem__, whole)))
+        self.known.update([(w, cores[a] + cores[b]) for w, a, b in split])
 
     @staticmethod
     def sentences(text: str) -> list[list[str]]:
