@@ -14,117 +14,189 @@ The program runs over blocks of BLOCK tokens; the last window of a block is carr
 from __future__ import annotations
 
 import os
-import re
-import unicodedata
 import zlib
-from array import array
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import words as W
 
 LENGTH, END_ID = 2048, 1
 SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP, HARD_STEP = 2, 6, 64, 32
 BLOCK = 1 << 20
-CACHED_WORDS, CACHED_CORES = 400_000, 800_000
+#: Bytes of text met at once; slots of the piece table, a power of two; a longer piece is hashed apart.
+GROUP, SLOTS, LONG = 1 << 19, 1 << 21, 1 << 14
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
-#: A sentence ends at a single mark or a line break; rows of marks, as in shouted or broken text, end none.
-_SENTENCE = re.compile(r"(?<=[^.!?][.!?])[ \t\r\n]+|[\r\n]+")
-_BLANKS = re.compile(r"[ \t\r\n]+")
-_ODD_BLANKS = re.compile("[\x1c-\x1f]")
-_PUNCTUATION = ",.!*$%&#;:?"
-
-
-class WordTokens:
-    """Token ids of texts, as bytes of little-endian unsigned 32-bit ids, through a cache by word.
-
-    The tokenizer drops white space, lowers case and never merges over white space or between a
-    letter and punctuation, so words can be encoded one by one. Lowering first is skipped for texts
-    where it might not commute with normalisation. Caches are emptied when full, which only costs
-    time."""
+_SPACE, _ALNUM, _SIGN, _GLUE = 0, 1, 2, 4
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[list(b" \t\n\v\f\r")] = _SPACE
+_CLASS[[x for x in range(128) if chr(x).isalnum()]] = _ALNUM
+_CLASS[[*range(128, 256), ord("'")]] = _GLUE
+_SAME = np.arange(1, 257, dtype=np.uint64)
+_SAME[_CLASS == _SPACE] = 0
+_LOWER = _SAME.copy()
+_LOWER[65:91] = _SAME[97:123]
+_MARK = np.zeros(256, bool)
+_MARK[list(b".!?")] = True
+_SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
+
+
+class PieceTokens:
+    """Token ids of texts through a table of pieces, looked up by 64-bit hashes in numpy.
+
+    The tokenizer drops white space, lowers case and never merges over white space, nor between an
+    ASCII letter or digit and an ASCII sign other than the apostrophe; the stretches between such
+    places are the pieces, and each distinct one is encoded once. Lowering A-Z first is skipped near
+    combining marks, where it need not commute with composition. Texts that name special tokens are
+    encoded whole. The table is emptied when half full, which only costs time."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        """Make each of the words known: as a core and its punctuation where it ends in some."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if len(self.cores) > CACHED_CORES:
-            self.cores.clear()
-        whole, split = [], []
-        for w in words - self.known.keys():
-            if w[-1] in _PUNCTUATION and "<" not in w:
-                core = w.rstrip(_PUNCTUATION)
-                if core and core[-1].isalnum():
-                    split.append((w, core, w[len(core) :]))
-                    continue
-            whole.append(w)
-        need = set(whole)
-        for _, core, tail in split:
-            need.add(core)
-            need.add(tail)
-        new = list(need - self.cores.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.cores.update(zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        cores = self.cores
-        self.known.update(zip(whole, map(cores.__getitem__, whole)))
-        self.known.update([(w, cores[a] + cores[b]) for w, a, b in split])
-
-    @staticmethod
-    def sentences(text: str) -> list[list[str]]:
-        """The words of each sentence."""
-        if _ODD_BLANKS.search(text):
-            return [x for s in _SENTENCE.split(text) if (x := [w for w in _BLANKS.split(s) if w])]
-        if "Σ" not in text and "İ" not in text and unicodedata.is_normalized("NFC", text):
-            lower = text.lower()
-            text = lower if unicodedata.is_normalized("NFC", lower) else text
-        return [x for s in _SENTENCE.split(text) if (x := s.split())]
-
-    def join(self, sentences: list[list[str]]) -> tuple[bytes, list[int]]:
-        """All ids of a document, and the token count after each sentence. Its words must be known."""
-        get = self.known.__getitem__
-        parts = [b"".join(map(get, s)) for s in sentences]
-        ends, n = [], 0
-        for x in parts:
-            n += len(x) // 4
-            ends.append(n)
-        return b"".join(parts), ends
-
-
-_loaded: dict[str, WordTokens] = {}
-
-
-def word_tokens(path: str) -> WordTokens:
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith("</w>")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.places = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.first, self.size, self.known = np.zeros(SLOTS // 2, np.int64), np.zeros(SLOTS // 2, np.int64), 0
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def places_of(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for an unknown one."""
+        slot = (keys & np.uint64(SLOTS - 1)).astype(np.int64)
+        got = self.keys[slot]
+        at = np.flatnonzero((got != keys) & (got != 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & (SLOTS - 1)
+            got = self.keys[slot[at]]
+            at = at[(got != keys[at]) & (got != 0)]
+        return self.places[slot]
+
+    def _insert(self, keys: np.ndarray) -> None:
+        """Give distinct unknown keys the next places."""
+        slot, at = (keys & np.uint64(SLOTS - 1)).astype(np.int64), np.arange(len(keys))
+        while len(at):
+            free = at[self.keys[slot[at]] == 0]
+            _, one = np.unique(slot[free], return_index=True)
+            one = free[one]
+            self.keys[slot[one]] = keys[one]
+            self.places[slot[one]] = self.known + one
+            at = at[self.keys[slot[at]] != keys[at]]
+            slot[at] = (slot[at] + 1) & (SLOTS - 1)
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Make distinct unknown keys known, with the ids of their pieces."""
+        plain = np.array([x.isalpha() and (x.isascii() or max(x) < "\u0250") for x in pieces])
+        ids, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+        if plain.any():  # a plain piece is one word of the tokenizer, so its ids end with the next word end
+            words = " ".join([x for x, p in zip(pieces, plain.tolist()) if p])
+            ids = np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.uint32)
+            sizes = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+            if len(sizes) != plain.sum():
+                ids, sizes, plain[:] = ids[:0], sizes[:0], False
+        rest = [x for x, p in zip(pieces, plain.tolist()) if not p]
+        rest = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        ids = np.concatenate((ids, *(np.array(x, np.uint32) for x in rest)))
+        sizes = np.concatenate((sizes, np.array([len(x) for x in rest], np.int64)))
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self._insert(np.concatenate((keys[plain], keys[~plain])))
+        new = slice(self.known, self.known + len(keys))
+        self.size[new], self.first[new] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used, self.known = self.used + len(ids), new.stop
+
+    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the texts raw[bounds[i]:bounds[i+1]] in a row, where each text's ids begin (and
+        the last end), and after how many ids sentences end. Texts begin and end between words."""
+        kind = _CLASS[raw]
+        step = kind[1:] ^ kind[:-1]
+        cut = np.ones(len(raw) + 1, bool)
+        cut[1:-1] = (step > 0) & (step < 5)
+        cut[bounds] = True
+        inside = kind != _SPACE
+        starts, ends = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside) + 1
+        if not len(starts):
+            return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64), np.empty(0, np.int64)
+        keys = _keys(raw, starts, ends)
+        place = self.places_of(keys)
+        if (place < 0).any():
+            if self.known + len(keys) > SLOTS // 2:
+                self.clear()
+                place[:] = -1
+            lost = np.flatnonzero(place < 0)
+            new, one = np.unique(keys[lost], return_index=True)
+            data = raw.tobytes()
+            self.learn(new, [data[a:b].decode() for a, b in zip(starts[lost[one]].tolist(), ends[lost[one]].tolist())])
+            place[lost] = self.places_of(keys[lost])
+        size = self.size[place]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.first[place] - total[:-1], size) + np.arange(total[-1])]
+        # a sentence ends at a single mark before white space, or at a line break
+        mark = _MARK[raw[ends - 1]] & ~_MARK[raw[np.maximum(ends - 2, 0)]]
+        lines = np.flatnonzero((raw == 10) | (raw == 13))
+        broken = np.diff(np.searchsorted(lines, starts), append=len(lines)) > 0
+        spaced = np.ones(len(ends), bool)
+        spaced[:-1] = starts[1:] > ends[:-1]
+        return ids, total[np.searchsorted(starts, bounds)], total[1:][spaced & (mark | broken)]
+
+
+def _keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each piece, never 0; of its lower-case form (A-Z) unless combining marks are near."""
+    values = _SAME if ((raw == 0xCC) | (raw == 0xCD)).any() else _LOWER
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    long = np.flatnonzero(sizes > LONG)
+    for i in long.tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
+    edges = sorted({0, len(starts), *np.searchsorted(starts, np.arange(W.PIECE, len(raw), W.PIECE)).tolist(), *long.tolist(), *(long + 1).tolist()})
+    for lo, hi in zip(edges, edges[1:]):
+        if sizes[lo] > LONG:
+            continue
+        base, at = starts[lo], starts[lo:hi] - starts[lo]
+        x = values[raw[base : ends[hi - 1]]]
+        up, down = W.powers(W.BYTE_BASE, len(x))
+        out[lo:hi] = np.add.reduceat(x * up[: len(x)], at) * down[at]
+    out = W.mix(out ^ (sizes.astype(np.uint64) << np.uint64(48)))
+    return np.maximum(out, np.uint64(1))
+
+
+_loaded: dict[str, PieceTokens] = {}
+
+
+def piece_tokens(path: str) -> PieceTokens:
     if path not in _loaded:
-        _loaded[path] = WordTokens(path)
+        _loaded[path] = PieceTokens(path)
     return _loaded[path]
 
 
-def candidates(ends: list[int], n: int) -> Iterator[tuple[int, int]]:
-    """(position, penalty) of the places where a document of n ids may be cut, its end last."""
-    last = 0
-    for end in ends:
-        if end >= n:
-            break
-        if end > last:
-            if end - last > HARD_GAP:
-                yield from ((x, HARD_PENALTY) for x in range(last + HARD_STEP, end, HARD_STEP))
-            yield end, SENTENCE_PENALTY
-            last = end
-    if n - last > HARD_GAP:
-        yield from ((x, HARD_PENALTY) for x in range(last + HARD_STEP, n, HARD_STEP))
-    yield n, 0
+def candidates(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[list[int], list[int]]:
+    """Positions and penalties of the places where a stream of ids may be cut, by position."""
+    at = np.union1d(doc_ends, sentence_ends)
+    free = np.isin(at, doc_ends, assume_unique=True)
+    before = np.concatenate(([0], at[:-1]))
+    gap = at - before
+    hard = np.where(gap > HARD_GAP, (gap - 1) // HARD_STEP, 0)
+    penalty = np.where(free, 0, SENTENCE_PENALTY)
+    if hard.any():
+        first = np.repeat(np.cumsum(hard) - hard, hard)
+        inner = np.repeat(before, hard) + HARD_STEP * (np.arange(len(first)) - first + 1)
+        at = np.concatenate((at, inner))
+        order = np.argsort(at, kind="stable")
+        at, penalty = at[order], np.concatenate((penalty, np.full(len(inner), HARD_PENALTY)))[order]
+    return at.tolist(), penalty.tolist()
 
 
 def cuts(points: list[tuple[int, int]], length: int = LENGTH) -> list[int]:
@@ -154,17 +226,21 @@ class _Packer:
     def __init__(self, first_sequence: int):
         self.sequence, self.size = first_sequence, 0
         self.docs: deque[list] = deque()  # [doc_id, ids, ids written]
-        self.points: list[tuple[int, int]] = []
-
-    def add(self, doc_id: int, ids: bytes, ends: list[int]) -> None:
-        n = len(ids) // 4
-        self.docs.append([doc_id, ids, 0])
-        self.points += [(self.size + t, p) for t, p in candidates(ends, n)]
-        self.size += n
+        self.at: list[int] = []
+        self.penalty: list[int] = []
+
+    def add(self, docs: list[tuple[int, bytes]], sentence_ends: np.ndarray) -> None:
+        """More documents; sentence_ends counts the ids from the first of them, END_ID included."""
+        self.docs.extend([i, ids, 0] for i, ids in docs)
+        doc_ends = np.cumsum([len(ids) // 4 for _, ids in docs])
+        at, penalty = candidates(doc_ends, sentence_ends)
+        self.at += [self.size + t for t in at]
+        self.penalty += penalty
+        self.size += int(doc_ends[-1])
 
     def flush(self, last: bool) -> list[tuple]:
         """Pieces of the chosen windows, without the last window unless last."""
-        rows, found, at = [], cuts(self.points) if self.points else [], 0
+        rows, found, at = [], cuts(list(zip(self.at, self.penalty))) if self.at else [], 0
         for end in found if last else found[:-1]:
             offset = 0
             while at < end:
@@ -178,39 +254,85 @@ class _Packer:
                 if doc[2] == n:
                     self.docs.popleft()
             self.sequence += 1
-        self.points = [(t - at, p) for t, p in self.points if t > at]
+        gone = bisect_right(self.at, at)
+        self.at, self.penalty = [t - at for t in self.at[gone:]], self.penalty[gone:]
         self.size -= at
         return rows
 
 
+def _parts(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in parts of about GROUP bytes that end with white space."""
+    at = 0
+    while len(raw) - at > 2 * GROUP:
+        end, look = at + GROUP, 1 << 12
+        while end < len(raw) and not len(gaps := np.flatnonzero(_CLASS[raw[end : end + look]] == _SPACE)):
+            end += look
+        if end >= len(raw):
+            break
+        end += int(gaps[0]) + 1
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
+
+
+_END = END_ID.to_bytes(4, "little")
+
+
+def encoded(tokens: PieceTokens, texts: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """The ids of each text with END_ID, and after how many of all these ids sentences end."""
+    if len(texts) == 1:
+        ids, ends, size = [], [], 0
+        for part in _parts(texts[0]):
+            x, _, e = tokens.encode(part, np.array([0, len(part)]))
+            ids.append(x.tobytes())
+            ends.append(e + size)
+            size += len(x)
+        return [b"".join([*ids, _END])], np.concatenate(ends)
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    ids, begins, ends = tokens.encode(np.concatenate(texts), bounds)
+    data, places = ids.tobytes(), (4 * begins).tolist()
+    # every document before the one that a sentence ends in has an END_ID of its own
+    ends = ends + np.searchsorted(begins[1:], ends)
+    return [data[a:b] + _END for a, b in zip(places, places[1:])], ends
+
+
 def _pack(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(path)
-        end = END_ID.to_bytes(4, "little")
+        tokens = piece_tokens(path)
         packer = _Packer((TaskContext.get().partitionId() if TaskContext.get() else 0) << 40)
 
         def rows(found):
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=_ARROW)
 
-        def some(ids, texts):
-            split = [tokens.sentences(x) for x in texts]
-            tokens.learn(set().union(*(s for doc in split for s in doc)))
-            for doc_id, doc in zip(ids, split):
-                data, ends = tokens.join(doc)
-                packer.add(doc_id, data + end, ends)
-                if packer.size >= BLOCK and (found := packer.flush(False)):
-                    yield rows(found)
+        def add(ids, texts):
+            data, ends = encoded(tokens, texts)
+            packer.add(list(zip(ids, data)), ends)
+            return packer.size >= BLOCK and packer.flush(False)
 
-        for batch in batches:
+        def some(batch):
             ids, texts, size = [], [], 0
-            for i, x in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids.append(i)
-                texts.append(x.as_py() or "")
-                size += len(texts[-1])
-                if size > 1 << 20:
-                    yield from some(ids, texts)
+            for i, raw in zip(batch.column("doc_id").to_pylist(), W.slices(batch.column("text"))):
+                data = raw.tobytes()
+                if b"<|" in data and any(x in data for x in _SPECIAL):
+                    if ids:
+                        yield add(ids, texts)
+                        ids, texts, size = [], [], 0
+                    whole = np.array(tokens.tokenizer.encode(data.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+                    packer.add([(i, whole + _END)], np.empty(0, np.int64))
+                    continue
+                if ids and size + len(raw) > GROUP:
+                    yield add(ids, texts)
                     ids, texts, size = [], [], 0
-            yield from some(ids, texts)
+                ids.append(i)
+                texts.append(raw)
+                size += len(raw)
+            if ids:
+                yield add(ids, texts)
+
+        for batch in batches:
+            for found in some(batch):
+                if found:
+                    yield rows(found)
         if found := packer.flush(True):
             yield rows(found)
 
@@ -224,4 +346,5 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     is one piece of END_ID alone. Repeated rows are packed as often as they occur. A null doc_id
     stays null. An empty table gives no rows. Very long texts are cut at sentences, or inside
     sentences where none ends in time; every id lies in exactly one piece."""
-    return docs.select("doc_id", "text").mapInArrow(_pack(tokenizer_path), SCHEMA)
+    texts = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return docs.select("doc_id", texts).mapInArrow(_pack(tokenizer_path), SCHEMA)

@@ -406,6 +406,31 @@ def test_packing(spark, sf_dir):
     assert 1 - got.length.sum() / (got.sequence_id.nunique() * packing.LENGTH) < 0.03
 
 
+_NASTY = ["a", "THE", "the", "1", "42", ".", ",", "!", "'", "'s", "'LL", "\u2019", "é", "É", "\u0301", "\u0338", "=", "<|", "H\u0331", " ", "\n", "\r\n", "\x0b",
+    "\x1c", "\x85", "\xa0", "ß", "İ", "ΑΣ", "<|ENDOFTEXT|>", "—", "º", "½", "漢字", "🙂", "\u200b", "K", "\0", "_", "-", "don't", "ﬁ", "x" * 20_000]
+
+
+@given(st.lists(st.lists(st.sampled_from(_NASTY), max_size=12).map("".join), min_size=1, max_size=4))
+def test_piece_tokens_are_those_of_the_tokenizer(texts):
+    tokens = packing.piece_tokens(queries.word_bpe_path())
+    found, _ = packing.encoded(tokens, [np.frombuffer(x.encode(), np.uint8) for x in texts])
+    want = [tokens.tokenizer.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == want
+
+
+def test_piece_tokens_of_long_texts_and_a_full_table(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 1 << 10)
+    monkeypatch.setattr(packing, "SLOTS", 1 << 9)
+    tokens = packing.PieceTokens(queries.word_bpe_path())
+    for seed in range(4):
+        text = " ".join(f"w{x}x, {x}!" for x in np.random.default_rng(seed).integers(0, 9999, 60)) + "\n"
+        for x in (text, text * 9 + "y" * 5000):
+            found, ends = packing.encoded(tokens, [np.frombuffer(x.encode(), np.uint8)])
+            want = tokens.tokenizer.encode(x, add_special_tokens=False).ids + [1]
+            assert np.frombuffer(found[0], "<u4").tolist() == want
+            assert (np.diff(ends) > 0).all() and ends.max() <= len(want) - 1
+
+
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(0, 3)), min_size=1, max_size=12))
 def test_cuts_are_cheapest(steps):
     points, at = [], 0
