@@ -5,7 +5,8 @@ composite density is C/T scaled by a logarithm that falls as links take over. A
 is that of its children. The content is the subtree of the largest density sum; the least density
 on the path from the body to it is the threshold, and other subtrees outside it join in when they
 reach that threshold. Page furniture is cut off before: elements that are furniture by name or role,
-and blocks whose class or id says so unless they hold most of the page's text.
+and blocks whose class or id says so, unless they hold the article, or most of the page's text
+while no heading or article stands elsewhere.
 """
 
 from __future__ import annotations
@@ -134,12 +135,16 @@ class Page:
         for node, text in self.texts:
             own[node] += len(text)
         chars = self._sums(own)
-        holds = self._sums([float(x in ("article", "main")) for x in self.names])
+        plain = [not h for h in self.hinted]
+        holds = self._sums([float(x in ("article", "main") and p) for x, p in zip(self.names, plain)])
+        anchors = self._sums([float(x in ("article", "main", "h1") and p) for x, p in zip(self.names, plain)])
         for i in range(1, n):
-            if self.hinted[i] and not holds[i] and 2 * chars[i] < chars[0]:
-                self.cut[i] = True
-            elif self.hinted[i] and holds[i] and self.names[i] == "article" and self._within(i):
-                self.cut[i] = True
+            if self.hinted[i]:
+                if self.names[i] == "article":
+                    self.cut[i] |= self._within(i)
+                elif not holds[i]:
+                    # a large one goes too when the page's heading or article stands elsewhere
+                    self.cut[i] |= 2 * chars[i] < chars[0] or not anchors[i] and anchors[0] > 0
             self.cut[i] |= self.cut[self.parents[i]]
 
     def _within(self, i: int) -> bool:

@@ -89,6 +89,17 @@ def test_html_without_article():
     assert html_density.main_text(page).count("\n\n") == 5
 
 
+def test_html_cuts_notices_and_comments_larger_than_the_article():
+    long = "Nobody needs to read this again. " * 30
+    comments = f'<section id="comments"><article class="comment"><p>{long}</p></article></section>'
+    for page in (
+        f"<body><main><h1>Head</h1><p>Some words.</p></main>{comments}</body>",
+        f'<body><div class="cookie-notice"><p>{long}</p></div><div><h1>Head</h1><p>Some words.</p></div></body>',
+        f'<body><article class="promo"><h1>Head</h1><p>Some words.</p>{comments}</article></body>',
+    ):
+        assert html_density.main_text(page) == "Head\n\nSome words."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<p", "<!-- open", "<script>x", "<nav>a</nav>"])
 def test_html_without_content(page):
     assert html_density.main_text(page) == ""
