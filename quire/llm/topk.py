@@ -13,10 +13,11 @@ sent to the tasks, so what is broadcast has a fixed bound.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize
@@ -133,6 +134,12 @@ def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array(ids, np.int64), np.stack(rows).astype(float)
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query's candidates; tasks drop the others before the shuffle."""
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other vectors by inner product, ties to the
     smaller vec_id; fewer if there are fewer.
@@ -153,13 +160,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
                 s[q_ids[at : at + 4096][:, None] == q_ids[None, :few]] = -np.inf
                 floor[at : at + 4096] = np.partition(s, few - k, axis=1)[:, few - k]
         sent = spark.sparkContext.broadcast((q_ids, queries, floor))
-        parts.append(index.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    # the k largest of structs, kept by a bounded aggregate: partial results stay small
-    best = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id")).alias("all"))
-    best = best.select("query_id", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("i", "hit"))
-    return best.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.s")).alias("score"))
+        # written at once, so that the driver holds one chunk of queries at a time
+        parts.append(materialize(_ranked(index.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long"), k), "found"))
+        sent.destroy()
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
