@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +18,31 @@ def read_texts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     doesn't exist gives an error row instead of failing the job."""
     paths = list(paths)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found, missing = [], []
+    found, ready = [], []
     for i, p in enumerate(paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
-        if fs.exists(path):
-            found.append((i, p, fs.makeQualified(path).toString()))
+        if not fs.exists(path):
+            ready.append((i, p, False, None, "no such file"))
+        elif fs.getFileStatus(path).isDirectory():
+            ready.append((i, p, False, None, "is a folder"))
+        elif fs.getFileStatus(path).getLen() == 0:
+            ready.append((i, p, True, "", None))
+        elif path.getName()[0] in "_.":  # Spark's readers pass over such names
+            stream = fs.open(path)
+            ready.append((i, p, True, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), None))
+            stream.close()
         else:
-            missing.append((i, p, False, None, "no such file"))
-    out = spark.createDataFrame(missing, SCHEMA)
+            whole = fs.makeQualified(path)
+            found.append((i, p, whole.toUri().toString(), whole.toString()))
+    out = spark.createDataFrame(ready, SCHEMA)
     if found:
-        keys = spark.createDataFrame(found, "doc_id long, path string, uri string")
+        keys = spark.createDataFrame([x[:3] for x in found], "doc_id long, path string, uri string")
         bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        texts = spark.read.text([x[2] for x in found], wholetext=True).select("value", bare(F.col("_metadata.file_path")).alias("uri"))
+        texts = spark.read.text(list(dict.fromkeys(x[3] for x in found)), wholetext=True).select("value", bare(F.col("_metadata.file_path")).alias("uri"))
         joined = keys.withColumn("uri", bare(F.col("uri"))).join(texts, "uri", "left")
-        out = out.union(joined.select("doc_id", "path", F.lit(True), F.coalesce("value", F.lit("")), F.lit(None).cast("string")))
+        error = F.when(F.col("value").isNull(), "could not be read")
+        out = out.union(joined.select("doc_id", "path", F.col("value").isNotNull(), "value", error))
     return out
 
 
@@ -47,7 +58,36 @@ def rewrite(spark: SparkSession, paths: Iterable[str], options: Options = Option
     return read.join(done, "doc_id", "left").select("doc_id", "path", "ok", F.coalesce("_new", "text").alias("text"), "error")
 
 
+def rewrite_no_wrap(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """rewrite() with the passes that always run only."""
+    return rewrite(spark, paths, Options())
+
+
 def write_texts(results: DataFrame, directory: str) -> None:
-    """One folder part=doc_id with a text file for each good document; sources are never overwritten."""
+    """One folder part=doc_id with a text file for each good document; sources stay as they are."""
     good = results.where("ok").select(F.col("doc_id").alias("part"), F.regexp_replace("text", "\n\\z", "").alias("value"))
     good.write.partitionBy("part").text(directory)
+
+
+def write_in_place(results: DataFrame) -> None:
+    """Put each good document in the place of its source file. Executors write the texts to a folder
+    beside the first source; then every file is renamed onto its source, one by one, so a failure
+    leaves each source either old or new. Sources have to lie in one file system."""
+    spark = results.sparkSession
+    good = results.where("ok and path is not null")
+    paths = {r.doc_id: (r.path, r.empty) for r in good.select("doc_id", "path", (F.col("text") == "").alias("empty")).toLocalIterator()}
+    if not paths:
+        return
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    target = {k: hadoop.Path(p) for k, (p, _) in paths.items()}
+    first = next(iter(target.values()))
+    fs = first.getFileSystem(conf)
+    folder = hadoop.Path(fs.makeQualified(first).getParent(), f".rewritten-{uuid.uuid4().hex}")
+    write_texts(results.where("path is not null"), folder.toString())
+    for key, (_, empty) in paths.items():
+        made = [f.getPath() for f in fs.listStatus(hadoop.Path(folder, f"part={key}")) if f.getPath().getName().startswith("part-")]
+        if empty:
+            fs.create(made[0], True).close()
+        fs.delete(target[key], False)
+        fs.rename(made[0], target[key])
+    fs.delete(folder, True)

@@ -161,6 +161,20 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path / "no.md")]) == 1 and "no such file" in capsys.readouterr().err
 
 
+def test_command_line_in_place(spark, tmp_path, capsys):
+    from quire.__main__ import main
+
+    for name, text in (("a é.md", "| a | bb |\n| ccc | d |\n"), ("_b.md", "x\n\ny"), ("empty.md", "")):
+        (tmp_path / name).write_text(text)
+    names = [str(tmp_path / x) for x in ("a é.md", "none.md", "_b.md", "empty.md")]
+    assert main(["--in-place", *names]) == 1 and "none.md" in capsys.readouterr().err
+    assert {x.name: x.read_text() for x in tmp_path.iterdir() if not x.name.startswith(".")} == {
+        "a é.md": "| a   | bb |\n| ccc | d  |\n", "_b.md": "x\n\ny\n", "empty.md": ""
+    }
+    with pytest.raises(SystemExit):
+        main(["--in-place"])
+
+
 @pytest.mark.parametrize(("line", "kind"), [("#123", "heading"), ("- a", "bullet"), ("1. a", "bullet"), ("> a", "blockquote"), ("[^1]: x", "footnote_definition"), ("[a]: u", "link_reference_definition"), ("2024 a", "digit_prefix"), ("    - a", None), ("a", None)])
 def test_block_kind(spark, line, kind):
     assert spark.createDataFrame([(line,)], "x string").select(X.block_kind(F.col("x"))).first()[0] == kind
