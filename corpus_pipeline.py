@@ -14,6 +14,9 @@ from quire.llm import decontaminate, neardup, packing, quality, secret_scan
 from quire.llm.queries import KEEP_SCORE, word_bpe_path
 from quire.llm.store import materialize, table
 
+#: Shingles, in percent, that two documents of the pipeline share at least when one of them goes.
+NEAR_PERCENT = 85
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It is trained on the labelled rows among docs."""
@@ -23,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near duplicates."""
-    found = neardup.near_duplicates(docs)
+    found = neardup.near_duplicates(docs, NEAR_PERCENT)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

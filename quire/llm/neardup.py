@@ -62,7 +62,7 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def meeting_keys(s: np.ndarray, r: np.ndarray) -> np.ndarray:
+def meeting_keys(s: np.ndarray, r: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Band keys of a set with these registers, and those of its least shingles if it is small."""
     full = r.copy()
     for step in _CHAIN:
@@ -73,7 +73,7 @@ def meeting_keys(s: np.ndarray, r: np.ndarray) -> np.ndarray:
     bands = full.reshape(-1, BAND).view(np.uint64).ravel()
     keys = W.mix(W.mix(bands) ^ W.mix(np.arange(len(bands), dtype=np.uint64) + _SEEDS[1]))
     if len(s) <= SMALL:
-        prefix = len(s) - (PERCENT * len(s) + 99) // 100 + 1
+        prefix = len(s) - (percent * len(s) + 99) // 100 + 1
         keys = np.concatenate((keys, W.mix(s[:prefix] ^ _SEEDS[2])))
     return keys
 
@@ -94,18 +94,21 @@ _SETS_SPARK = T.StructType([
 ])
 
 
-@F.arrow_udf(_SETS_SPARK)
-def _sets(texts: pa.Array) -> pa.Array:
-    rows = []
-    for raw in W.slices(texts):
-        s = shingles(raw)
-        if not len(s):
-            rows.append({"n": 0, "a": None, "b": None, "registers": None, "keys": None})
-            continue
-        r = registers(s)
-        a, b = (int(W.mix(s ^ seed).sum(dtype=np.uint64).view(np.int64)) for seed in (_SEEDS[3], _SEEDS[1]))
-        rows.append({"n": len(s), "a": a, "b": b, "registers": r.tobytes(), "keys": W.signed(meeting_keys(s, r))})
-    return pa.array(rows, _SETS)
+def _sets(percent: int):
+    @F.arrow_udf(_SETS_SPARK)
+    def sets(texts: pa.Array) -> pa.Array:
+        rows = []
+        for raw in W.slices(texts):
+            s = shingles(raw)
+            if not len(s):
+                rows.append({"n": 0, "a": None, "b": None, "registers": None, "keys": None})
+                continue
+            r = registers(s)
+            a, b = (int(W.mix(s ^ seed).sum(dtype=np.uint64).view(np.int64)) for seed in (_SEEDS[3], _SEEDS[1]))
+            rows.append({"n": len(s), "a": a, "b": b, "registers": r.tobytes(), "keys": W.signed(meeting_keys(s, r, percent))})
+        return pa.array(rows, _SETS)
+
+    return sets
 
 
 @F.arrow_udf(T.DoubleType())
@@ -120,7 +123,7 @@ def _shingle_bytes(texts: pa.Array) -> pa.Array:
     return pa.array([shingles(raw).tobytes() for raw in W.slices(texts)], pa.binary())
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+def linked(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """For each set the least index it is connected with by links. Sets of different sides are
     compared, or all of them if there is one side."""
     k, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
@@ -137,7 +140,7 @@ def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
         part = np.zeros((k, 8192), np.float32)
         part[row[lo:hi], column[lo:hi] - at] = 1
         common += part @ part.T
-    near = 100 * common >= PERCENT * (sizes[:, None] + sizes[None, :] - common)
+    near = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
     if side.min() != side.max():
         near &= side[:, None] != side[None, :]
     np.fill_diagonal(near, True)
@@ -153,12 +156,15 @@ def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _verify(group: pa.Table) -> pa.Table:
-    ids = group.column("rep").to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-    label = linked(sets, group.column("chunk").to_numpy())
-    other = np.flatnonzero(label != np.arange(len(ids)))
-    return pa.table([pa.array(ids[other], pa.int64()), pa.array(ids[label[other]], pa.int64())], schema=_LINKS)
+def _verify(percent: int):
+    def verify(group: pa.Table) -> pa.Table:
+        ids = group.column("rep").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        label = linked(sets, group.column("chunk").to_numpy(), percent)
+        other = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table([pa.array(ids[other], pa.int64()), pa.array(ids[label[other]], pa.int64())], schema=_LINKS)
+
+    return verify
 
 
 def families(classes: DataFrame) -> DataFrame:
@@ -173,7 +179,7 @@ def families(classes: DataFrame) -> DataFrame:
     return components(scored.where(F.col("j") >= FAMILY).select(F.col("rep").alias("u"), F.col("leader").alias("v")))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(u, v): a spanning forest of the exact links between classes of each pair of chunks."""
     found = families(classes).withColumnsRenamed({"node": "rep", "component": "family"})
     members = materialize(found.join(classes.select("rep", "n"), "rep"), "members")
@@ -185,19 +191,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets = placed.join(texts, "rep").select("rep", "family", "chunk", "chunks", _shingle_bytes("text").alias("set"))
     met = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("family", F.least("chunk", "with").alias("lo"), F.greatest("chunk", "with").alias("hi"), "rep", "chunk", "set")
-    return met.groupBy("family", "lo", "hi").applyInArrow(_verify, "u long, v long")
+    return met.groupBy("family", "lo", "hi").applyInArrow(_verify(percent), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
-    Two documents are linked when their shingle sets agree by PERCENT or more; component_id is the
+    Two documents are linked when their shingle sets agree by percent or more; component_id is the
     least doc_id reachable over links, the own one included. A text of fewer than SHINGLE words has
     its whole word sequence as its one shingle. Null, empty and blank texts have none and are linked
     with nothing. Rows with one doc_id count as one document, a null doc_id takes part in no link.
     Copies meet as one class; other columns are left out; an empty table gives no rows."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sets = docs.select("doc_id", _sets("text").alias("s")).select("doc_id", "s.*")
+    sets = docs.select("doc_id", _sets(percent)("text").alias("s")).select("doc_id", "s.*")
     sets = materialize(sets, "sets")
     classes = (
         sets.where("n > 0 and doc_id is not null").groupBy("a", "b")
@@ -205,7 +211,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("a", "b", F.col("least.doc_id").alias("rep"), "least.n", "least.registers", "least.keys")
     )
     classes = materialize(classes, "classes")
-    found = materialize(components(links(docs, classes)), "components")
+    found = materialize(components(links(docs, classes, percent)), "components")
     named = classes.select("a", "b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     named = materialize(named.select("a", "b", F.coalesce("component", "rep").alias("component")), "named")
     # an own key for rows without a set, so that they don't meet in one task

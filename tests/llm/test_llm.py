@@ -314,6 +314,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_from_80_percent(spark):
+    rng, texts = np.random.default_rng(8), []
+    for size in (13, 40, 48, 60, 100, 150):
+        for _ in range(6):
+            # k new words at the end replace k of n shingles: the pair shares just 80 %, or a little less or more
+            n = size - 4
+            for k in (n // 9 - 1, n // 9, n // 9 + 1):
+                base = [f"w{i}" for i in rng.integers(0, 10**9, size)]
+                texts += [" ".join(base), " ".join(base[: size - k] + [f"n{i}" for i in rng.integers(0, 10**9, k)])]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, texts)]
+
+    def least(percent):
+        near = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        return {i: i - 1 if i % 2 and near(sets[i - 1], sets[i]) else i for i in range(len(texts))}
+
+    assert least(80) != least(85)
+    for percent in (80, 85):
+        got = by_id(neardup.near_duplicates(frame(spark, texts), percent))
+        assert {i: r["component_id"] for i, r in got.items()} == least(percent)
+
+
 def test_hyperminhash_estimates():
     rng = np.random.default_rng(4)
     error = []
