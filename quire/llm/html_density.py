@@ -4,9 +4,10 @@ For every DOM node, with C characters and T tags below it and LC and LT of these
 composite density is C/T scaled by a logarithm that falls as links take over. A node's density sum
 is that of its children. The content is the subtree of the largest density sum; the least density
 on the path from the body to it is the threshold, and other subtrees outside it join in when they
-reach that threshold. Page furniture is cut off before: elements that are furniture by name or role,
-and blocks whose class or id says so, unless they hold the article, or most of the page's text
-while no heading or article stands elsewhere.
+reach that threshold. Page furniture is cut off before: hidden elements, elements that are furniture
+by name or role, and blocks whose class or id says so. The latter stay if they hold the article, or
+most of the page's text while no heading or article stands elsewhere; so do forms, fieldsets, labels,
+searches and dialogs, which may wrap a whole page. Other furniture stays only around a main element.
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ _MARKUP = re.compile(
     r"|<[a-zA-Z/!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+# One attribute after the other: a name, then perhaps a value, which is consumed whole.
+_ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
 _BITS = re.compile(r"[a-z]+|[0-9]+")
 
 # Element names of HTML by what they mean here, and words of class names and ids.
@@ -38,6 +41,10 @@ _BLOCKS = frozenset(
 )
 _FURNITURE = frozenset("nav footer aside form head button select option input dialog menu object canvas audio video label fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Of these names and roles, those that may wrap the article; and controls, which hold none.
+_WRAPPERS = frozenset("form dialog label fieldset search alertdialog".split())
+_DIALOGS = frozenset(["dialog", "alertdialog"])
+_CONTROLS = frozenset("button select option input canvas audio video".split())
 _HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion nav navbar navigation menu"
     " sidebar aside footer header masthead topbar toolbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices"
@@ -63,6 +70,7 @@ class Page:
 
     def __init__(self, source: str):
         self.names, self.parents, self.cut, self.hinted = ["html"], [-1], [False], [False]
+        self.furniture = [frozenset()]  # the names and roles by which a node is furniture
         self.texts: list[tuple[int, str]] = []  # text and the node it stands in
         self.breaks: set[int] = set()  # indexes into texts where a block begins or ends
         stack, at = [0], 0
@@ -97,12 +105,16 @@ class Page:
         if name in _ENDS:
             self._until(stack, *_ENDS[name])
         node, inside = len(self.names), any(self.names[x] in ("article", "main") for x in stack)
-        cut, hinted = name in _FURNITURE or name == "header" and not inside, False
+        cut, hinted, furniture = name in _CONTROLS, False, set()
+        if name in _FURNITURE or name == "header" and not inside:
+            furniture.add(name)
         if rest and not rest.isspace():
             for m in _ATTRIBUTE.finditer(rest):
+                if m[1].lower() not in _ATTRIBUTES:
+                    continue
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if key == "role":
-                    cut |= value in _ROLES
+                    furniture |= {value} & _ROLES
                 elif key in ("class", "id"):
                     hinted |= any(x in _HINTS for x in _BITS.findall(value))
                 else:
@@ -110,6 +122,7 @@ class Page:
         self.names.append(name)
         self.parents.append(stack[-1])
         self.cut.append(cut and name not in ("html", "body"))
+        self.furniture.append(frozenset() if name in ("html", "body") else frozenset(furniture))
         self.hinted.append(hinted and name not in ("html", "body", "main"))
         if name not in _VOID:
             stack.append(node)
@@ -129,7 +142,8 @@ class Page:
         return out
 
     def prune(self) -> None:
-        """Extend the cuts to what lies below them, and cut hinted blocks that aren't the page itself."""
+        """Extend the cuts to what lies below them, and cut furniture and hinted blocks that aren't the
+        page itself."""
         n = len(self.names)
         own = [0.0] * n
         for node, text in self.texts:
@@ -138,7 +152,19 @@ class Page:
         plain = [not h for h in self.hinted]
         holds = self._sums([float(x in ("article", "main") and p) for x, p in zip(self.names, plain)])
         anchors = self._sums([float(x in ("article", "main", "h1") and p) for x, p in zip(self.names, plain)])
+        mains = self._sums([float(x == "main" and p) for x, p in zip(self.names, plain)])
+        bare = self.cut[:]  # what is never the article, so that its text says nothing of what is around it
         for i in range(1, n):
+            bare[i] |= bare[self.parents[i]] or bool(self.furniture[i] - _WRAPPERS) and not mains[i]
+        prose = self._sums([x * (not b) for x, b in zip(own, bare)])
+        heads = self._sums([float(x in ("article", "main", "h1") and p and not b) for x, p, b in zip(self.names, plain, bare)])
+        for i in range(1, n):
+            if self.furniture[i] and not mains[i]:
+                # most of the text, and a heading or article if the page has one; or all of these
+                every = heads[i] == heads[0]
+                most = 2 * prose[i] >= prose[0] > 0 and (every or heads[i] > 0 and not self.furniture[i] & _DIALOGS)
+                every = every and holds[i] > 0
+                self.cut[i] |= not self.furniture[i] <= _WRAPPERS or not (most or every)
             if self.hinted[i]:
                 if self.names[i] == "article":
                     self.cut[i] |= self._within(i)

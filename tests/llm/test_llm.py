@@ -100,6 +100,31 @@ def test_html_cuts_notices_and_comments_larger_than_the_article():
         assert html_density.main_text(page) == "Head\n\nSome words."
 
 
+BODY = "<h1>Head</h1><p>Some words of the article.</p><p>And some more of them.</p>"
+
+
+@pytest.mark.parametrize("open_", [
+    '<div style="overflow:hidden">', '<div title="the hidden gem">', "<div style=overflow:hidden>", "<div title='role=\"form\" hidden'>",
+    '<div data-id="ad-1">', '<div data-role="navigation">', '<div data-x="class=ad">', '<div data-hidden aria-hidden="false">', '<div "hidden gem">',
+    '<form action="x">', "<form><fieldset>", "<label>", "<dialog open>", '<div role="form">', '<nav><main>', '<div role="navigation"><main>',
+])
+def test_html_keeps_an_article_in_an_odd_wrapper(open_):
+    page = f"<body><nav><a href=a>One</a></nav>{open_}{BODY}<select><option>{'Country ' * 50}</select></body>"
+    if "<main>" in open_:
+        page = page.replace("<nav><a href=a>One</a></nav>", "")
+    assert html_density.main_text(page) == "Head\n\nSome words of the article.\n\nAnd some more of them."
+
+
+@pytest.mark.parametrize("furniture", [
+    "<div hidden>X</div>", "<div HIDDEN=''>X</div>", '<div class="a"hidden>X</div>', "<div aria-hidden = true>X</div>", "<div id=ad-1>X</div>", "<form>X</form>",
+    "<div role='search'>X</div>", "<dialog><article>X</article></dialog>", "<label>X</label>", "<div title='a > b' class='x ad'>X</div>", "<nav>X</nav>",
+])
+def test_html_still_cuts_furniture(furniture):
+    for long in (1, 60):
+        page = f"<body>{furniture.replace('X', '<p>' + 'Nobody reads this. ' * long + '</p>')}<div>{BODY}</div></body>"
+        assert html_density.main_text(page) == "Head\n\nSome words of the article.\n\nAnd some more of them."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<p", "<!-- open", "<script>x", "<nav>a</nav>"])
 def test_html_without_content(page):
     assert html_density.main_text(page) == ""
