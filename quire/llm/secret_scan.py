@@ -67,15 +67,23 @@ def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A PKCS#1, PKCS#8 or SEC 1 private key: one SEQUENCE that begins with a small version number."""
+    """A PKCS#1, PKCS#8, SEC 1 or traditional DSA private key: one SEQUENCE that begins with a small
+    version number; or an encrypted PKCS#8 key, which begins with its scheme and the scheme's parameters."""
     if len(data) < 16 or data[0] != 0x30 or not (outer := der_items(data)) or len(outer) != 1:
         return False
     parts = der_items(outer[0][1])
-    if not parts or len(parts) < 2 or parts[0][0] != 0x02 or parts[0][1] not in (b"\0", b"\1"):
+    if not parts or len(parts) < 2:
+        return False
+    if [t for t, _ in parts] == [0x30, 0x04]:
+        scheme = der_items(parts[0][1])
+        return bool(scheme) and [t for t, _ in scheme] == [0x06, 0x30] and len(parts[1][1]) >= 16
+    if parts[0][0] != 0x02 or parts[0][1] not in (b"\0", b"\1"):
         return False
     tags = [t for t, _ in parts]
     if len(parts) >= 9 and set(tags[:9]) == {0x02}:
         return True
+    if tags == [0x02] * 6:  # DSA: p is larger than q
+        return len(parts[1][1]) > len(parts[2][1]) >= 16
     if tags[1] == 0x30 and len(parts) >= 3 and tags[2] == 0x04:
         return bool((names := der_items(parts[1][1])) and names[0][0] == 0x06)
     return tags[1] == 0x04 and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
@@ -98,7 +106,7 @@ def is_ssh_key(data: bytes) -> bool:
 def is_signed_token(header: str, payload: str) -> bool:
     """Whether the header is a JSON object that names an algorithm, and the payload decodes too."""
     data = unbase64(header)
-    if not data or not data.startswith(b"{"):
+    if not data or not data.lstrip(b" \t\r\n").startswith(b"{"):
         return False
     try:
         found = json.loads(data)
@@ -115,9 +123,7 @@ def _key_kind(data: bytes | None) -> str | None:
 
 def confirmed(text: str) -> set[Span]:
     """Spans of decoded candidates whose structure holds."""
-    found: set[Span] = set()
-    if "eyJ" in text or "ey" in text:
-        found |= {("jwt", *m.span()) for m in _TOKEN.finditer(text) if m[1].startswith("ey") and is_signed_token(m[1], m[2])}
+    found: set[Span] = {("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])}
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
             if kind := _key_kind(unbase64(m[1])):
