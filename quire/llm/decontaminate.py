@@ -8,14 +8,15 @@ those that agree are hit. Items of fewer than 10 words lie below the guarantee;
 each, looked up by its full hash for each such length.
 
 The benchmark is read in blocks of at most BLOCK_WORDS words. Each block is one pass over the
-documents in which only that block is sent to the tasks, so what is broadcast has a fixed bound; hit
-spans of several blocks are merged per document.
+documents in which only that block is sent to the tasks, so what is broadcast has a fixed bound. With
+several blocks the hits of each are written before the next is read, and merged per document.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .store import materialize
 
 WINDOW, K = 10, 5
 WINNOW = WINDOW - K + 1
@@ -47,7 +49,7 @@ def _fingerprints(h: np.ndarray) -> np.ndarray:
 class Block:
     """Window hashes of some items, sorted, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[str | None, np.ndarray]]):
         prints, by_length = [np.empty(0, np.uint64)], {}
         for item, raw in items:
             h = W.words(raw, W.ALNUM, True)[2]
@@ -140,24 +142,26 @@ def _scan(block):
                 h = W.words(raw, W.ALNUM, True)[2] if raw is not None else np.empty(0, np.uint64)
                 hit, items = known.hits(h)
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
-                out.append((len(h), edge.tolist(), sorted(map(str, items))))
+                ids = sorted(str(x) for x in items if x is not None)
+                out.append((len(h), edge.tolist(), ids + [None] * (None in items)))
             yield pa.array([dict(zip(("n_words", "spans", "items"), x)) for x in out], kind)
 
     return scan
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark in blocks of bounded size, read by the driver one block at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Block, bool]]:
+    """The benchmark in blocks of bounded size, read by the driver one block at a time, and whether
+    more of them follow."""
     rows, size = [], 0
-    chosen = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
+    chosen = benchmark.where("text is not null").select(F.col("item_id").cast("string"), "text")
     for item, text in chosen.toLocalIterator():
         raw = np.frombuffer(text.encode(), np.uint8)
         if rows and (size + len(raw) > 6 * BLOCK_WORDS or len(rows) >= BLOCK_ITEMS):
-            yield Block(rows)
+            yield Block(rows), True
             rows, size = [], 0
         rows.append((item, raw))
         size += len(raw)
-    yield Block(rows)
+    yield Block(rows), False
 
 
 def merged(spans: list[list[int]]) -> list[int]:
@@ -176,26 +180,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids, as strings, of items with a window in the document; sorted).
 
     Null and empty texts have no words and no hits; a null or empty item, or one without words, has
-    no window. Repeated items count once, repeated documents are scored each. Columns of docs with
+    no window. Items without an id are hit like others; all of them that are in a document stand as
+    one null at the end of its items. Repeated items count once, repeated documents are scored each. Columns of docs with
     the names of the new ones are replaced; others stay. Empty tables give no rows or no hits."""
-    spark = docs.sparkSession
-    out = docs.drop("n_words", "spans", "items")
-    for n, block in enumerate(_blocks(benchmark)):
-        scan = _scan(spark.sparkContext.broadcast(block))
-        found = scan(F.col("text").cast("string"))
-        if n == 0:
-            out = out.withColumn("_found", found)
-        else:  # a further pass over the same row, merged with what it has
-            more = F.udf(merged, T.ArrayType(T.LongType()))
-            out = out.withColumn("_more", found).withColumn(
-                "_found",
-                F.struct(
-                    F.col("_found.n_words").alias("n_words"),
-                    more(F.array("_found.spans", "_more.spans")).alias("spans"),
-                    F.array_sort(F.array_union("_found.items", "_more.items")).alias("items"),
-                ),
-            ).drop("_more")
-    return out.select("*", "_found.*").drop("_found")
+    spark, kept, hits, sent = docs.sparkSession, docs.drop("n_words", "spans", "items"), [], None
+    for block, more in _blocks(benchmark):
+        sent = spark.sparkContext.broadcast(block)
+        found = kept.withColumn("_found", _scan(sent)(F.col("text").cast("string")))
+        if not hits and not more:
+            return found.select("*", "_found.*").drop("_found")
+        # written before the next block is read, so that one block at a time is held
+        if not hits:
+            kept = materialize(found.select("*", F.col("_found.n_words").alias("n_words")).withColumn("_row", F.monotonically_increasing_id()), "scanned")
+            hits.append(kept.where(F.size("_found.spans") > 0).select("_row", "_found.spans", "_found.items"))
+            kept = kept.drop("_found")
+        else:
+            hits.append(materialize(found.where(F.size("_found.spans") > 0).select("_row", "_found.spans", "_found.items"), "hits"))
+        sent.destroy()
+    join = F.udf(merged, T.ArrayType(T.LongType()))
+    every = reduce(DataFrame.union, hits).groupBy("_row").agg(
+        F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    every = materialize(every.select("_row", join("spans").alias("spans"), "items"), "merged")
+    none = [F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return kept.join(every, "_row", "left").select(*kept.drop("_row").columns, *none)
 
 
 def hit_words(spans: F.Column) -> F.Column:

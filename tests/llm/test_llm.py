@@ -442,6 +442,34 @@ def test_contamination_against_brute_force(spark, sf_dir, limit, monkeypatch):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(map(str, items)))
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BLOCK_ITEMS, 2])
+def test_items_without_an_id_are_hit(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", limit)
+    bench = [(1, "w " * 5 + "one two three four five"), (None, " ".join(f"a{i}" for i in range(15))), (2, "x y"), (None, "short item"), (3, None), (1, "z z z")]
+    texts = ["so " + bench[1][1] + " it is", "a short item and x y", "nothing", None, bench[0][1], "x y z z z", bench[1][1]]
+    found = decontaminate.contamination(frame(spark, [*texts, texts[0]]), spark.createDataFrame(bench, "item_id long, text string"))
+    got = [(r.spans, r["items"]) for r in found.orderBy("doc_id").collect()]
+    assert got == [([1, 16], [None]), ([1, 3, 4, 6], ["2", None]), ([], []), ([], []), ([0, 10], ["1"]), ([0, 5], ["1", "2"]), ([0, 15], [None]), ([1, 16], [None])]
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    held, most, real = [], [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        sent = real(value)
+        held.append(sent)
+        most.append(len(held))
+        destroy = sent.destroy
+        sent.destroy = lambda *a: (held.remove(sent), destroy(*a))
+        return sent
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    bench = spark.createDataFrame([(i, f"item number w{i}") for i in range(7)], "item_id long, text string")
+    found = decontaminate.contamination(frame(spark, [f"an item number w{i}" for i in range(7)]), bench)
+    assert [r["items"] for r in found.orderBy("doc_id").collect()] == [[str(i)] for i in range(7)] and len(most) == 4 and max(most) == 1
+
+
 # 9
 
 
