@@ -3,8 +3,8 @@
 Fingerprints of a word sequence are the least K-gram hashes of each W consecutive K-grams. Any
 K + W - 1 = 10 consecutive words that a document shares with an item share such a minimum, so the
 join on fingerprints misses no shared window. Every hit is then extended: the 10-word windows that
-contain the matching K-gram are compared with the items' windows by 128-bit hashes, and the words of
-those that agree are hit. Items of fewer than 10 words lie below the guarantee; they have one window
+contain the matching K-gram are compared with the items' windows by two hashes from independent word
+hashes, and the words of those that agree are hit. Items of fewer than 10 words lie below the guarantee; they have one window
 each, looked up by its full hash for each such length.
 
 The benchmark is read in blocks of at most BLOCK_WORDS words. Each block is one pass over the
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .store import materialize
+from .store import materialize, scratch
 
 WINDOW, K = 10, 5
 WINNOW = WINDOW - K + 1
@@ -52,12 +52,13 @@ class Block:
     def __init__(self, items: list[tuple[str | None, np.ndarray]]):
         prints, by_length = [np.empty(0, np.uint64)], {}
         for item, raw in items:
-            h = W.words(raw, W.ALNUM, True)[2]
+            _, _, h, g = W.words(raw, W.ALNUM, True, (0, 1))
             size = min(WINDOW, len(h))
             if not size:
                 continue
-            a, first = np.unique(W.windows(h, size), return_index=True)
-            by_length.setdefault(size, []).append((a, W.windows(h, size, W.BASE_B)[first], np.full(len(a), item, object)))
+            # each pair of hashes once
+            pairs = np.unique(np.stack((W.windows(h, size), W.windows(g, size, W.BASE_B))), axis=1)
+            by_length.setdefault(size, []).append((*pairs, np.full(pairs.shape[1], item, object)))
             if size == WINDOW:
                 at, grams = _fingerprints(h)
                 prints.append(grams[at])
@@ -68,7 +69,7 @@ class Block:
             order = np.lexsort((b, a))
             self.tables[size] = a[order], b[order], items_of[order]
 
-    def _lookup(self, size: int, h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, set]:
+    def _lookup(self, size: int, h: np.ndarray, g: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, set]:
         """Which of the windows of that size at starts occur, and the items that hold them."""
         a, b, items = self.tables[size]
         x = W.windows(h, size)[starts]
@@ -78,7 +79,7 @@ class Block:
         starts, left, x = starts[some], left[some], x[some]
         if not len(starts):
             return starts, set()
-        y = W.windows(h, size, W.BASE_B)[starts]
+        y = W.windows(g, size, W.BASE_B)[starts]
         right = np.searchsorted(a, x, "right")
         found, good = set(), np.zeros(len(starts), bool)
         seen: dict[tuple[int, int], bool] = {}
@@ -90,8 +91,8 @@ class Block:
             good[i] = seen[u, v]
         return starts[good], found
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, set]:
-        """Which words of a document are hit, and the items whose windows occur."""
+    def hits(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, set]:
+        """Which words of a document (their two hashes) are hit, and the items whose windows occur."""
         hit, found = np.zeros(len(h) + 1, np.int64), set()
         for size in self.tables:
             n = len(h) - size + 1
@@ -112,7 +113,7 @@ class Block:
                 starts = np.flatnonzero(near)
             else:
                 starts = np.arange(n)
-            starts, items = self._lookup(size, h, starts)
+            starts, items = self._lookup(size, h, g, starts)
             np.add.at(hit, starts, 1)
             np.add.at(hit, starts + size, -1)
             found |= items
@@ -139,8 +140,8 @@ def _scan(block):
         for column in columns:
             out = []
             for raw in W.slices(column):
-                h = W.words(raw, W.ALNUM, True)[2] if raw is not None else np.empty(0, np.uint64)
-                hit, items = known.hits(h)
+                _, _, h, g = W.words(raw if raw is not None else np.empty(0, np.uint8), W.ALNUM, True, (0, 1))
+                hit, items = known.hits(h, g)
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
                 ids = sorted(str(x) for x in items if x is not None)
                 out.append((len(h), edge.tolist(), ids + [None] * (None in items)))
@@ -175,35 +176,42 @@ def merged(spans: list[list[int]]) -> list[int]:
     return out
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _joined(column: pa.Array) -> pa.Array:
+    return pa.array([merged(x) for x in column.to_pylist()], pa.list_(pa.int64()))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with n_words, spans (starts and ends in turn of the hit words, in words) and items (the
-    ids, as strings, of items with a window in the document; sorted).
+    ids, as strings, of items with a window in the document; sorted). The benchmark is read when this
+    is called; of several blocks, all are met then.
 
     Null and empty texts have no words and no hits; a null or empty item, or one without words, has
     no window. Items without an id are hit like others; all of them that are in a document stand as
     one null at the end of its items. Repeated items count once, repeated documents are scored each. Columns of docs with
     the names of the new ones are replaced; others stay. Empty tables give no rows or no hits."""
-    spark, kept, hits, sent = docs.sparkSession, docs.drop("n_words", "spans", "items"), [], None
+    spark, kept, hits = docs.sparkSession, docs.drop("n_words", "spans", "items"), []
+    out, name, row = kept.columns, scratch(kept, "found"), scratch(kept, "row")
     for block, more in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(block)
-        found = kept.withColumn("_found", _scan(sent)(F.col("text").cast("string")))
+        found = kept.withColumn(name, _scan(sent)(F.col("text").cast("string")))
+        parts = [F.col(name)[c].alias(c) for c in ("n_words", "spans", "items")]
         if not hits and not more:
-            return found.select("*", "_found.*").drop("_found")
+            return found.select(*out, *parts)
         # written before the next block is read, so that one block at a time is held
         if not hits:
-            kept = materialize(found.select("*", F.col("_found.n_words").alias("n_words")).withColumn("_row", F.monotonically_increasing_id()), "scanned")
-            hits.append(kept.where(F.size("_found.spans") > 0).select("_row", "_found.spans", "_found.items"))
-            kept = kept.drop("_found")
+            kept = materialize(found.withColumn(row, F.monotonically_increasing_id()), "scanned")
+            hits.append(kept.where(F.size(F.col(name)["spans"]) > 0).select(F.col(row).alias("row"), *parts[1:]))
+            kept = kept.select(*out, row, parts[0])
         else:
-            hits.append(materialize(found.where(F.size("_found.spans") > 0).select("_row", "_found.spans", "_found.items"), "hits"))
+            hits.append(materialize(found.where(F.size(F.col(name)["spans"]) > 0).select(F.col(row).alias("row"), *parts[1:]), "hits"))
         sent.destroy()
-    join = F.udf(merged, T.ArrayType(T.LongType()))
-    every = reduce(DataFrame.union, hits).groupBy("_row").agg(
+    every = reduce(DataFrame.union, hits).groupBy("row").agg(
         F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    every = materialize(every.select("_row", join("spans").alias("spans"), "items"), "merged")
-    none = [F.coalesce(c, F.array().cast(every.schema[c].dataType)).alias(c) for c in ("spans", "items")]
-    return kept.join(every, "_row", "left").select(*kept.drop("_row").columns, *none)
+    every = materialize(every.select("row", _joined("spans").alias("spans"), "items"), "merged")
+    none = [F.coalesce(every[c], F.array().cast(every.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return kept.join(every, kept[row] == every["row"], "left").select(*(kept[c] for c in (*out, "n_words")), *none)
 
 
 def hit_words(spans: F.Column) -> F.Column:

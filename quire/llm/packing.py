@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +30,8 @@ from . import words as W
 LENGTH, END_ID = 2048, 1
 SENTENCE_PENALTY, HARD_PENALTY, HARD_GAP, HARD_STEP = 2, 6, 64, 32
 BLOCK = 1 << 20
-#: Bytes of text met at once; slots of the piece table, a power of two; a longer piece is hashed apart.
-GROUP, SLOTS, LONG = 1 << 19, 1 << 21, 1 << 14
+#: Bytes of text met at once; slots of the piece table, a power of two.
+GROUP, SLOTS = 1 << 19, 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -41,17 +40,14 @@ _CLASS = np.full(256, _SIGN, np.uint8)
 _CLASS[list(b" \t\n\v\f\r")] = _SPACE
 _CLASS[[x for x in range(128) if chr(x).isalnum()]] = _ALNUM
 _CLASS[[*range(128, 256), ord("'")]] = _GLUE
-_SAME = np.arange(1, 257, dtype=np.uint64)
-_SAME[_CLASS == _SPACE] = 0
-_LOWER = _SAME.copy()
-_LOWER[65:91] = _SAME[97:123]
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?")] = True
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 
 
 class PieceTokens:
-    """Token ids of texts through a table of pieces, looked up by 64-bit hashes in numpy.
+    """Token ids of texts through a table of pieces, looked up by 64-bit hashes in numpy. The bytes of
+    what is found are compared, so that pieces whose hashes collide get their own ids all the same.
 
     The tokenizer drops white space, lowers case and never merges over white space, nor between an
     ASCII letter or digit and an ASCII sign other than the apostrophe; the stretches between such
@@ -72,6 +68,7 @@ class PieceTokens:
         self.keys, self.places = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
         self.first, self.size, self.known = np.zeros(SLOTS // 2, np.int64), np.zeros(SLOTS // 2, np.int64), 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.text, self.text_first, self.text_size, self.text_used = np.zeros(1 << 20, np.uint8), self.first.copy(), self.first.copy(), 0
 
     def places_of(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, -1 for an unknown one."""
@@ -96,9 +93,10 @@ class PieceTokens:
             at = at[self.keys[slot[at]] != keys[at]]
             slot[at] = (slot[at] + 1) & (SLOTS - 1)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Make distinct unknown keys known, with the ids of their pieces."""
-        plain = np.array([x.isalpha() and (x.isascii() or max(x) < "\u0250") for x in pieces])
+    def learn(self, keys: np.ndarray | None, pieces: list[str], texts: list[bytes]) -> None:
+        """Make distinct unknown keys known, with the ids and compared bytes of their pieces; without
+        keys the pieces only take the next places, in their order."""
+        plain = np.array([x.isalpha() and (x.isascii() or max(x) < "\u0250") for x in pieces]) & (keys is not None)
         ids, sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
         if plain.any():  # a plain piece is one word of the tokenizer, so its ids end with the next word end
             words = " ".join([x for x, p in zip(pieces, plain.tolist()) if p])
@@ -110,13 +108,40 @@ class PieceTokens:
         rest = [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
         ids = np.concatenate((ids, *(np.array(x, np.uint32) for x in rest)))
         sizes = np.concatenate((sizes, np.array([len(x) for x in rest], np.int64)))
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        data = np.frombuffer(b"".join([texts[i] for i in order.tolist()]), np.uint8)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.text_used + len(data) > len(self.text):
+            self.text = np.concatenate((self.text, np.zeros_like(self.text)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self._insert(np.concatenate((keys[plain], keys[~plain])))
-        new = slice(self.known, self.known + len(keys))
+        self.text[self.text_used : self.text_used + len(data)] = data
+        if keys is not None:
+            self._insert(keys[order])
+        new = slice(self.known, self.known + len(pieces))
+        if new.stop > len(self.first):
+            for name in ("first", "size", "text_first", "text_size"):
+                setattr(self, name, np.concatenate((getattr(self, name), np.zeros(new.stop, np.int64))))
         self.size[new], self.first[new] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.used, self.known = self.used + len(ids), new.stop
+        sizes = np.array([len(texts[i]) for i in order.tolist()], np.int64)
+        self.text_size[new], self.text_first[new] = sizes, self.text_used + np.cumsum(sizes) - sizes
+        self.used, self.text_used, self.known = self.used + len(ids), self.text_used + len(data), new.stop
+
+    @staticmethod
+    def _pieces(raw: np.ndarray, starts: np.ndarray, data: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[list[str], list[bytes]]:
+        """Some pieces as text, and their bytes as they are compared."""
+        whole, known, n = raw.tobytes(), data.tobytes(), sizes[at].tolist()
+        first = (np.cumsum(sizes) - sizes)[at].tolist()
+        return [whole[a : a + k].decode() for a, k in zip(starts[at].tolist(), n)], [known[a : a + k] for a, k in zip(first, n)]
+
+    def _others(self, place: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which pieces, in a row in data, have other bytes than those of their places."""
+        first = np.cumsum(sizes) - sizes
+        other = self.text_size[place] != sizes
+        at = np.repeat(self.text_first[place] - first, sizes)
+        at += np.arange(len(data))
+        same = self.text.take(at, mode="clip") == data
+        return np.flatnonzero(other | ~np.logical_and.reduceat(same, first) if not same.all() else other)
 
     def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of the texts raw[bounds[i]:bounds[i+1]] in a row, where each text's ids begin (and
@@ -130,7 +155,11 @@ class PieceTokens:
         starts, ends = np.flatnonzero(cut[:-1] & inside), np.flatnonzero(cut[1:] & inside) + 1
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(bounds), np.int64), np.empty(0, np.int64)
-        keys = _keys(raw, starts, ends)
+        sizes = ends - starts
+        data = raw[inside]
+        if not ((raw == 0xCC) | (raw == 0xCD)).any():  # combining marks
+            data = W.LOWER[data]
+        keys = np.maximum(W.hashed(data, sizes)[0], np.uint64(1))
         place = self.places_of(keys)
         if (place < 0).any():
             if self.known + len(keys) > SLOTS // 2:
@@ -138,9 +167,11 @@ class PieceTokens:
                 place[:] = -1
             lost = np.flatnonzero(place < 0)
             new, one = np.unique(keys[lost], return_index=True)
-            data = raw.tobytes()
-            self.learn(new, [data[a:b].decode() for a, b in zip(starts[lost[one]].tolist(), ends[lost[one]].tolist())])
+            self.learn(new, *self._pieces(raw, starts, data, sizes, lost[one]))
             place[lost] = self.places_of(keys[lost])
+        if len(other := self._others(place, data, sizes)):
+            place[other] = self.known + np.arange(len(other))
+            self.learn(None, *self._pieces(raw, starts, data, sizes, other))
         size = self.size[place]
         total = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.repeat(self.first[place] - total[:-1], size) + np.arange(total[-1])]
@@ -153,26 +184,6 @@ class PieceTokens:
         return ids, total[np.searchsorted(starts, bounds)], total[1:][spaced & (mark | broken)]
 
 
-def _keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each piece, never 0; of its lower-case form (A-Z) unless combining marks are near."""
-    values = _SAME if ((raw == 0xCC) | (raw == 0xCD)).any() else _LOWER
-    sizes = ends - starts
-    out = np.empty(len(starts), np.uint64)
-    long = np.flatnonzero(sizes > LONG)
-    for i in long.tolist():
-        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes())
-    edges = sorted({0, len(starts), *np.searchsorted(starts, np.arange(W.PIECE, len(raw), W.PIECE)).tolist(), *long.tolist(), *(long + 1).tolist()})
-    for lo, hi in zip(edges, edges[1:]):
-        if sizes[lo] > LONG:
-            continue
-        base, at = starts[lo], starts[lo:hi] - starts[lo]
-        x = values[raw[base : ends[hi - 1]]]
-        up, down = W.powers(W.BYTE_BASE, len(x))
-        out[lo:hi] = np.add.reduceat(x * up[: len(x)], at) * down[at]
-    out = W.mix(out ^ (sizes.astype(np.uint64) << np.uint64(48)))
-    return np.maximum(out, np.uint64(1))
-
-
 _loaded: dict[str, PieceTokens] = {}
 
 

@@ -35,19 +35,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
     df.write.parquet(path)
     _made[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+    except Exception:  # noqa: BLE001  the session may be gone already; nothing else depends on it
+        pass
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of DataFrames that materialize() returned, once nothing reads them any more."""
+    for df in written:
+        if df._written in _made:
+            _delete(df._written)
 
 
 def release() -> None:
     """Delete what materialize() wrote. DataFrames built on it can't be read afterwards."""
-    for path, spark in list(_made.items()):
-        try:
-            jvm = spark.sparkContext._jvm
-            parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-            parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
-        except Exception:  # noqa: BLE001  the session may be gone already; nothing else depends on it
-            pass
-        _made.pop(path, None)
+    for path in list(_made):
+        _delete(path)
+
+
+def scratch(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if df has a column of that name."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 atexit.register(release)

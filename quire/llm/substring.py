@@ -4,17 +4,21 @@ A window is 50 consecutive words. Its key is the least hash of its 11-word grams
 same words have the same key, and consecutive windows of a text mostly share theirs: a run is a
 maximal stretch of windows with one key, about twenty of them.
 
-1. Every task sketches the keys of its documents (each once per document) in DEPTH rows of counters
-   that stop at 2. The partition sketches are merged block by block. A key's estimate is the least of
-   its counters and never below the number of documents that hold any window with that key, so a
-   window estimated at 1 is repeated nowhere. Only the bits "2 or more" are kept; they have a fixed
-   greatest size (MAX_CELLS) and go to every task.
-2. A second pass over the texts writes only the runs whose key is estimated repeated. Runs are
-   grouped exactly by key and run hash (128 bits): the least document of a run owns it, and to others
-   all of its windows are repeats. Where a key has several different runs, the owners' windows are
-   grouped one by one as well. Beyond the sketch's greatest size more runs pass; none is ever lost.
-
-Words covered by repeated windows are marked as spans per document and removed.
+1. One pass over the texts writes their runs: key, place, and a hash of the run's windows.
+2. Every task sketches the keys of its runs (each once per document) in DEPTH rows of counters that
+   stop at 2. The partition sketches are merged block by block. A key's estimate is the least of its
+   counters and never below the number of documents that hold any window with that key, so a window
+   estimated at 1 is repeated nowhere. Only the bits "2 or more" go to every task. Where the keys are
+   too many for the greatest sketch (max_cells), they are met in slices of the key space, each with a
+   sketch of its own, so that what is broadcast stays bounded and the filter keeps its strength.
+3. Only runs whose key is estimated repeated are grouped, exactly by key and run hash: the least
+   document of a run owns it, and to others all of its windows are repeats. Where a key has several
+   different runs, the owners' windows are met one by one as well. These runs are marked in a bit
+   table of the same bounded kind, and another pass over the texts writes the windows of marked ones;
+   a run marked by chance only adds windows that are there.
+
+Words covered by repeated windows are marked as spans per document and removed. A window stands for
+its words by two hashes from independent word hashes: the key and the window's own.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,33 +35,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .store import materialize
+from .store import discard, materialize, scratch
 
 WINDOW, GRAM = 50, 11
 DEPTH, CELL_BLOCK, MIN_CELLS, MAX_CELLS = 2, 1 << 20, 1 << 20, 1 << 28
-#: Counters for each key that the corpus is expected to have.
-CELLS_PER_KEY, CHARS_PER_KEY = 4, 100
+#: Counters for each key at least, so that one in twenty unique keys passes by chance.
+CELLS_PER_KEY = 4
 _SEEDS = [np.uint64(0x632BE59BD9B4E019), np.uint64(0xE220A8397B1DCDAF)]
 
 
 def runs(raw: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window of each run of a text, its key, and the hashes of all words."""
+    """First and last window of each run of a text, its key, and the hashes of all windows."""
     none = np.empty(0, np.int64)
     if raw is None:
         return none, none, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = W.words(raw)[2]
+    _, _, h, g = W.words(raw, which=(0, 1))
     keys = W.sliding_min(W.windows(h, GRAM), WINDOW - GRAM + 1)
     if not len(keys):
-        return none, none, keys, h
+        return none, none, keys, keys
     edge = np.flatnonzero(keys[1:] != keys[:-1]) + 1
     starts = np.concatenate(([0], edge))
-    return starts, np.concatenate((edge, [len(keys)])) - 1, keys[starts], h
+    return starts, np.concatenate((edge, [len(keys)])) - 1, keys[starts], W.windows(g, WINDOW, W.BASE_B)
 
 
 def _cells(keys: np.ndarray, width: int) -> list[np.ndarray]:
     return [W.mix(keys ^ seed) % np.uint64(width) for seed in _SEEDS]
 
 
+def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a key's bits are set in every row."""
+    keep = np.ones(len(keys), bool)
+    for row, cells in zip(bits, _cells(keys, bits.shape[1] * 8)):
+        keep &= (row[(cells >> np.uint64(3)).astype(np.int64)] >> (7 - (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    return keep
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
+
+
+def _names(columns: list[pa.Array]) -> np.ndarray:
+    """One hash for each row of some columns of integers."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = W.mix(out + W.mix(_unsigned(c)))
+    return out
+
+
 _PARTIAL = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("many", pa.binary())])
 _MERGED = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 
@@ -80,111 +105,172 @@ def _sketch(width: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
-            for raw in W.slices(batch.column(0)):
-                keys = np.unique(runs(raw)[2])  # once per document
-                parts.append(keys)
-                size += len(keys)
-                if size > 2_000_000:
-                    yield emit(parts)
-                    parts, size = [], 0
+            # a row's keys, once for each of its owners
+            keys = _unsigned(batch.column(0))
+            _, once = np.unique(_names(batch.columns), return_index=True)
+            parts.append(keys[once])
+            size += len(once)
+            if size > 2_000_000:
+                yield emit(parts)
+                parts, size = [], 0
         if size:
             yield emit(parts)
 
     return task
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the partial sketches of whole blocks, each counter stopping at 2."""
-    counters: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, cells, many in zip(*(c.to_pylist() for c in batch.columns)):
-            cells = np.frombuffer(cells, np.uint32)
-            more = np.unpackbits(np.frombuffer(many, np.uint8), count=len(cells))
-            known = counters.setdefault(block, np.zeros(CELL_BLOCK, np.uint8))
-            known[cells] = np.minimum(2, known[cells] + 1 + more)
-    for block, known in counters.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(known > 1).tobytes()], pa.binary())], schema=_MERGED)
+def _merge(least: int):
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds up the partial sketches of whole blocks, each counter stopping at 2."""
+        counters: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells, many in zip(*(c.to_pylist() for c in batch.columns)):
+                cells = np.frombuffer(cells, np.uint32)
+                more = np.unpackbits(np.frombuffer(many, np.uint8), count=len(cells))
+                known = counters.setdefault(block, np.zeros(CELL_BLOCK, np.uint8))
+                known[cells] = np.minimum(2, known[cells] + 1 + more)
+        for block, known in counters.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(known >= least).tobytes()], pa.binary())], schema=_MERGED)
+
+    return merge
 
 
-def sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """Bits of DEPTH rows of width counters: which are 2 or more."""
+def sketch(keys: DataFrame, width: int, least: int) -> np.ndarray:
+    """Bits of DEPTH rows of width counters: which of them count the first column of keys, once for
+    each distinct row, at least that often (1 or 2)."""
     blocks = DEPTH * (width // CELL_BLOCK)
-    partial = texts.mapInArrow(_sketch(width), "block int, cells binary, many binary")
-    merged = partial.repartition(min(blocks, 4096), "block").mapInArrow(_merge, "block int, bits binary")
+    partial = keys.mapInArrow(_sketch(width), "block int, cells binary, many binary")
+    merged = partial.repartition(min(blocks, 4096), "block").mapInArrow(_merge(least), "block int, bits binary")
     out = np.zeros((blocks, CELL_BLOCK // 8), np.uint8)
-    for block, bits in merged.toLocalIterator():  # at most DEPTH * MAX_CELLS bits in all
+    for block, bits in merged.toLocalIterator():  # DEPTH * max_cells bits at most
         out[block] = np.frombuffer(bits, np.uint8)
     return out.reshape(DEPTH, -1)
 
 
-def width_for(texts: DataFrame) -> int:
-    """Counters per row, a power of two that follows the corpus's size up to MAX_CELLS."""
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    keys = chars // CHARS_PER_KEY * CELLS_PER_KEY
-    return min(MAX_CELLS, max(MIN_CELLS, 1 << int(keys).bit_length()))
+def sliced(df: DataFrame, by: str, max_cells: int) -> Iterator[tuple[F.Column, int]]:
+    """Conditions on a column that cut a written table into as many slices as a sketch of max_cells
+    counters needs, and the counters per row for each."""
+    n = df.count() * CELLS_PER_KEY
+    slices = max(1, -(-n // max_cells))
+    width = min(max_cells, max(MIN_CELLS, 1 << (n // slices).bit_length()))
+    for k in range(slices):
+        yield (F.lit(True) if slices == 1 else F.pmod(F.xxhash64(by), F.lit(slices)) == k), width
+
 
+_RUNS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("key", pa.int64()), ("run", pa.int64())])
+_RUNS_SPARK = "doc_id long, copy int, first long, last long, key long, run long"
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, tuple]]:
+    """Documents and their runs."""
+    for batch in batches:
+        for doc, copy, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), W.slices(batch.column(2))):
+            found = runs(raw)
+            if len(found[0]):
+                yield doc, copy, found
 
-_RUNS = pa.schema([(x, pa.int64()) for x in ("doc_id", "first", "last", "key", "run")] + [("windows", pa.list_(pa.int64()))])
-_RUNS_SPARK = "doc_id long, first long, last long, key long, run long, windows array<long>"
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    columns, size = [[] for _ in _RUNS], 0
 
-def _repeated_runs(bits):
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t.type) for c, t in zip(columns, _RUNS)], schema=_RUNS)
+
+    for doc, copy, (first, last, keys, each) in _texts(batches):
+        n = len(first)
+        run = W.signed(W.stretches(each, first))
+        for c, x in zip(columns, (np.full(n, doc), np.full(n, copy, np.int32), first, last, W.signed(keys), run)):
+            c.append(x)
+        size += n
+        if size > 100_000:
+            yield rows()
+            columns, size = [[] for _ in _RUNS], 0
+    if size:
+        yield rows()
+
+
+def _passing(bits):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = bits.value
-        width = known.shape[1] * 8
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            size = 0
-            for doc, raw in zip(batch.column(0).to_pylist(), W.slices(batch.column(1))):
-                if doc is None:
-                    continue
-                first, last, keys, h = runs(raw)
-                keep = np.ones(len(keys), bool)
-                for row, cells in zip(known, _cells(keys, width)):
-                    keep &= (row[(cells >> np.uint64(3)).astype(np.int64)] >> (7 - (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-                if not keep.any():
-                    continue
-                first, last, keys = first[keep], last[keep], keys[keep]
-                run = W.spans(h, first, last + WINDOW, W.BASE_B)
-                each = W.signed(W.windows(h, WINDOW))
-                columns[0] += [doc] * len(first)
-                for c, x in zip(columns[1:5], (first, last, W.signed(keys), W.signed(run))):
-                    c.append(x)
-                columns[5] += [each[a : b + 1] for a, b in zip(first.tolist(), last.tolist())]
-                size += int((last - first).sum())
-                if size > 1_000_000:
-                    yield rows(columns)
-                    columns, size = [[], [], [], [], [], []], 0
-            if columns[0]:
-                yield rows(columns)
-
-    def rows(columns: list[list]) -> pa.RecordBatch:
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[5]]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[5])))
-        flat = [pa.array(columns[0], pa.int64()), *(pa.array(np.concatenate(c)) for c in columns[1:5]), lists]
-        return pa.RecordBatch.from_arrays(flat, schema=_RUNS)
+            yield batch.filter(pa.array(_holds(bits.value, _unsigned(batch.column("key")))))
+
+    return task
+
+
+_WINDOWS = pa.schema([*(_RUNS.field(n) for n in (0, 1, 2, 4)), ("windows", pa.list_(pa.int64()))])
+_WINDOWS_SPARK = "doc_id long, copy int, first long, key long, windows array<long>"
+
+
+def _windows(bits):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, size = [[] for _ in _WINDOWS], 0
+
+        def rows() -> pa.RecordBatch:
+            flat = [pa.array(np.concatenate(c), t.type) for c, t in zip(columns, list(_WINDOWS)[:4])]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[4]]))).astype(np.int32)
+            return pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4])))], schema=_WINDOWS)
+
+        for doc, copy, (first, last, keys, each) in _texts(batches):
+            of = [pa.array(np.full(len(first), doc)), pa.array(np.full(len(first), copy)), pa.array(first)]
+            at = np.flatnonzero(_holds(bits.value, _names(of)))
+            if not len(at):
+                continue
+            for c, x in zip(columns, (np.full(len(at), doc), np.full(len(at), copy, np.int32), first[at], W.signed(keys[at]))):
+                c.append(x)
+            columns[4] += [W.signed(each[a : b + 1]) for a, b in zip(first[at].tolist(), last[at].tolist())]
+            size += int((last[at] - first[at] + 1).sum())
+            if size > 1_000_000:
+                yield rows()
+                columns, size = [[] for _ in _WINDOWS], 0
+        if size:
+            yield rows()
 
     return task
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, last): words first to last-1 of the document are covered by windows that also
-    start in a document of a smaller doc_id. Spans of a document may overlap."""
-    texts = docs.select("text")
-    bits = docs.sparkSession.sparkContext.broadcast(sketch(texts, width_for(texts)))
-    found = materialize(docs.select("doc_id", "text").mapInArrow(_repeated_runs(bits), _RUNS_SPARK), "runs")
-    owners = found.groupBy("key", "run").agg(F.min("doc_id").alias("owner"))
-    owners = materialize(owners, "owners")
-    placed = found.select("doc_id", "first", "last", "key", "run").join(owners, ["key", "run"])
-    whole = placed.where("owner < doc_id").select("doc_id", "first", (F.col("last") + WINDOW).alias("last"))
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(W.signed(_names(batch.columns)))], names=["name"])
+
+
+def _filtered(slices: Iterator[tuple], make) -> list[DataFrame]:
+    """What make(bits) lets through of each (bits, table, schema, label), written slice by slice."""
+    parts = []
+    for bits, df, schema, label in slices:
+        sent = df.sparkSession.sparkContext.broadcast(bits)
+        parts.append(materialize(df.mapInArrow(make(sent), schema), label))
+        sent.destroy()
+    return parts
+
+
+def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """(doc_id, copy, spans): word spans (first, last) covered by windows that also start in a document
+    of a smaller doc_id; last is exclusive, spans may overlap. copy is the hash of the text that has
+    them, which tells the texts of one doc_id apart."""
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("copy"), "text")
+    every = materialize(texts.mapInArrow(_runs, _RUNS_SPARK), "runs")
+    keys = every.select("key", "doc_id", "copy")
+    parts = _filtered(((sketch(keys.where(some), width, 2), every.where(some), _RUNS_SPARK, "passing") for some, width in sliced(every, "key", max_cells)), _passing)
+    found = reduce(DataFrame.union, parts)
+    discard(every)
+    owners = materialize(found.groupBy("key", "run").agg(F.min("doc_id").alias("owner")), "owners")
+    placed = materialize(found.join(owners, ["key", "run"]).select(*found.columns[:5], (F.col("owner") < F.col("doc_id")).alias("repeated")), "placed")
     several = materialize(owners.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
+    discard(*parts, owners)
     # owners alone: any other holder of a run has a larger doc_id than its owner
-    own = found.join(owners, ["key", "run"]).where("owner = doc_id").select("doc_id", "first", "key", "windows")
-    single = own.join(several, "key", "left_semi").select("doc_id", "key", "first", F.posexplode("windows").alias("i", "window"))
-    single = materialize(single.select("key", "window", "doc_id", (F.col("first") + F.col("i")).alias("first")), "windows")
-    least = materialize(single.groupBy("key", "window").agg(F.min("doc_id").alias("owner")), "window_owners")
-    partly = single.join(least, ["key", "window"]).where("owner < doc_id").select("doc_id", "first", (F.col("first") + WINDOW).alias("last"))
-    return whole.union(partly)
+    own = placed.where("not repeated").join(several, "key", "left_semi").select("doc_id", "copy", "first")
+    own = materialize(own.mapInArrow(_named, "name long"), "own")
+    parts = _filtered(((sketch(own.where(some), width, 1), texts, _WINDOWS_SPARK, "windows") for some, width in sliced(own, "name", max_cells)), _windows)
+    single = reduce(DataFrame.union, parts).select("doc_id", "copy", "key", F.posexplode("windows").alias("i", "window"), "first")
+    single = single.select("key", "window", "doc_id", "copy", (F.col("first") + F.col("i")).alias("first"))
+    least = single.groupBy("key", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
+    least = materialize(least.select("key", "window", "owner"), "repeats")
+    partly = single.join(least, ["key", "window"]).where("owner < doc_id").select("doc_id", "copy", "first", (F.col("first") + WINDOW).alias("last"))
+    whole = placed.where("repeated").select("doc_id", "copy", "first", (F.col("last") + WINDOW).alias("last"))
+    spans = whole.union(partly).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = materialize(spans, "spans")
+    discard(placed, several, own, least, *parts)
+    return spans
 
 
 _WORD = re.compile("[^ \t\n\v\f\r]+")
@@ -214,15 +300,19 @@ def _keep(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
     return pa.array(rows, _KEPT_ARROW)
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with n_words, n_removed and kept, the words left, joined by one space.
+def deduplicate(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
+    """docs with n_words, n_removed and kept, the words left, joined by one space. Runs its jobs up to
+    the last join when it is called; max_cells bounds what is broadcast (a quarter of a byte each).
 
     Removed is each word covered by a 50-word window whose word sequence also starts in a document
     with a smaller doc_id, judged on the texts as they come. Words are runs between ASCII white
-    space, unchanged. Null, empty and blank texts have no words. Rows with one doc_id count as one
-    document and should have one text; a null doc_id is compared with nothing. Columns of these names
-    are replaced, others stay, an empty table gives no rows."""
+    space, unchanged. Null, empty and blank texts have no words. Rows with one doc_id aren't compared
+    with each other, whether their texts are equal or not, and each has its own words removed; a null
+    doc_id is compared with nothing. Columns of these names are replaced, others stay, an empty table
+    gives no rows."""
     docs = docs.drop("n_words", "n_removed", "kept").withColumn("text", F.col("text").cast("string"))
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
-    joined = docs.join(spans, "doc_id", "left")
-    return joined.withColumn("_kept", _keep("text", F.col("_spans.first"), F.col("_spans.last"))).select("*", "_kept.*").drop("_kept", "_spans")
+    doc, copy, spans, kept = (scratch(docs, x) for x in ("doc", "copy", "spans", "kept_words"))
+    found = repeated_spans(docs, max_cells).toDF(doc, copy, spans)
+    joined = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.hash("text") == F.col(copy)), "left")
+    joined = joined.withColumn(kept, _keep("text", F.col(spans)["first"], F.col(spans)["last"]))
+    return joined.select(*docs.columns, F.col(kept)["n_words"].alias("n_words"), F.col(kept)["n_removed"].alias("n_removed"), F.col(kept)["kept"].alias("kept"))

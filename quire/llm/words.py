@@ -1,8 +1,10 @@
 """Word and word-window hashes of UTF-8 texts, in numpy.
 
-A word's hash is a polynomial of its bytes modulo 2**64, mixed; a window's is a polynomial of its
-words' hashes, mixed. Two of them with different bases give 128 bits where equality has to stand
-for equal words.
+A word's hash adds up random 64-bit numbers, one for each pair of a place in the word and a byte, so
+that any two different words collide with a probability of 2**-64, whatever their bytes; words longer
+than the table of numbers (PLACES) take the two halves of a 128-bit xxh3 hash instead. The second hash
+of words() comes from numbers (or a half) of its own: together they give 128 bits where equality has
+to stand for equal words. A window's hash is a polynomial of its words' hashes, mixed.
 """
 
 from __future__ import annotations
@@ -11,10 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 PIECE = 1 << 16
-BYTE_BASE, BASE_A, BASE_B = 0x9E6C63D0876A9A47, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+BASE_A, BASE_B = 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7
+#: Bytes of a word that have random numbers of their own.
+PLACES = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -28,9 +33,12 @@ def _table(chars: bytes, keep: bool) -> np.ndarray:
 SPACED = _table(b" \t\n\v\f\r", False)
 #: Words of ASCII letters and digits and of all non-ASCII characters.
 ALNUM = _table(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)), True)
-_SAME = (np.arange(256, dtype=np.uint64) + U(1)).astype(np.uint64)
-_LOWER = _SAME.copy()
-_LOWER[65:91] = _SAME[97:123]
+#: Bytes as they are, and with A-Z as a-z.
+SAME = np.arange(256, dtype=np.uint8)
+LOWER = SAME.copy()
+LOWER[65:91] = SAME[97:123]
+#: The random numbers of the two word hashes, by place and byte.
+_NUMBERS = np.random.default_rng(20).integers(0, 1 << 64, (2, PLACES * 256), np.uint64)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +78,24 @@ def slices(column: pa.Array) -> Iterator[np.ndarray | None]:
         yield None if valid is not None and not valid[i] else raw[ends[i] : ends[i + 1]]
 
 
-def _piece(raw: np.ndarray, is_word: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed(data: np.ndarray, sizes: np.ndarray, which: tuple[int, ...] = (0,)) -> list[np.ndarray]:
+    """The hashes of byte strings that lie in a row in data: sizes says how long each is, at least 1."""
+    first = np.cumsum(sizes) - sizes
+    long = np.flatnonzero(sizes > PLACES)
+    place = np.arange(len(data)) - np.repeat(first, sizes)
+    if len(long):
+        place &= PLACES - 1
+    place <<= 8
+    place += data
+    out = [np.add.reduceat(_NUMBERS[n][place], first) if len(sizes) else np.empty(0, np.uint64) for n in which]
+    for i in long.tolist():
+        whole = xxhash.xxh3_128_intdigest(data[first[i] : first[i] + sizes[i]].tobytes())
+        for n, h in zip(which, out):
+            h[i] = whole >> 64 * n & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _piece(raw: np.ndarray, is_word: np.ndarray, values: np.ndarray, which: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     inside = is_word[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -78,18 +103,15 @@ def _piece(raw: np.ndarray, is_word: np.ndarray, values: np.ndarray) -> tuple[np
     if inside[-1]:
         edge = np.concatenate((edge, [len(raw)]))
     starts, ends = edge[::2], edge[1::2]
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
-    up, down = powers(BYTE_BASE, len(raw))
-    x = values[raw] * up[: len(raw)]
-    x[~inside] = 0
-    return starts, ends, np.add.reduceat(x, starts) * down[starts]
+    data = raw[inside]
+    return starts, ends, *hashed(data if values is SAME else values[data], ends - starts, which)
 
 
-def words(raw: np.ndarray, is_word: np.ndarray = SPACED, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of a text's words, and their 64-bit hashes. Works in pieces of about
-    PIECE bytes, cut between words, so that memory stays a small multiple of the text."""
-    values = _LOWER if lower else _SAME
+def words(raw: np.ndarray, is_word: np.ndarray = SPACED, lower: bool = False, which: tuple[int, ...] = (0,)) -> tuple[np.ndarray, ...]:
+    """Byte starts and ends of a text's words, and the wanted ones (which) of their two 64-bit hashes.
+    Works in pieces of about PIECE bytes, cut between words, so that memory stays a small multiple of
+    the text."""
+    values = LOWER if lower else SAME
     out, at = [], 0
     while at < len(raw):
         end = min(at + PIECE, len(raw))
@@ -99,12 +121,12 @@ def words(raw: np.ndarray, is_word: np.ndarray = SPACED, lower: bool = False) ->
                 end = max(at, end - 4096) + int(gaps[-1]) + 1
                 break
             end = min(end + PIECE, len(raw))
-        s, e, h = _piece(raw[at:end], is_word, values)
-        out.append((s + at, e + at, mix(h ^ ((e - s).astype(np.uint64) << U(48)))))
+        s, e, *h = _piece(raw[at:end], is_word, values, which)
+        out.append((s + at, e + at, *h))
         at = end
     if not out:
         none = np.empty(0, np.int64)
-        return none, none, np.empty(0, np.uint64)
+        return none, none, *(np.empty(0, np.uint64) for _ in which)
     return tuple(np.concatenate(x) for x in zip(*out)) if len(out) > 1 else out[0]
 
 
@@ -118,11 +140,12 @@ def windows(h: np.ndarray, k: int, base: int = BASE_A) -> np.ndarray:
     return mix((total[k:] - total[:n]) * down[:n] + U(k))
 
 
-def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of h[start:end] for each pair of starts and ends."""
-    up, down = powers(base, len(h) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)))
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def stretches(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the stretches of h that begin at starts, the first at 0, and end where the next begins."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(starts, append=len(h)))
+    return mix(np.add.reduceat(mix(h ^ mix(place.astype(np.uint64) + U(1))), starts))
 
 
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:

@@ -58,12 +58,40 @@ def test_words_split_as_the_pattern(text):
     assert len(set(zip(found, h.tolist()))) == len(set(found)) == len(set(h.tolist()))
 
 
-def test_windows_agree_with_spans():
+def test_windows_and_stretches():
     h = W.mix(np.arange(300, dtype=np.uint64))
     for k in (1, 5, 50, 300):
         n = np.arange(300 - k + 1)
-        assert (W.windows(h, k) == W.spans(h, n, n + k, W.BASE_A)).all()
+        assert (W.windows(h, k) == np.array([W.windows(h[i : i + k], k)[0] for i in n])).all()
         assert (W.sliding_min(h, k) == np.array([h[i : i + k].min() for i in n])).all()
+    parts = W.stretches(np.concatenate((h[:40], h[:40], h[:39], h[40:1:-1])), np.array([0, 40, 80, 119]))
+    assert parts[0] == parts[1] and len(set(parts.tolist())) == 3
+
+
+def alternating(n, a, b):
+    """The sequence of Thue and Morse, in which polynomials modulo a power of two collide."""
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [32, 64, 65, 2048, 1 << 17])
+def test_words_that_polynomials_confuse(n):
+    text = "".join(alternating(n, "a", "b")) + " " + "".join(alternating(n, "b", "a"))
+    for lower in (False, True):
+        _, _, *hashes = W.words(np.frombuffer(text.encode(), np.uint8), W.SPACED, lower, (0, 1))
+        assert all(h[0] != h[1] for h in hashes)
+    assert W.words(np.frombuffer(text.upper().encode(), np.uint8), W.SPACED, True, (1,))[2].tolist() == hashes[1].tolist()
+
+
+def test_operators_on_words_that_polynomials_confuse(spark):
+    one, other = "".join(alternating(2048, "a", "b")), "".join(alternating(2048, "b", "a"))
+    line = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*line[:30], x, *line[30:]]) for x in (one, other)]
+    texts += [" ".join(alternating(2048, *x)) for x in ("xy", "yx")]
+    assert [r["kept"] for r in substring.deduplicate(frame(spark, texts)).orderBy("doc_id").collect()] == list(map(" ".join, brute_repeats(texts).values()))
+    got = by_id(neardup.near_duplicates(frame(spark, texts)))
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(4)] == brute_groups(texts)
+    found = decontaminate.contamination(frame(spark, texts), spark.createDataFrame([(1, texts[0])], "item_id long, text string"))
+    assert [r.spans for r in found.orderBy("doc_id").collect()] == [[0, 61], [0, 30, 31, 61], [], []]
 
 
 # 1
@@ -273,6 +301,30 @@ def test_substring_against_brute_force(spark):
     assert substring.deduplicate(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_substring_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CELL_BLOCK", 1 << 10)
+    monkeypatch.setattr(substring, "MIN_CELLS", 1 << 10)
+    rng = np.random.default_rng(6)
+    base = [f"t{i}" for i in rng.integers(0, 10**6, 3000)]
+    texts = [" ".join(base[a : a + n]) for a, n in zip(rng.integers(0, 2900, 60).tolist(), rng.integers(30, 300, 60).tolist())]
+    calls, real = [], substring.sketch
+    monkeypatch.setattr(substring, "sketch", lambda *a: calls.append(a[1]) or real(*a))
+    got = by_id(substring.deduplicate(frame(spark, texts), 1 << 10))
+    assert max(calls) == 1 << 10 and len(calls) > 2
+    assert [got[i]["kept"] for i in range(60)] == [" ".join(x) for x in brute_repeats(texts).values()]
+
+
+def test_substring_on_repeated_ids_and_clashing_names(spark):
+    words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[0] + " " + words[2]), (2, words[2]), (None, words[2]), (3, words[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("z") for x in ("_spans", "spans", "_kept", "kept_words", "DOC", "copy", "first")})
+    out = substring.deduplicate(docs)
+    assert out.columns == [*docs.columns, "n_words", "n_removed", "kept"]
+    got = sorted((r.doc_id or 0, r.text, r.kept) for r in out.collect())
+    kept = [words[2], words[0], words[1], words[1], words[2], words[2], ""]
+    assert got == sorted((i or 0, t, k) for (i, t), k in zip(rows, kept))
+
+
 # 4
 
 
@@ -517,6 +569,7 @@ _NASTY = ["a", "THE", "the", "1", "42", ".", ",", "!", "'", "'s", "'LL", "\u2019
     "\x1c", "\x85", "\xa0", "ß", "İ", "ΑΣ", "<|ENDOFTEXT|>", "—", "º", "½", "漢字", "🙂", "\u200b", "K", "\0", "_", "-", "don't", "ﬁ", "x" * 20_000]
 
 
+@settings(deadline=None)  # the first example loads the tokenizer
 @given(st.lists(st.lists(st.sampled_from(_NASTY), max_size=12).map("".join), min_size=1, max_size=4))
 def test_piece_tokens_are_those_of_the_tokenizer(texts):
     tokens = packing.piece_tokens(queries.word_bpe_path())
@@ -538,6 +591,15 @@ def test_piece_tokens_of_long_texts_and_a_full_table(monkeypatch):
             assert (np.diff(ends) > 0).all() and ends.max() <= len(want) - 1
 
 
+def test_piece_tokens_when_hashes_collide(monkeypatch):
+    real = W.hashed
+    monkeypatch.setattr(W, "hashed", lambda *a: [h % np.uint64(3) for h in real(*a)])
+    tokens = packing.PieceTokens(queries.word_bpe_path())
+    for text in ("one two three, four-five don't A b c é stop. " * 3, "".join(alternating(2048, "a", "b")), "".join(alternating(2048, "b", "a")), "Two three ONE"):
+        found, _ = packing.encoded(tokens, [np.frombuffer(text.encode(), np.uint8)])
+        assert np.frombuffer(found[0], "<u4").tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 @given(st.lists(st.tuples(st.integers(1, 12), st.integers(0, 3)), min_size=1, max_size=12))
 def test_cuts_are_cheapest(steps):
     points, at = [], 0
