@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 
 def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -32,10 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = _joined(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
+        discard(now, least)
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = _joined(large, least).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = moved.union(least.select("u", F.col("m").alias("v")))
         now = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        discard(large, least)
         after = _state(now)
         if after == before:
             break

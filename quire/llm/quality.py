@@ -159,7 +159,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, usable: F.Column, max_labelled: int = MAX_LABELLED) -> Model:
     """The model of labels.quality, from the labelled rows for which usable (a condition on doc_id)
-    holds. Null labels and null texts take no part; a repeated doc_id counts with its least label."""
+    holds. Null labels and null texts take no part; a repeated doc_id counts with its least label and
+    the text that comes first by its hash. Without usable rows every score is 0.5. The jobs run when
+    this is called."""
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").where(usable)
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -171,17 +173,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: F.Column, max_labelled: in
     few = spark.createDataFrame(list(known.items()), "doc_id long, quality int")
     rows = (
         docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
-        .select("doc_id", "quality", _features("text").alias("x"))
-        .toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+        .select("doc_id", "quality", F.xxhash64("text").alias("text"), _features("text").alias("x"))
+        .toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
     )
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["quality"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 is likelier), from the text alone.
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of that name (0 to 1, higher: label 1 is likelier), from the text alone.
 
-    Null, empty and blank texts are scored as texts without words. An existing score column is
+    Null, empty and blank texts are scored as texts without words. An existing column of that name is
     replaced, other columns stay, repeated rows are scored each, an empty table gives no rows."""
 
     @F.arrow_udf(T.DoubleType())
@@ -189,7 +191,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         x = np.array([features(t.as_py() or "") for t in texts]).reshape(-1, len(FEATURES))
         return pa.array(model.score(x), pa.float64())
 
-    return docs.drop("score").withColumn("score", score(F.col("text").cast("string")))
+    return docs.drop(name).withColumn(name, score(F.col("text").cast("string")))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
