@@ -2,9 +2,10 @@
 
 For every DOM node, with C characters and T tags below it and LC and LT of these inside links, the
 composite density is C/T scaled by a logarithm that falls as links take over. A node's density sum
-is that of its children. The content is the subtree of the largest density sum; the least density
-on the path from the body to it is the threshold, and other subtrees outside it join in when they
-reach that threshold. Page furniture is cut off before: hidden elements, elements that are furniture
+is that of its children. The subtree of the largest density sum is the core of the content; from there
+it grows to the container around it while what that adds is not mostly links, up to an article, a
+main element or the body. The least density on the path from the body to the core is the threshold, and
+other subtrees outside the content join in when they reach it. Page furniture is cut off before: hidden elements, elements that are furniture
 by name or role, and blocks whose class or id says so. The latter stay if they hold the article, or
 most of the page's text while no heading or article stands elsewhere; so do forms, fieldsets, labels,
 searches and dialogs, which may wrap a whole page. Other furniture stays only around a main element.
@@ -51,6 +52,9 @@ _HINTS = frozenset(
     " banner alert popup modal overlay comment comments disqus discussion replies respond reply related recommended"
     " share sharing social subscribe newsletter signup login search widget pagination pager copyright disclaimer".split()
 )
+#: Elements that may be a whole article, and where it ends at the latest.
+_CONTAINERS = frozenset("article center div form main section table td".split())
+_WHOLE = frozenset(["article", "main"])
 #: An open element of the second set ends when one of the first begins.
 _ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -215,22 +219,22 @@ class Page:
         while i >= 0:
             if self.names[i] != "html":
                 threshold = min(threshold, density[i])
-            if self.names[i] in ("article", "main"):
-                best = i  # a page that names its article means all of it
             i = self.parents[i]
-        roots = {best}
-        if self.names[best] not in ("article", "main"):
-            inside = [False] * n
-            above = set()
-            i = best
-            while i >= 0:
-                above.add(i)
-                i = self.parents[i]
-            for i in range(n):
-                p = self.parents[i]
-                inside[i] = i == best or p >= 0 and (inside[p] or p in roots)
-                if not inside[i] and i not in above and not self.cut[i] and self.names[i] in _BLOCKS and density[i] >= threshold and c[i] and lc[i] <= 0.3 * c[i]:
-                    roots.add(i)
+        root = i = best
+        while self.names[root] not in _WHOLE and self.parents[i] > 0 and self.names[self.parents[i]] != "body":
+            i = self.parents[i]
+            # a paragraph or a bold word is never all of an article
+            if lc[i] - lc[root] <= 0.3 * (c[i] - c[root]) or self.names[root] not in _CONTAINERS:
+                root = i
+        roots, above, inside, i = {root}, set(), [False] * n, root
+        while i >= 0:
+            above.add(i)
+            i = self.parents[i]
+        for i in range(n):
+            p = self.parents[i]
+            inside[i] = i == root or p >= 0 and (inside[p] or p in roots)
+            if not inside[i] and i not in above and not self.cut[i] and self.names[i] in _BLOCKS and density[i] >= threshold and c[i] and lc[i] <= 0.3 * c[i]:
+                roots.add(i)
         return roots
 
     def blocks(self, roots: set[int]) -> list[str]:
@@ -268,5 +272,5 @@ def extract(pages: DataFrame) -> DataFrame:
     """pages with text, the main text of html: its blocks joined by two newlines, white space inside
     a block as one space, character references decoded. Null, empty and contentless pages give the
     empty text. Other columns stay, an existing text column is replaced, repeated rows are extracted
-    each, an empty table gives no rows."""
+    each, very long ones whole, an empty table gives no rows."""
     return pages.drop("text").withColumn("text", _extract(F.col("html").cast("string")))

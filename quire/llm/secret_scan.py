@@ -3,7 +3,8 @@
 Base detection is three patterns. Beside them, long base64 and hex runs are decoded and reported
 only if their bytes parse as what a secret looks like: DER private keys whose nested lengths fill
 the bytes exactly, OpenSSH private keys with their length-prefixed fields, and signed tokens whose
-header is a JSON object that names its algorithm.
+header is a JSON object that names its algorithm. A base64 key may follow a slash or be wrapped over
+lines: the outer length in its first bytes says how many characters belong to it.
 """
 
 from __future__ import annotations
@@ -19,15 +20,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pii import Span, ordered, written
+from .store import with_fields
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "der_key", "ssh_key")
 
-_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)""")
+_ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}+")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]++)")
+#: Where base64 of a DER SEQUENCE or of the magic string of OpenSSH may begin, and how it goes on.
+_START = re.compile(r"(?<![A-Za-z0-9+_-])(?:M[A-Za-z0-9+/_-]{11}|b3BlbnNzaC1rZXktdjE)")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----\s{0,8}([A-Za-z0-9+/=\s]{40,}+)")
 
 
@@ -121,6 +127,53 @@ def _key_kind(data: bytes | None) -> str | None:
     return "der_key" if is_der_key(data) else "ssh_key" if is_ssh_key(data) else None
 
 
+def _der_chars(text: str, start: int) -> int | None:
+    """How many base64 characters, without padding, the DER SEQUENCE that begins there takes."""
+    head = unbase64(text[start : start + 8])
+    if not head or head[0] != 0x30:
+        return None
+    n, size = head[1], 0
+    if n & 0x80:
+        size = n & 0x7F
+        if not 1 <= size <= 4:
+            return None
+        n = int.from_bytes(head[2 : 2 + size], "big")
+    return -(-(2 + size + n) * 4 // 3)
+
+
+def _gathered(text: str, start: int, chars: int | None) -> tuple[str, int]:
+    """Up to that many characters of base64 (None: all) from start on, over line breaks, and the end."""
+    parts, have, at = [], 0, start
+    while m := _LINE.match(text, at):
+        parts.append(m[0])
+        have, at = have + len(m[0]), m.end()
+        more = _BREAK.match(text, at)
+        if chars is not None and have >= chars or not more:
+            break
+        at = more.end()
+    end = at
+    while end < len(text) and text[end] == "=" and end < at + 2:
+        end += 1
+    return "".join(parts), end
+
+
+def _wrapped(text: str) -> list[Span]:
+    """Keys in base64 by the length that they name, or OpenSSH keys up to the end of their lines."""
+    found, done = [], 0
+    for m in _START.finditer(text):
+        start = m.start()
+        chars = None if m[0][0] == "b" else _der_chars(text, start)
+        if start < done or m[0][0] == "M" and (chars is None or chars > len(text) - start):
+            continue
+        run, end = _gathered(text, start, chars)
+        if chars is not None and len(run) != chars:
+            continue
+        if kind := _key_kind(unbase64(run)):
+            found.append((kind, start, end))
+            done = end
+    return found
+
+
 def confirmed(text: str) -> set[Span]:
     """Spans of decoded candidates whose structure holds."""
     found: set[Span] = {("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])}
@@ -135,7 +188,7 @@ def confirmed(text: str) -> set[Span]:
             kind = _key_kind(bytes.fromhex(run))
         if kind and not any(a <= m.start() < b for _, a, b in found):
             found.add((kind, *m.span()))
-    return found
+    return found | {x for x in _wrapped(text) if not any(a < x[2] and x[1] < b for _, a, b in found)}
 
 
 _SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS] + [T.StructField(k, T.StringType()) for k in ("base", "spans")])
@@ -158,10 +211,10 @@ def secrets(docs: DataFrame) -> DataFrame:
     """docs with n_assign, n_access, n_hex (base spans), base and spans (kind:start:end joined by
     commas, by start and then kind; code points, end exclusive; spans has the confirmed ones too).
 
-    A null text counts as empty; empty texts have no spans. Repeated rows are scored each, an empty
-    table gives no rows. Columns of docs with the names of the new ones are replaced."""
-    names = [f"n_{k}" for k in BASE_KINDS] + ["base", "spans"]
-    return docs.drop(*names).withColumn("_found", _find(F.col("text").cast("string"))).select("*", "_found.*").drop("_found")
+    A null text counts as empty; empty texts have no spans. Repeated rows are scored each, very long
+    texts whole, an empty table gives no rows. Columns of docs with the names of the new ones are
+    replaced."""
+    return with_fields(docs, [f"n_{k}" for k in BASE_KINDS] + ["base", "spans"], _find(F.col("text").cast("string")))
 
 
 @F.arrow_udf(T.StringType())
@@ -180,5 +233,7 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets (base and confirmed spans) replaced in text; null texts stay null."""
+    """docs with secrets (base and confirmed spans) replaced in text; null texts stay null, empty ones
+    empty. Other columns stay as they are, repeated rows are redacted each, very long texts whole; an
+    empty table gives no rows."""
     return docs.withColumn("text", _redact(F.col("text").cast("string")))

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -71,4 +72,11 @@ def scratch(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_fields(df: DataFrame, names: list[str], found: Column) -> DataFrame:
+    """df with the fields of a struct as columns of these names, which replace df's own."""
+    kept = df.drop(*names).columns
+    name = scratch(df, "found")
+    return df.withColumn(name, found).select(*(F.col(f"`{c}`") for c in kept), *(F.col(name)[x].alias(x) for x in names))
+
+
 atexit.register(release)

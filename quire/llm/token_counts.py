@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import with_fields
+
 CACHED = 400_000
 MARK = "▁"
 
@@ -119,6 +121,5 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
 
     Null, empty and blank texts have none of either. Characters outside the vocabulary count as their
     UTF-8 bytes. Other columns stay, columns of these names are replaced, repeated rows are counted
-    each, an empty table gives no rows."""
-    found = _counter(model_path)(F.col("text").cast("string"))
-    return docs.drop("n_pretokens", "n_tokens").withColumn("_found", found).select("*", "_found.*").drop("_found")
+    each, very long texts whole, an empty table gives no rows."""
+    return with_fields(docs, ["n_pretokens", "n_tokens"], _counter(model_path)(F.col("text").cast("string")))

@@ -30,7 +30,7 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * component) of usable vectors, one row per vec_id."""
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("int"))
+    v = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     return vectors.where(usable & finite).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
@@ -38,7 +38,7 @@ def _block(group: pa.Table) -> pa.Table:
     """The forward index of one block: ids and a matrix, by vec_id."""
     order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
     ids = group.column("vec_id").to_numpy()[order]
-    m = np.array(group.column("v").to_pylist(), np.int32)[order]
+    m = np.array(group.column("v").to_pylist(), np.int64)[order]
     cells = [[x.tobytes()] for x in (ids, m, m.max(0), m.min(0))]
     return pa.table([pa.array([m.shape[1]], pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], names=["size", "ids", "matrix", "most", "least"])
 
@@ -49,20 +49,40 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return placed.groupBy("block", "size").applyInArrow(_block, "size int, ids binary, matrix binary, most binary, least binary")
 
 
+#: Below every score.
+NONE = np.iinfo(np.int64).min
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices, exact as long as they fit in 64 bits. Floats
+    take part where every sum on the way stays below 2**53, so that they are exact as well."""
+    most = [float(np.abs(x.astype(float)).max()) if x.size else 0.0 for x in (a, b)]
+    if most[0] * most[1] * a.shape[1] < 2**53:
+        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    return a @ b.T
+
+
+def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """No score of a query in a block is above this. The slack covers what rounding may lose."""
+    q, most, least = queries.astype(float), most.astype(float), least.astype(float)
+    bound = np.maximum(q, 0) @ most.T + np.minimum(q, 0) @ least.T
+    return bound + 1e-12 * (np.abs(q) @ np.maximum(np.abs(most), np.abs(least)).T)
+
+
 class TopK:
     """The k best of each query so far: scores high to low, ties to the smaller id."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.scores, self.ids = k, np.full((n, 0), -np.inf), np.zeros((n, 0), np.int64)
+        self.k, self.scores, self.ids = k, np.full((n, 0), NONE), np.zeros((n, 0), np.int64)
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
         if self.scores.shape[1] < self.k:
             pad = self.k - self.scores.shape[1]
-            self.scores = np.pad(self.scores, ((0, 0), (0, pad)), constant_values=-np.inf)
+            self.scores = np.pad(self.scores, ((0, 0), (0, pad)), constant_values=NONE)
             self.ids = np.pad(self.ids, ((0, 0), (0, pad)), constant_values=np.iinfo(np.int64).max)
         s = np.concatenate((self.scores[rows], scores), 1)
         i = np.concatenate((self.ids[rows], np.broadcast_to(ids, scores.shape)), 1)
-        order = np.lexsort((i, -s))[:, : self.k]
+        order = np.lexsort((i, ~s))[:, : self.k]  # ~s falls as s rises, and can't overflow
         self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
@@ -70,13 +90,12 @@ def search(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, index: lis
     """The k best of some blocks for each query, its own id left out; floor is a known lower bound
     of each query's k-th score over all blocks."""
     top = TopK(len(queries), k)
-    most, least = (np.stack([b[n] for b in index]).astype(float) for n in (2, 3))
-    bound = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+    bound = bounds(queries, *(np.stack([b[n] for b in index]) for n in (2, 3)))
     order = np.argsort(-bound, axis=1, kind="stable")
     active = np.arange(len(queries))
     for r in range(len(index)):
         b = order[active, r]
-        kth = np.maximum(floor[active], top.scores[active, -1] if top.scores.shape[1] == k else -np.inf)
+        kth = np.maximum(floor[active], top.scores[active, -1] if top.scores.shape[1] == k else NONE)
         going = bound[active, b] >= kth  # an equal score may still win by a smaller id
         active, b = active[going], b[going]
         if not len(active):
@@ -84,8 +103,8 @@ def search(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, index: lis
         for one in np.unique(b).tolist():
             rows = active[b == one]
             ids, matrix = index[one][0], index[one][1]
-            scores = queries[rows] @ matrix.T.astype(float)
-            scores[q_ids[rows][:, None] == ids[None, :]] = -np.inf
+            scores = products(queries[rows], matrix)
+            scores[q_ids[rows][:, None] == ids[None, :]] = NONE
             top.add(rows, scores, ids)
     return top
 
@@ -100,9 +119,9 @@ def _search(sent, k: int):
             for at in range(0, len(q_ids), 4096):  # bounds of a slice of the queries at a time
                 part = slice(at, at + 4096)
                 top = search(queries[part], q_ids[part], floor[part], index, k)
-                good = np.isfinite(top.scores) & (top.scores >= floor[part][:, None])
+                good = (top.scores > NONE) & (top.scores >= floor[part][:, None])
                 row, column = np.nonzero(good)
-                out.append((q_ids[part][row], top.ids[row, column], top.scores[row, column].astype(np.int64)))
+                out.append((q_ids[part][row], top.ids[row, column], top.scores[row, column]))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=_FOUND)
 
         for batch in batches:
@@ -110,7 +129,7 @@ def _search(sent, k: int):
                 if n != size:
                     continue
                 ids = np.frombuffer(ids, np.int64)
-                index.append((ids, np.frombuffer(matrix, np.int32).reshape(len(ids), n), np.frombuffer(most, np.int32), np.frombuffer(least, np.int32)))
+                index.append((ids, np.frombuffer(matrix, np.int64).reshape(len(ids), n), np.frombuffer(most, np.int64), np.frombuffer(least, np.int64)))
                 if len(index) >= TOGETHER:
                     yield some()
                     index.clear()
@@ -126,12 +145,12 @@ def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         ids, rows = [], []
         for i, v in queries.where(F.size("v") == size).orderBy("vec_id").toLocalIterator():
             ids.append(i)
-            rows.append(np.array(v, np.int32))
+            rows.append(np.array(v, np.int64))
             if len(ids) == QUERIES:
-                yield np.array(ids, np.int64), np.stack(rows).astype(float)
+                yield np.array(ids, np.int64), np.stack(rows)
                 ids, rows = [], []
         if ids:
-            yield np.array(ids, np.int64), np.stack(rows).astype(float)
+            yield np.array(ids, np.int64), np.stack(rows)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -146,18 +165,19 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
 
     Takes vec_id and embedding. Null vectors, empty ones and ones with null or non-finite components
     take no part; vectors of different lengths aren't compared. A repeated vec_id counts once, with
-    its least vector. Other columns are left out; no queries or no vectors give no rows."""
+    its least vector. Components are 64-bit integers, and scores have to fit in 64 bits, too. Other
+    columns are left out; no queries or no vectors give no rows. The jobs run when this is called."""
     spark = vectors.sparkSession
     whole = materialize(quantised(vectors), "vectors")
     index = materialize(blocks(whole), "blocks")
     parts = []
     for q_ids, queries in _chunks(whole.where(is_query)):
         few = min(len(q_ids), SEEDS)
-        floor = np.full(len(q_ids), -np.inf)
+        floor = np.full(len(q_ids), NONE)
         if few > k:
             for at in range(0, len(q_ids), 4096):
-                s = queries[at : at + 4096] @ queries[:few].T
-                s[q_ids[at : at + 4096][:, None] == q_ids[None, :few]] = -np.inf
+                s = products(queries[at : at + 4096], queries[:few])
+                s[q_ids[at : at + 4096][:, None] == q_ids[None, :few]] = NONE
                 floor[at : at + 4096] = np.partition(s, few - k, axis=1)[:, few - k]
         sent = spark.sparkContext.broadcast((q_ids, queries, floor))
         # written at once, so that the driver holds one chunk of queries at a time

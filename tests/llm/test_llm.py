@@ -153,6 +153,28 @@ def test_html_still_cuts_furniture(furniture):
         assert html_density.main_text(page) == "Head\n\nSome words of the article.\n\nAnd some more of them."
 
 
+def test_html_text_does_not_hang_on_the_article_tag(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html)
+        assert html_density.main_text(plain) == html_density.main_text(r.html)
+
+
+def test_html_density_picks_the_core():
+    """Characters for each tag: the list of links has most characters, but also most tags."""
+    links = "".join(f'<div><a href="{i}">a headline of some length that leads away {i}</a></div>' for i in range(30))
+    text = "".join(f"<p>Sentence {i} of a text with <b>one</b> bold word and no link at all in it.</p>" for i in range(4))
+    for page in (f"<div>{links}</div><div>{text}</div>", f"<div><div>{links}</div><div>{text}</div></div>"):
+        assert html_density.main_text(f"<body>{page}</body>").split("\n\n") == [f"Sentence {i} of a text with one bold word and no link at all in it." for i in range(4)]
+
+
+def test_html_on_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", PAGE), (3, "u", "<p>" + "word " * 200_000 + "</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("z"), "_found": F.lit("z"), "found": F.lit("z")})
+    got = html_density.extract(pages)
+    assert sorted(len(r.text) for r in got.collect())[:3] == [0, 0, 0] and got.where("found = 'z' and _found = 'z'").count() == 5
+    assert max(len(r.text) for r in got.collect()) == 999_999 and html_density.extract(pages.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<html></html>", "<p", "<!-- open", "<script>x", "<nav>a</nav>"])
 def test_html_without_content(page):
     assert html_density.main_text(page) == ""
@@ -195,6 +217,7 @@ def test_pii_base_against_patterns(spark, sf_dir):
         ("call +1 two one two five five five zero one zero zero", "phone", "+1 two one two five five five zero one zero zero"),
         ("card four one one one one one one one one one one one one one one one.", "card", "four one one one one one one one one one one one one one one one"),
         ("ip 1​0.0.0.1 x", "ip", "1​0.0.0.1"),
+        ("write to john at example.com, please", "email", "john at example.com"),
     ],
 )
 def test_pii_disguises(text, kind, part):
@@ -203,7 +226,7 @@ def test_pii_disguises(text, kind, part):
     assert (kind, start, start + len(part)) in every and set(base) <= set(every)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon. dot", "one two, three four seasons", "été à Köln, ça va; niño", "on one hand, at most two"])
+@pytest.mark.parametrize("text", ["look at the dot on it", "we met at noon. dot", "one two, three four seasons", "été à Köln, ça va; niño", "on one hand, at most two", "look at readme.txt now", "he was at lunch.then left", "find us at example.com"])
 def test_pii_leaves_plain_text(text):
     assert pii.scan(text) == ([], [])
 
@@ -254,9 +277,35 @@ def test_secrets_base():
     assert "abcdef" not in secret_scan.redacted(text)[:60] and "<HEX>" in secret_scan.redacted(text)
 
 
+def test_secrets_base_against_patterns(spark, sf_dir):
+    patterns = {
+        "assign": (r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"""
+                   r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6),
+        "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    }
+    extra = ["to\u212aen: abcdef1 pa\u017fsword=abcdefg TOKEN:abcdef", "secret = 'x' secret='secret=abcdef'", "AKIA" * 9, "f" * 23 + " " + "f" * 24 + "F", "api_key=:=abcdefg"]
+    for t in [*extra, *[r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]]:
+        want = [(k, *m.span()) for k, (p, good) in patterns.items() for m in re.finditer(p, t or "") if good(m)]
+        assert secret_scan.detect(t or "") == want
+
+
+def test_secrets_after_a_slash_and_over_lines():
+    key = _der(0x30, _der(2, b"\0") + b"".join(_der(2, bytes([i]) * 40) for i in range(1, 9)))
+    one = base64.b64encode(key).decode()
+    lines = "\n".join(one[i : i + 64] for i in range(0, len(one), 64))
+    magic = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"\0" * 90
+    ssh = base64.encodebytes(magic).decode().rstrip("\n")
+    for kind, secret in (("der_key", one), ("der_key", lines), ("der_key", lines.replace("\n", "\r\n  ")), ("ssh_key", ssh)):
+        for before in ("data:x/", "key: ", ""):
+            for after in (" end", "\nand words", ""):
+                if not (kind == "ssh_key" and after == "\nand words"):
+                    assert secret_scan.confirmed(before + secret + after) == {(kind, len(before), len(before) + len(secret))}, (kind, before, after)
+    assert not secret_scan.confirmed("x/" + one[:-8] + "!") and not secret_scan.confirmed("\n".join(["M" + "A" * 63] * 50))
+
+
 @pytest.mark.parametrize("change", [pii.personal_data, secret_scan.secrets])
 def test_scans_on_odd_rows(spark, change):
-    docs = frame(spark, ODD, base="y")
+    docs = frame(spark, ODD, base="y", _found="y", found="y", FOUND_="y")
     out = change(docs)
     assert len(out.columns) == len(set(out.columns)) and out.count() == len(ODD)
     assert {r.spans for r in out.collect()} == {""}
@@ -346,6 +395,23 @@ def test_topk_against_brute_force(spark):
     assert topk.top_k(vectors.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
 
 
+def test_topk_with_large_components_and_repeated_ids(spark):
+    rows = [(i, [float(v) * 2.0**k for v in (i, 3 * i + 1, -i)]) for k in (0, 16, 21) for i in range(5) for i in [i + 100 * k]]
+    rows += [(2, [9.0, 9.0, 9.0]), (2, [-1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({x: F.lit(1) for x in ("v", "block", "size", "score")})
+    known = {}
+    for i, v in rows:
+        if i is not None:
+            known[i] = min(known.get(i, v), v)
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in known.items()}
+    want = []
+    for q in (0, 1600, 2100, 2101):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q))[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    got = topk.top_k(vectors, F.col("vec_id").isin(0, 1600, 2100, 2101)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
 # 5
 
 
