@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .lines import explode_lines, outside_code, pack_lines
 
+# Patterns of fences, language names and list items.
 LOCAL_FENCE = r"^(\p{IsWhite_Space}*)(`{3,}|~{3,})([A-Za-z0-9_+.,-]*)\p{IsWhite_Space}*\z"
 ORPHAN = r"^[A-Za-z0-9_+.-]*[A-Za-z0-9_+\-](?:,[A-Za-z0-9_+.-]*[A-Za-z0-9_+\-])*\z"
 ITEM = r"^(\p{IsWhite_Space}*)[1-9][0-9]*\.(\p{IsWhite_Space}+)(.*)"

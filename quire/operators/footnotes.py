@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .lines import explode_lines, pack_lines
 
+# Patterns of headings, list lines, definitions and references, also those of bare_numbers().
 ATX = r"^(?:\p{IsWhite_Space}*(?:>|[-*+]|[0-9]+[.)])\p{IsWhite_Space}*)*\p{IsWhite_Space}*#{1,6}(?:\p{IsWhite_Space}|\z)"
 LIST_LINE = r"^(\p{IsWhite_Space}*)([0-9]+)[.:](\p{IsWhite_Space}+)(.*)\z"
 DEFINITION = r"^((?:\p{IsWhite_Space}*>\p{IsWhite_Space}*)*\p{IsWhite_Space}*)\[\^([0-9]+)\]\p{IsWhite_Space}*:(.*)\z"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 
+# Patterns of quote marks and fences.
 _QUOTE = re.compile(r"[\s]*(?:>[\s]*)+")
 _FENCE = re.compile(r"[ \t  - 　]*(`{3,}|~{3,})([^\r\n]*)\Z")
 FENCE_STATE = T.ArrayType(

@@ -20,12 +20,18 @@ from .lines import explode_lines, pack_lines, with_link_parts
 # Month names as they occur in dates.
 _MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _CODE = r"(?<!`)(?P<run{0}>`+)(?!`).+?(?<!`)(?P=run{0})(?!`)"
-_LINK = r"!?\[[^\]\s^][^\]]*\](?:\((?:[^()]|\([^()]*\))*\)|\[[^\]]*\])"
-_DAY, _YEAR = r"(?:[12][0-9]|3[01]|0?[1-9])(?:st|nd|rd|th)?,?", r"[12][0-9]{3}[.,;:!?)]*(?!\S)"
-#: A date, or pieces without white space, in which code and links count as one; a link holds on to a
+# Labels may hold escapes and brackets, targets escapes and two levels of parentheses; a label that
+# begins as a footnote's counts only before a target.
+_LABEL = r"\[(?:[^\[\]\\]|\\.|\[(?:[^\[\]\\]|\\.)*\])*\]"
+_TARGET = r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))*\)"
+_LINK = rf"!?(?:(?=\[[^\]\s]){_LABEL}{_TARGET}|(?=\[[^\]\s^]){_LABEL}\[[^\]]*\])"
+_DAY, _YEAR = r"(?:[12][0-9]|3[01]|0?[1-9])(?:st|nd|rd|th)?,?", r"[12][0-9]{3}[.,;:!?)]*(?=\s|\Z|\[\^)"
+# Marks that open a bracket or quotation before a date.
+_OPENERS = r"[(\[\"“‘（［【《「『]*"
+#: A date with the footnote behind it, or pieces without white space, in which code and links count as one; a link holds on to a
 #: link or code span after it.
 _UNIT = re.compile(
-    rf"(?<!\S)(?:{_DAY}\s+(?i:{_MONTHS}),?\s+{_YEAR}|(?i:{_MONTHS})\s+{_DAY}\s+{_YEAR})"
+    rf"(?<!\S){_OPENERS}(?:{_DAY}\s+(?i:{_MONTHS}),?\s+{_YEAR}|(?i:{_MONTHS})\s+{_DAY}\s+{_YEAR})(?:\s*\[\^[^\]\s]+\]\S*)?"
     rf"|(?:{_CODE.format(1)}|{_LINK}(?:\s+(?:{_LINK}|{_CODE.format(2)}))*|\S)+"
 )
 _BEFORE_NOTE = re.compile(r"([.,;:!?])\s+(?=\[\^[^\]]+\])")
@@ -39,14 +45,47 @@ def width_of(text: str) -> int:
     return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
 
-def fit(text: str, width: int) -> list[str]:
+_SPAN = re.compile(_CODE.format(""), re.S)
+
+
+def joined(parts: list[str], trim: bool) -> tuple[str, list[int]]:
+    """Lines of one paragraph as a text, and where its line ends were. With trim, a line end right
+    inside the backticks of a code span leaves no space."""
+    text, ends, at = " ".join(parts), [], 0
+    for part in parts[:-1]:
+        at += len(part) + 1
+        ends.append(at - 1)
+    if trim and ends and "`" in text:
+        gone = {x for m in _SPAN.finditer(text) for x in (m.start() + len(m["run"]), m.end() - len(m["run"]) - 1) if x in ends}
+        text = "".join(c for i, c in enumerate(text) if i not in gone)
+        ends = [x - sum(g < x for g in gone) for x in ends if x not in gone]
+    return text, ends
+
+
+def _units(text: str, ends: list[int], width: int) -> list[tuple[str, bool]]:
+    """The units of a text, and whether each has to begin a line. A unit wider than a line keeps the
+    line ends inside its code spans, if all lines were narrow enough."""
+    narrow = bool(ends) and all(width_of(text[a:b].strip()) <= width for a, b in zip([0, *ends], [*ends, len(text)]))
+    out = []
+    for m in _UNIT.finditer(text):
+        cuts = []
+        if narrow and width_of(m[0]) > width:
+            cuts = [e for s in _SPAN.finditer(text, m.start(), m.end()) for e in ends if s.start() < e < s.end()]
+        bounds = [m.start(), *cuts, m.end()]
+        out += [(text[a:b].strip() if cuts else m[0], bool(i)) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+    return out
+
+
+def fit(text: str, width: int, ends: list[int] | None = None) -> list[str]:
     """The text's units in lines of at most width columns; a longer unit has a line of its own, and no
-    white space stays between punctuation and a footnote reference."""
-    units = [m[0] for m in _UNIT.finditer(_BEFORE_NOTE.sub(r"\1", text))]
-    sizes, out, line, used = [width_of(u) for u in units], [], [], 0
-    for i, (unit, size) in enumerate(zip(units, sizes)):
-        last = i + 1 == len(units) or size + 1 + sizes[i + 1] > width or unit.endswith("`")
-        if line and used + 1 + size > (width if last else width - 1):
+    white space stays between punctuation and a footnote reference. ends are the places of spaces that
+    were line ends."""
+    closer = _BEFORE_NOTE.sub(r"\1", text)
+    units = _units(closer, (ends or []) if closer == text else [], width)
+    sizes, out, line, used = [width_of(u) for u, _ in units], [], [], 0
+    for i, ((unit, begins), size) in enumerate(zip(units, sizes)):
+        last = i + 1 == len(units) or units[i + 1][1] or size + 1 + sizes[i + 1] > width or unit.endswith("`")
+        if line and (begins or used + 1 + size > (width if last else width - 1)):
             out.append(" ".join(line))
             line, used = [], -1
         elif not line:
@@ -57,11 +96,12 @@ def fit(text: str, width: int) -> list[str]:
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
-def _wrapped(texts: pa.Array, firsts: pa.Array, rests: pa.Array, widths: pa.Array, tails: pa.Array) -> pa.Array:
+def _wrapped(texts: pa.Array, firsts: pa.Array, rests: pa.Array, widths: pa.Array, tails: pa.Array, items: pa.Array) -> pa.Array:
     out = []
-    for text, first, rest, width, tail in zip(*(x.to_pylist() for x in (texts, firsts, rests, widths, tails))):
+    for parts, first, rest, width, tail, item in zip(*(x.to_pylist() for x in (texts, firsts, rests, widths, tails, items))):
         first, rest, tail = first or "", rest or "", tail or ""  # null for a document without lines
-        lines = fit(text or "", max(1, width - width_of(first))) or [""]
+        text, ends = joined([x or "" for x in parts or []], bool(item))
+        lines = fit(text, max(1, width - width_of(first)), None if item else ends) or [""]
         lines[-1] += tail
         out.append([(rest if i else first) + x for i, x in enumerate(lines)])
     return pa.array(out, pa.list_(pa.string()))
@@ -83,7 +123,8 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     Plain lines join into one paragraph under the first one's indent; a hard break (two spaces, a br
     tag or an odd backslash) ends one with two spaces. An item, definition or quote line is a paragraph
     of its own, with the lines that end a code span it leaves open: its prefix is repeated for quotes,
-    otherwise its continuation lines are indented."""
+    otherwise its continuation lines are indented. A code span that is wider than a line keeps its own
+    line ends in a plain paragraph whose lines were all narrow enough."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
     rows = with_link_parts(explode_lines(docs))
     kind = X.block_kind(line)
@@ -119,9 +160,9 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     parts = rows.groupBy("doc_id", "_part").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(item)).alias("_all"))
     head, tail = F.get(F.col("_all"), F.lit(0)), F.element_at("_all", -1)
     rest = F.when(F.coalesce(head["_quote"], F.lit(False)) | ~head["_item"], head["_first"]).otherwise(F.repeat(F.lit(" "), X.display_width(head["_first"])))
-    joined = F.array_join(F.transform("_all", lambda x: x["_text"]), " ")
+    texts = F.transform("_all", lambda x: x["_text"])
     end = F.when(tail["_hard"] & ~tail["line"].endswith("\\"), F.lit("  ")).otherwise("")
-    parts = parts.withColumn("_made", F.when(~head["_as_is"], _wrapped(joined, head["_first"], rest, F.lit(width), end)))
+    parts = parts.withColumn("_made", F.when(~head["_as_is"], _wrapped(texts, head["_first"], rest, F.lit(width), end, head["_item"])))
     kept = F.array(F.when(X.is_blank(head["line"]) & ~head["code"], "").otherwise(head["line"]))
     lines = F.when(head["_as_is"], kept).otherwise(F.col("_made"))
     lines = F.when(head["line"].isNotNull(), lines)

@@ -28,14 +28,16 @@ class Options:
 
 
 def with_frontmatter(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """change applied to documents without their YAML front matter, which is put back unchanged."""
+    """change applied to documents without their YAML front matter, which is put back unchanged. It
+    travels in the key that change() groups by, so that the documents are read once and joined with
+    nothing."""
     end = X.frontmatter_end(F.col("lines"))
+    front = F.when(F.col("_end") > 0, F.slice("lines", F.lit(1), F.col("_end"))).alias("front")
     split = docs.select("doc_id", end.alias("_end"), "lines")
-    front = split.where("_end > 0").select("doc_id", F.slice("lines", F.lit(1), F.col("_end")).alias("_front"))
-    body = split.select("doc_id", F.slice("lines", F.col("_end") + 1, F.size("lines")).alias("lines"))
-    joined = change(body).join(front, "doc_id", "left")
+    body = split.select(F.struct("doc_id", front).alias("doc_id"), F.slice("lines", F.col("_end") + 1, F.size("lines")).alias("lines"))
     none = F.array().cast("array<string>")
-    return joined.select("doc_id", F.concat(F.coalesce("_front", none), F.coalesce("lines", none)).alias("lines"))
+    whole = F.concat(F.coalesce("doc_id.front", none), F.coalesce("lines", none)).alias("lines")
+    return change(body).select("doc_id.doc_id", whole)
 
 
 def normalize_body(docs: DataFrame, options: Options = Options()) -> DataFrame:

@@ -71,8 +71,9 @@ def write_texts(results: DataFrame, directory: str) -> None:
 
 def write_in_place(results: DataFrame) -> None:
     """Put each good document in the place of its source file. Executors write the texts to a folder
-    beside the first source; then every file is renamed onto its source, one by one, so a failure
-    leaves each source either old or new. Sources have to lie in one file system."""
+    beside the first source. Then, one by one, a source is renamed into that folder (old-doc_id), the new
+    file takes its place, and the old one goes; if the second step fails, the source is put back. After a
+    crash in between the old text is still in the folder. Sources have to lie in one file system."""
     spark = results.sparkSession
     good = results.where("ok and path is not null")
     paths = {r.doc_id: (r.path, r.empty) for r in good.select("doc_id", "path", (F.col("text") == "").alias("empty")).toLocalIterator()}
@@ -88,6 +89,11 @@ def write_in_place(results: DataFrame) -> None:
         made = [f.getPath() for f in fs.listStatus(hadoop.Path(folder, f"part={key}")) if f.getPath().getName().startswith("part-")]
         if empty:
             fs.create(made[0], True).close()
-        fs.delete(target[key], False)
-        fs.rename(made[0], target[key])
+        old = hadoop.Path(folder, f"old-{key}")
+        if not fs.rename(target[key], old):
+            raise OSError(f"{paths[key][0]}: could not be moved")
+        if not fs.rename(made[0], target[key]):
+            fs.rename(old, target[key])
+            raise OSError(f"{paths[key][0]}: could not be replaced")
+        fs.delete(old, False)
     fs.delete(folder, True)
