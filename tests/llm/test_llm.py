@@ -514,10 +514,9 @@ def test_near_duplicates_led_by_unlike_texts(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == brute_groups(texts)
 
 
-@pytest.mark.parametrize(("bucket", "chunk"), [(4, 3), (16, 128)])
-def test_near_duplicates_in_chunks(spark, bucket, chunk, monkeypatch):
-    monkeypatch.setattr(neardup, "BUCKET", bucket)
-    monkeypatch.setattr(neardup, "CHUNK", chunk)
+def test_near_duplicates_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BUCKET", 4)
+    monkeypatch.setattr(neardup, "CHUNK", 3)
     rng, texts = np.random.default_rng(13), []
     common = [f"c{i}" for i in range(60)]
     for size in (20, 120):
@@ -725,6 +724,31 @@ def test_cuts_are_cheapest(steps):
     assert found[-1] == at and total(found) == best[at]
 
 
+# all of them
+
+
+def test_per_document_operators_on_odd_tables(spark):
+    """Nulls in every column, repeated rows, empty tables, an empty benchmark and clashing names."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other"), (None, "x"), (2, None), (None, None), (3, "")]
+    extra = {x: F.lit("z") for x in ("found", "_found", "row", "length", "start", "n", "a", "copy")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(extra)
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 1), (None, 1), (2, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels, F.lit(True))
+    again = quality.train(docs.orderBy(F.desc("text")), labels, F.lit(True))
+    assert model.intercept == again.intercept and all((x == y).all() for x, y in zip(model.tables, again.tables))
+    for change in (
+        lambda d: token_counts.token_counts(d, queries.unigram_path()), lambda d: decontaminate.contamination(d, bench),
+        lambda d: quality.scored(d, model), pii.personal_data, secret_scan.secrets, secret_scan.redact,
+    ):
+        out = change(docs)
+        assert out.count() == len(rows) and out.where("found = 'z' and `_found` = 'z' and row = 'z'").count() == len(rows)
+        assert change(docs.limit(0)).count() == 0
+    pieces = packing.pack(docs, queries.word_bpe_path())
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in pieces.collect()) == [(0, 1), (0, 2), (1, 2), (1, 4), (1, 4), (2, 1), (3, 1)]
+    assert packing.pack(docs.limit(0), queries.word_bpe_path()).count() == 0
+
+
 # the pipeline
 
 
