@@ -27,21 +27,23 @@ def format_breaks(docs: DataFrame) -> DataFrame:
 def setext_headings(docs: DataFrame) -> DataFrame:
     """Underlined headings as # and ## headings.
 
-    A line whose successor is an underline under the same indent and quote marks is a candidate. An
-    underline that is used can't be a heading itself, so of each island of consecutive candidates the
-    first, third and so on become headings, and the lines after them go."""
+    A line whose successor is an underline under an indent with quote marks of the same length in bytes
+    is a candidate; what both begin with stays before the heading. An underline that is used can't be a
+    heading itself, so of each island of consecutive candidates the first, third and so on become
+    headings, and the lines after them go."""
     w, line, below = _by_line(), F.col("line"), F.lead("line").over(_by_line())
-    prefix = r"^([\p{IsWhite_Space}>]*)"
-    same = F.regexp_extract(line, prefix, 1) == F.regexp_extract(F.col("_below"), prefix, 1)
-    start = F.length(F.regexp_extract(line, prefix, 1)) + 1
-    text, rule = X.trim(F.substr(line, start)), X.trim(F.substr(F.col("_below"), start))
-    fits = ~F.col("code") & same & (text != "") & rule.rlike(r"^(={3,}|-{3,})\z") & (F.substr(text, F.lit(1), F.lit(1)) != F.substr(rule, F.lit(1), F.lit(1)))
+    own, under = (F.regexp_extract(c, r"^([\p{IsWhite_Space}>]*)", 1) for c in (line, F.col("_below")))
+    common = F.array_max(F.filter(F.sequence(F.lit(0), F.length(own)), lambda i: F.substr(own, F.lit(1), i) == F.substr(under, F.lit(1), i)))
+    shared = F.when(own == under, F.length(own)).otherwise(common)
+    text, rule = X.trim(F.substr(line, shared + 1)), X.trim(F.substr(F.col("_below"), shared + 1))
+    apart = (own != under) | (F.substr(text, F.lit(1), F.lit(1)) != F.substr(rule, F.lit(1), F.lit(1)))
+    fits = ~F.col("code") & (F.octet_length(own) == F.octet_length(under)) & ~X.is_blank(line) & (text != "") & rule.rlike(r"^(={3,}|-{3,})\z") & apart
     rows = explode_lines(docs).withColumn("_below", below).withColumn("_fits", F.coalesce(fits, F.lit(False)))
     rows = rows.withColumn("_island", F.sum((~F.col("_fits")).cast("int")).over(w))
     place = F.row_number().over(Window.partitionBy("doc_id", "_island", "_fits").orderBy("line_no"))
     rows = rows.withColumn("_heading", F.col("_fits") & (place % 2 == 1))
     rows = rows.withColumn("_used", F.coalesce(F.lag("_heading").over(w), F.lit(False)))
-    lead = F.regexp_extract(line, prefix, 1)
+    lead = F.substr(line, F.lit(1), shared)
     made = F.concat(lead, F.when(lead.endswith(">"), " ").otherwise(""), F.when(rule.startswith("="), "# ").otherwise("## "), text)
     rows = rows.withColumn("line", F.when(F.col("_heading"), made).when(F.col("_used"), None).otherwise(line))
     return pack_lines(rows)

@@ -118,20 +118,21 @@ def _renumbered(c: Column, numbers: Column) -> Column:
 
 
 def _ordered_definitions(rows: DataFrame) -> DataFrame:
-    """A trailing block of definitions sorted by number; what follows a definition stays with it, and
-    blank lines before one count as its own, except that those before the first stay in front."""
-    line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
+    """A trailing block of definitions sorted by number; what follows a definition stays with it. An empty
+    line right before a definition is its own, unless it is the block's first; that of the definition
+    which comes first goes behind it. Other lines before the first one stay in front."""
+    line, w, doc = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no"), Window.partitionBy("doc_id")
     rows = _trailing(rows, X.is_blank(line) | line.rlike(DEFINITION) | line.rlike(r"^\p{IsWhite_Space}"))
-    head = F.col("_in") & F.col("_number").isNotNull()
-    # a blank line belongs to the next definition when only blank lines lie between
-    next_seen = F.first(F.when(~X.is_blank(line), F.struct("line_no", head.alias("head"))), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    rows = rows.withColumn("_head", head).withColumn("_next", F.when(X.is_blank(line) & F.col("_in"), next_seen))
-    owner = F.last(F.when(F.col("_head"), F.struct("_number", "line_no")), ignorenulls=True).over(w)
-    ahead = F.first(F.when(F.col("_head"), F.struct("_number", "line_no")), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    rows = rows.withColumn("_own", F.when(F.coalesce(F.col("_next.head"), F.lit(False)) & owner.isNotNull(), ahead).otherwise(owner))
+    rows = rows.withColumn("_head", F.col("_in") & F.col("_number").isNotNull())
+    seen = F.struct("_number", "line_no")
+    owner = F.last(F.when(F.col("_head"), seen), ignorenulls=True).over(w)
+    ahead = F.when((line == "") & F.lead("_head").over(w), F.lead(seen).over(w))
+    rows = rows.withColumn("_gap", F.when(F.col("_in") & owner.isNotNull(), ahead))
+    rows = rows.withColumn("_own", F.coalesce("_gap", owner)).withColumn("_least", F.min(F.when(F.col("_head"), seen)).over(doc))
+    place = F.when(F.col("_gap") == F.col("_least"), F.lit(2**62)).otherwise(F.col("line_no"))
     moved = F.col("_in") & F.col("_own").isNotNull()
-    block_start = F.min(F.when(F.col("_head"), F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    order = F.when(moved, F.struct(block_start.alias("a"), F.col("_own._number").cast("long").alias("b"), F.col("_own.line_no").alias("c"), F.col("line_no").alias("d"))).otherwise(
+    block_start = F.min(F.when(F.col("_head"), F.col("line_no"))).over(doc)
+    order = F.when(moved, F.struct(block_start.alias("a"), F.col("_own._number").cast("long").alias("b"), F.col("_own.line_no").alias("c"), place.alias("d"))).otherwise(
         F.struct(F.col("line_no").alias("a"), F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("c"), F.col("line_no").alias("d"))
     )
     rows = rows.withColumn("_order", order)

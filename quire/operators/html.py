@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .lines import FenceState, pack_lines
 from .tables import reflow_block
 
+# Patterns of table tags, and elements whose text is no content.
 _STARTS = re.compile(r"<table(?:[\s>]|\Z)", re.I)
 _OPENS, _ENDS = re.compile(r"<table(?:[\s>]|$)", re.I), re.compile(r"</table>", re.I)
 _IGNORED = frozenset("script style noscript template head".split())
@@ -26,28 +27,28 @@ class _Tables(HTMLParser):
         super().__init__()
         self.tables: list[list[list]] = []
         self.stack: list[list[list]] = []  # open tables, each as its rows
-        self.cells: list[list | None] = []  # the open cell of each open table
+        self.rows: list[list | None] = []  # the open row of each open table
+        self.cells: list[list | None] = []  # and its open cell
         self.ignored = 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         self.ignored += tag in _IGNORED
         if tag == "table":
             self.stack.append([])
+            self.rows.append(None)
             self.cells.append(None)
             self.tables.append(self.stack[-1])
         elif not self.stack:
             return
         elif tag == "tr":
-            self.cells[-1] = None
+            self.rows[-1], self.cells[-1] = [], None
             for rows in self.stack:  # an outer table's rows include those of inner ones
-                rows.append([])
+                rows.append(self.rows[-1])
         elif tag in ("td", "th"):
-            if not self.stack[-1]:
+            if self.rows[-1] is None:
                 self.handle_starttag("tr", [])
-            cell = [tag == "th", ""]
-            self.cells[-1] = cell
-            for rows in self.stack:
-                rows[-1].append(cell)
+            self.cells[-1] = [tag == "th", ""]
+            self.rows[-1].append(self.cells[-1])
         elif tag in ("b", "strong"):
             for cell in self.cells:
                 if cell:
@@ -57,8 +58,11 @@ class _Tables(HTMLParser):
         self.ignored = max(0, self.ignored - (tag in _IGNORED))
         if tag in ("td", "th", "tr") and self.cells:
             self.cells[-1] = None
+            if tag == "tr":
+                self.rows[-1] = None
         elif tag == "table" and self.stack:
             self.stack.pop()
+            self.rows.pop()
             self.cells.pop()
 
     def handle_data(self, data: str) -> None:

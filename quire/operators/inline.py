@@ -163,12 +163,37 @@ def fix_code_emphasis(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lines", F.when(touched, _emphasis("lines")).otherwise(F.col("lines")))
 
 
+def original(token: Token) -> str:
+    """The text that a token was read from."""
+    return token[1]
+
+
+def text_lines(text: str, blanks: int = 0) -> list[str]:
+    """The lines of a rewritten text, a newline at its end giving an empty last one; at least blanks empty
+    lines at the end, unless there is no text at all."""
+    if not text:
+        return []
+    *ended, last = text.split("\n")
+    lines = [*(x.removesuffix("\r") for x in ended), last]
+    return lines + [""] * (blanks - _blanks(lines))
+
+
+def _blanks(lines: list[str]) -> int:
+    return next((i for i, x in enumerate(reversed(lines)) if x), len(lines))
+
+
 def process_tokens(docs: DataFrame, change: Callable[[Token], str]) -> DataFrame:
     """Documents rewritten token by token: change gets (kind, raw, fence, code) and returns the text to
-    put in its place. It runs on the executors."""
+    put in its place. Empty lines at the end stay, and so do documents of nothing else. It runs on the
+    executors."""
+
+    def one(lines: list[str] | None) -> list[str] | None:
+        if not lines or (blanks := _blanks(lines)) == len(lines):
+            return lines
+        return text_lines("".join(map(change, tokens_of(lines))), blanks)
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def rewritten(column: pa.Array) -> pa.Array:
-        return pa.array(["".join(map(change, tokens_of(x))).split("\n") if x else x for x in column.to_pylist()], pa.list_(pa.string()))
+        return pa.array([one(x) for x in column.to_pylist()], pa.list_(pa.string()))
 
     return docs.withColumn("lines", rewritten("lines"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -385,6 +385,217 @@ def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(normalize(docs, every))
 
 
+@query(_NATION_TABLE.format(first="':' || repeat('-', a - 1)", second="repeat('-', b - 1) || ':'"))
+def table_promoted_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A separator of the wrong width goes, and the second row, which looks like one, takes its place."""
+    row = F.concat(F.lit("|"), _s("n_nationkey"), F.lit("| "), F.col("n_name"), F.lit(" |"))
+    return _out(tables.reflow_tables(_head(_nations(spark, sf_dir, row), "|-|", "| key | name |", "|:--|--:|")))
+
+
+@query("""
+WITH t AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey AS VARCHAR) AS k, n_name AS n, n_nationkey % 2 = 1 AS odd,
+  row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation),
+x AS (SELECT doc_id, r, 0 AS s, k, n FROM t UNION ALL SELECT doc_id, r, 1, '', 'more of ' || n FROM t WHERE odd UNION ALL SELECT DISTINCT doc_id, 0, 0, 'key', 'name' FROM t),
+w AS (SELECT doc_id, CAST(greatest(3, max(length(k))) AS INT) AS a, CAST(greatest(3, max(length(n))) AS INT) AS b FROM x GROUP BY doc_id),
+y AS (SELECT doc_id, r, s, '  | ' || rpad(k, a, ' ') || ' | ' || rpad(n, b, ' ') || ' |' AS line FROM x JOIN w USING (doc_id)
+  UNION ALL SELECT doc_id, 0, 1, '  | ' || repeat('-', a) || ' | ' || repeat('-', b) || ' |' FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY r, s) - 1 AS line_no, line FROM y
+""")
+def table_hidden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An indented table with rows that begin with an empty cell, hidden rows and rows of empty cells."""
+    name, first = F.col("n_name"), F.concat(F.lit("|"), _s("n_nationkey"), F.lit("|"), "n_name", F.lit("|"))
+    odd = F.array(first, F.concat(F.lit("| | more of "), name, F.lit(" |")), F.concat(F.lit("\\- hidden | "), name))
+    each = F.when(F.col("n_nationkey") % 2 == 1, odd).otherwise(F.array(first, F.lit("|  |  |")))
+    docs = _docs(_read(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", line=each)
+    return _out(tables.reflow_tables(_head(docs, "  |key|name|", "|---|---|")))
+
+
+@query("""
+WITH t AS (SELECT CAST(p_size AS BIGINT) AS doc_id, CAST(p_partkey AS VARCHAR) || '…' AS k, p_name || '….' AS n, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS r FROM part),
+w AS (SELECT doc_id, CAST(max(length(k)) AS INT) AS a, CAST(max(length(n)) AS INT) AS b FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(r AS BIGINT) AS line_no, '| ' || rpad(k, a, ' ') || ' | ' || rpad(n, b, ' ') || ' |' AS line FROM t JOIN w USING (doc_id)
+""")
+def table_ellipsis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.concat(F.lit("| "), _s("p_partkey"), F.lit("... | "), F.col("p_name"), F.lit(".... |"))
+    return _out(tables.reflow_tables(_docs(_read(spark, sf_dir, "part"), "p_size", "p_partkey", line=[row]), ellipsis=True))
+
+
+@query("""
+WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, c_custkey % 2 = 0 AS bold FROM customer)
+SELECT doc_id, CAST(0 AS BIGINT) AS line_no, '  | ' || n || ' | a b |' AS line FROM t
+UNION ALL SELECT doc_id, 1, '  | ' || repeat('-', CAST(length(n) AS INT)) || ' | --- |' FROM t WHERE bold
+""")
+def html_single_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row is a header if all its cells are emphasised; white space collapses and scripts are no content."""
+    bold = F.when(F.col("c_custkey") % 2 == 0, "b").otherwise("i")
+    name = F.concat(F.lit("<strong>"), "c_name", F.lit("</strong>"))
+    lines_ = F.array(
+        F.concat(F.lit("  <table><tr><td>"), name, F.lit("</td><td><"), bold, F.lit(">  a")), F.concat(F.lit("\tb</"), bold, F.lit("><script>x | y</script></td></tr></table>"))
+    )
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), lines_.alias("lines"))
+    return _out(html.convert_html_tables(docs))
+
+
+@query("""
+WITH t AS (SELECT CAST(n_nationkey AS BIGINT) AS doc_id, n_name AS n, CAST(greatest(5, length(n_name) + 3) AS INT) AS w, CAST(greatest(3, length(n_name)) AS INT) AS v FROM nation),
+x AS (SELECT doc_id, i, '| ' || rpad(CASE i WHEN 0 THEN 'outer' WHEN 1 THEN repeat('-', w) WHEN 2 THEN 'in ' || n WHEN 3 THEN 'in' ELSE n END, w, ' ') || ' |' AS line
+  FROM t CROSS JOIN (VALUES (0), (1), (2), (3), (4)) v(i)
+  UNION ALL SELECT doc_id, i, '| ' || rpad(CASE i WHEN 5 THEN 'in' WHEN 6 THEN repeat('-', v) ELSE n END, v, ' ') || ' |' FROM t CROSS JOIN (VALUES (5), (6), (7)) v(i)
+  UNION ALL SELECT doc_id, 8, 'after' FROM t)
+SELECT doc_id, CAST(i AS BIGINT) AS line_no, line FROM x
+""")
+def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outer table has the rows of the inner one, too; the inner one follows."""
+    lines_ = F.array(
+        F.lit("<table><tr><th>outer</th></tr>"), F.lit("<tr><td><table><tr><th>in </th></tr>"),
+        F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td></tr></table></td></tr>")), F.lit("</table>"), F.lit("after"),
+    )
+    return _out(html.convert_html_tables(_read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), lines_.alias("lines"))))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT DISTINCT doc_id, CAST(i AS BIGINT) AS line_no, x AS line FROM t CROSS JOIN (VALUES (0, '```'), (1, 'skip[^77]'), (2, '```')) v(i, x)
+UNION ALL SELECT doc_id, 2 + r, 'Order[^' || CAST(r AS VARCHAR) || ']' FROM t
+UNION ALL SELECT DISTINCT doc_id, 3 + n, '' FROM t
+UNION ALL SELECT doc_id, 2 + n + 2 * r, '[^' || CAST(r AS VARCHAR) || ']: after[^1] and[^' || CAST(2 * n - r + 1 AS VARCHAR) || ']' FROM t
+UNION ALL SELECT doc_id, 3 + n + 2 * r, '  more ' || CAST(k AS VARCHAR) FROM t
+""")
+def footnote_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References in definitions count after those of the text, in the order in which they stand there;
+    code is left out."""
+    orders = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey"))
+    orders = orders.withColumn("_first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
+    key = _s("o_orderkey")
+    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
+    note = F.concat(F.lit("[^"), key, F.lit("]: after[^"), _s("_first"), F.lit("] and[^"), (F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit("]"))
+    notes = _docs(orders, "o_custkey", "_down", line=[note, F.concat(F.lit("  more "), key)]).withColumnRenamed("lines", "notes")
+    code = F.array(F.lit("```"), F.lit("skip[^77]"), F.lit("```"))
+    docs = refs.join(notes, "doc_id").select("doc_id", F.concat(code, "lines", F.array(F.lit("")), "notes").alias("lines"))
+    return _out(footnotes.convert_footnotes(docs))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT doc_id, r - 1 AS line_no, 'Order[^' || CAST(r AS VARCHAR) || ']' AS line FROM t
+UNION ALL SELECT DISTINCT doc_id, n, '' FROM t
+UNION ALL SELECT doc_id, 2 * n - r + 1, '[^' || CAST(2 * n - r + 1 AS VARCHAR) || ']: note[^' || CAST(r AS VARCHAR) || ']' FROM t
+""")
+def footnote_list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a trailing list get the numbers behind the references', from the last item up."""
+    orders, key = _read(spark, sf_dir, "orders"), _s("o_orderkey")
+    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
+    item = F.concat((F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit(". note[^"), key, F.lit("]"))
+    items = _docs(orders, "o_custkey", "o_orderkey", line=[item]).withColumnRenamed("lines", "items")
+    docs = refs.join(items, "doc_id").select("doc_id", F.concat("lines", F.array(F.lit("")), "items").alias("lines"))
+    return _out(footnotes.convert_footnotes(docs))
+
+
+@query("""
+WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+x AS (SELECT doc_id, r AS a, 0 AS b, 'Order[^' || CAST(r AS VARCHAR) || ']' AS line FROM t UNION ALL SELECT DISTINCT doc_id, n + 1, 0, '' FROM t
+  UNION ALL SELECT doc_id, n + 1 + r, 1, '[^' || CAST(r AS VARCHAR) || ']: note ' || CAST(k AS VARCHAR) FROM t
+  UNION ALL SELECT doc_id, n + 1 + r, CASE WHEN r = 1 THEN 2 ELSE 0 END, '' FROM t WHERE r < n)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a, b) - 1 AS line_no, line FROM x
+""")
+def footnote_spaced_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty lines between definitions travel with the definition after them; that of the one which comes
+    first goes behind it."""
+    orders, key = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey")), _s("o_orderkey")
+    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
+    notes = _docs(orders, "o_custkey", "_down", line=[F.lit(""), F.concat(F.lit("[^"), key, F.lit("]: note "), key)]).withColumnRenamed("lines", "notes")
+    return _out(footnotes.convert_footnotes(refs.join(notes, "doc_id").select("doc_id", F.concat("lines", "notes").alias("lines"))))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(i AS BIGINT) AS line_no, replace(x, '$', c_name) AS line FROM customer CROSS JOIN (VALUES (0, 'Intro to $'), (1, '| $ alone'), (2, '[$]:'), (3, '  http://x.example/$'),
+  (4, '  "About $"'), (5, ''), (6, '[b]: http://y.example'), (7, '"$"'), (8, '# $'), (9, '    code $'), (10, '<!-- markdownlint-disable MD013 -->'), (11, 'tail $ goes on'), (12, '---')) v(i, x)
+""")
+def wrap_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables, link definitions with targets and titles on lines of their own, headings, indented code,
+    directives and rules stay; blank lines are emptied."""
+    made = ["Intro to $", "| $ alone", "[$]:", "  http://x.example/$", '  "About $"', " \t ", "[b]: http://y.example", '"$"', "# $", "    code $", "<!-- markdownlint-disable MD013 -->", "tail $", "goes on", "---"]
+    lines_ = F.array(*[F.replace(F.lit(x), F.lit("$"), F.col("c_name")) for x in made])
+    return _out(wrap.wrap(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), lines_.alias("lines"))))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(i AS BIGINT) AS line_no, replace(x, '$', c_name) AS line
+FROM customer CROSS JOIN (VALUES (0, '$  '), (1, 'after br  '), (2, 'odd \\'), (3, 'even \\\\ joined.[^1] then $'), (4, ''), (5, '> quoted  '), (6, '> more $')) v(i, x)
+""")
+def wrap_hard_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two spaces, a br tag and an odd backslash end a line; no space stays before a footnote."""
+    made = ["$  ", "after br<br/>", "odd \\", "even \\\\", "joined. [^1] then $", "", "> quoted<BR>", "> more $"]
+    lines_ = F.array(*[F.replace(F.lit(x), F.lit("$"), F.col("c_name")) for x in made])
+    return _out(wrap.wrap(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), lines_.alias("lines"))))
+
+
+@query("""
+WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, c_custkey % 4 AS k, CAST(68 - length(c_name) AS INT) AS m FROM customer)
+SELECT doc_id, CAST(0 AS BIGINT) AS line_no, repeat('x', CASE k WHEN 1 THEN 70 ELSE m + 3 * CAST(k = 2 AS INT) END) AS line FROM t WHERE k < 3
+UNION ALL SELECT doc_id, CASE WHEN k < 3 THEN 1 ELSE 0 END,
+  CASE k WHEN 0 THEN '[' || n || '](u v) [c](w) end' WHEN 1 THEN '4 May 2021 ' || n WHEN 2 THEN '(`' || n || ' in code`), end' ELSE '- run `' || n || ' x` then' END FROM t
+UNION ALL SELECT doc_id, 1, 'next' FROM t WHERE k = 3
+""")
+def wrap_coupled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of links, dates, code with the marks around it, and code that an item leaves open are kept together."""
+    k, n = F.col("c_custkey") % 4, F.col("c_name")
+    pad = lambda m: F.repeat(F.lit("x"), (m - F.length(n)).cast("int"))
+    each = (
+        F.when(k == 0, F.array(F.concat(pad(68), F.lit(" ["), n, F.lit("](u v) [c](w) end"))))
+        .when(k == 1, F.array(F.concat(F.repeat(F.lit("x"), F.lit(70)), F.lit(" 4 May"), F.lit(" 2021 "), n)))
+        .when(k == 2, F.array(F.concat(pad(71), F.lit(" (`"), n, F.lit(" in code`), end"))))
+        .otherwise(F.array(F.concat(F.lit("- run `"), n), F.lit("  x` then"), F.lit("next")))
+    )
+    return _out(wrap.wrap(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), each.alias("lines"))))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(d + 2 AS BIGINT) AS indent_chars, CAST(CASE WHEN d = 0 THEN 5 ELSE 0 END AS BIGINT) AS indent_cols,
+  CASE WHEN d = 0 THEN ' ' || chr(9) ELSE repeat('> ', d) || ' ' || chr(9) END AS fence_indent, repeat('~', 3 + d) AS marker, ' ' || c_name AS info
+FROM (SELECT *, CAST(c_custkey % 3 AS INT) AS d FROM customer)
+""")
+def fence_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indents in characters and columns, and the parts of fence lines in quotes."""
+    depth = (F.col("c_custkey") % 3).cast("int")
+    line = F.concat(F.repeat(F.lit("> "), depth), F.lit(" \t"), F.repeat(F.lit("~"), depth + 3), F.lit(" "), F.col("c_name"))
+    spaced = F.concat(F.lit("\u2003 "), F.repeat(F.lit(" "), depth), F.lit("x"))
+    fence = X.is_fence(line)
+    return _read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("doc_id"), F.length(X.leading_indent(spaced)).cast("long").alias("indent_chars"), X.indent_columns(line).cast("long").alias("indent_cols"),
+        fence["indent"].alias("fence_indent"), fence["marker"].alias("marker"), fence["info"].alias("info"),
+    )
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(i AS BIGINT) AS line_no, replace(x, '$', upper(c_name)) AS line
+FROM customer CROSS JOIN (VALUES (0, 'SEE `a b` OF $'), (1, '```sql'), (2, 'select `x`'), (3, '```'), (4, 'END'), (5, '')) v(i, x)
+""")
+def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines_ = F.array(F.concat(F.lit("see `a b` of "), "c_name"), *map(F.lit, ("```sql", "select `x`", "```", "end", "")))
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), lines_.alias("lines"))
+    return _out(inline.process_tokens(docs, lambda t: inline.original(t).upper() if t[0] == "text" else inline.original(t)))
+
+
+@query("""
+WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, CAST(c_custkey AS VARCHAR) AS k FROM customer),
+w AS (SELECT *, CAST(greatest(3, length(k)) AS INT) AS a, CAST(greatest(4, length(n)) AS INT) AS b, CAST(greatest(3, length(n)) AS INT) AS c FROM t),
+x AS (SELECT doc_id, [ '---', 'title: ' || n || '...', '...', '# ' || n, '', '| ' || rpad('key', a, ' ') || ' | ' || rpad('name', b, ' ') || ' |', '| ' || repeat('-', a) || ' | ' || repeat('-', b) || ' |',
+  '| ' || rpad(k, a, ' ') || ' | ' || rpad(n, b, ' ') || ' |', '', '1. one…', '2. two', '   1. deep', '', '```', '9. code... ' || n, '```', '', 'Plain ' || n || ' goes on and on.[^1]', '', repeat('_', 70), '',
+  '| ' || rpad('a', c, ' ') || ' |', '| ' || repeat('-', c) || ' |', '| ' || rpad(n, c, ' ') || ' |', '', '**`x` y**', '', '[^1]: note ' || n ] AS lines FROM w)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM x)
+""")
+def normalize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passes over documents that mix front matter, headings, tables, lists, code, notes, rules and HTML."""
+    made = [
+        "---", "title: $...", "...", "$", "=====", "", "|key|name|", "|-|-|", "|#|$|", "", "7. one...", "9. two", "   4. deep", "", "~~~~null", "9. code... $", "~~~~", "", "Plain $", "goes on and on.8", "", "---", "",
+        "<table><tr><th>a</th></tr>", "<tr><td>$</td></tr></table>", "", "`x`** y**", "", "[^8]: note $",
+    ]
+    fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("|#|"), F.concat(F.lit("|"), _s("c_custkey"), F.lit("|"))), F.lit("$"), F.col("c_name"))
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*map(fill, made)).alias("lines"))
+    return _out(normalize(docs, Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -48,6 +48,11 @@ def test_setext(spark):
         (["A", "=="], ["A", "=="]),
         (["```", "A", "===", "```"], ["```", "A", "===", "```"]),
         (["> A", "==="], ["> A", "==="]),
+        (["\tTide", " ---"], ["## Tide"]),
+        ([" \t-Tide", "  ---"], [" ## -Tide"]),
+        (["> Tide", "  ==="], ["# > Tide"]),
+        (["  Tide", "> ==="], ["  Tide", "> ==="]),
+        (["\u2003Tide", " ==="], ["\u2003Tide", " ==="]),
     ]
     assert run(spark, blocks.setext_headings, *[a for a, _ in cases]) == [b for _, b in cases]
 
@@ -88,6 +93,9 @@ def test_footnotes(spark):
         (["a tricky one  9 : and"], ["a tricky one[^1]: and"]),
         (["# Title.7 x"], ["# Title.7 x"]),
         (["B[^9] a[^4] b[^9]", "", "[^4]: four", "[^9]: nine", "  more"], ["B[^1] a[^2] b[^1]", "", "[^1]: nine", "  more", "[^2]: four"]),
+        # empty lines between definitions travel with the next one, that of the first goes behind it
+        (["B[^9] a[^4] b[^9] c[^2]", "", "[^2]: two", "", "[^4]: four", "", "[^9]: nine"], ["B[^1] a[^2] b[^1] c[^3]", "", "[^1]: nine", "", "", "[^2]: four", "[^3]: two"]),
+        (["x[^2] y[^1]", "", "[^1]: one", "", "", "[^2]: two"], ["x[^1] y[^2]", "", "[^1]: two", "", "[^2]: one", ""]),
         (["T", "", "## Footnotes", "", "1. one", "2. two"], ["T", "", "## Footnotes", "", "[^1]: one", "[^2]: two"]),
         (["1. one", "2. two"], ["1. one", "2. two"]),
         (["`a.3 ` b"], ["`a.3 ` b"]),
@@ -106,7 +114,8 @@ def test_ellipsis(spark):
 
 def test_code_emphasis(spark):
     cases = [
-        (["`X`** Y (in **`Z`**)**"], ["**`X` Y (in `Z`)**"]),
+        (["Low water: `tide`** and `noon`"], ["Low water: **`tide` and `noon`"]),
+        (["at ``a`b``_ sea_"], ["at _``a`b`` sea_"]),
         (["**`a`**"], ["**`a`**"]),
         (["plain `a` text"], ["plain `a` text"]),
     ]
@@ -188,9 +197,19 @@ def test_nested_html_tables(spark):
     assert got[-1] == "end" and got[0].startswith("| o") and "a b" in " ".join(got) and "in" in " ".join(got)
 
 
+def test_cells_after_a_nested_table(spark):
+    doc = ["<table><tr><td>a<table><tr><td>x<td>y</table></td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"]
+    assert run(spark, html.convert_html_tables, doc)[0] == ["| axy | b   |", "| --- | --- |", "| x   | y   |", "| c   | d   |", "| x | y |"]
+
+
 def test_process_tokens(spark):
     upper = lambda t: t[1].upper() if t[0] == "text" else t[1]
-    assert run(spark, lambda d: inline.process_tokens(d, upper), ["a `b` c", "```", "d", "```", ""], []) == [["A `b` C", "```", "d", "```", ""], []]
+    assert run(spark, lambda d: inline.process_tokens(d, upper), ["a `b` c", "```", "d", "```", ""], [], ["", ""]) == [["A `b` C", "```", "d", "```", ""], [], ["", ""]]
+    assert run(spark, lambda d: inline.process_tokens(d, lambda t: ""), ["a", "b", ""]) == [[]]
+    assert run(spark, lambda d: inline.process_tokens(d, lambda t: t[1].strip("\n")), ["a", "b", "", ""]) == [["ab", "", ""]]
+    assert inline.text_lines("a\r\nb\r") == ["a", "b\r"] and inline.text_lines("a\n", 2) == ["a", "", ""]
+    line = "x \\`y ``a`b``s z"
+    assert "".join(map(inline.original, inline.tokens_of([line, "```", "`", "```"]))) == "\n".join([line, "```", "`", "```"])
 
 
 def test_html_in_fences(spark):
