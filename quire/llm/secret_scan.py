@@ -34,6 +34,8 @@ _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,}+)\.([A-Za-z0-9_-]{4,
 _START = re.compile(r"(?<![A-Za-z0-9+_-])(?:M[A-Za-z0-9+/_-]{11}|b3BlbnNzaC1rZXktdjE)")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]++")
 _BREAK = re.compile(r"[ \t]*\r?\n[ \t]*(?=[A-Za-z0-9+/_-])")
+#: The longest line that wrapped base64 has in use.
+LINE_WIDTH = 76
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----\s{0,8}([A-Za-z0-9+/=\s]{40,}+)")
 
 
@@ -142,16 +144,20 @@ def _der_chars(text: str, start: int) -> int | None:
 
 
 def _gathered(text: str, start: int, chars: int | None) -> tuple[str, int]:
-    """Up to that many characters of base64 (None: all) from start on, over line breaks, and the end."""
-    parts, have, at = [], 0, start
+    """Up to that many characters of base64 from start on, over line breaks, and the end. Without a number,
+    lines as long as the first one and a shorter last one; a first line over LINE_WIDTH stands alone."""
+    parts, have, at, end = [], 0, start, start
     while m := _LINE.match(text, at):
+        if chars is None and parts and len(m[0]) > len(parts[0]):
+            break
         parts.append(m[0])
-        have, at = have + len(m[0]), m.end()
-        more = _BREAK.match(text, at)
-        if chars is not None and have >= chars or not more:
+        have, end = have + len(m[0]), m.end()
+        last = have >= chars if chars is not None else len(m[0]) < len(parts[0]) or len(parts[0]) > LINE_WIDTH
+        more = _BREAK.match(text, end)
+        if last or not more:
             break
         at = more.end()
-    end = at
+    at = end
     while end < len(text) and text[end] == "=" and end < at + 2:
         end += 1
     return "".join(parts), end
@@ -181,14 +187,17 @@ def confirmed(text: str) -> set[Span]:
         for m in _PEM.finditer(text):
             if kind := _key_kind(unbase64(m[1])):
                 found.add((kind, m.start(1), m.start(1) + len(m[1].rstrip())))
+    # keys over several lines before runs, as the first line of an OpenSSH key may pass for a whole one
+    free = lambda x, y: not any(a < y and x < b for _, a, b in found)
+    found |= {x for x in _wrapped(text) if free(*x[1:])}
     for m in _RUN.finditer(text):
         run = m[0]
         kind = _key_kind(unbase64(run))
         if not kind and len(run) % 2 == 0 and re.fullmatch("[0-9a-fA-F]+", run):
             kind = _key_kind(bytes.fromhex(run))
-        if kind and not any(a <= m.start() < b for _, a, b in found):
+        if kind and free(*m.span()):
             found.add((kind, *m.span()))
-    return found | {x for x in _wrapped(text) if not any(a < x[2] and x[1] < b for _, a, b in found)}
+    return found
 
 
 _SCHEMA = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in BASE_KINDS] + [T.StructField(k, T.StringType()) for k in ("base", "spans")])

@@ -303,6 +303,17 @@ def test_secrets_after_a_slash_and_over_lines():
     assert not secret_scan.confirmed("x/" + one[:-8] + "!") and not secret_scan.confirmed("\n".join(["M" + "A" * 63] * 50))
 
 
+@pytest.mark.parametrize("size", [90, 400])
+def test_secrets_openssh_keys_end_where_their_lines_do(size):
+    raw = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"\0" * size
+    one = base64.b64encode(raw).decode()
+    for width in (64, 70, 76, 1000):
+        key = "\n".join(one[i : i + width] for i in range(0, len(one), width))
+        for after in (" end", "\nand words", "\n" + "x" * 77, ""):
+            assert secret_scan.confirmed(f"key: {key}{after}") == {("ssh_key", 5, 5 + len(key))}, (width, after)
+            assert secret_scan.redacted(f"key: {key}{after}") == f"key: <SSH_KEY>{after}"
+
+
 @pytest.mark.parametrize("change", [pii.personal_data, secret_scan.secrets])
 def test_scans_on_odd_rows(spark, change):
     docs = frame(spark, ODD, base="y", _found="y", found="y", FOUND_="y")
