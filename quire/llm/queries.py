@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, neardup, packing, pii, quality, secret_scan, substring, token_counts, topk
+from . import bpe, decontaminate, html_density, neardup, packing, pii, prefix_trie, quality, runs, secret_scan, substring, token_counts, topk
 from .store import table
 
 
@@ -17,6 +17,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def unigram_path() -> str:
     import public_tokenizers
 
@@ -87,6 +93,45 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path())
+    found = bpe.decode(encoded, byte_bpe_path())
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def tiled(docs: DataFrame) -> DataFrame:
+    """docs in which one text in ten repeats p of its words from word a on to its end; both follow from a hash of
+    doc_id. Rows without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    docs = docs.withColumn("w", F.when(h % 10 == 0, words)).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")))
+    docs = docs.withColumn("p", F.floor((F.col("n") - F.col("a")) / (g % 8 + 3)) + 1)
+    text = F.array_join(F.expr("transform(w, (x, i) -> if(i < a, x, w[int(a + (i - a) % p)]))"), " ")
+    return docs.select("doc_id", F.when(F.col("a").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(tiled(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # the greatest exponent first: a/b > c/d as a*d > c*b
+    before = "CASE WHEN x.length * y.period <> y.length * x.period THEN IF(x.length * y.period > y.length * x.period, -1, 1) WHEN x.start <> y.start THEN IF(x.start < y.start, -1, 1) ELSE IF(x.period < y.period, -1, 1) END"
+    found = found.withColumn("best", F.expr(f"aggregate(runs, named_struct('start', -1L, 'length', -1L, 'period', 1L), (x, y) -> IF({before} < 0, x, y))"))
+    some = F.size("runs") > 0
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.when(some, F.col("best")[c]).alias(c) for c in ("start", "length", "period")),
+        F.when(some, F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))).alias("exponent_milli"),
+        F.sha2(F.when(some, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -99,6 +144,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
+        "op11_bpe": op11_bpe,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_runs": op13_runs,
     }
 
 
@@ -150,5 +198,22 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_OP12_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), i)) AS t),
+b AS (SELECT DISTINCT conv_id, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS s FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, xor(list_reduce(s, lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h FROM b, crc),
+own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS w FROM conversations GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(p.w, [])[1:h], o.w[h + 1:]) AS w FROM own o JOIN h USING (conv_id) LEFT JOIN own p ON p.conv_id = o.conv_id - o.conv_id % 5),
+x AS (SELECT conv_id, len(w) AS size, d AS depth, w[1:d] AS k FROM (SELECT *, unnest(range(0, len(w) + 1)) AS d FROM r)),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends,
+  (count(*) - 1) * coalesce(strlen(k[-1].text), 0) AS saved FROM x GROUP BY k, depth),
+c AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+u AS (SELECT v.k, sum(d.saved) AS saved_tokens, count(*) FILTER (d.n_children = 0) AS n_leaves FROM (SELECT *, k[1:unnest(range(0, depth + 1))] AS above FROM f) d JOIN f v ON v.k = d.above GROUP BY v.k)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u USING (k) LEFT JOIN n p ON f.depth > 0 AND p.k = f.k[1:f.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring": _OP3_SQL, "op4_topk": _OP4_SQL, "op7_near_duplicates": _OP7_SQL, "op8_decontaminate": _OP8_SQL}
+    return {"op12_prefix_trie": _OP12_SQL, "op3_substring": _OP3_SQL, "op4_topk": _OP4_SQL, "op7_near_duplicates": _OP7_SQL, "op8_decontaminate": _OP8_SQL}
