@@ -4,7 +4,9 @@ The leaves of the tree are the pairs of neighbouring symbols, each with the rank
 place in one number, so that the least leaf under the root is the leftmost pair of the lowest rank. A
 merge changes at most three leaves (its own, and the pairs before and behind), each with the path above it, up
 to where the least value stays the same. When the root holds no rank, no pair can be merged any more.
-Distinct pre-tokens are encoded once for as long as a bounded cache holds them.
+The trees of many short pre-tokens of about one length are rows of one array, so that each step merges in all of
+them; longer ones have a tree of their own. Distinct pre-tokens are encoded once for as long as a bounded cache
+holds them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ from pyspark.sql import types as T
 from .store import with_fields
 
 #: Pre-tokens, and bytes of their ids, that a task keeps.
-CACHED, CACHED_BYTES = 400_000, 1 << 26
+CACHED, CACHED_BYTES = 300_000, 1 << 26
+#: Characters of texts that are encoded together; pre-tokens whose trees are rows of one array, and bytes of the
+#: longest of these.
+CHUNK, ROWS, SHORT = 1 << 20, 4096, 64
 #: Fixed: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 62
@@ -90,6 +95,63 @@ def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [x for x in symbols if x >= 0]
 
 
+class Merges:
+    """The merges of a vocabulary for arrays: rank of a pair of symbols, and the symbol that it gives."""
+
+    def __init__(self, pairs: list[tuple[int, int, int]]):
+        table = np.array(pairs, np.int64).reshape(-1, 3)
+        keys = table[:, 0] << 32 | table[:, 1]
+        self.rank = np.argsort(keys)
+        self.keys = np.append(keys[self.rank], -1)
+        self.rank = np.append(self.rank, 0)
+        self.made = table[:, 2]
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of the tree for pairs of symbols at given places; symbols below 0 make none."""
+        keys = np.where((a >= 0) & (b >= 0), a << 32 | b, -2)
+        found = np.searchsorted(self.keys[:-1], keys)
+        return np.where(self.keys[found] == keys, self.rank[found] << 32 | at, _NONE)
+
+
+def merged_rows(symbols: np.ndarray, merges: Merges) -> np.ndarray:
+    """The rows of an array of symbols, filled up with -1, after all merges; symbols that went are -1."""
+    count, n = symbols.shape
+    symbols = np.concatenate((symbols, np.full((count, 1), -1)), 1)
+    size = 1 << max(0, n - 2).bit_length()
+    tree = np.full((count, 2 * size), _NONE)
+    tree[:, size : size + n - 1] = merges.leaves(symbols[:, : n - 1], symbols[:, 1:n], np.arange(n - 1))
+    half = size // 2
+    while half:
+        tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
+        half //= 2
+    # place n stands for none behind, and (as -1) before
+    after = np.tile(np.append(np.arange(1, n + 1), n), (count, 1))
+    before = np.tile(np.arange(-1, n), (count, 1))
+    rows = np.flatnonzero(tree[:, 1] < _NONE)
+    while len(rows):
+        least = tree[rows, 1]
+        i = least & 0xFFFFFFFF
+        j = after[rows, i]
+        k = after[rows, j]
+        new = merges.made[least >> 32]
+        symbols[rows, i] = new
+        symbols[rows, j] = -1
+        after[rows, i] = k
+        before[rows, k] = i
+        h = before[rows, i]
+        changed = [size + np.minimum(j, size - 1), size + i, size + np.where(h < 0, i, h)]
+        tree[rows, changed[0]] = _NONE
+        left = merges.leaves(symbols[rows, h], new, h)
+        tree[rows, changed[1]] = right = merges.leaves(new, symbols[rows, k], i)
+        tree[rows, changed[2]] = np.where(h < 0, right, left)
+        for _ in range(size.bit_length() - 1):
+            changed = [at >> 1 for at in changed]
+            for at in changed:
+                tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+        rows = rows[tree[rows, 1] < _NONE]
+    return symbols[:, :n]
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary from a file of the tokenizers library."""
 
@@ -107,8 +169,10 @@ class Vocabulary:
             raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
         letters, ids = byte_letters(), model["vocab"]
         self.first = [ids[x] for x in letters]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        self.symbols = np.array(self.first, np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.ranks = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merges = Merges([(ids[a], ids[b], ids[a + b]) for a, b in pairs])
         to_byte = {x: b for b, x in enumerate(letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         tokens = {i: bytes(to_byte[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
@@ -139,29 +203,54 @@ class Vocabulary:
                 return [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)]
         return self.pieces(text)
 
-    def learn(self, word: str) -> bytes:
-        ids = merged([self.first[b] for b in word.encode("utf-8", "surrogatepass")], self.ranks)
-        found = np.array(ids, "<u4").tobytes()
+    def learn(self, words: set[str]) -> None:
+        """Put the ids of new pre-tokens into the cache."""
         if len(self.cache) >= CACHED or self.held > CACHED_BYTES:
             self.cache.clear()
             self.held = 0
-        self.cache[word] = found
-        self.held += len(word) + len(found)
-        return found
+        sized: dict[int, list[tuple[str, bytes]]] = {}
+        for word in words:
+            raw = word.encode("utf-8", "surrogatepass")
+            sized.setdefault((max(len(raw), 2) - 2).bit_length(), []).append((word, raw))
+        for bits, some in sized.items():
+            for at in range(0, len(some), ROWS):
+                part = some[at : at + ROWS]
+                if 1 << bits > SHORT:
+                    made = [np.array(merged([self.first[b] for b in raw], self.ranks), "<u4").tobytes() for _, raw in part]
+                else:
+                    made = self._rows([raw for _, raw in part])
+                for (word, raw), ids in zip(part, made):
+                    self.cache[word] = ids
+                    self.held += len(raw) + len(ids)
+
+    def _rows(self, words: list[bytes]) -> list[bytes]:
+        sizes = np.array(list(map(len, words)))
+        rows = np.full((len(words), max(2, int(sizes.max()))), -1)
+        inside = np.arange(rows.shape[1]) < sizes[:, None]
+        rows[inside] = self.symbols[np.frombuffer(b"".join(words), np.uint8)]
+        rows = merged_rows(rows, self.merges)
+        left = rows >= 0
+        data, ends = rows[left].astype("<u4").tobytes(), np.cumsum(left.sum(1) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        # for each text the words of its parts, and special tokens between them as they are
+        parts = [[p if p in self.special else self.words(p) for p in self.split(x) if p] for x in texts]
+        new = {w for text in parts for p in text if type(p) is list for w in p if w not in self.cache}
+        self.learn(new)
+        get, out = self.cache.__getitem__, []
+        for x in parts:
+            # the cache may have been cleared of words that were known before
+            try:
+                out.append(b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in x]))
+            except KeyError:
+                self.learn({w for p in x if type(p) is list for w in p if w not in self.cache})
+                out.append(b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in x]))
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit numbers."""
-        out, get = [], self.cache.get
-        for part in self.split(text):
-            if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                words = self.words(part)
-                found = list(map(get, words))
-                if None in found:
-                    found = [x if x is not None else get(w) or self.learn(w) for w, x in zip(words, found)]
-                out += found
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         known, n = self.bytes, len(self.bytes)
@@ -194,7 +283,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = vocabulary(path)
         for column in columns:
-            ids = [known.encode(x.as_py() or "") for x in column]
+            ids, chunk, size = [], [], 0
+            for x in column:
+                chunk.append(x.as_py() or "")
+                size += len(chunk[-1])
+                if size > CHUNK:
+                    ids += known.encode_all(chunk)
+                    chunk, size = [], 0
+            ids += known.encode_all(chunk)
             lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.StructArray.from_arrays([lengths, pa.array(ids, pa.binary())], fields=list(_ARROW))
 
