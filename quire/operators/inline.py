@@ -11,30 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import spans
 from .lines import FenceState, explode_lines, pack_lines, with_link_parts
 
 Token = tuple[str, str, str, str]  # kind, raw, fence, code
-_RUN = re.compile(r"(?<!\\)((?:\\\\)*)(`+)")
-_SUFFIX = re.compile(r"(?:'s|-\w[\w-]*|[^\W\d_]+)")
 
 
 def spans_of(line: str) -> list[Token]:
     """Code and text tokens of one line; a run of backticks without a partner is text, and a word part
     right behind a code span belongs to it."""
-    out, at, text = [], 0, 0
-    while m := _RUN.search(line, at):
-        start, fence = m.start(2), m[2]
-        close = re.compile(rf"(?<!`){fence}(?!`)").search(line, m.end())
-        if not close:
-            at = m.end()
-            continue
+    out, text = [], 0
+    for start, end, size in spans.code_spans(line):
         if start > text:
             out.append(("text", line[text:start], "", ""))
-        end = close.end()
-        if tail := _SUFFIX.match(line, end):
-            end = tail.end()
-        out.append(("code", line[start:end], fence, line[m.end() : close.start()]))
-        at = text = end
+        text = spans.suffix_end(line, end) if end - start > 2 * size else end
+        out.append(("code", line[start:text], line[start : start + size], line[start + size : end - size]))
     if text < len(line):
         out.append(("text", line[text:], "", ""))
     return out
@@ -66,20 +57,47 @@ def tokenize(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(_tokens("lines")).alias("pos", "t")).select("doc_id", F.col("pos").cast("long"), "t.*")
 
 
-# Protected from ellipses: code spans, links and images, autolinks, and words that are URLs or paths.
-_PROTECTED = (
-    r"(?:(?<!`)(`+)(?!`)(?:(?!`).|(?!\1(?!`))`)+?(?<!`)\1(?!`)"
-    r"|!?\[(?:[^\]\\]|\\.)*\]\((?:[^()\\]|\\.|\([^()]*\))*\)"
-    r"|<[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\p{IsWhite_Space}<>]+>|<[^\p{IsWhite_Space}<>@]+@[^\p{IsWhite_Space}<>@]+\.[^\p{IsWhite_Space}<>@]+>"
-    r"|(?<![^\p{IsWhite_Space}])[(\[{<\"'*_]*(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:|www\.|\.{0,2}/|~/|[A-Za-z]:[\\/])[^\p{IsWhite_Space}]+)"
-)
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+#: A line without any of these has no literal span.
+_MAY_BE_LITERAL = r"[`\[<:/\\]|www\."
 
 
-def ellipsis_outside_spans(c: Column) -> Column:
-    """Dot runs as ellipses except inside protected spans."""
-    pieces = F.regexp_extract_all(c, F.lit(f"(?s){_PROTECTED}|(?:(?!{_PROTECTED.replace('(`+)', '(`+)').replace(chr(92) + '1', chr(92) + '2')}).)+"), F.lit(0))
-    whole = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"(?s)^{_PROTECTED}\\z"), p).otherwise(X.dots_to_ellipsis(p))), "")
-    return F.when(~c.contains("..."), c).when(c.rlike(_PROTECTED), whole).otherwise(X.dots_to_ellipsis(c))
+@F.arrow_udf(T.ArrayType(_SPAN))
+def _literal(column: pa.Array) -> pa.Array:
+    # Spark counts code points, as Python does
+    return pa.array([[{"start": a, "end": b} for a, b in spans.literal_spans(x)] if x else [] for x in column.to_pylist()], _SPANS_ARROW)
+
+
+def merged_spans(found: Column) -> Column:
+    """The union of an array of (start, end): sorted, without overlaps, those that touch being one."""
+    none = F.array().cast(T.ArrayType(_SPAN))
+
+    def add(done: Column, one: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], one["end"]).alias("end"))
+        met = (F.size(done) > 0) & (one["start"] <= last["end"])
+        return F.when(met, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(one)))
+
+    return F.aggregate(F.array_sort(found), none, add)
+
+
+def literal_spans(line: Column) -> Column:
+    """Where dots stay as they are: the merged (start, end) of code, links, autolinks, addresses and paths."""
+    none = F.array().cast(T.ArrayType(_SPAN))
+    return F.when(line.contains("...") & line.rlike(_MAY_BE_LITERAL), merged_spans(_literal(line))).otherwise(none)
+
+
+def ellipsis_outside(c: Column, literal: Column) -> Column:
+    """Dot runs as ellipses except inside spans, which are sorted and don't overlap."""
+
+    def add(done: Column, one: Column) -> Column:
+        before, own = F.substr(c, done["at"] + 1, one["start"] - done["at"]), F.substr(c, one["start"] + 1, one["end"] - one["start"])
+        return F.struct(one["end"].alias("at"), F.concat(done["text"], X.dots_to_ellipsis(before), own).alias("text"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    whole = F.aggregate(literal, start, add, lambda done: F.concat(done["text"], X.dots_to_ellipsis(F.substr(c, done["at"] + 1, F.length(c)))))
+    return F.when(~c.contains("..."), c).when(F.size(literal) > 0, whole).otherwise(X.dots_to_ellipsis(c))
 
 
 def replace_ellipsis(docs: DataFrame) -> DataFrame:
@@ -97,7 +115,8 @@ def replace_ellipsis(docs: DataFrame) -> DataFrame:
     run = Window.partitionBy("doc_id", "_run").orderBy("line_no")
     code = indented & ~blank & F.max(F.col("_opens") & indented).over(run)
     skip = F.col("code") | code | F.col("link_part") | F.coalesce(kind == "link_reference_definition", F.lit(False))
-    return pack_lines(rows.withColumn("_code", skip).withColumn("line", F.when(F.col("_code"), line).otherwise(ellipsis_outside_spans(line))))
+    rows = rows.withColumn("_code", skip).withColumn("_spans", F.when(~F.col("_code"), literal_spans(line)))
+    return pack_lines(rows.withColumn("line", F.when(F.col("_code"), line).otherwise(ellipsis_outside(line, F.col("_spans")))))
 
 
 _MARKS = re.compile(r"[*_]+")

@@ -1,110 +1,473 @@
-"""Paragraph wrapping: paragraphs as islands of lines, then a greedy fit of each paragraph's units.
+"""Wrapping: stretches of lines that belong together are found by windows, and each is fitted to a width.
 
-Units are stretches without white space in which code spans, links and images count as one piece. A
-unit may end in the last column only at a paragraph's end or when the next one could not follow it
-there anyway; this is what the reference fit comes to for prose."""
+Spark deals out blocks, stretches between lines that wrapping leaves alone. Within one, lines are joined into
+paragraphs and items, whose fragments are fitted first and mended then: white space alone on a line joins a
+neighbour, and the last piece of a line moves down if a word follows and it fits there. So a word may end in the
+last column before code, but not before another word.
+"""
 
 from __future__ import annotations
 
 import re
-import unicodedata
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from .lines import explode_lines, pack_lines, with_link_parts
+from .spans import WHITE, Fragment, code_end, code_spans, escaped, fragments, open_code, width_of
 
-# Month names as they occur in dates.
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_CODE = r"(?<!`)(?P<run{0}>`+)(?!`).+?(?<!`)(?P=run{0})(?!`)"
-# Labels may hold escapes and brackets, targets escapes and two levels of parentheses; a label that
-# begins as a footnote's counts only before a target.
-_LABEL = r"\[(?:[^\[\]\\]|\\.|\[(?:[^\[\]\\]|\\.)*\])*\]"
-_TARGET = r"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\))*\)"
-_LINK = rf"!?(?:(?=\[[^\]\s]){_LABEL}{_TARGET}|(?=\[[^\]\s^]){_LABEL}\[[^\]]*\])"
-_DAY, _YEAR = r"(?:[12][0-9]|3[01]|0?[1-9])(?:st|nd|rd|th)?,?", r"[12][0-9]{3}[.,;:!?)]*(?=\s|\Z|\[\^)"
-# Marks that open a bracket or quotation before a date.
-_OPENERS = r"[(\[\"“‘（［【《「『]*"
-#: A date with the footnote behind it, or pieces without white space, in which code and links count as one; a link holds on to a
-#: link or code span after it.
-_UNIT = re.compile(
-    rf"(?<!\S){_OPENERS}(?:{_DAY}\s+(?i:{_MONTHS}),?\s+{_YEAR}|(?i:{_MONTHS})\s+{_DAY}\s+{_YEAR})(?:\s*\[\^[^\]\s]+\]\S*)?"
-    rf"|(?:{_CODE.format(1)}|{_LINK}(?:\s+(?:{_LINK}|{_CODE.format(2)}))*|\S)+"
-)
-_BEFORE_NOTE = re.compile(r"([.,;:!?])\s+(?=\[\^[^\]]+\])")
-_HARD = r"(?:  |(?i:<br\p{IsWhite_Space}*/?>)\p{IsWhite_Space}*|(?<!\\)(?:\\\\)*\\)\z"
-
-
-def width_of(text: str) -> int:
-    """Terminal columns."""
-    if text.isascii():
-        return len(text)
-    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
-
-
-_SPAN = re.compile(_CODE.format(""), re.S)
-
-
-def joined(parts: list[str], trim: bool) -> tuple[str, list[int]]:
+Line = list[Fragment]
+_SPACE = " "
+_BACKTICKS = re.compile("`+")
+
+
+def _total(line: Line) -> int:
+    return sum(f.width for f in line)
+
+
+def _blank(line: Line) -> bool:
+    return all(f.kind == "whitespace" for f in line)
+
+
+def _first_fit(pieces: Line, width: int) -> list[Line]:
+    lines: list[Line] = [[]]
+    used = 0
+    for f in pieces:
+        if lines[-1] and used + f.width > width:
+            lines.append([])
+            used = 0
+        lines[-1].append(f)
+        used += f.width
+    return lines
+
+
+def _without_blank_lines(lines: list[Line], width: int) -> list[Line]:
+    """Lines of white space alone go, or go with the line behind them. Code before one moves down with it,
+    unless code or a link follows or it wouldn't fit there."""
+    out: list[Line] = []
+    carried: Line = []
+    for i, line in enumerate(lines):
+        if not _blank(line):
+            out.append(carried + line)
+            carried = []
+            continue
+        one = len(line) == 1 and line[0].text == _SPACE
+        keep = not one or bool(out and len(out[-1]) == 1)
+        following = lines[i + 1] if i + 1 < len(lines) else []
+        if one and out and out[-1][-1].kind == "code" and not (following and following[0].kind in ("code", "link", "footnote")):
+            target = next((x for x in lines[i + 1 :] if not _blank(x)), None)
+            if target is None or out[-1][-1].width + 1 + _total(target) <= width:
+                carried.append(out[-1].pop())
+                if not out[-1]:
+                    out.pop()
+                keep = True
+        if keep:
+            carried += line
+    if carried:
+        if out:
+            out[-1] = out[-1] + carried
+        else:
+            out.append(carried)
+    return out
+
+
+def _with_tails_moved(lines: list[Line], width: int) -> list[Line]:
+    """Where a line begins with a space and a word, the last piece of the line before joins it, if it fits."""
+    for above, below in zip(lines, lines[1:]):
+        if len(below) > 1 and below[0].text == _SPACE and below[1].kind == "plain" and len(above) > 1 and above[-1].kind != "whitespace":
+            if _total(below) + above[-1].width <= width:
+                below.insert(0, above.pop())
+    return lines
+
+
+def fit_fragments(pieces: list[Fragment], width: int) -> list[str]:
+    """Lines of at most width columns; a wider fragment has a line of its own. The last line keeps white space at
+    its end, others lose a single space."""
+    out: list[str] = []
+    buffer: Line = []
+    held = shown = 0
+
+    def write(line: Line, last: bool = False) -> None:
+        nonlocal shown
+        text = "".join(f.text for f in line)
+        if not last and text.endswith(" ") and not text.endswith("  "):
+            text = text[:-1]
+        out.append(text.lstrip(WHITE) if out else text)
+        shown = width_of(out[-1])
+
+    for piece in pieces:
+        prose = piece.kind in ("whitespace", "plain")
+        full = bool(out) and width - 1 <= shown <= width
+        if full and prose and len(buffer) == 1 and buffer[0].kind == "link":
+            # a link behind a full line stands alone
+            write(buffer)
+            buffer, held = [], 0
+            if piece.kind == "whitespace":
+                continue
+        buffer.append(piece)
+        held += piece.width
+        if held <= width:
+            continue
+        lines = _with_tails_moved(_without_blank_lines(_first_fit(buffer, width), width), width)
+        if len(lines) == 1:
+            continue
+        for line in lines[:-1]:
+            write(line)
+        above, buffer = lines[-2], lines[-1]
+        if len(buffer) > 1 and buffer[0].kind == "link" and buffer[1].kind in ("whitespace", "plain") and width - 1 <= _total(above) <= width:
+            write(buffer[:1])
+            buffer = buffer[1:]
+        held = _total(buffer)
+    if buffer:
+        write(buffer, True)
+    return out
+
+
+def _kept_ends(text: str, lines: list[str], ends: list[int], width: int) -> list[str]:
+    """lines, fitted from text, with code spans that are wider than a line cut where the text's line ends (places
+    of spaces) are."""
+    for start, end, _ in code_spans(text):
+        cuts = ends[bisect_right(ends, start) : bisect_left(ends, end)]
+        if not cuts or width_of(text[start:end]) <= width:
+            continue
+        span = text[start:end]
+        at = next((i for i, line in enumerate(lines) if span in line), None)
+        if at is None:
+            continue
+        before, _, behind = lines[at].partition(span)
+        made = [text[a:b] for a, b in zip([start, *(c + 1 for c in cuts)], [*cuts, end])]
+        if before:
+            if width_of(before + made[0]) <= width:
+                made[0] = before + made[0]
+            else:
+                made = fit(before.rstrip(WHITE), width) + made
+        if behind:
+            if width_of(made[-1] + behind) <= width:
+                made[-1] += behind
+            else:
+                made += fit(behind.lstrip(WHITE), width)
+        lines = lines[:at] + made + lines[at + 1 :]
+    return lines
+
+
+def fit(text: str, width: int, ends: list[int] | None = None) -> list[str]:
+    """A text in lines of at most width columns. ends are the places of spaces that were line ends: if all lines
+    between them were narrow enough, a code span that is too wide keeps its own."""
+    lines = fit_fragments(fragments(text), width)
+    if ends and all(width_of(text[a:b].strip(" ")) <= width for a, b in zip([0, *ends], [*ends, len(text)])):
+        lines = _kept_ends(text, lines, ends, width)
+    return lines
+
+
+def joined(parts: list[str], trim: bool = False) -> tuple[str, list[int]]:
     """Lines of one paragraph as a text, and where its line ends were. With trim, a line end right
     inside the backticks of a code span leaves no space."""
     text, ends, at = " ".join(parts), [], 0
     for part in parts[:-1]:
         at += len(part) + 1
         ends.append(at - 1)
-    if trim and ends and "`" in text:
-        gone = {x for m in _SPAN.finditer(text) for x in (m.start() + len(m["run"]), m.end() - len(m["run"]) - 1) if x in ends}
-        text = "".join(c for i, c in enumerate(text) if i not in gone)
-        ends = [x - sum(g < x for g in gone) for x in ends if x not in gone]
-    return text, ends
-
-
-def _units(text: str, ends: list[int], width: int) -> list[tuple[str, bool]]:
-    """The units of a text, and whether each has to begin a line. A unit wider than a line keeps the
-    line ends inside its code spans, if all lines were narrow enough."""
-    narrow = bool(ends) and all(width_of(text[a:b].strip()) <= width for a, b in zip([0, *ends], [*ends, len(text)]))
-    out = []
-    for m in _UNIT.finditer(text):
-        cuts = []
-        if narrow and width_of(m[0]) > width:
-            cuts = [e for s in _SPAN.finditer(text, m.start(), m.end()) for e in ends if s.start() < e < s.end()]
-        bounds = [m.start(), *cuts, m.end()]
-        out += [(text[a:b].strip() if cuts else m[0], bool(i)) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-    return out
+    return (trimmed_spans(text, ends), []) if trim else (text, ends)
 
 
-def fit(text: str, width: int, ends: list[int] | None = None) -> list[str]:
-    """The text's units in lines of at most width columns; a longer unit has a line of its own, and no
-    white space stays between punctuation and a footnote reference. ends are the places of spaces that
-    were line ends."""
-    closer = _BEFORE_NOTE.sub(r"\1", text)
-    units = _units(closer, (ends or []) if closer == text else [], width)
-    sizes, out, line, used = [width_of(u) for u, _ in units], [], [], 0
-    for i, ((unit, begins), size) in enumerate(zip(units, sizes)):
-        last = i + 1 == len(units) or units[i + 1][1] or size + 1 + sizes[i + 1] > width or unit.endswith("`")
-        if line and (begins or used + 1 + size > (width if last else width - 1)):
-            out.append(" ".join(line))
-            line, used = [], -1
-        elif not line:
-            used = -1
-        line.append(unit)
-        used += 1 + size
-    return [*out, " ".join(line)] if line else out
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _wrapped(texts: pa.Array, firsts: pa.Array, rests: pa.Array, widths: pa.Array, tails: pa.Array, items: pa.Array) -> pa.Array:
-    out = []
-    for parts, first, rest, width, tail, item in zip(*(x.to_pylist() for x in (texts, firsts, rests, widths, tails, items))):
-        first, rest, tail = first or "", rest or "", tail or ""  # null for a document without lines
-        text, ends = joined([x or "" for x in parts or []], bool(item))
-        lines = fit(text, max(1, width - width_of(first)), None if item else ends) or [""]
-        lines[-1] += tail
-        out.append([(rest if i else first) + x for i, x in enumerate(lines)])
-    return pa.array(out, pa.list_(pa.string()))
+def trimmed_spans(text: str, ends: list[int]) -> str:
+    """The text without those of its spaces at ends that are the first or last character within a code span. A run of
+    backticks closes the span of an equal one; a span that nothing closes ends the search."""
+    known, gone, opened = set(ends), set(), None
+    for m in _BACKTICKS.finditer(text) if known else ():
+        a = m.start() + escaped(text, m.start())
+        if a == m.end():
+            continue
+        if opened is None:
+            opened = (a, m.end())
+        elif m.end() - a == opened[1] - opened[0] and text[a - 1] != "`":
+            gone |= {x for x in (opened[1], a - 1) if opened[1] < a and x in known}
+            opened = None
+    return "".join(c for i, c in enumerate(text) if i not in gone) if gone else text
+
+
+# Lines of a block
+
+
+_TAGS = regex.compile(r"(?:(?i:<br\p{White_Space}*/?>)\p{White_Space}*)+\Z")
+
+
+def _content(line: str) -> tuple[str, bool]:
+    """A line's text and whether a hard break ends it: two spaces, a br tag or an odd number of backslashes."""
+    bare = line.rstrip(WHITE)
+    text = _TAGS.sub("", bare) if bare.endswith(">") else bare
+    hard = line.endswith("  ") or text != bare or escaped(bare, len(bare))
+    return text.lstrip(WHITE).rstrip(" "), hard
+
+
+def _marked(line: str) -> int:
+    """Length of the hard break mark at a line's end."""
+    return 2 if line.endswith("  ") else int(escaped(line, len(line)))
+
+
+def _with_break(lines: list[str]) -> None:
+    if lines and not _marked(lines[-1]):
+        lines[-1] += "  "
+
+
+def _state_after(text: str, size: int) -> int:
+    """Size of the code span that is open behind a text, 0 for none, if one of size was open before it."""
+    for m in _BACKTICKS.finditer(text):
+        a, n = m.start(), m.end() - m.start()
+        if size:
+            if n == size:
+                size = 0
+        elif not escaped(text, a):
+            size = n
+        elif n > 1:
+            size = n - 1
+    return size
+
+
+_WORDLY = regex.compile(r"[\p{Alphabetic}\p{N}_]")
+
+
+class Item:
+    """An item, quote or definition with a code span that its line leaves open; lines that follow are joined until
+    the span is closed. Its rest is then fitted, or its lines stay as they were (verbatim)."""
+
+    def __init__(self, prefix: str, rest: str, repeats: bool, outer: str | None, width: int):
+        size, end = open_code(rest)
+        self.prefix, self.rest, self.repeats, self.outer = prefix, rest, repeats, outer
+        self.room = max(1, width - width_of(prefix))
+        self.mode = "fit" if rest[end:].strip(WHITE) else "tight"
+        if self.mode == "tight":
+            self.rest = rest[:end]
+        self.open, self.hard, self.begun, self.split = size, False, False, False
+        self.sources, self.spaces = [prefix + rest], []
+
+    @property
+    def behind(self) -> str:
+        """The prefix of lines after the first."""
+        if self.repeats:
+            return self.prefix
+        outer = self.outer if self.outer is not None else self.prefix[: len(self.prefix) - len(self.prefix.lstrip(WHITE))]
+        return outer + " " * max(0, width_of(self.prefix) - width_of(outer))
+
+    def next_prefix(self) -> str:
+        prefix, self.begun = (self.behind if self.begun else self.prefix), True
+        return prefix
+
+    def lines(self) -> list[str]:
+        """What is held, as lines; a tail behind the first line is fitted again without it, so that fitting the result
+        once more changes nothing."""
+        if self.mode == "verbatim":
+            return self.sources
+        prefix = self.next_prefix()
+        first, *more = fit(trimmed_spans(self.rest, self.spaces), self.room) or [""]
+        out = [prefix + first]
+        if self.repeats:
+            out += [prefix + x for x in more]
+        else:
+            behind, tail = self.behind, ""
+            for i, line in enumerate(more):
+                n = _marked(line)
+                tail += (" " if tail else "") + line[: len(line) - n]
+                if n or i + 1 == len(more):
+                    out += [behind + x for x in fit(tail, self.room)]
+                    out[-1] += line[len(line) - n :]
+                    tail = ""
+        if self.hard:
+            _with_break(out)
+        return out
+
+
+class Block:
+    """Reads the lines of a block and writes them wrapped."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.out: list[str] = []
+        self.held: list[tuple[str, bool]] = []
+        self.indent, self.next_indent = "", None
+        self.item: Item | None = None
+
+    def flush(self) -> None:
+        if self.item:
+            item, self.item = self.item, None
+            self.held, self.indent = [], ""
+            self.out += item.lines()
+            if not item.repeats:
+                self.next_indent = item.behind
+            return
+        if self.held:
+            room = max(1, self.width - width_of(self.indent))
+            at = 0
+            while at < len(self.held):
+                end = next((i + 1 for i in range(at, len(self.held)) if self.held[i][1]), len(self.held))
+                made = fit(*self._joined(self.held[at:end], room)) if any(x for x, _ in self.held[at:end]) else []
+                lines = [self.indent + x for x in made]
+                if self.held[end - 1][1]:
+                    _with_break(lines or self.out)
+                self.out += lines
+                at = end
+            self.held, self.indent, self.next_indent = [], "", None
+
+    @staticmethod
+    def _joined(held: list[tuple[str, bool]], room: int) -> tuple[str, int, list[int]]:
+        text, ends = joined([x for x, _ in held])
+        return text, room, ends
+
+    def verbatim(self, line: str) -> None:
+        self.flush()
+        self.next_indent = None
+        self.out.append(line if line.strip(WHITE) else "")
+
+    def begin(self, row: dict) -> None:
+        """A line with a prefix: an item, quote or definition."""
+        self.flush()
+        self.next_indent = None
+        prefix, rest = row["prefix"], row["rest"]
+        if rest.rstrip(WHITE).endswith(">") and (tags := _TAGS.search(rest)):
+            rest = rest[: tags.start()].rstrip(WHITE) + "  "
+        if open_code(rest):
+            self.item = Item(prefix, rest, row["repeats"], row["quote"], self.width)
+            return
+        room = max(1, self.width - width_of(prefix))
+        first, *more = fit(rest, room) or [""]
+        behind = prefix
+        if not row["repeats"]:
+            outer = row["quote"] if row["quote"] is not None else prefix[: len(prefix) - len(prefix.lstrip(WHITE))]
+            behind = outer + " " * max(0, width_of(prefix) - width_of(outer))
+        self.out += [prefix + first, *(behind + x for x in more)]
+
+    def go_on(self, text: str, hard: bool, source: str) -> None:
+        """Join one more line to the item."""
+        item = self.item
+        size = item.open
+        lead = _BACKTICKS.match(text)
+        space = item.mode != "tight" and not (lead and lead.end() == size)
+        if space and size and item.rest.endswith("(") and (opened := open_code(item.rest)):
+            depth = 0
+            for c in item.rest[opened[1] :]:
+                depth = depth + 1 if c == "(" else max(0, depth - 1) if c == ")" else depth
+            space = depth <= 1
+        gap = " " if item.rest and space else ""
+        end = code_end(text, 0, size) if text and size else None
+        closes = end is not None and not text[end:].strip(WHITE) and not _state_after(text, size)
+        item.sources.append(source)
+        if closes and width_of(item.rest + gap + text) > item.room:
+            # joined, the span would not fit: its lines stay
+            if item.mode == "verbatim":
+                self.flush()
+                return
+            self.item = None
+            for line, breaks in ((item.next_prefix() + item.rest, item.hard), (source, hard)):
+                self.out.append(line + ("  " if breaks and not line.endswith("  ") else ""))
+            return
+        item.hard |= hard
+        if not text:
+            return
+        if gap:
+            item.spaces.append(len(item.rest))
+        offset = len(item.rest) + len(gap)
+        item.rest += gap + text
+        after = _state_after(text, size) if size else 0
+        again = self._opened_again(text, size)
+        if after:
+            if again:
+                item.mode = "verbatim"
+            item.open = after
+            item.split |= item.mode == "verbatim"
+        elif again:
+            item.open, item.split = 0, True
+            self._divide(offset + again[0], again[1])
+        else:
+            item.open = 0
+            word = size and end is not None and _WORDLY.match(text, end)
+            item.mode = "verbatim" if word else "fit"
+            if hard or item.split:
+                self.flush()
+
+    @staticmethod
+    def _opened_again(text: str, size: int) -> tuple[int, int] | None:
+        """(place, size) of a span that a line opens behind the one it closes, if it goes on there."""
+        end = code_end(text, 0, size) if size else 0
+        if end is None or not (found := open_code(text[end:])) or found[1] == len(text) - end:
+            return None
+        return end + found[1] - found[0], found[0]
+
+    def _divide(self, at: int, size: int) -> None:
+        """Write what is before the reopened span; the rest goes on as the item."""
+        item = self.item
+        if item.rest[:at]:
+            prefix = item.next_prefix()
+            first, *more = fit(item.rest[:at], item.room) or [""]
+            lines = [prefix + first, *((prefix if item.repeats else item.behind) + x for x in more)]
+            if item.hard:
+                _with_break(lines)
+            self.out += lines
+        tail = item.rest[at + size :]
+        blank = not tail.strip(WHITE)
+        item.rest = "`" * size + ("" if blank else tail)
+        item.spaces = [x - at for x in item.spaces if 0 <= x - at < len(item.rest)]
+        found = open_code(item.rest)
+        item.open, item.mode, item.hard = found[0] if found else 0, "tight" if blank else "fit", False
+        item.sources = [item.behind + item.rest]
+        if not found:
+            self.flush()
+
+    def _continues(self, row: dict) -> bool:
+        """Whether a line was taken by the open item (or began one in its place)."""
+        item, quote = self.item, row["quote"]
+        if quote is not None and item.outer == quote and row["kind"] is None:
+            self.go_on(*_content(row["inner"]), row["line"])
+        elif row["prefix"] is not None:
+            if row["repeats"] and item.prefix == row["prefix"]:
+                self.go_on(*_content(row["rest"]), row["line"])
+            else:
+                self.begin(row)
+        elif row["as_is"]:
+            self.verbatim(row["line"])
+        elif item.open:
+            self.go_on(*_content(row["inner"]), row["line"])
+        elif row["line"].startswith(item.behind):
+            self.go_on(*_content(row["line"][len(item.behind) :]), row["line"])
+        else:
+            self.flush()
+            return False
+        return True
+
+    def read(self, row: dict) -> None:
+        if self.item and self._continues(row):
+            return
+        if row["as_is"]:
+            self.verbatim(row["line"])
+        elif row["prefix"] is not None:
+            self.begin(row)
+        else:
+            if not self.held:
+                inner = row["inner"]
+                own = inner[: len(inner) - len(inner.lstrip(WHITE))]
+                self.indent = (self.next_indent if self.next_indent is not None else own) if own else ""
+                self.next_indent = None
+            self.held.append(_content(row["inner"]))
+
+
+def wrapped(rows: list[dict], width: int) -> list[str]:
+    """The lines of a block, wrapped."""
+    block = Block(width)
+    for row in rows:
+        block.read(row)
+    block.flush()
+    return block.out
+
+
+def _wrapper(width: int):
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(blocks: pa.Array) -> pa.Array:
+        return pa.array([wrapped(x, width) if x else [] for x in blocks.to_pylist()], pa.list_(pa.string()))
+
+    return run
 
 
 def is_verbatim(line: Column) -> Column:
@@ -123,47 +486,34 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     Plain lines join into one paragraph under the first one's indent; a hard break (two spaces, a br
     tag or an odd backslash) ends one with two spaces. An item, definition or quote line is a paragraph
     of its own, with the lines that end a code span it leaves open: its prefix is repeated for quotes,
-    otherwise its continuation lines are indented. A code span that is wider than a line keeps its own
-    line ends in a plain paragraph whose lines were all narrow enough."""
+    otherwise its continuation lines are indented. A code span that is wider than a line keeps its own line
+    ends in a plain paragraph whose lines were all narrow enough, and in an item whose span its next line ends."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
     rows = with_link_parts(explode_lines(docs))
-    kind = X.block_kind(line)
-    prefix = (
-        F.when(kind == "bullet", F.regexp_extract(line, X.BULLET, 1))
-        .when(kind == "footnote_definition", F.concat(F.regexp_extract(line, X.FOOTNOTE_DEFINITION, 1), F.regexp_extract(line, X.FOOTNOTE_DEFINITION, 2)))
-        .when(kind == "blockquote", F.regexp_extract(line, X.QUOTE, 1))
-    )
-    rows = rows.withColumn("_as_is", F.col("code") | F.col("link_part") | is_verbatim(line)).withColumn("_prefix", F.when(~F.col("_as_is"), prefix))
-    hard = ~F.col("_as_is") & line.rlike(_HARD)
-    rows = rows.withColumn("_hard", hard)
-    alone = F.col("_as_is") | F.col("_prefix").isNotNull()
+    quoted = line.rlike(X.QUOTE)
+    rows = rows.withColumn("_quote", F.when(quoted, F.regexp_extract(line, X.QUOTE, 1)))
+    rows = rows.withColumn("_inner", F.when(quoted, F.regexp_extract(line, X.QUOTE, 2)).otherwise(line))
+    inner, outer = F.col("_inner"), F.coalesce("_quote", F.lit(""))
+    own = F.when(inner.rlike(X.BULLET), F.regexp_extract(inner, X.BULLET, 1)).when(
+        inner.rlike(X.FOOTNOTE_DEFINITION), F.concat(F.regexp_extract(inner, X.FOOTNOTE_DEFINITION, 1), F.regexp_extract(inner, X.FOOTNOTE_DEFINITION, 2))
+    )
+    rows = rows.withColumn("_own", own).withColumn("_as_is", F.col("code") | F.col("link_part") | is_verbatim(inner))
+    has_prefix = F.col("_own").isNotNull() | F.col("_quote").isNotNull()
+    # lines that no open item can take end a block, and are one themselves
+    alone = F.coalesce(F.col("code") | F.col("link_part") | (F.col("_as_is") & ~has_prefix), F.lit(True))
     rows = rows.withColumn("_alone", alone)
-    # lines that go on with a code span which an item or quote has left open belong to it: those behind
-    # which, from the item on, the count of backtick runs has been odd all along
-    rows = rows.withColumn("_group", F.sum(F.col("_alone").cast("int")).over(w))
-    group = Window.partitionBy("doc_id", "_group").orderBy("line_no")
-    runs = F.size(F.regexp_extract_all(F.coalesce(line, F.lit("")), F.lit(r"(?<!\\)`+"), F.lit(0)))
-    rows = rows.withColumn("_open", F.sum(runs).over(group) % 2).withColumn("_item", F.first(F.col("_prefix").isNotNull()).over(group))
-    goes_on = ~F.col("_alone") & F.col("_item") & (F.min("_open").over(group.rowsBetween(Window.unboundedPreceding, -1)) == 1)
-    rows = rows.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
-    before = F.lag(F.col("_alone") | F.col("_hard") | F.col("_on")).over(w)
-    starts = ~F.col("_on") & (F.col("_alone") | F.coalesce(before, F.lit(True)))
-    rows = rows.withColumn("_part", F.sum(starts.cast("int")).over(w))
-    text = F.when(F.col("_hard"), F.regexp_replace(line, r"(?:\p{IsWhite_Space}+|(?i:<br\p{IsWhite_Space}*/?>)\p{IsWhite_Space}*)\z", "")).otherwise(line)
+    starts = F.col("_alone") | F.coalesce(F.lag("_alone").over(w), F.lit(True))
+    rows = rows.withColumn("_block", F.sum(starts.cast("int")).over(w))
     # the prefix is cut by length: what follows it may hold anything
-    body = F.when(F.col("_prefix").isNotNull(), F.substr(text, F.length("_prefix") + 1)).otherwise(text)
-    rows = rows.withColumn("_text", X.trim(body))
-    first = F.coalesce(F.col("_prefix"), X.leading_indent(line))
-    rows = rows.withColumn("_first", first)
-    is_quote = F.col("_prefix").rlike(X.QUOTE)
-    item = F.struct("line_no", "_text", "line", "_first", "_hard", "_as_is", "code", is_quote.alias("_quote"), F.col("_prefix").isNotNull().alias("_item"))
-    parts = rows.groupBy("doc_id", "_part").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(item)).alias("_all"))
-    head, tail = F.get(F.col("_all"), F.lit(0)), F.element_at("_all", -1)
-    rest = F.when(F.coalesce(head["_quote"], F.lit(False)) | ~head["_item"], head["_first"]).otherwise(F.repeat(F.lit(" "), X.display_width(head["_first"])))
-    texts = F.transform("_all", lambda x: x["_text"])
-    end = F.when(tail["_hard"] & ~tail["line"].endswith("\\"), F.lit("  ")).otherwise("")
-    parts = parts.withColumn("_made", F.when(~head["_as_is"], _wrapped(texts, head["_first"], rest, F.lit(width), end, head["_item"])))
-    kept = F.array(F.when(X.is_blank(head["line"]) & ~head["code"], "").otherwise(head["line"]))
-    lines = F.when(head["_as_is"], kept).otherwise(F.col("_made"))
-    lines = F.when(head["line"].isNotNull(), lines)
-    return pack_lines(parts.select("doc_id", "line_no", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
+    row = F.struct(
+        "line_no", "line", F.col("_quote").alias("quote"), F.col("_inner").alias("inner"), X.block_kind(inner).alias("kind"), F.col("_as_is").alias("as_is"),
+        F.when(has_prefix, F.concat(outer, F.coalesce("_own", F.lit("")))).alias("prefix"), F.col("_own").isNull().alias("repeats"),
+        F.substr(inner, F.coalesce(F.length("_own"), F.lit(0)) + 1).alias("rest"),
+    )
+    blocks = rows.groupBy("doc_id", "_block").agg(
+        F.min("line_no").alias("line_no"), F.first("line").alias("line"), F.first("code").alias("code"), F.first("_alone").alias("_alone"),
+        F.array_sort(F.collect_list(F.when(~F.col("_alone"), row))).alias("_rows"),
+    )
+    kept = F.when(F.col("line").isNotNull(), F.array(F.when(X.is_blank(line) & ~F.col("code"), "").otherwise(line)))
+    lines = F.when(F.col("_alone"), kept).otherwise(_wrapper(width)("_rows"))
+    return pack_lines(blocks.select("doc_id", "line_no", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import blocks, footnotes, html, inline, lines, tables, wrap
+from ..operators import blocks, footnotes, html, inline, lines, spans, tables, wrap
 from .pipeline import Options, normalize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -596,6 +596,111 @@ def normalize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(normalize(docs, Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)))
 
 
+def _customers(spark: SparkSession, sf_dir: str, *lines_: Column) -> DataFrame:
+    """A document of some lines for each customer."""
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*lines_).alias("lines"))
+
+
+def _filled(*made: str) -> list[Column]:
+    """Lines in which $ stands for the customer's name."""
+    return [F.replace(F.lit(x), F.lit("$"), F.col("c_name")) for x in made]
+
+
+@query(r"""
+SELECT c_custkey AS doc_id, CAST(v.l AS BIGINT) AS line_no, CAST(v.pos AS BIGINT) AS pos, v.kind, replace(v.x, '$', c_name) AS text,
+  CAST(length(replace(v.x, '$', c_name)) + CASE WHEN contains(v.x, '漢') THEN 1 ELSE 0 END AS BIGINT) AS width
+FROM customer CROSS JOIN (VALUES (0, 0, 'plain', 'of'), (0, 1, 'whitespace', '  '), (0, 2, 'code', '(`a $`),'), (0, 3, 'whitespace', ' '), (0, 4, 'link', '[$ `c`](u(v)) ![i](w)'), (0, 5, 'whitespace', ' '),
+  (0, 6, 'plain', '漢'), (1, 0, 'footnote', '$.[^1]'), (1, 1, 'whitespace', ' '), (1, 2, 'plain', 'pre-`$`'), (1, 3, 'whitespace', ' '), (1, 4, 'plain', '2 Feb 2020'), 
+  (1, 5, 'plain', ' [^n]:'), (1, 6, 'whitespace', ' '), (1, 7, 'link', '"[a](b)"'), (6, 0, 'plain', '('), (6, 1, 'plain', '`$ and the rest.')) v(l, pos, kind, x)
+""")
+def inline_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that lines are broken between, with their kinds and widths."""
+    made = ["of  (`a $`), [$ `c`](u(v)) ![i](w) 漢", "$. [^1] pre-`$` 2 Feb 2020 [^n]: \"[a](b)\"", "", "```", "`in` fence", "```", "(`$ and the rest."]
+    return spans.inline_fragments(_customers(spark, sf_dir, *_filled(*made)))
+
+
+@query(r"""
+WITH t AS (SELECT c_custkey AS doc_id, c_custkey % 2 AS code, CAST(69 + c_custkey // 2 % 12 AS INT) AS m, repeat('x', CAST(69 + c_custkey // 2 % 12 AS INT)) AS a, c_name AS n FROM customer),
+l AS (SELECT doc_id, code, a, CASE WHEN code = 1 THEN '`c`' ELSE 'cde' END AS c, CASE WHEN m <= 72 THEN 3 WHEN m <= 76 THEN 2 WHEN m = 77 THEN 1 + code ELSE 1 END AS k, n FROM t)
+SELECT doc_id, CAST(0 AS BIGINT) AS line_no, array_to_string([a, 'ab', c, 'end'][1:k], ' ') AS line FROM l
+UNION ALL SELECT doc_id, 1, array_to_string(list_concat([a, 'ab', c, 'end'][k + 1:], [n]), ' ') FROM l
+""")
+def wrap_last_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word may end in the last column before code, but not before another word."""
+    pad = F.repeat(F.lit("x"), F.expr("int(69 + c_custkey div 2 % 12)"))
+    third = F.when(F.col("c_custkey") % 2 == 1, "`c`").otherwise("cde")
+    return _out(wrap.wrap(_customers(spark, sf_dir, F.concat_ws(" ", pad, F.lit("ab"), third, F.lit("end"), "c_name"))))
+
+
+@query(r"""
+SELECT c_custkey AS doc_id, CAST(v.pos AS BIGINT) AS pos, v.kind, replace(v.raw, '$', c_name) AS raw, v.fence, replace(v.code, '$', c_name) AS code
+FROM customer CROSS JOIN (VALUES (0, 'code', '`$\` b`', '`', '$\` b'), (1, 'text', ' c', '', ''), (2, 'newline', chr(10), '', ''), (3, 'code', '`$\`', '`', '$\'), (4, 'text', ' b', '', ''), (5, 'newline', chr(10), '', ''),
+  (6, 'text', '\` ', '', ''), (7, 'code', '`` a` $ ``s', '``', ' a` $ '), (8, 'text', ' ` d', '', ''), (9, 'newline', chr(10), '', ''), (10, 'code', '`a\`', '`', 'a\'), (11, 'text', ' $ ', '', ''), (12, 'code', '`b`', '`', 'b'), (13, 'text', ' c`', '', ''))
+  v(pos, kind, raw, fence, code)
+""")
+def code_closing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run of backticks that closes a span: an escaped one only if no other does, or another follows that one."""
+    made = ["`$\\` b` c", "`$\\` b", "\\` `` a` $ ``s ` d", "`a\\` $ `b` c`"]
+    return inline.tokenize(_customers(spark, sf_dir, *_filled(*made)))
+
+
+@query(r"""
+WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, c_custkey % 6 AS k FROM customer)
+SELECT doc_id, CAST(v.i AS BIGINT) AS line_no, replace(v.x, '$', n) AS line FROM t JOIN (VALUES
+  (0, 0, '- [ ] Do `f(g($))` now'), (0, 1, 'then'), (1, 0, '- run `$` here and go on'), (2, 0, '> - use `a $` b'), (3, 0, '- one `a'), (3, 1, '  $`s end'), (4, 0, '1. code `C:\$\` ends'), (4, 1, 'next'),
+  (5, 0, '- [x] `a'), (5, 1, '      $` is indented code')) v(k, i, x) USING (k)
+""")
+def wrap_open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose line leaves a code span open: joined tightly within parentheses or right behind the opening run, left as
+    they are where a word part follows the closing one, and fitted otherwise, with what follows under the item."""
+    made = (
+        ["- [ ] Do `f(g(", "  $))` now", "then"],
+        ["- run `", "  $", "  ` here and", "  go on"],
+        ["> - use `a", "> $` b"],
+        ["- one `a", "  $`s end"],
+        ["1. code `C:\\$\\` ends", "next"],
+        ["- [x] `a", "      $` is indented code"],
+    )
+    each = [F.when(F.col("c_custkey") % 6 == i, F.array(*_filled(*x))) for i, x in enumerate(made)]
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.coalesce(*each).alias("lines"))
+    return _out(wrap.wrap(docs))
+
+
+@query(r"""
+SELECT c_custkey AS doc_id, CAST(v.i AS BIGINT) AS line_no, replace(v.x, '$', c_name) AS line FROM customer CROSS JOIN (VALUES
+  (0, 'Some words about'), (1, '`the $ of a span that is wider than any'), (2, 'line may be, as it has $ in it twice`'), (3, 'and more.'), (4, ''), (5, '- an item `with a span that is as wide as that one and'), (6, '  goes on with $ here to its end`')) v(i, x)
+""")
+def wrap_wide_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code that is wider than a line keeps its own line ends, in paragraphs and items."""
+    made = ["Some words about `the $ of a span that is wider than any", "line may be, as it has $ in it twice` and", "more.", "", "- an item `with a span that is as wide as that one and", "  goes on with $ here to its end`"]
+    return _out(wrap.wrap(_customers(spark, sf_dir, *_filled(*made))))
+
+
+@query(r"""
+WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, repeat('y', CAST(60 - length(c_name) AS INT)) AS pad FROM customer)
+SELECT doc_id, CAST(0 AS BIGINT) AS line_no, n || ' ' || pad AS line FROM t
+UNION ALL SELECT doc_id, 1, '[deep \] ' || n || '](a(b(c(d(e f))))) end' FROM t
+UNION ALL SELECT doc_id, 2, '' FROM t
+UNION ALL SELECT doc_id, 3, n || ' ' || pad FROM t
+UNION ALL SELECT doc_id, 4, '[open](' || n || ' (and all the rest of it) that nothing closes, however long it may be or become' FROM t
+""")
+def wrap_nested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links with parentheses five deep and escaped brackets stay whole; an open target takes the rest of its text."""
+    pad = F.concat("c_name", F.lit(" "), F.repeat(F.lit("y"), (60 - F.length("c_name")).cast("int")))
+    deep, open_ = _filled(" [deep \\] $](a(b(c(d(e f))))) end", " [open]($ (and all the rest of it) that nothing closes, however long it may be or become")
+    return _out(wrap.wrap(_customers(spark, sf_dir, F.concat(pad, deep), F.lit(""), F.concat(pad, open_))))
+
+
+@query(r"""
+SELECT c_custkey AS doc_id, CAST(v.i AS BIGINT) AS line_no, replace(v.x, '$', c_name) AS line FROM customer CROSS JOIN (VALUES
+  (0, '[$...](http://u/...) and… ![i...](./v/...)… so…'), (1, 'See <https://$/...>, (www.$...) or ../a/...b and/or…'), (2, '`$...` [a(`b...`)…](c…) \<x:…> …'), (3, '[$ [x...](y...)](z…) end…')) v(i, x)
+""")
+def ellipsis_literal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dots stay in code, links, autolinks, addresses and paths, which may overlap."""
+    made = ["[$...](http://u/...) and... ![i...](./v/...)... so...", "See <https://$/...>, (www.$...) or ../a/...b and/or...", "`$...` [a(`b...`)...](c...) \\<x:...> ...", "[$ [x...](y...)](z...) end..."]
+    return _out(inline.replace_ellipsis(_customers(spark, sf_dir, *_filled(*made))))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

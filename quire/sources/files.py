@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,36 +15,52 @@ from ..plans.pipeline import Options, normalize_texts
 SCHEMA = "doc_id long, path string, ok boolean, text string, error string"
 
 
+def _visible(spark: SparkSession, path, fs, conf):
+    """A copy under a name that Spark's readers don't pass over, in the folder that executors share."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    copy = hadoop.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}", "x" + path.getName())
+    other = copy.getFileSystem(conf)
+    if not hadoop.FileUtil.copy(fs, path, other, copy, False, conf):
+        raise OSError(f"{path}: could not be copied")
+    return other.makeQualified(copy)
+
+
 def read_texts(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     """(doc_id, path, ok, text, error): one row per path in input order (doc_id from 0). A path that
-    doesn't exist gives an error row instead of failing the job."""
-    paths = list(paths)
+    doesn't exist, is a folder or is not UTF-8 gives an error row instead of failing the job. Executors read and
+    decode the files; the driver only asks for their state. Files whose names begin with _ or . are copied first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found, ready = [], []
     for i, p in enumerate(paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
         fs = path.getFileSystem(conf)
-        if not fs.exists(path):
+        try:
+            state = fs.getFileStatus(path)
+        except Py4JJavaError as e:
+            if "FileNotFoundException" not in e.java_exception.getClass().getName():
+                raise
             ready.append((i, p, False, None, "no such file"))
-        elif fs.getFileStatus(path).isDirectory():
+            continue
+        if state.isDirectory():
             ready.append((i, p, False, None, "is a folder"))
-        elif fs.getFileStatus(path).getLen() == 0:
+        elif state.getLen() == 0:
             ready.append((i, p, True, "", None))
-        elif path.getName()[0] in "_.":  # Spark's readers pass over such names
-            stream = fs.open(path)
-            ready.append((i, p, True, jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), None))
-            stream.close()
         else:
-            whole = fs.makeQualified(path)
+            whole = _visible(spark, path, fs, conf) if path.getName()[0] in "_." else fs.makeQualified(path)
             found.append((i, p, whole.toUri().toString(), whole.toString()))
     out = spark.createDataFrame(ready, SCHEMA)
     if found:
         keys = spark.createDataFrame([x[:3] for x in found], "doc_id long, path string, uri string")
         bare = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        texts = spark.read.text(list(dict.fromkeys(x[3] for x in found)), wholetext=True).select("value", bare(F.col("_metadata.file_path")).alias("uri"))
-        joined = keys.withColumn("uri", bare(F.col("uri"))).join(texts, "uri", "left")
-        error = F.when(F.col("value").isNull(), "could not be read")
-        out = out.union(joined.select("doc_id", "path", F.col("value").isNotNull(), "value", error))
+        contents = spark.read.format("binaryFile").load(list(dict.fromkeys(x[3] for x in found)))
+        contents = contents.select("content", bare(F.col("_metadata.file_path")).alias("uri"))
+        joined = keys.withColumn("uri", bare(F.col("uri"))).join(contents, "uri", "left")
+        # the cast keeps the bytes, whatever they are
+        text = F.col("content").cast("string")
+        ok = F.coalesce(F.is_valid_utf8(text), F.lit(False))
+        error = F.when(F.col("content").isNull(), "could not be read").when(~ok, "is not UTF-8")
+        out = out.union(joined.select("doc_id", "path", ok, F.when(ok, text), error))
     return out
 
 

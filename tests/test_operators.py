@@ -1,12 +1,15 @@
 """Small cases per operator: what goes in, what comes out."""
 
+import re
+import time
+
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import blocks, footnotes, html, inline, tables, wrap
+from quire.operators import blocks, footnotes, html, inline, spans, tables, wrap
 from quire.operators.lines import join_lines, split_lines
 from quire.plans.pipeline import Options, normalize, normalize_texts
 from quire.sources import files
@@ -89,8 +92,8 @@ def test_fences(spark):
 
 def test_footnotes(spark):
     cases = [
-        (["See the docs.2"], ["See the docs.[^1]"]),
-        (["a tricky one  9 : and"], ["a tricky one[^1]: and"]),
+        (["Rain fell all week.4"], ["Rain fell all week.[^1]"]),
+        (["the third valve  6 : shut"], ["the third valve[^1]: shut"]),
         (["# Title.7 x"], ["# Title.7 x"]),
         (["B[^9] a[^4] b[^9]", "", "[^4]: four", "[^9]: nine", "  more"], ["B[^1] a[^2] b[^1]", "", "[^1]: nine", "  more", "[^2]: four"]),
         # empty lines between definitions travel with the next one, that of the first goes behind it
@@ -144,8 +147,8 @@ def test_wrap(spark):
 
 def test_wrap_units(spark):
     pad = "x" * 68
-    got = run(spark, wrap.wrap, [pad + " 25th December 2025 is it"], [pad + " [a b](u) [c](v) z"], ["[l]:", "  http://x.y", '  "Some title"', "a", "b"], ["Point. [^1] more"])
-    assert got[0] == [pad, "25th December 2025 is it"] and got[1] == [pad, "[a b](u) [c](v) z"]
+    got = run(spark, wrap.wrap, [pad + " 7th October 1998 was dry"], [pad + " [a b](u) [c](v) z"], ["[l]:", "  http://x.y", '  "Some title"', "a", "b"], ["Point. [^1] more"])
+    assert got[0] == [pad, "7th October 1998 was dry"] and got[1] == [pad, "[a b](u) [c](v) z"]
     assert got[2] == ["[l]:", "  http://x.y", '  "Some title"', "a b"] and got[3] == ["Point.[^1] more"]
 
 
@@ -160,7 +163,127 @@ def test_wrap_links_dates_and_code(spark):
         assert wrap.fit(f"{pad} {pad[:10]} {unit} end", 80)[1].startswith(unit[: unit.find(",") + 1 or None]), unit
     one, other = "word " * 8 + "`" + "alpha " * 6, "beta " * 12 + "`"
     got = run(spark, wrap.wrap, [one.strip(), other, "after it"], ["- a ` ", "b", "` c"], ["- a `", "b", "` c"])
-    assert got == [[one.strip(), other + " after it"], ["- a `b` c"], ["- a `b` c"]]
+    # a span that is too wide stands apart from the words around it
+    assert got == [[("word " * 8).strip(), ("`" + "alpha " * 6).strip(), other, "after it"], ["- a `b` c"], ["- a `b` c"]]
+
+
+CASES = [
+    (["- Call `outer(inner(", "  arg))` at once."], ["- Call `outer(inner(arg))` at once."]),
+    (["- Call `f(", "  x)` at once."], ["- Call `f( x)` at once."]),
+    (["* The path `D:\\tmp\\` is full.", "Second."], ["* The path `D:\\tmp\\` is full.", "Second."]),
+    (["> > The `wide", "> > span` of it", "> and out."], ["> > The `wide span` of it", "> and out."]),
+    (["> Open `one", ">> Other` depth."], ["> Open `one", ">> Other` depth."]),
+    (["- a `b", "  ", "  c` d"], ["- a `b", "", "  c` d"]),
+    (["- a `b", "- c` d"], ["- a `b", "- c` d"]),
+    (["- a `b", "  c` d  ", "  e"], ["- a `b c` d  ", "  e"]),
+    (["- a `b", "  c`d e", "f"], ["- a `b", "  c`d e", "f"]),
+    (["- a `b", "  c`d e", "  f"], ["- a `b c`d e f"]),
+    (["- x ``a ` b", "  c`` y"], ["- x ``a ` b c`` y"]),
+    (["> - quoted" + " word" * 15], ["> - quoted " + "word " * 12 + "word", ">   word word"]),
+    (["> # Title", "> text", "> more"], ["> # Title", "> text", "> more"]),
+    (["a `b", "```", "x", "```", "c`"], ["a `b", "```", "x", "```", "c`"]),
+]
+
+
+def test_items_with_open_code(spark):
+    assert run(spark, wrap.wrap, *[a for a, _ in CASES]) == [b for _, b in CASES]
+
+
+def block(lines):
+    """wrap.wrapped() of items and plain lines, as wrap() deals them."""
+    rows = []
+    for line in lines:
+        own = re.match(r"(?:[-*] |> |)", line)[0]
+        quote = "> " if own == "> " else None
+        inner = line[2:] if quote else line
+        rows.append({"line": line, "quote": quote, "inner": inner, "kind": "bullet" if own and not quote else None, "as_is": False, "prefix": own or None, "repeats": quote is not None, "rest": line[len(own) :]})
+    return wrap.wrapped(rows, 40)
+
+
+ITEM = ["word", "longer-words", "`code`", "`open", "close`", "``two", "two``", "(`x`).", "f(g(", "))", "[a](b c)", "end.[^1]", "`", "x" * 30]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["- ", "* ", "> "]), st.lists(st.lists(st.sampled_from(ITEM), min_size=1, max_size=8), min_size=1, max_size=4))
+def test_items_keep_their_text_and_prefix(prefix, parts):
+    lines = [(prefix if not i or prefix == "> " else "  ") + " ".join(x) for i, x in enumerate(parts)]
+    once = block(lines)
+    bare = lambda lines: "".join("".join(x.removeprefix("> ") for x in lines).split())
+    assert bare(once) == bare(lines)
+    assert once[0].startswith(prefix.strip())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["- ", "* ", "> "]), st.lists(st.sampled_from(["word", "longer-words", "a", "`code`", "(`x`).", "end.", "[a](b)"]), min_size=1, max_size=40), st.integers(0, 39), st.integers(0, 9))
+def test_wrapping_an_item_with_a_span_over_two_lines_twice_changes_nothing(prefix, words, at, more):
+    """A span that the first line opens and the second closes."""
+    at = min(at, len(words))
+    first, second = [*words[:at], "`open"], ["close`", *words[at : at + more]]
+    behind = prefix if prefix == "> " else "  "
+    once = block([prefix + " ".join(first), behind + " ".join(second)])
+    assert block(once) == once
+
+
+@given(st.text(alphabet="a`\\ ", max_size=30))
+def test_code_spans_take_the_right_closing_run(text):
+    for start, end, size in spans.code_spans(text):
+        runs = [m for m in re.finditer("`+", text[start + size :]) if len(m[0]) == size]
+        odd = [len(re.search(r"\\*\Z", text[: start + size + m.start()])[0]) % 2 for m in runs]
+        plain = odd.index(0) if 0 in odd else None
+        want = runs[-1] if plain is None else runs[plain] if not plain or plain + 1 == len(runs) else runs[plain - 1]
+        assert end == start + size + want.end()
+
+
+def brute_link(text, start):
+    """End of a link at start, by counting."""
+    at = start + 1
+    while at < len(text) and text[at] != "]":
+        at += 1 + (text[at] == "\\")
+    if text[at + 1 : at + 2] != "(":
+        return None
+    depth, at = 0, at + 1
+    while at < len(text):
+        c = text[at]
+        depth += (c == "(") - (c == ")")
+        at += 1 + (c == "\\")
+        if not depth:
+            return at
+    return len(text)
+
+
+@given(st.text(alphabet="[]()\\a", max_size=30))
+def test_links_of_any_depth(text):
+    text = "[" + text
+    want = brute_link(text, 0)
+    if want is not None:
+        assert spans.Brackets(text).link_end(0) == want
+
+
+@given(st.text(alphabet="ab `[](!\\.-:^1)\"漢 ", max_size=60))
+def test_fragments_are_the_text(text):
+    assert "".join(spans.tokens(text)) == text
+    assert "".join("".join(f.text for f in spans.fragments(text)).split()) == "".join(text.split())
+
+
+def test_wrapping_is_linear():
+    for text in ("[" * 50_000, "[a](" * 20_000, "`a" * 20_001, "(" * 50_000, "\\`" * 30_000, "[^" * 30_000, "a " * 50_000, "`" + "\\` " * 20_000):
+        began = time.time()
+        wrap.fit(text, 80)
+        spans.literal_spans(text + "...")
+        assert time.time() - began < 5, text[:10]
+
+
+def test_files_that_are_not_utf8(spark, tmp_path):
+    (tmp_path / "bad.md").write_bytes(b"a \xff\xfe b\n")
+    (tmp_path / "_cut.md").write_bytes("é".encode()[:1])
+    (tmp_path / ".good.md").write_text("|a|b|\n|1|é|\n")
+    names = [str(tmp_path / x) for x in ("bad.md", "_cut.md", ".good.md")]
+    got = files.read_texts(spark, names).orderBy("doc_id").collect()
+    assert [(r.ok, r.text, r.error) for r in got] == [(False, None, "is not UTF-8"), (False, None, "is not UTF-8"), (True, "|a|b|\n|1|é|\n", None)]
+    from quire.__main__ import main
+
+    assert main(["--in-place", *names]) == 1
+    assert (tmp_path / "bad.md").read_bytes() == b"a \xff\xfe b\n" and (tmp_path / ".good.md").read_text() == "| a | b |\n| 1 | é |\n"
 
 
 PIECES = ["word", "a", "of", "`code span`", "`x`", "[link text](http://u)", "4 May 2021", "longer-word-than-others", "end.", "漢字", "[^1]", "(`in it`),", "x" * 45]
