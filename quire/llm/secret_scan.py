@@ -13,6 +13,9 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,18 +100,29 @@ def is_der_key(data: bytes) -> bool:
     return tags[1] == 0x04 and len(parts[1][1]) >= 16 and all(t in (0xA0, 0xA1) for t in tags[2:])
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """The private key format of OpenSSH: a magic string, three length-prefixed fields and a count."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
+#: Bytes that a name or an option in an OpenSSH key may have; the formats in use have less than 100.
+FIELD = 1024
+_MAGIC = b"openssh-key-v1\0"
+
+
+def ssh_header(data: bytes) -> bool | None:
+    """Whether data begins as a private key in OpenSSH's format: a magic string, three length-prefixed fields and a
+    count. None if there is too little of it to tell."""
+    if not data.startswith(_MAGIC):
+        return None if _MAGIC.startswith(data) else False
+    at = len(_MAGIC)
     for _ in range(3):
         n = int.from_bytes(data[at : at + 4], "big")
-        at += 4 + n
-        if at + 4 > len(data):
+        if len(data) < at + 4:
+            return None
+        if n > FIELD:
             return False
-    return 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+        at += 4 + n
+    return None if len(data) < at + 4 else 1 <= int.from_bytes(data[at : at + 4], "big") <= 64
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return ssh_header(data) is True
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -143,43 +157,85 @@ def _der_chars(text: str, start: int) -> int | None:
     return -(-(2 + size + n) * 4 // 3)
 
 
-def _gathered(text: str, start: int, chars: int | None) -> tuple[str, int]:
-    """Up to that many characters of base64 from start on, over line breaks, and the end. Without a number,
-    lines as long as the first one and a shorter last one; a first line over LINE_WIDTH stands alone."""
-    parts, have, at, end = [], 0, start, start
-    while m := _LINE.match(text, at):
-        if chars is None and parts and len(m[0]) > len(parts[0]):
-            break
-        parts.append(m[0])
-        have, end = have + len(m[0]), m.end()
-        last = have >= chars if chars is not None else len(m[0]) < len(parts[0]) or len(parts[0]) > LINE_WIDTH
-        more = _BREAK.match(text, end)
-        if last or not more:
-            break
-        at = more.end()
-    at = end
-    while end < len(text) and text[end] == "=" and end < at + 2:
-        end += 1
-    return "".join(parts), end
+class Lines:
+    """The runs of base64 characters of a text, and how many of them there are before each; runs that only a line
+    break parts belong to one chain. What a start needs is found by search, not by reading on."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends, self.before, self.chains = text, [], [], [0], []
+        for m in _LINE.finditer(text):
+            linked = bool(self.ends) and (x := _BREAK.match(text, self.ends[-1])) is not None and x.end() == m.start()
+            self.chains.append(self.chains[-1] if linked else len(self.starts))
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            self.before.append(self.before[-1] + m.end() - m.start())
+
+    def by_length(self, start: int, chars: int) -> tuple[str, int] | None:
+        """That many characters from start on, over line breaks, and the end of their padding, if a run ends there."""
+        first = bisect_right(self.starts, start) - 1
+        last = bisect_left(self.before, self.before[first] + start - self.starts[first] + chars) - 1
+        if last >= len(self.starts) or self.chains[last] != self.chains[first]:
+            return None
+        if self.before[last + 1] - self.before[first] - (start - self.starts[first]) != chars:
+            return None
+        parts = [self.text[max(start, a) : b] for a, b in zip(self.starts[first : last + 1], self.ends[first : last + 1])]
+        return "".join(parts), self._padded(self.ends[last])
+
+    def by_lines(self, start: int) -> tuple[str, int] | None:
+        """An OpenSSH key from start on: lines as long as the first and a shorter last one; a first one over
+        LINE_WIDTH stands alone. None if its header doesn't hold, which its first lines tell."""
+        first = last = bisect_right(self.starts, start) - 1
+        width = self.ends[first] - start
+        parts, known = [self.text[start : self.ends[first]]], None
+        while width <= LINE_WIDTH and self.ends[last] - max(start, self.starts[last]) == width:
+            if last + 1 == len(self.starts) or self.chains[last + 1] != self.chains[last] or self.ends[last + 1] - self.starts[last + 1] > width:
+                break
+            last += 1
+            parts.append(self.text[self.starts[last] : self.ends[last]])
+            if known is None:
+                head = "".join(parts)
+                known = ssh_header(unbase64(head[: len(head) // 4 * 4]) or b"")
+                if known is False:
+                    return None
+        return "".join(parts), self._padded(self.ends[last])
+
+    def _padded(self, end: int) -> int:
+        at = end
+        while end < len(self.text) and self.text[end] == "=" and end < at + 2:
+            end += 1
+        return end
 
 
 def _wrapped(text: str) -> list[Span]:
     """Keys in base64 by the length that they name, or OpenSSH keys up to the end of their lines."""
-    found, done = [], 0
+    found, done, lines = [], 0, None
     for m in _START.finditer(text):
         start = m.start()
-        chars = None if m[0][0] == "b" else _der_chars(text, start)
-        if start < done or m[0][0] == "M" and (chars is None or chars > len(text) - start):
+        if start < done:
             continue
-        run, end = _gathered(text, start, chars)
-        if chars is not None and len(run) != chars:
+        chars = None
+        if m[0][0] == "M" and ((chars := _der_chars(text, start)) is None or chars > len(text) - start):
             continue
-        if kind := _key_kind(unbase64(run)):
-            found.append((kind, start, end))
-            done = end
+        lines = lines or Lines(text)
+        got = lines.by_lines(start) if chars is None else lines.by_length(start, chars)
+        if got and (kind := _key_kind(unbase64(got[0]))):
+            found.append((kind, start, got[1]))
+            done = got[1]
     return found
 
 
+def _outside(found: set[Span]) -> Callable[[int, int], bool]:
+    """Tells whether a stretch meets none of these spans."""
+    spans = sorted((a, b) for _, a, b in found)
+    starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def free(a: int, b: int) -> bool:
+        n = bisect_left(starts, b)
+        return not n or reach[n - 1] <= a
+
+    return free
+
+
 def confirmed(text: str) -> set[Span]:
     """Spans of decoded candidates whose structure holds."""
     found: set[Span] = {("jwt", *m.span()) for m in _TOKEN.finditer(text) if is_signed_token(m[1], m[2])}
@@ -188,8 +244,9 @@ def confirmed(text: str) -> set[Span]:
             if kind := _key_kind(unbase64(m[1])):
                 found.add((kind, m.start(1), m.start(1) + len(m[1].rstrip())))
     # keys over several lines before runs, as the first line of an OpenSSH key may pass for a whole one
-    free = lambda x, y: not any(a < y and x < b for _, a, b in found)
+    free = _outside(found)
     found |= {x for x in _wrapped(text) if free(*x[1:])}
+    free = _outside(found)
     for m in _RUN.finditer(text):
         run = m[0]
         kind = _key_kind(unbase64(run))

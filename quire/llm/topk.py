@@ -49,17 +49,33 @@ def blocks(vectors: DataFrame) -> DataFrame:
     return placed.groupBy("block", "size").applyInArrow(_block, "size int, ids binary, matrix binary, most binary, least binary")
 
 
-#: Below every score.
+#: Below every score; and what stands for a score too low for 64 bits, which is an error only if it is among the best.
 NONE = np.iinfo(np.int64).min
+TOO_LOW = NONE + 1
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of two integer matrices, exact as long as they fit in 64 bits. Floats
-    take part where every sum on the way stays below 2**53, so that they are exact as well."""
+def products(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two integer matrices, NONE for rows of one id. Floats take part where every sum on
+    the way stays below 2**53, so that they are exact as well. 64-bit sums that wrap around on the way are right
+    if the product fits, which floats tell but for the few near the edge; one that is too high is an error."""
+    own = a_ids[:, None] == b_ids[None, :]
     most = [float(np.abs(x.astype(float)).max()) if x.size else 0.0 for x in (a, b)]
-    if most[0] * most[1] * a.shape[1] < 2**53:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    return a @ b.T
+    bound = most[0] * most[1] * a.shape[1]
+    if bound < 2**53:
+        out = (a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    else:
+        with np.errstate(over="ignore"):
+            out = a @ b.T
+        if bound >= 2**62:
+            rough = a.astype(float) @ b.T.astype(float)
+            slack = 4 * a.shape[1] * np.finfo(float).eps * (np.abs(a.astype(float)) @ np.abs(b.astype(float)).T)
+            for i, j in zip(*np.nonzero((np.abs(rough) + slack >= 2**63) & ~own)):
+                exact = sum(x * y for x, y in zip(a[i].tolist(), b[j].tolist()))
+                if exact >= 2**63:
+                    raise OverflowError(f"the score of query {a_ids[i]} and vector {b_ids[j]} doesn't fit in 64 bits: {exact}")
+                out[i, j] = max(exact, TOO_LOW)
+    out[own] = NONE
+    return out
 
 
 def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -103,9 +119,7 @@ def search(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, index: lis
         for one in np.unique(b).tolist():
             rows = active[b == one]
             ids, matrix = index[one][0], index[one][1]
-            scores = products(queries[rows], matrix)
-            scores[q_ids[rows][:, None] == ids[None, :]] = NONE
-            top.add(rows, scores, ids)
+            top.add(rows, products(queries[rows], matrix, q_ids[rows], ids), ids)
     return top
 
 
@@ -156,7 +170,10 @@ def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query's candidates; tasks drop the others before the shuffle."""
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    message = F.format_string("the score of query %d and vector %d doesn't fit in 64 bits", "query_id", "vec_id")
+    score = F.when(F.col("score") == TOO_LOW, F.raise_error(message).cast("long")).otherwise(F.col("score"))
+    return best.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
@@ -165,7 +182,8 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
 
     Takes vec_id and embedding. Null vectors, empty ones and ones with null or non-finite components
     take no part; vectors of different lengths aren't compared. A repeated vec_id counts once, with
-    its least vector. Components are 64-bit integers, and scores have to fit in 64 bits, too. Other
+    its least vector. Components are 64-bit integers; a score among the best that doesn't fit in 64 bits is an error
+    that names its ids, one that is too low to be among them is none. Other
     columns are left out; no queries or no vectors give no rows. The jobs run when this is called."""
     spark = vectors.sparkSession
     whole = materialize(quantised(vectors), "vectors")
@@ -176,8 +194,7 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
         floor = np.full(len(q_ids), NONE)
         if few > k:
             for at in range(0, len(q_ids), 4096):
-                s = products(queries[at : at + 4096], queries[:few])
-                s[q_ids[at : at + 4096][:, None] == q_ids[None, :few]] = NONE
+                s = products(queries[at : at + 4096], queries[:few], q_ids[at : at + 4096], q_ids[:few])
                 floor[at : at + 4096] = np.partition(s, few - k, axis=1)[:, few - k]
         sent = spark.sparkContext.broadcast((q_ids, queries, floor))
         # written at once, so that the driver holds one chunk of queries at a time
