@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .store import with_fields
 
-#: Pre-tokens, and bytes of their ids, that a task keeps.
+#: Pre-tokens, and bytes of them and their ids, beyond which a task forgets those of earlier texts.
 CACHED, CACHED_BYTES = 300_000, 1 << 26
 #: Characters of texts that are encoded together; pre-tokens whose trees are rows of one array, and bytes of the
 #: longest of these.
@@ -205,9 +205,6 @@ class Vocabulary:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of new pre-tokens into the cache."""
-        if len(self.cache) >= CACHED or self.held > CACHED_BYTES:
-            self.cache.clear()
-            self.held = 0
         sized: dict[int, list[tuple[str, bytes]]] = {}
         for word in words:
             raw = word.encode("utf-8", "surrogatepass")
@@ -237,17 +234,13 @@ class Vocabulary:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         # for each text the words of its parts, and special tokens between them as they are
         parts = [[p if p in self.special else self.words(p) for p in self.split(x) if p] for x in texts]
-        new = {w for text in parts for p in text if type(p) is list for w in p if w not in self.cache}
-        self.learn(new)
-        get, out = self.cache.__getitem__, []
-        for x in parts:
-            # the cache may have been cleared of words that were known before
-            try:
-                out.append(b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in x]))
-            except KeyError:
-                self.learn({w for p in x if type(p) is list for w in p if w not in self.cache})
-                out.append(b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in x]))
-        return out
+        words = {w for text in parts for p in text if type(p) is list for w in p}
+        if len(self.cache) >= CACHED or self.held > CACHED_BYTES:
+            self.cache.clear()
+            self.held = 0
+        self.learn(words.difference(self.cache))
+        get = self.cache.__getitem__
+        return [b"".join([b"".join(map(get, p)) if type(p) is list else self.special[p].to_bytes(4, "little") for p in x]) for x in parts]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

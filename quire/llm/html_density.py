@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +32,9 @@ _MARKUP = re.compile(
 )
 # One attribute after the other: a name, then perhaps a value, which is consumed whole.
 _ATTRIBUTE = re.compile(r"""([^\s>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
-_ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
+_ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 _BITS = re.compile(r"[a-z]+|[0-9]+")
+_UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!important\s*)?(?:;|\Z)")
 
 # Element names of HTML by what they mean here, and words of class names and ids.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,8 +54,17 @@ _HINTS = frozenset(
     " banner alert popup modal overlay comment comments disqus discussion replies respond reply related recommended"
     " share sharing social subscribe newsletter signup login search widget pagination pager copyright disclaimer".split()
 )
+#: Words that say where or what kind of box it is, beside words of the list above.
+_PLACES = frozenset(
+    "site global main top bottom left right box block wrap wrapper container section area bar list links link buttons button icons inner outer"
+    " panel slot unit zone row col column group item items posts form block strip fixed sticky inline native".split()
+)
+#: Elements of the text itself, which a class name never cuts within an article.
+_TEXT = frozenset("h1 h2 h3 h4 h5 h6 p table thead tbody tr td th pre blockquote figure figcaption ul ol li dl dt dd".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may be a whole article, and where it ends at the latest.
 _CONTAINERS = frozenset("article center div form main section table td".split())
+_BOXES = frozenset("div section ul ol table center".split())
 _WHOLE = frozenset(["article", "main"])
 #: An open element of the second set ends when one of the first begins.
 _ENDS = {
@@ -69,6 +80,16 @@ _P = frozenset(["p"])
 _P_SCOPE = frozenset("table td th button article section div body html li blockquote".split())
 
 
+def _hint(value: str) -> int:
+    """2 if a class or id names furniture and nothing else, as an ad does, 1 if it has other words, too, as ad-hoc."""
+    found = 0
+    for token in value.split():
+        bits = [x for x in _BITS.findall(token) if not x.isdigit()]
+        if any(x in _HINTS for x in bits):
+            found = max(found, 1 + all(x in _HINTS or x in _PLACES for x in bits))
+    return found
+
+
 class Page:
     """The DOM of one page as parallel lists; node 0 is the document, parents come before children."""
 
@@ -77,6 +98,9 @@ class Page:
         self.furniture = [frozenset()]  # the names and roles by which a node is furniture
         self.texts: list[tuple[int, str]] = []  # text and the node it stands in
         self.breaks: set[int] = set()  # indexes into texts where a block begins or ends
+        self.open = Counter()  # open elements by name
+        self.sure = [False]  # whether the class or id names nothing but furniture
+        self.nested = [False]  # whether an article or main element is open around a node
         stack, at = [0], 0
         for m in _MARKUP.finditer(source):
             if m.start() > at:
@@ -94,11 +118,18 @@ class Page:
         if at < len(source):
             self.texts.append((stack[-1], html.unescape(source[at:])))
 
+    def _pop(self, stack: list[int], i: int) -> None:
+        for node in stack[i:]:
+            self.open[self.names[node]] -= 1
+        del stack[i:]
+
     def _until(self, stack: list[int], names: frozenset, scope: frozenset) -> None:
         """Close the innermost open element of these names, unless one of the scope lies between."""
+        if not any(self.open[x] for x in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if self.names[stack[i]] in names:
-                del stack[i:]
+                self._pop(stack, i)
                 return
             if self.names[stack[i]] in scope:
                 return
@@ -108,8 +139,8 @@ class Page:
             self._until(stack, _P, _P_SCOPE)
         if name in _ENDS:
             self._until(stack, *_ENDS[name])
-        node, inside = len(self.names), any(self.names[x] in ("article", "main") for x in stack)
-        cut, hinted, furniture = name in _CONTROLS, False, set()
+        node, inside = len(self.names), bool(self.open["article"] or self.open["main"])
+        cut, hinted, sure, furniture = name in _CONTROLS, False, False, set()
         if name in _FURNITURE or name == "header" and not inside:
             furniture.add(name)
         if rest and not rest.isspace():
@@ -120,23 +151,32 @@ class Page:
                 if key == "role":
                     furniture |= {value} & _ROLES
                 elif key in ("class", "id"):
-                    hinted |= any(x in _HINTS for x in _BITS.findall(value))
+                    hint = _hint(value)
+                    hinted |= hint == 2 or hint == 1 and not inside
+                    sure |= hint == 2
+                elif key == "style":
+                    cut |= bool(_UNSHOWN.search(value))
                 else:
                     cut |= key == "hidden" or value == "true"
         self.names.append(name)
         self.parents.append(stack[-1])
         self.cut.append(cut and name not in ("html", "body"))
         self.furniture.append(frozenset() if name in ("html", "body") else frozenset(furniture))
-        self.hinted.append(hinted and name not in ("html", "body", "main"))
+        self.hinted.append(hinted and name not in ("html", "body", "main") and name not in _HEADS and not (inside and name in _TEXT))
+        self.sure.append(sure)
+        self.nested.append(self.open["article"] > 0)
         if name not in _VOID:
             stack.append(node)
+            self.open[name] += 1
         elif name in ("br", "hr"):
             self.texts.append((stack[-1], " "))
 
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if self.names[stack[i]] == name:
-                del stack[i:]
+                self._pop(stack, i)
                 return
 
     def _sums(self, own: list[float]) -> list[float]:
@@ -162,7 +202,10 @@ class Page:
             bare[i] |= bare[self.parents[i]] or bool(self.furniture[i] - _WRAPPERS) and not mains[i]
         prose = self._sums([x * (not b) for x, b in zip(own, bare)])
         heads = self._sums([float(x in ("article", "main", "h1") and p and not b) for x, p, b in zip(self.names, plain, bare)])
+        titles = self._sums([float(x == "h1") for x in self.names])
         for i in range(1, n):
+            # the box of a title, by whatever name
+            self.hinted[i] = self.hinted[i] and not (titles[i] == titles[0] > 0 and not self.sure[i] and 4 * chars[i] < chars[0])
             if self.furniture[i] and not mains[i]:
                 # most of the text, and a heading or article if the page has one; or all of these
                 every = heads[i] == heads[0]
@@ -171,21 +214,12 @@ class Page:
                 self.cut[i] |= not self.furniture[i] <= _WRAPPERS or not (most or every)
             if self.hinted[i]:
                 if self.names[i] == "article":
-                    self.cut[i] |= self._within(i)
+                    self.cut[i] |= self.nested[i]  # as reader comments may be
                 elif not holds[i]:
                     # a large one goes too when the page's heading or article stands elsewhere
                     self.cut[i] |= 2 * chars[i] < chars[0] or not anchors[i] and anchors[0] > 0
             self.cut[i] |= self.cut[self.parents[i]]
 
-    def _within(self, i: int) -> bool:
-        """Whether an article stands inside another one, as reader comments may."""
-        i = self.parents[i]
-        while i >= 0:
-            if self.names[i] == "article":
-                return True
-            i = self.parents[i]
-        return False
-
     def content(self) -> set[int]:
         """The roots of the content."""
         n = len(self.names)
@@ -220,11 +254,17 @@ class Page:
             if self.names[i] != "html":
                 threshold = min(threshold, density[i])
             i = self.parents[i]
+        children: list[list[int]] = [[] for _ in range(n)]
+        for i in range(1, n):
+            children[self.parents[i]].append(i)
+        heads = self._sums([float(x in _HEADS and not k) for x, k in zip(self.names, self.cut)])
         root = i = best
         while self.names[root] not in _WHOLE and self.parents[i] > 0 and self.names[self.parents[i]] != "body":
-            i = self.parents[i]
-            # a paragraph or a bold word is never all of an article
-            if lc[i] - lc[root] <= 0.3 * (c[i] - c[root]) or self.names[root] not in _CONTAINERS:
+            below, i = i, self.parents[i]
+            # a paragraph or a bold word is never all of an article; more joins it while some of what stands beside it
+            # is as dense as the path, or a heading, and links are the lesser part
+            joins = any(x != below and c[x] and (density[x] >= threshold or heads[x]) for x in children[i])
+            if joins and lc[i] - lc[root] <= 0.3 * (c[i] - c[root]) or self.names[root] not in _CONTAINERS:
                 root = i
         roots, above, inside, i = {root}, set(), [False] * n, root
         while i >= 0:
@@ -233,6 +273,10 @@ class Page:
         for i in range(n):
             p = self.parents[i]
             inside[i] = i == root or p >= 0 and (inside[p] or p in roots)
+            # a box of links in the content that the threshold leaves out
+            if inside[i] and i != root and self.names[i] in _BOXES and c[i] and density[i] < threshold and lc[i] > 0.7 * c[i] and not heads[i]:
+                self.cut[i] = True
+            self.cut[i] = self.cut[i] or p >= 0 and self.cut[p]
             if not inside[i] and i not in above and not self.cut[i] and self.names[i] in _BLOCKS and density[i] >= threshold and c[i] and lc[i] <= 0.3 * c[i]:
                 roots.add(i)
         return roots

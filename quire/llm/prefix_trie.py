@@ -122,7 +122,7 @@ def family_trie(heads: pa.Table, rows: pa.Table) -> pa.Table:
     for conv, pos, sa, sb, n, skip, taken, size, first, piece, ka, kb in columns:
         if conv != now:
             now, key = conv, (ka, kb)
-            depth = taken + piece * PIECE - skip if piece and conv != first else piece * PIECE
+            depth = pos if conv == first else taken + pos - skip
             if not piece:
                 key, depth = (0, 0), 0
                 visit(conv, size, 0, key, key, 0)
