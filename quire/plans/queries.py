@@ -701,6 +701,20 @@ def ellipsis_literal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(inline.replace_ellipsis(_customers(spark, sf_dir, *_filled(*made))))
 
 
+@query(r"""
+SELECT c_custkey AS doc_id, CAST(v.i AS BIGINT) AS line_no, replace(replace(v.x, '$', c_name), '~', repeat('-', CAST(length(c_name) AS INT))) AS line FROM customer CROSS JOIN (VALUES
+  (0, '| $ | key |'), (1, '| ~ | --- |'), (2, '| $ | b   |'), (3, 'between'), (4, '| ax  |'), (5, '| --- |'), (6, '| $ |'), (7, '| one $ | ztwo |'), (8, '| ----~ | ---- |'), (10, 'end')) v(i, x)
+UNION ALL SELECT c_custkey, 9, '| ' || rpad('3', CAST(length(c_name) + 4 AS INT), ' ') || ' | 4    |' FROM customer
+""")
+def html_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables without rows, groups and end tags, with text between their parts, tables begun within rows, and end tags that match nothing."""
+    made = [
+        "<table><td>$<td>key", "<tr>stray<th>$</th></div></tfoot><td>b</table>", "between", "<table><tr><td>a<b>x</b></td>y", "<table><tr><td>$</td></tr></table></table>",
+        "<table><caption>no<tbody><tr><td>one $</p><th>z<b>two</tr></td>lost<i>too</i>", "</th><template><td>x</template><td>3<th>4<script>5</script></thead></table>", "end",
+    ]
+    return _out(html.convert_html_tables(_customers(spark, sf_dir, *_filled(*made))))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

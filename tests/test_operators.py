@@ -135,6 +135,44 @@ def test_html(spark):
     assert run(spark, html.convert_html_tables, *[a for a, _ in cases]) == [b for _, b in cases]
 
 
+MALFORMED = [
+    ("<table><tr><td>a<td>b<tr><td>c</table>", [["a", "b"], ["c"]]),
+    ("<table>stray<tr><td>a</td>text<b>z</b><td>b</table>", [["a", "b"]]),
+    ("<table><td>a<td>b</table>", [["a", "b"]]),
+    ("<table><tr><td>a</tr></td><td>b</table>", [["a"], ["b"]]),
+    ("<table><tr><td>a</div></p>b</td></th><td>c</tbody></table>", [["ab", "c"]]),
+    ("<table><tr><td>a</td><table><tr><td>b</table></table>", [["a"]]),
+    ("<table><tr><td>a<table>o<tr><td>in</table>y</table>", [["aoiny"], ["in"]]),
+    ("<table><tr><td>a<template><td>q</td><tr></template>b</table>", [["ab"]]),
+    ("<td>x</td><table><caption>c<tr></table>", [[]]),
+    ("<table><thead><td>h<tbody><tr><th>x</table>", [["h"], ["x"]]),
+    ("<table><colgroup><col><col><tr><td>1<br>2</table>", [["12"]]),
+    ("<table>" * 3 + "x", []),
+]
+
+
+@pytest.mark.parametrize(("source", "rows"), MALFORMED)
+def test_tables_are_repaired(source, rows):
+    tables_ = html.tables_of(source)
+    assert [[text for _, text in row] for row in tables_[0]] == rows
+
+
+@given(st.lists(st.sampled_from(["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<tbody>", "</thead>", "<b>", "</b>", "<template>", "</template>", "<caption>", "x", " ", "<p>", "</p>"]), max_size=30))
+def test_repaired_trees_are_well_formed(parts):
+    """Cells stand in rows, rows in groups, groups in tables, and tables hold nothing else but blanks."""
+    builder = html.TreeBuilder()
+    builder.feed("".join(parts))
+    builder.close()
+    within = {"tr": {"tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "tbody": {"table"}, "thead": {"table"}, "caption": {"table"}}
+    for node in [builder.root, *builder.root.below()]:
+        if isinstance(node, html.Element) and node.name != "template":
+            for child in node.children:
+                if isinstance(child, html.Element) and child.name in within:
+                    assert node.name in within[child.name]
+                if node.name in ("table", "tbody", "tr"):
+                    assert isinstance(child, html.Element) and child.name in {"template", *within} or child == "" or str(child).isspace()
+
+
 def test_wrap(spark):
     words = " ".join(["abcd"] * 30)
     got = run(spark, wrap.wrap, [words], ["- " + words], ["> " + words], ["# " + words], ["a  ", "b"], [], ["x `" + "y " * 40 + "z` w"])
