@@ -38,7 +38,8 @@ def setext_headings(docs: DataFrame) -> DataFrame:
     text, rule = X.trim(F.substr(line, shared + 1)), X.trim(F.substr(F.col("_below"), shared + 1))
     apart = (own != under) | (F.substr(text, F.lit(1), F.lit(1)) != F.substr(rule, F.lit(1), F.lit(1)))
     fits = ~F.col("code") & (F.octet_length(own) == F.octet_length(under)) & ~X.is_blank(line) & (text != "") & rule.rlike(r"^(={3,}|-{3,})\z") & apart
-    rows = explode_lines(docs).withColumn("_below", below).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    ruled = F.exists("lines", lambda x: x.rlike(r"(={3,}|-{3,})\p{IsWhite_Space}*\z"))
+    rows = explode_lines(docs, ruled).withColumn("_below", below).withColumn("_fits", F.coalesce(fits, F.lit(False)))
     rows = rows.withColumn("_island", F.sum((~F.col("_fits")).cast("int")).over(w))
     place = F.row_number().over(Window.partitionBy("doc_id", "_island", "_fits").orderBy("line_no"))
     rows = rows.withColumn("_heading", F.col("_fits") & (place % 2 == 1))
@@ -60,7 +61,7 @@ def renumber_lists(docs: DataFrame) -> DataFrame:
     lead = X.leading_indent(line)
     indent = F.length(F.regexp_replace(lead, "\t", "    "))
     plain = line.rlike(r"^\p{IsWhite_Space}*[*_`]*[\p{IsAlphabetic}\p{N}]")
-    rows = explode_lines(docs).withColumn("_blank", F.lag(F.coalesce(blank & ~F.col("fence.marker"), F.lit(False)), 1, False).over(w))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike(ITEM))).withColumn("_blank", F.lag(F.coalesce(blank & ~F.col("fence.marker"), F.lit(False)), 1, False).over(w))
     rows = rows.withColumn("_item", F.coalesce(~F.col("code") & line.rlike(ITEM), F.lit(False))).withColumn("_indent", indent)
     reset = line.rlike(X.HEADING) | X.rtrim(line).rlike(X.BREAK)
     threshold = F.when(F.col("_item"), indent).when(reset, -1).when(F.col("_blank") & plain, indent - 1).otherwise(indent)
@@ -75,7 +76,7 @@ def renumber_lists(docs: DataFrame) -> DataFrame:
     seen = seen.withColumn("_list", F.sum((~F.col("_own")).cast("int")).over(lists))
     number = F.row_number().over(Window.partitionBy("doc_id", "level", "_list", "_own").orderBy("line_no"))
     seen = seen.withColumn("number", F.when(F.col("_own"), number))
-    joined = seen.groupBy("doc_id", "line_no").agg(F.first("line").alias("line"), F.max("number").alias("number"))
+    joined = seen.groupBy("doc_id", "line_no").agg(F.first("line").alias("line"), F.max("number").alias("number"), F.first("whole").alias("whole"))
     part = lambda i: F.regexp_extract(line, ITEM, i)
     rest = F.substr(line, F.length(F.regexp_extract(line, r"^(\p{IsWhite_Space}*[1-9][0-9]*\.\p{IsWhite_Space}+)", 1)) + 1)
     made = F.concat(part(1), F.col("number").cast("string"), F.lit("."), part(2), rest)
@@ -93,7 +94,7 @@ def compress_fences(docs: DataFrame) -> DataFrame:
     end; the word null goes from both delimiters. An unclosed last block has only its first line changed."""
     line, fence, w = F.col("line"), F.col("fence"), _by_line()
     block = Window.partitionBy("doc_id", "_block")
-    rows = explode_lines(docs).withColumn("_block", F.col("fence.block"))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~"))).withColumn("_block", F.col("fence.block"))
     opens = F.col("fence.marker") & ~F.col("fence.was_in")
     closes = F.col("fence.marker") & F.col("fence.was_in") & ~F.col("fence.is_in")
     inner = F.regexp_extract(line, r"(`{3,}|~{3,})", 1)
@@ -121,7 +122,7 @@ def attach_orphan_specifiers(docs: DataFrame) -> DataFrame:
     onto the fence; the blank lines between them go."""
     line, w = F.col("line"), _by_line()
     ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    rows = explode_lines(docs)
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~")))
     parts = F.filter(F.transform(F.split(X.trim(line), ","), X.trim), lambda x: x != "")
     spec = F.lower(F.array_join(parts, ","))
     blank = X.is_blank(line)

@@ -200,16 +200,15 @@ def _parts(fences: bool):
     def parts(column: pa.Array) -> pa.Array:
         return pa.array([[{"table": t, "block": b} for t, b in parts_of(lines or [], fences)] for lines in column.to_pylist()], _PARTS_ARROW)
 
-    return parts("lines")
+    return parts
 
 
 def convert_html_tables(docs: DataFrame, fences: bool = True) -> DataFrame:
     """Documents with HTML tables outside fenced code as reflowed pipe tables. Only documents that hold
-    a table tag are parsed, and only they are shuffled. Without fences, tables in fenced code are
-    converted too."""
-    tagged = F.exists("lines", lambda x: x.rlike(r"(?i)<table(?:\s|>|\z)"))
-    rest = docs.where(~F.coalesce(tagged, F.lit(False)))
-    found = docs.where(tagged).select("doc_id", F.posexplode(_parts(fences)).alias("line_no", "p")).select("doc_id", "line_no", "p.*")
+    a table tag are parsed; the others travel whole. Without fences, tables in fenced code are converted too."""
+    lines = F.col("lines")
+    tagged = F.coalesce(F.exists(lines, lambda x: x.rlike(r"(?i)<table(?:\s|>|\z)")), F.lit(False))
+    found = docs.select("doc_id", F.when(~tagged, lines).alias("whole"), F.posexplode_outer(_parts(fences)(F.when(tagged, lines))).alias("line_no", "p"))
+    found = found.select("doc_id", "whole", "line_no", "p.*")
     done = reflow_block(found).withColumn("lines", F.when(F.col("table"), F.col("out")).otherwise(F.col("block")))
-    packed = pack_lines(done.select("doc_id", "line_no", F.posexplode_outer("lines").alias("sub", "line")), sub="sub")
-    return rest.select("doc_id", "lines").union(packed)
+    return pack_lines(done.select("doc_id", "whole", "line_no", F.posexplode_outer("lines").alias("sub", "line")), sub="sub")

@@ -85,7 +85,8 @@ def merged_spans(found: Column) -> Column:
 def literal_spans(line: Column) -> Column:
     """Where dots stay as they are: the merged (start, end) of code, links, autolinks, addresses and paths."""
     none = F.array().cast(T.ArrayType(_SPAN))
-    return F.when(line.contains("...") & line.rlike(_MAY_BE_LITERAL), merged_spans(_literal(line))).otherwise(none)
+    may = line.contains("...") & line.rlike(_MAY_BE_LITERAL)
+    return F.when(may, merged_spans(_literal(F.when(may, line)))).otherwise(none)
 
 
 def ellipsis_outside(c: Column, literal: Column) -> Column:
@@ -106,7 +107,7 @@ def replace_ellipsis(docs: DataFrame) -> DataFrame:
     Indented lines are code when their run of indented or blank lines holds one that begins right after
     the start, a blank line, a heading, a link definition, a directive or a fence."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = with_link_parts(explode_lines(docs))
+    rows = with_link_parts(explode_lines(docs, F.exists("lines", lambda x: x.contains("..."))))
     blank, indented = X.is_blank(line), X.indent_columns(line) >= 4
     kind = X.block_kind(line)
     opens = blank | kind.isin("heading", "link_reference_definition", "markdownlint_directive") | F.col("fence.marker")
@@ -179,7 +180,7 @@ def _emphasis(column: pa.Array) -> pa.Array:
 def fix_code_emphasis(docs: DataFrame) -> DataFrame:
     """Documents with emphasis around inline code repaired; those without any skip the reader."""
     touched = F.exists("lines", lambda x: x.rlike(HAS_EMPHASIS))
-    return docs.withColumn("lines", F.when(touched, _emphasis("lines")).otherwise(F.col("lines")))
+    return docs.withColumn("lines", F.when(touched, _emphasis(F.when(touched, F.col("lines")))).otherwise(F.col("lines")))
 
 
 def original(token: Token) -> str:

@@ -77,15 +77,19 @@ def fence_state(lines: Column) -> Column:
     marks skip the reader."""
     plain = ~F.exists(lines, lambda x: x.rlike("```|~~~"))
     outside = F.struct(F.lit(False).alias("was_in"), F.lit(False).alias("marker"), F.lit(False).alias("is_in"), F.lit(0).alias("block"))
-    return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(_fences(lines))
+    # a Python function is run for every row, so the others get nothing to read
+    return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(_fences(F.when(~plain, lines)))
 
 
-def explode_lines(docs: DataFrame) -> DataFrame:
+def explode_lines(docs: DataFrame, needed: Column | None = None) -> DataFrame:
     """(doc_id, line_no, line, fence, code): one row per line; code tells fence markers and what is
-    inside. Documents without lines give one row of nulls, so that they aren't lost."""
-    zipped = F.arrays_zip(F.col("lines").alias("line"), F.col("_fence").alias("fence"))
-    rows = docs.withColumn("_fence", fence_state(F.col("lines"))).select("doc_id", F.posexplode_outer(zipped).alias("line_no", "_x"))
-    rows = rows.select("doc_id", F.col("line_no").cast("long"), "_x.line", "_x.fence")
+    inside. Documents without lines give one row of nulls, so that they aren't lost; so do those that aren't
+    needed, whose lines stay together in a column whole, which pack_lines() takes up again."""
+    lines, needed = F.col("lines"), F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
+    docs = docs.select("doc_id", F.when(needed, lines).alias("lines"), F.when(~needed, lines).alias("whole"))
+    zipped = F.arrays_zip(lines.alias("line"), F.col("_fence").alias("fence"))
+    rows = docs.withColumn("_fence", fence_state(lines)).select("doc_id", "whole", F.posexplode_outer(zipped).alias("line_no", "_x"))
+    rows = rows.select("doc_id", F.col("line_no").cast("long"), "_x.line", "_x.fence", "whole")
     return rows.withColumn("code", F.coalesce(F.col("fence.marker") | F.col("fence.is_in"), F.lit(False)))
 
 
@@ -106,11 +110,13 @@ def with_link_parts(rows: DataFrame) -> DataFrame:
 
 
 def pack_lines(rows: DataFrame, line: str = "line", sub: str | None = None) -> DataFrame:
-    """(doc_id, lines) of lines in order of line_no (and sub); null lines are left out."""
+    """(doc_id, lines) of lines in order of line_no (and sub); null lines are left out, documents with whole lines keep
+    these."""
     keys = [F.col("line_no"), F.col(sub) if sub else F.lit(0)]
     item = F.when(F.col(line).isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(line).alias("line")))
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    return grouped.select("doc_id", F.col("_all.line").alias("lines"))
+    whole = F.first("whole") if "whole" in rows.columns else F.lit(None).cast("array<string>")
+    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"), whole.alias("_whole"))
+    return grouped.select("doc_id", F.coalesce("_whole", F.col("_all.line")).alias("lines"))
 
 
 def outside_code(lines: Column, change) -> Column:

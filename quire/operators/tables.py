@@ -118,18 +118,18 @@ def reflow_block(blocks: DataFrame, source: str = "block") -> DataFrame:
 def reflow_tables(docs: DataFrame, ellipsis: bool = False) -> DataFrame:
     """Documents with every pipe table outside fenced code reflowed; with ellipsis, its dot runs are
     replaced before widths are measured."""
-    rows = find_tables(explode_lines(docs))
+    rows = find_tables(explode_lines(docs, F.exists("lines", lambda x: X.ltrim(x).startswith("|"))))
     if ellipsis:
         rows = rows.withColumn("line", F.when(F.col("table_id").isNotNull(), X.dots_to_ellipsis(F.col("line"))).otherwise(F.col("line")))
     # a table's lines meet again by document, so that nothing is shuffled a second time
     item = F.struct("line_no", "line")
     blocks = rows.groupBy("doc_id", F.coalesce("table_id", -1 - F.col("line_no")).alias("part")).agg(
-        F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(item)).alias("_b"), F.max("table_id").isNotNull().alias("is_table")
+        F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(item)).alias("_b"), F.max("table_id").isNotNull().alias("is_table"), F.first("whole").alias("whole")
     )
-    blocks = blocks.select("doc_id", "line_no", "is_table", F.col("_b.line").alias("block"))
+    blocks = blocks.select("doc_id", "line_no", "is_table", F.col("_b.line").alias("block"), "whole")
     done = reflow_block(blocks.withColumn("rows", F.when(F.col("is_table"), F.col("block"))), "rows")
     lines = F.when(F.col("is_table"), F.col("out")).otherwise(F.col("block"))
-    return pack_lines(done.select("doc_id", "line_no", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
+    return pack_lines(done.select("doc_id", "line_no", "whole", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
 
 
 def cells(docs: DataFrame) -> DataFrame:

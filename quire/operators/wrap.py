@@ -480,6 +480,16 @@ def is_verbatim(line: Column) -> Column:
     )
 
 
+def changes(lines: Column, width: int) -> Column:
+    """Whether wrapping may change a document: a line is wide, may join the one before, has white space at its end, or
+    something between whose parts white space may go."""
+    own = F.exists(lines, lambda x: (F.length(x) > width // 2) & (X.display_width(x) > width) | x.rlike(r"[`\[]|(?:\p{IsWhite_Space}|\\\\|>)\z"))
+    blank = F.transform(lines, X.is_blank)
+    # no two lines that follow each other hold text
+    pairs = F.exists(F.arrays_zip(blank.alias("a"), F.slice(blank, 2, F.greatest(F.size(blank), F.lit(1))).alias("b")), lambda p: ~p["a"] & ~F.coalesce(p["b"], F.lit(True)))
+    return own | pairs
+
+
 def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     """Documents with paragraphs, list items, footnote definitions and quotes wrapped to width.
 
@@ -489,7 +499,7 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
     otherwise its continuation lines are indented. A code span that is wider than a line keeps its own line
     ends in a plain paragraph whose lines were all narrow enough, and in an item whose span its next line ends."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = with_link_parts(explode_lines(docs))
+    rows = with_link_parts(explode_lines(docs, changes(F.col("lines"), width)))
     quoted = line.rlike(X.QUOTE)
     rows = rows.withColumn("_quote", F.when(quoted, F.regexp_extract(line, X.QUOTE, 1)))
     rows = rows.withColumn("_inner", F.when(quoted, F.regexp_extract(line, X.QUOTE, 2)).otherwise(line))
@@ -511,9 +521,9 @@ def wrap(docs: DataFrame, width: int = X.WRAP_COLUMNS) -> DataFrame:
         F.substr(inner, F.coalesce(F.length("_own"), F.lit(0)) + 1).alias("rest"),
     )
     blocks = rows.groupBy("doc_id", "_block").agg(
-        F.min("line_no").alias("line_no"), F.first("line").alias("line"), F.first("code").alias("code"), F.first("_alone").alias("_alone"),
+        F.min("line_no").alias("line_no"), F.first("line").alias("line"), F.first("code").alias("code"), F.first("_alone").alias("_alone"), F.first("whole").alias("whole"),
         F.array_sort(F.collect_list(F.when(~F.col("_alone"), row))).alias("_rows"),
     )
     kept = F.when(F.col("line").isNotNull(), F.array(F.when(X.is_blank(line) & ~F.col("code"), "").otherwise(line)))
     lines = F.when(F.col("_alone"), kept).otherwise(_wrapper(width)("_rows"))
-    return pack_lines(blocks.select("doc_id", "line_no", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
+    return pack_lines(blocks.select("doc_id", "line_no", "whole", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
