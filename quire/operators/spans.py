@@ -32,7 +32,8 @@ _MARK = re.compile(r"\\.|[\[\]()]", re.S)
 
 def width_of(text: str) -> int:
     """Terminal columns."""
-    if text.isascii():
+    # below the first combining mark only the soft hyphen has no width, and nothing has two
+    if text.isascii() or max(text) < "\u0300" and "\xad" not in text:
         return len(text)
     return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
@@ -253,7 +254,7 @@ def _letter(token: str) -> str:
     """s white space; b one backtick; x a link around code, c code, i code that backticks end; l link; f footnote
     reference; ':'; q quotation mark, p other closing marks; o opening marks; h word with a hyphen at its end; W word
     with a closing mark at its end, w other word."""
-    if _BLANK.fullmatch(token):
+    if token[0] in WHITE:
         return "s"
     if "`" in token:
         if token == "`":
@@ -319,7 +320,7 @@ class Fragment(NamedTuple):
 
 def kind_of(text: str) -> str:
     """The kind of a fragment: what it holds besides marks around it."""
-    if _BLANK.fullmatch(text):
+    if text[0] in WHITE and not text.strip(WHITE):
         return "whitespace"
     if "](" in text and _LINK_WITHIN.match(text):
         return "link"
@@ -331,9 +332,20 @@ def kind_of(text: str) -> str:
 _SPACED_MARK = regex.compile(r"(?<=`)\p{White_Space}+(?=\Z)")
 
 
+#: A text without any of these has neither spans nor dates.
+_MORE = re.compile(r"[`\[]|[12][0-9]{3}")
+_ASCII_WORDS = re.compile(r"[\t-\r ]+|[^\t-\r ]+")
+_WORDS = regex.compile(r"\p{White_Space}+|[^\p{White_Space}]+")
+
+
 def fragments(text: str) -> list[Fragment]:
     """The pieces of a text that lines are made of, in order. White space between closing punctuation and a footnote
     reference goes, and that between code and one mark of punctuation."""
+    if not _MORE.search(text):
+        # nothing but words
+        if text.isascii():
+            return [Fragment("whitespace" if x[0] in WHITE else "plain", x, len(x)) for x in _ASCII_WORDS.findall(text)]
+        return [Fragment("whitespace" if x[0] in WHITE else "plain", x, width_of(x)) for x in _WORDS.findall(text)]
     parts = tokens(text)
     letters = "".join(map(_letter, parts))
     if "f" in letters:

@@ -101,9 +101,7 @@ def fit_fragments(pieces: list[Fragment], width: int) -> list[str]:
         shown = width_of(out[-1])
 
     for piece in pieces:
-        prose = piece.kind in ("whitespace", "plain")
-        full = bool(out) and width - 1 <= shown <= width
-        if full and prose and len(buffer) == 1 and buffer[0].kind == "link":
+        if len(buffer) == 1 and buffer[0].kind == "link" and out and width - 1 <= shown <= width and piece.kind in ("whitespace", "plain"):
             # a link behind a full line stands alone
             write(buffer)
             buffer, held = [], 0
