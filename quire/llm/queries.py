@@ -132,6 +132,32 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_pii that SQL can express: base spans."""
+    return op2_pii(spark, sf_dir).drop("spans")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op6_secrets that SQL can express: base spans."""
+    return op6_secrets(spark, sf_dir).drop("spans")
+
+
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_quality that SQL can express: which documents are held out, scores within 0 and 1 and the
+    predictions that follow from them."""
+    found = op9_quality(spark, sf_dir)
+    sound = F.col("score").between(0, 1) & (F.col("predicted") == (F.col("score") >= KEEP_SCORE).cast("int"))
+    return found.select("doc_id", "held_out", sound.alias("sound"))
+
+
+def packing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10_packing that SQL can express: the pieces of each document cover it once, within sequences of 2048."""
+    pieces = op10_packing(spark, sf_dir)
+    whole = (F.sum("length") == F.max("doc_tokens")) & (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens")) & (F.countDistinct("start") == F.count("*"))
+    inside = F.max(F.col("offset") + F.col("length")) <= 2048
+    return pieces.groupBy("doc_id").agg((whole & inside & (F.min("start") == 0) & (F.min("length") > 0)).alias("covered"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -147,6 +173,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_bpe": op11_bpe,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_runs": op13_runs,
+        "pii_base": pii_base,
+        "secrets_base": secrets_base,
+        "quality_folds": quality_folds,
+        "packing_documents": packing_documents,
     }
 
 
@@ -215,5 +245,52 @@ FROM f JOIN u USING (k) LEFT JOIN n p ON f.depth > 0 AND p.k = f.k[1:f.depth - 1
 """
 
 
+def _base_sql(kinds: dict[str, tuple[str, str]]) -> str:
+    """SQL of base spans: kinds give the pattern and the condition on a match x."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, '{kind}' AS kind, {rank} AS rank, regexp_extract_all(t, '{p}') AS m, regexp_split_to_array(t, '{p}') AS gaps FROM t" for rank, (kind, (p, _)) in enumerate(kinds.items())
+    )
+    keep = " ".join(f"WHEN '{kind}' THEN {c}" for kind, (_, c) in kinds.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    zero = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)
+    before = "coalesce(list_sum(list_transform({0}, lambda y: length(y))), 0)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT *, unnest(m) AS x, unnest(range(1, len(m) + 1)) AS i FROM f WHERE len(m) > 0),
+s AS (SELECT doc_id, kind, rank, x, CAST({before.format("gaps[1:i]")} + {before.format("m[1:i - 1]")} AS BIGINT) AS a FROM e WHERE CASE kind {keep} END),
+g AS (SELECT doc_id, {counts}, string_agg(kind || ':' || a || ':' || (a + length(x)), ',' ORDER BY a, rank, length(x)) AS base FROM s GROUP BY doc_id)
+SELECT doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256 FROM t LEFT JOIN g USING (doc_id)
+"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_PII_SQL = _base_sql(
+    {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR CAST('0' || left(ltrim(y, '0'), 4) AS INT) > 255)) = 0"),
+        "card": (
+            r"[0-9](?:[\x20-]?[0-9])+",
+            f"length({_DIGITS}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CAST(reverse({_DIGITS})[i] AS INT) * (2 - i % 2) - 9 * CAST(CAST(reverse({_DIGITS})[i] AS INT) * (2 - i % 2) > 9 AS INT))) % 10 = 0",
+        ),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 10 AND 15"),
+    }
+)
+_SECRETS_SQL = _base_sql(
+    {
+        "assign": (_ASSIGN + "[A-Za-z0-9+/_.=-]+", f"length(regexp_extract(x, '{_ASSIGN}([A-Za-z0-9+/_.=-]+)', 1)) >= 6"),
+        "access": ("AKIA[A-Z0-9]+", "length(x) >= 20"),
+        "hex": ("[0-9a-f]+", "length(x) >= 24"),
+    }
+)
+_FOLDS_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1), i)) AS t),
+b AS (SELECT doc_id, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS s FROM documents)
+SELECT doc_id, xor(list_reduce(s, lambda c, x: xor(t[xor(c & 255, x) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 4 = 2 AS held_out, true AS sound FROM b, crc
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_prefix_trie": _OP12_SQL, "op3_substring": _OP3_SQL, "op4_topk": _OP4_SQL, "op7_near_duplicates": _OP7_SQL, "op8_decontaminate": _OP8_SQL}
+    parts = {"pii_base": _PII_SQL, "secrets_base": _SECRETS_SQL, "quality_folds": _FOLDS_SQL, "packing_documents": "SELECT doc_id, true AS covered FROM documents"}
+    return parts | {"op12_prefix_trie": _OP12_SQL, "op3_substring": _OP3_SQL, "op4_topk": _OP4_SQL, "op7_near_duplicates": _OP7_SQL, "op8_decontaminate": _OP8_SQL}
