@@ -50,6 +50,25 @@ def setext_headings(docs: DataFrame) -> DataFrame:
     return pack_lines(rows)
 
 
+def item_threshold(line: Column, code: Column, blank_before: Column) -> tuple[Column, Column, Column]:
+    """Whether a line is an ordered item, its indent in columns, and the indent above which it ends all lists (null if it
+    ends none)."""
+    blank = X.is_blank(line)
+    indent = F.length(F.regexp_replace(X.leading_indent(line), "\t", "    "))
+    item = F.coalesce(~code & line.rlike(ITEM), F.lit(False))
+    plain = line.rlike(r"^\p{IsWhite_Space}*[*_`]*[\p{IsAlphabetic}\p{N}]")
+    reset = line.rlike(X.HEADING) | X.rtrim(line).rlike(X.BREAK)
+    threshold = F.when(item, indent).when(reset, -1).when(blank_before & plain, indent - 1).otherwise(indent)
+    return item, indent, F.when(~code & ~blank, threshold)
+
+
+def numbered_item(line: Column, number: Column) -> Column:
+    """An ordered item with another number."""
+    part = lambda i: F.regexp_extract(line, ITEM, i)
+    rest = F.substr(line, F.length(F.regexp_extract(line, r"^(\p{IsWhite_Space}*[1-9][0-9]*\.\p{IsWhite_Space}+)", 1)) + 1)
+    return F.concat(part(1), number.cast("string"), F.lit("."), part(2), rest)
+
+
 def renumber_lists(docs: DataFrame) -> DataFrame:
     """Ordered list items numbered from 1 at every indent.
 
@@ -57,15 +76,10 @@ def renumber_lists(docs: DataFrame) -> DataFrame:
     indent. An item's number counts the items of its indent since the last event below that indent:
     for each indent that a document's items have, its items and the events below it form one window."""
     line, w = F.col("line"), _by_line()
-    blank = X.is_blank(line)
-    lead = X.leading_indent(line)
-    indent = F.length(F.regexp_replace(lead, "\t", "    "))
-    plain = line.rlike(r"^\p{IsWhite_Space}*[*_`]*[\p{IsAlphabetic}\p{N}]")
-    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike(ITEM))).withColumn("_blank", F.lag(F.coalesce(blank & ~F.col("fence.marker"), F.lit(False)), 1, False).over(w))
-    rows = rows.withColumn("_item", F.coalesce(~F.col("code") & line.rlike(ITEM), F.lit(False))).withColumn("_indent", indent)
-    reset = line.rlike(X.HEADING) | X.rtrim(line).rlike(X.BREAK)
-    threshold = F.when(F.col("_item"), indent).when(reset, -1).when(F.col("_blank") & plain, indent - 1).otherwise(indent)
-    rows = rows.withColumn("_below", F.when(~F.col("code") & ~blank, threshold))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike(ITEM)))
+    rows = rows.withColumn("_blank", F.lag(F.coalesce(X.is_blank(line) & ~F.col("fence.marker"), F.lit(False)), 1, False).over(w))
+    item, indent, below = item_threshold(line, F.col("code"), F.col("_blank"))
+    rows = rows.withColumn("_item", item).withColumn("_indent", indent).withColumn("_below", below)
     rows = rows.withColumn("_levels", F.collect_set(F.when(F.col("_item"), F.col("_indent"))).over(Window.partitionBy("doc_id")))
     # a row for each level that a line counts for or ends, and one of no level for lines of neither kind
     touched = F.filter("_levels", lambda x: (F.col("_item") & (x == F.col("_indent"))) | (F.col("_below") < x))
@@ -77,9 +91,7 @@ def renumber_lists(docs: DataFrame) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("doc_id", "level", "_list", "_own").orderBy("line_no"))
     seen = seen.withColumn("number", F.when(F.col("_own"), number))
     joined = seen.groupBy("doc_id", "line_no").agg(F.first("line").alias("line"), F.max("number").alias("number"), F.first("whole").alias("whole"))
-    part = lambda i: F.regexp_extract(line, ITEM, i)
-    rest = F.substr(line, F.length(F.regexp_extract(line, r"^(\p{IsWhite_Space}*[1-9][0-9]*\.\p{IsWhite_Space}+)", 1)) + 1)
-    made = F.concat(part(1), F.col("number").cast("string"), F.lit("."), part(2), rest)
+    made = numbered_item(line, F.col("number"))
     return pack_lines(joined.withColumn("line", F.when(F.col("number").isNotNull(), made).otherwise(line)))
 
 

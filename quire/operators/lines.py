@@ -37,6 +37,14 @@ def join_lines(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(F.lit(""))
 
 
+def fence_line(line: str) -> tuple[int, tuple[str, int, bool] | None]:
+    """A line's quote depth and, if it is a fence, its mark, length and whether nothing stands behind it."""
+    quote = _QUOTE.match(line) if ">" in line else None
+    inner = line[quote.end() :] if quote else line
+    found = _FENCE.match(inner) if "```" in inner or "~~~" in inner else None
+    return quote[0].count(">") if quote else 0, (found[1][0], len(found[1]), not found[2].strip(" \t")) if found else None
+
+
 class FenceState:
     """What a line-by-line reader knows of fenced code: the open marker, its length and quote depth."""
 
@@ -46,19 +54,16 @@ class FenceState:
 
     def read(self, line: str) -> tuple[bool, bool, bool, int]:
         """(inside before, is a marker, inside after, number of the fence block)."""
-        quote = _QUOTE.match(line) if ">" in line else None
-        depth = quote[0].count(">") if quote else 0
-        inner = line[quote.end() :] if quote else line
+        depth, found = fence_line(line)
         was_in = self.open is not None and depth >= self.open[2]
         if self.open and depth < self.open[2]:
             self.open = None
-        found = _FENCE.match(inner) if "```" in inner or "~~~" in inner else None
         if found:
-            char, length = found[1][0], len(found[1])
+            char, length, bare = found
             if self.open is None:
                 self.open = (char, length, depth)
                 self.block += 1
-            elif depth == self.open[2] and char == self.open[0] and length >= self.open[1] and not found[2].strip(" \t"):
+            elif depth == self.open[2] and char == self.open[0] and length >= self.open[1] and bare:
                 self.open = None
         return was_in, found is not None, self.open is not None and depth >= self.open[2], self.block
 

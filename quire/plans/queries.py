@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import blocks, footnotes, html, inline, lines, spans, tables, wrap
+from ..operators import blocks, footnotes, html, inline, lines, long_documents, spans, tables, wrap
 from .pipeline import Options, normalize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,10 +111,10 @@ WITH p AS (SELECT CAST(p_size AS BIGINT) AS doc_id, p_partkey AS k, p_brand AS n
 t AS (SELECT doc_id, CAST(k AS VARCHAR) AS k, n, r FROM p UNION ALL SELECT DISTINCT doc_id, 'key', 'name', 0 FROM p),
 w AS (SELECT doc_id, max(length(k)) AS a, max(length(n)) AS b, max(r) AS m FROM t GROUP BY doc_id)
 SELECT doc_id, CAST(r AS BIGINT) AS line_no, '| ' || rpad(k, CAST(a AS INT), ' ') || ' | ' || rpad(n, CAST(b AS INT), ' ') || ' |' AS line FROM t JOIN w USING (doc_id) WHERE m > 1
+UNION ALL SELECT doc_id, r, CASE r WHEN 0 THEN '| key | name |    |' ELSE '| ' || k || ' | ' || n || ' |' END FROM t JOIN w USING (doc_id) WHERE m = 1
 """)
 def table_concatenated(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _docs(_read(spark, sf_dir, "part"), "p_size", "p_partkey", line=[F.concat(F.lit("| "), _s("p_partkey"), F.lit(" | "), F.col("p_brand"), F.lit(" |"))])
-    parts = parts.where(F.size("lines") > 1)
     pairs = F.transform(
         F.filter("lines", lambda _, i: i % 2 == 0),
         lambda x, i: F.when(F.size("lines") > 2 * i + 1, F.concat(x, F.lit("  "), F.get(F.col("lines"), 2 * i + 1))).otherwise(x),
@@ -715,6 +715,56 @@ def html_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(html.convert_html_tables(_customers(spark, sf_dir, *_filled(*made))))
 
 
+#: Small, so that the table makes many chunks.
+_SMALL_CHUNK = 2_048
+
+
+def _one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as lines of one document: items of two indents, headings, quoted and plain fences, one open to the end."""
+    k = F.col("o_orderkey")
+    line = (
+        F.when(k % 997 == 5, "````").when(k % 997 == 40, "```").when(k % 997 == 60, "````").when(k % 1499 == 3, "> ~~~").when(k % 1499 == 9, "> text").when(k % 511 == 0, "# Heading")
+        .when(k % 7 == 0, F.concat(F.lit("9. order "), _s("o_orderkey"))).when(k % 3 == 0, F.concat(F.lit("   4. customer "), _s("o_custkey"))).otherwise("   and more")
+    )
+    return _read(spark, sf_dir, "orders").select(F.lit(0).cast("long").alias("doc_id"), k.cast("long").alias("line_no"), line.alias("line"))
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_custkey AS c FROM orders),
+l AS (SELECT k, CASE WHEN k % 997 = 5 THEN 4 WHEN k % 997 = 40 THEN 3 WHEN k % 997 = 60 THEN 4 WHEN k % 1499 = 3 THEN -3 ELSE 0 END AS f,
+  CASE WHEN k % 997 IN (5, 40, 60) THEN 0 WHEN k % 1499 IN (3, 9) THEN 1 ELSE 0 END AS d FROM t),
+e AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM (SELECT k, f, d, lag(d, 1, 0) OVER (ORDER BY k) AS b FROM l) WHERE f <> 0 OR d < b),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS k, 0 AS f, 0 AS d, 0 AS block, false AS was
+  UNION ALL SELECT e.i, e.k,
+    CASE WHEN (CASE WHEN r.f <> 0 AND e.d < r.d THEN 0 ELSE r.f END) = 0 THEN e.f WHEN e.f <> 0 AND e.d = r.d AND sign(e.f) = sign(r.f) AND abs(e.f) >= abs(r.f) THEN 0 ELSE r.f END,
+    CASE WHEN (CASE WHEN r.f <> 0 AND e.d < r.d THEN 0 ELSE r.f END) = 0 THEN e.d ELSE r.d END,
+    r.block + CASE WHEN (CASE WHEN r.f <> 0 AND e.d < r.d THEN 0 ELSE r.f END) = 0 AND e.f <> 0 THEN 1 ELSE 0 END, r.f <> 0 AND e.d >= r.d
+  FROM r JOIN e ON e.i = r.i + 1)
+SELECT CAST(l.k AS BIGINT) AS line_no, CASE WHEN r.k = l.k THEN r.was ELSE r.f <> 0 END AS was_in, l.f <> 0 AS marker, r.f <> 0 AND l.d >= r.d AS is_in, CAST(r.block AS INT) AS block
+FROM l ASOF JOIN r ON r.k <= l.k
+""")
+def long_fence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fence states of a document with a line for each order, read in chunks."""
+    return long_documents.fence_states(_one_document(spark, sf_dir), _SMALL_CHUNK).select("line_no", "was_in", "marker", "is_in", "block")
+
+
+@query("""
+WITH t AS (SELECT CAST(o_orderkey AS BIGINT) AS k, o_custkey AS c, o_orderkey % 10 AS m FROM orders),
+g AS (SELECT *, sum(CASE WHEN k % 511 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY k) AS h, sum(CASE WHEN k % 511 = 0 OR m = 0 THEN 1 ELSE 0 END) OVER (ORDER BY k) AS o FROM t),
+n AS (SELECT *, sum(CASE WHEN m = 0 AND k % 511 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY h ORDER BY k) AS a, sum(CASE WHEN m = 4 OR m = 5 THEN CASE WHEN k % 511 <> 0 THEN 1 ELSE 0 END ELSE 0 END) OVER (PARTITION BY o ORDER BY k) AS b FROM g)
+SELECT k AS line_no, CASE WHEN k % 511 = 0 THEN '# Heading' WHEN m = 0 THEN a || '. order ' || k WHEN m = 4 OR m = 5 THEN '   ' || b || '. customer ' || c ELSE '   and more' END AS line FROM n
+""")
+def long_list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List numbers of a document with a line for each order, counted in chunks."""
+    k = F.col("o_orderkey")
+    line = (
+        F.when(k % 511 == 0, "# Heading").when(k % 10 == 0, F.concat(F.lit("9. order "), _s("o_orderkey")))
+        .when((k % 10).isin(4, 5), F.concat(F.lit("   4. customer "), _s("o_custkey"))).otherwise("   and more")
+    )
+    rows = _read(spark, sf_dir, "orders").select(F.lit(0).cast("long").alias("doc_id"), k.cast("long").alias("line_no"), line.alias("line"))
+    return long_documents.renumber(rows, _SMALL_CHUNK).select("line_no", "line")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
