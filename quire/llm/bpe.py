@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 from .store import with_fields
 
 #: Pre-tokens, and bytes of them and their ids, beyond which a task forgets those of earlier texts.
-CACHED, CACHED_BYTES = 300_000, 1 << 26
+CACHED, CACHED_BYTES = 200_000, 1 << 25
 #: Characters of texts that are encoded together; pre-tokens whose trees are rows of one array, and bytes of the
 #: longest of these.
-CHUNK, ROWS, SHORT = 1 << 20, 4096, 64
+CHUNK, ROWS, SHORT = 1 << 19, 2048, 64
 #: Fixed: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _NONE = 1 << 62
@@ -259,20 +259,18 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-_SCHEMA = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-_ARROW = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary())])
-
-
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: str | None = None) -> DataFrame:
     """docs with n_tokens and ids (a binary of little-endian unsigned 32-bit numbers) of their texts, as the
     tokenizers library encodes them with this file and without adding special tokens; the strings of
-    special tokens within a text are these tokens.
+    special tokens within a text are these tokens. With a name for it, there is a column of the texts that the ids are
+    decoded to as well, as decode() gives them, in the same pass.
 
     Null and empty texts have no ids (an empty binary), blank ones those of their blanks. Other columns stay,
     columns of these names are replaced, repeated rows are encoded each, very long texts and pre-tokens
     whole (n log n steps for a pre-token of n bytes), an empty table gives no rows."""
+    kinds = [("n_tokens", T.LongType(), pa.int64()), ("ids", T.BinaryType(), pa.binary()), (decoded, T.StringType(), pa.string())][: 3 if decoded else 2]
 
-    @F.arrow_udf(_SCHEMA)
+    @F.arrow_udf(T.StructType([T.StructField(name, kind) for name, kind, _ in kinds]))
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = vocabulary(path)
         for column in columns:
@@ -284,10 +282,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                     ids += known.encode_all(chunk)
                     chunk, size = [], 0
             ids += known.encode_all(chunk)
-            lengths = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.StructArray.from_arrays([lengths, pa.array(ids, pa.binary())], fields=list(_ARROW))
+            made = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                made.append(pa.array(map(known.decode, ids), pa.string()))
+            yield pa.StructArray.from_arrays(made, [name for name, *_ in kinds])
 
-    return with_fields(docs, ["n_tokens", "ids"], run(F.col("text").cast("string")))
+    return with_fields(docs, [name for name, *_ in kinds], run(F.col("text").cast("string")))
 
 
 def decode(encoded: DataFrame, path: str, into: str = "decoded") -> DataFrame:

@@ -94,8 +94,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path())
-    found = bpe.decode(encoded, byte_bpe_path())
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), byte_bpe_path(), "decoded")
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
