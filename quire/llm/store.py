@@ -28,13 +28,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor loses nothing of it. The files go when the Python process of the driver ends or
-    release() is called."""
+    executor loses nothing of it. With by, there is a folder for each value of that column. The files go when the
+    Python process of the driver ends or release() is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _made[path] = spark
     found = spark.read.schema(df.schema).parquet(path)
     found._written = path

@@ -10,12 +10,14 @@ maximal stretch of windows with one key, about twenty of them.
    counters and never below the number of documents that hold any window with that key, so a window
    estimated at 1 is repeated nowhere. Only the bits "2 or more" go to every task. Where the keys are
    too many for the greatest sketch (max_cells), they are met in slices of the key space, each with a
-   sketch of its own, so that what is broadcast stays bounded and the filter keeps its strength.
+   sketch of its own, so that what is broadcast stays bounded and the filter keeps its strength. The runs are
+   written once more for that, a folder for each slice, so that all slices together read them once.
 3. Only runs whose key is estimated repeated are grouped, exactly by key and run hash: the least
    document of a run owns it, and to others all of its windows are repeats. Where a key has several
    different runs, the owners' windows are met one by one as well. These runs are marked in a bit
    table of the same bounded kind, and another pass over the texts writes the windows of marked ones;
-   a run marked by chance only adds windows that are there.
+   a run marked by chance only adds windows that are there. Where they are too many for it, texts and their
+   marked runs are joined.
 
 Words covered by repeated windows are marked as spans per document and removed. A window stands for
 its words by two hashes from independent word hashes: the key and the window's own.
@@ -147,14 +149,21 @@ def sketch(keys: DataFrame, width: int, least: int) -> np.ndarray:
     return out.reshape(DEPTH, -1)
 
 
-def sliced(df: DataFrame, by: str, max_cells: int) -> Iterator[tuple[F.Column, int]]:
-    """Conditions on a column that cut a written table into as many slices as a sketch of max_cells
-    counters needs, and the counters per row for each."""
+def sliced(df: DataFrame, by: str, max_cells: int) -> Iterator[tuple[DataFrame, int]]:
+    """A written table in as many slices by a column's hash as sketches of max_cells counters need, and the
+    counters per row for each. Several slices are written once more, so that each is read alone."""
     n = df.count() * CELLS_PER_KEY
     slices = max(1, -(-n // max_cells))
     width = min(max_cells, max(MIN_CELLS, 1 << (n // slices).bit_length()))
-    for k in range(slices):
-        yield (F.lit(True) if slices == 1 else F.pmod(F.xxhash64(by), F.lit(slices)) == k), width
+    if slices == 1:
+        yield df, width
+        return
+    numbered = df.withColumn("slice", F.pmod(F.xxhash64(by), F.lit(slices)))
+    # a key may be in many rows, so a slice is dealt to several tasks
+    dealt = materialize(numbered.repartition("slice", F.pmod(F.xxhash64(*df.columns), F.lit(8))), "slices", "slice")
+    for (k,) in sorted(dealt.select("slice").distinct().collect()):
+        yield df.sparkSession.read.schema(df.schema).parquet(f"{dealt._written}/slice={k}"), width
+    discard(dealt)
 
 
 _RUNS = pa.schema([("doc_id", pa.int64()), ("copy", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("key", pa.int64()), ("run", pa.int64())])
@@ -201,31 +210,51 @@ _WINDOWS = pa.schema([*(_RUNS.field(n) for n in (0, 1, 2, 4)), ("windows", pa.li
 _WINDOWS_SPARK = "doc_id long, copy int, first long, key long, windows array<long>"
 
 
-def _windows(bits):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns, size = [[] for _ in _WINDOWS], 0
+def _windows(marked: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """The windows of chosen runs: (doc, copy, runs of the text, their numbers)."""
+    columns, size = [[] for _ in _WINDOWS], 0
+
+    def rows() -> pa.RecordBatch:
+        flat = [pa.array(np.concatenate(c), t.type) for c, t in zip(columns, list(_WINDOWS)[:4])]
+        ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[4]]))).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4])))], schema=_WINDOWS)
+
+    for doc, copy, (first, last, keys, each), at in marked:
+        if not len(at):
+            continue
+        for c, x in zip(columns, (np.full(len(at), doc), np.full(len(at), copy, np.int32), first[at], W.signed(keys[at]))):
+            c.append(x)
+        columns[4] += [W.signed(each[a : b + 1]) for a, b in zip(first[at].tolist(), last[at].tolist())]
+        size += int((last[at] - first[at] + 1).sum())
+        if size > 1_000_000:
+            yield rows()
+            columns, size = [[] for _ in _WINDOWS], 0
+    if size:
+        yield rows()
 
-        def rows() -> pa.RecordBatch:
-            flat = [pa.array(np.concatenate(c), t.type) for c, t in zip(columns, list(_WINDOWS)[:4])]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in columns[4]]))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([*flat, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[4])))], schema=_WINDOWS)
 
-        for doc, copy, (first, last, keys, each) in _texts(batches):
+def _sketched_windows(bits):
+    """Windows of the runs that a sketch of names has."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for doc, copy, found in _texts(batches):
+            first = found[0]
             of = [pa.array(np.full(len(first), doc)), pa.array(np.full(len(first), copy)), pa.array(first)]
-            at = np.flatnonzero(_holds(bits.value, _names(of)))
-            if not len(at):
-                continue
-            for c, x in zip(columns, (np.full(len(at), doc), np.full(len(at), copy, np.int32), first[at], W.signed(keys[at]))):
-                c.append(x)
-            columns[4] += [W.signed(each[a : b + 1]) for a, b in zip(first[at].tolist(), last[at].tolist())]
-            size += int((last[at] - first[at] + 1).sum())
-            if size > 1_000_000:
-                yield rows()
-                columns, size = [[] for _ in _WINDOWS], 0
-        if size:
-            yield rows()
+            yield doc, copy, found, np.flatnonzero(_holds(bits.value, _names(of)))
+
+    return lambda batches: _windows(marked(batches))
 
-    return task
+
+def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of the runs whose first words are listed beside the text."""
+
+    def marked() -> Iterator[tuple]:
+        for batch in batches:
+            for doc, copy, raw, firsts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), W.slices(batch.column(2)), batch.column(3).to_pylist()):
+                found = runs(raw)
+                yield doc, copy, found, np.flatnonzero(np.isin(found[0], firsts))
+
+    return _windows(marked())
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +262,25 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(_names(batch.columns)))], names=["name"])
 
 
-def _filtered(slices: Iterator[tuple], make) -> list[DataFrame]:
-    """What make(bits) lets through of each (bits, table, schema, label), written slice by slice."""
-    parts = []
-    for bits, df, schema, label in slices:
-        sent = df.sparkSession.sparkContext.broadcast(bits)
-        parts.append(materialize(df.mapInArrow(make(sent), schema), label))
-        sent.destroy()
-    return parts
+def _filtered(bits: np.ndarray, df: DataFrame, make, schema: str, label: str) -> DataFrame:
+    """What make(bits) lets through of a table, written."""
+    sent = df.sparkSession.sparkContext.broadcast(bits)
+    found = materialize(df.mapInArrow(make(sent), schema), label)
+    sent.destroy()
+    return found
+
+
+def _owned_windows(texts: DataFrame, own: DataFrame, max_cells: int) -> DataFrame:
+    """The windows of own runs (doc_id, copy, first), found again in the texts: by a sketch of their names if it
+    isn't too large to be sent, otherwise by a join, which reads and shuffles only texts that have some."""
+    n = own.count() * CELLS_PER_KEY
+    if n > max_cells:
+        lists = own.groupBy("doc_id", "copy").agg(F.collect_list("first").alias("firsts"))
+        held = texts.join(lists, ["doc_id", "copy"]).select("doc_id", "copy", "text", "firsts")
+        return materialize(held.mapInArrow(_listed_windows, _WINDOWS_SPARK), "windows")
+    names = own.mapInArrow(_named, "name long")
+    width = max(MIN_CELLS, 1 << n.bit_length())
+    return _filtered(sketch(names, min(max_cells, width), 1), texts, _sketched_windows, _WINDOWS_SPARK, "windows")
 
 
 def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -249,8 +289,7 @@ def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     them, which tells the texts of one doc_id apart."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("copy"), "text")
     every = materialize(texts.mapInArrow(_runs, _RUNS_SPARK), "runs")
-    keys = every.select("key", "doc_id", "copy")
-    parts = _filtered(((sketch(keys.where(some), width, 2), every.where(some), _RUNS_SPARK, "passing") for some, width in sliced(every, "key", max_cells)), _passing)
+    parts = [_filtered(sketch(some.select("key", "doc_id", "copy"), width, 2), some, _passing, _RUNS_SPARK, "passing") for some, width in sliced(every, "key", max_cells)]
     found = reduce(DataFrame.union, parts)
     discard(every)
     owners = materialize(found.groupBy("key", "run").agg(F.min("doc_id").alias("owner")), "owners")
@@ -259,9 +298,9 @@ def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     discard(*parts, owners)
     # owners alone: any other holder of a run has a larger doc_id than its owner
     own = placed.where("not repeated").join(several, "key", "left_semi").select("doc_id", "copy", "first")
-    own = materialize(own.mapInArrow(_named, "name long"), "own")
-    parts = _filtered(((sketch(own.where(some), width, 1), texts, _WINDOWS_SPARK, "windows") for some, width in sliced(own, "name", max_cells)), _windows)
-    single = reduce(DataFrame.union, parts).select("doc_id", "copy", "key", F.posexplode("windows").alias("i", "window"), "first")
+    own = materialize(own, "own")
+    windows = _owned_windows(texts, own, max_cells)
+    single = windows.select("doc_id", "copy", "key", F.posexplode("windows").alias("i", "window"), "first")
     single = single.select("key", "window", "doc_id", "copy", (F.col("first") + F.col("i")).alias("first"))
     least = single.groupBy("key", "window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most")
     least = materialize(least.select("key", "window", "owner"), "repeats")
@@ -269,7 +308,7 @@ def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     whole = placed.where("repeated").select("doc_id", "copy", "first", (F.col("last") + WINDOW).alias("last"))
     spans = whole.union(partly).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     spans = materialize(spans, "spans")
-    discard(placed, several, own, least, *parts)
+    discard(placed, several, own, least, windows)
     return spans
 
 

@@ -375,6 +375,19 @@ def test_substring_in_slices(spark, monkeypatch):
     assert [got[i]["kept"] for i in range(60)] == [" ".join(x) for x in brute_repeats(texts).values()]
 
 
+def test_substring_slices_read_the_runs_once(spark, monkeypatch):
+    """Each slice has files of its own, and together they hold every row once, however many slices there are."""
+    monkeypatch.setattr(substring, "MIN_CELLS", 1 << 6)
+    keys = substring.materialize(spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), "id"), "keys")
+    read = []
+    for cells in (1 << 20, 1 << 12, 1 << 8):
+        parts = [(x, x.inputFiles(), x.count()) for x, _ in substring.sliced(keys, "key", cells)]
+        files = [f for _, own, _ in parts for f in own]
+        assert len(files) == len(set(files)) and sum(n for *_, n in parts) == 3000
+        read.append(len(parts))
+    assert read[0] == 1 and read[1] > 1 and read[2] > 20
+
+
 def test_substring_on_repeated_ids_and_clashing_names(spark):
     words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
     rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[0] + " " + words[2]), (2, words[2]), (None, words[2]), (3, words[2])]
