@@ -715,6 +715,46 @@ def html_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(html.convert_html_tables(_customers(spark, sf_dir, *_filled(*made))))
 
 
+@query("""
+SELECT c_custkey AS doc_id, CAST(v.i AS BIGINT) AS line_no, replace(v.x, '$', c_name) AS line FROM customer CROSS JOIN (VALUES
+  (0, '# About $ in 3.4'), (1, ''), (2, '### Version 2.'), (3, 'A word of $.[^7] and more.[^2]'), (4, ''), (5, '1. one $'), (6, 'plain end')) v(i, x)
+""")
+def footnote_bail_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings keep their numbers, and references theirs where a document has list lines but no definitions."""
+    made = ["# About $ in 3.4", "", "### Version 2.", "A word of $.[^7] and more.[^2]", "", "1. one $", "plain end"]
+    return _out(footnotes.convert_footnotes(_customers(spark, sf_dir, *_filled(*made))))
+
+
+@query("""
+SELECT c_custkey AS doc_id, CAST(v.i AS BIGINT) AS line_no, replace(replace(v.x, '$', c_name), '~', repeat('-', CAST(length(c_name) AS INT))) AS line FROM customer CROSS JOIN (VALUES
+  (0, '```'), (1, '| $ |'), (2, '| ~ |'), (3, '| two' || repeat(' ', 15) || ' |'), (4, '```')) v(i, x)
+""")
+def html_within_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in fenced code are converted as well where fences don't count."""
+    docs = _customers(spark, sf_dir, *_filled("```", "<table><tr><td>$</td></tr><tr><td>two</td></tr></table>", "```"))
+    return _out(html.convert_html_tables(docs, fences=False))
+
+
+_DATES = ("4 May 2021", "(3rd Aug 1999),", "“March 31, 2024.”", "[12 december 1000]:", "pre-`x` of", "\"`a` `b`\"! at", "『[l](u)』、 at", "31 Foo 2021", "32 May 2021", "4 May 3000")
+#: Columns of these, and characters of them that stay on the line when the last column is one too few.
+_WIDTHS, _STAYS = (10, 15, 17, 19, 10, 13, 15, 11, 11, 10), (0, 0, 0, 1, 7, 10, 9, 6, 6, 5)
+
+
+@query(
+    "WITH t AS (SELECT c_custkey AS doc_id, c_name AS n, c_custkey % 10 + 1 AS k FROM customer), u AS (SELECT doc_id, n, ["
+    + ", ".join("'" + x.replace("'", "''") + "'" for x in _DATES)
+    + f"][k] AS d, repeat('x', 80 - {list(_WIDTHS)}[k]) AS pad, {list(_STAYS)}[k] AS c FROM t)"
+    " SELECT doc_id, CAST(0 AS BIGINT) AS line_no, CASE WHEN c > 0 THEN pad || ' ' || left(d, c) ELSE pad END AS line FROM u"
+    " UNION ALL SELECT doc_id, 1, ltrim(right(d, length(d) - c)) || ' ' || n FROM u"
+)
+def wrap_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates stay on one line, in brackets and quotation marks too, as do code and links with the marks around them and words
+    that end in a hyphen before code; what only looks like a date is broken."""
+    of = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("c_custkey") % 10).cast("int"))
+    pad = F.repeat(F.lit("x"), F.lit(80) - of(_WIDTHS))
+    return _out(wrap.wrap(_customers(spark, sf_dir, F.concat_ws(" ", pad, of(_DATES), F.col("c_name")))))
+
+
 #: Small, so that the table makes many chunks.
 _SMALL_CHUNK = 2_048
 

@@ -15,11 +15,19 @@ from ..plans.pipeline import Options, normalize_texts
 SCHEMA = "doc_id long, path string, ok boolean, text string, error string"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a local session may do without it."""
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir")
+    if not base and not conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (base or tempfile.gettempdir()).rstrip("/")
+
+
 def _visible(spark: SparkSession, path, fs, conf):
     """A copy under a name that Spark's readers don't pass over, in the folder that executors share."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    copy = hadoop.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}", "x" + path.getName())
+    copy = hadoop.Path(f"{shared_dir(spark)}/files-{uuid.uuid4().hex}", "x" + path.getName())
     other = copy.getFileSystem(conf)
     if not hadoop.FileUtil.copy(fs, path, other, copy, False, conf):
         raise OSError(f"{path}: could not be copied")
@@ -87,6 +95,14 @@ def write_texts(results: DataFrame, directory: str) -> None:
     good.write.partitionBy("part").text(directory)
 
 
+def written_files(spark: SparkSession, directory: str) -> list[str]:
+    """The files that write_texts() made, by doc_id."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = hadoop.Path(directory)
+    found = [x.getPath() for x in folder.getFileSystem(conf).globStatus(hadoop.Path(folder, "part=*/part-*"))]
+    return [str(x.toString()) for x in sorted(found, key=lambda x: int(x.getParent().getName().removeprefix("part=")))]
+
+
 def write_in_place(results: DataFrame) -> None:
     """Put each good document in the place of its source file. Executors write the texts to a folder
     beside the first source. Then, one by one, a source is renamed into that folder (old-doc_id), the new

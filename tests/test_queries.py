@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quire.plans import file_queries  # noqa: F401  registers its queries
 from quire.plans import queries as plans
 
 
