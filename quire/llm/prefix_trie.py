@@ -32,6 +32,8 @@ PIECE = 1024
 #: Characters of ids in one piece of text.
 TEXT = 1 << 16
 FAMILY = 5
+#: A parent with more than one in so many of all chains below it is hot.
+HOT = 1000
 
 
 def base_id(conv: str = "conv_id") -> Column:
@@ -201,6 +203,15 @@ def end_hashes(nodes: DataFrame) -> DataFrame:
     return texts.repartition("ka", "kb").sortWithinPartitions("ka", "kb", "first").mapInArrow(_hashed, "ka long, kb long, ends_sha256 string")
 
 
+def _owners(tops: DataFrame, owners: DataFrame) -> DataFrame:
+    """tops joined with owners by key. Keys with more than one row in HOT, fewer than HOT of them whatever the table is, are
+    sent to the tasks; only the others are shuffled."""
+    hot = tops.groupBy("ka", "kb").agg(F.count("*").alias("n")).where(F.col("n") * HOT > max(tops.count(), HOT)).select("ka", "kb")
+    known = materialize(owners.join(F.broadcast(hot), ["ka", "kb"]), "hot")
+    cold = tops.join(F.broadcast(known.select("ka", "kb")), ["ka", "kb"], "left_anti").join(owners, ["ka", "kb"])
+    return tops.join(F.broadcast(known), ["ka", "kb"]).unionByName(cold)
+
+
 def prefix_trie(turns: DataFrame) -> DataFrame:
     """The trie of rebuilt conversations, one row per node: conv_id (least member), depth, parent_conv_id (the
     parent's; null for the root), n_convs, n_children, n_leaves (below it or itself), saved_tokens (UTF-8 bytes that
@@ -232,10 +243,10 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     rest = Window.partitionBy("conv_id", "piece").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
     own = trie.withColumn("rest", F.sum("saved").over(rest)).join(later_sums, ["conv_id", "piece"], "left")
     own = own.join(chains.select("conv_id", "bottom", "leaves"), "conv_id")
-    # a chain's parent is owned by another conversation; the root owns everything at depth 1
+    # a chain's parent is owned by another conversation
     tops = trie.join(chains.select("conv_id", F.col("top").alias("depth")), ["conv_id", "depth"]).where("depth > 0")
-    parents = tops.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"), F.col("ka").alias("ca"), F.col("kb").alias("cb"))
-    parents = parents.join(trie.select("ka", "kb", F.col("conv_id").alias("above")), ["ka", "kb"]).select(F.col("ca").alias("ka"), F.col("cb").alias("kb"), "above")
+    tops = materialize(tops.select(F.col("pa").alias("ka"), F.col("pb").alias("kb"), F.col("ka").alias("ca"), F.col("kb").alias("cb")), "tops")
+    parents = _owners(tops, trie.select("ka", "kb", F.col("conv_id").alias("above"))).select(F.col("ca").alias("ka"), F.col("cb").alias("kb"), "above")
     found = own.join(hanging, ["ka", "kb"], "left").join(parents, ["ka", "kb"], "left").join(end_hashes(nodes), ["ka", "kb"], "left")
     none = F.lit(0).cast("long")
     out = found.select(
