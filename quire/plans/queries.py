@@ -3,6 +3,7 @@ with DuckDB SQL that computes the same rows another way."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,11 +34,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that one task takes. What a task holds grows with its rows, not with the table.
+ROWS_A_TASK = 50_000
+#: Documents, where each row makes one of several lines.
+DOCUMENTS_A_TASK = 5_000
+
+
+def _tasks(rows: DataFrame, each: int) -> int:
+    """How many tasks the rows of a table are dealt to; a Parquet file's own counts tell it."""
+    return max(1, math.ceil(rows.count() / each))
+
+
+def _spread(rows: DataFrame, doc: str, each: int = ROWS_A_TASK) -> DataFrame:
+    """Rows with doc_id, those of a document in one of as many partitions as the table's size asks for. A small file
+    of very many rows would be one task otherwise, and partitions of a fixed number would grow with the table."""
+    rows, n = rows.withColumn("doc_id", F.col(doc).cast("long")), _tasks(rows, each)
+    return rows.repartition(n, "doc_id") if n > 1 else rows
+
+
 def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFrame:
     """Documents of rows: the lines of each row, in the given order."""
     each = F.array(*line) if isinstance(line, list) else line
     item = F.struct(*[F.col(o) for o in order], each.alias("_lines"))
-    grouped = rows.groupBy(F.col(doc).cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list(item)).alias("_all"))
+    grouped = _spread(rows, doc).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
     return grouped.select("doc_id", F.flatten(F.col("_all._lines")).alias("lines"))
 
 
@@ -592,13 +611,13 @@ def normalize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<table><tr><th>a</th></tr>", "<tr><td>$</td></tr></table>", "", "`x`** y**", "", "[^8]: note $",
     ]
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("|#|"), F.concat(F.lit("|"), _s("c_custkey"), F.lit("|"))), F.lit("$"), F.col("c_name"))
-    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*map(fill, made)).alias("lines"))
+    docs = _customers(spark, sf_dir, *map(fill, made))
     return _out(normalize(docs, Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)))
 
 
 def _customers(spark: SparkSession, sf_dir: str, *lines_: Column) -> DataFrame:
     """A document of some lines for each customer."""
-    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*lines_).alias("lines"))
+    return _spread(_read(spark, sf_dir, "customer"), "c_custkey", DOCUMENTS_A_TASK).select("doc_id", F.array(*lines_).alias("lines"))
 
 
 def _filled(*made: str) -> list[Column]:

@@ -40,3 +40,23 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rows_are_dealt_to_tasks_by_the_size_of_the_table(spark):
+    from quire.plans.queries import _spread
+
+    rows = spark.range(1000).selectExpr("id div 3 AS k").coalesce(1)
+    dealt = _spread(rows, "k", 100)
+    assert dealt.rdd.getNumPartitions() == 10
+    parts = dealt.rdd.mapPartitionsWithIndex(lambda i, x: [(r.doc_id, i) for r in x]).collect()
+    # all rows are there, those of one document together
+    assert len(parts) == 1000 and len(set(parts)) == 334
+    assert _spread(rows, "k", 1000).rdd.getNumPartitions() == 1
+
+
+def test_lines_between_html_tables_stay_together():
+    from quire.operators.html import parts_of
+
+    table = ["<table><tr><td>x</td></tr><tr><td>y</td></tr></table>"]
+    found = parts_of(["a", "b", *table, "```", "<table>", "```", "c"])
+    assert [(t, x) for t, x in found if not t] == [(False, ["a", "b"]), (False, ["```", "<table>", "```", "c"])]
