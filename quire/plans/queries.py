@@ -451,7 +451,7 @@ def html_single_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines_ = F.array(
         F.concat(F.lit("  <table><tr><td>"), name, F.lit("</td><td><"), bold, F.lit(">  a")), F.concat(F.lit("\tb</"), bold, F.lit("><script>x | y</script></td></tr></table>"))
     )
-    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), lines_.alias("lines"))
+    docs = _spread(_read(spark, sf_dir, "customer"), "c_custkey", DOCUMENTS_A_TASK).select("doc_id", lines_.alias("lines"))
     return _out(html.convert_html_tables(docs))
 
 
