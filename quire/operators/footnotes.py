@@ -13,6 +13,8 @@ ATX = r"^(?:\p{IsWhite_Space}*(?:>|[-*+]|[0-9]+[.)])\p{IsWhite_Space}*)*\p{IsWhi
 LIST_LINE = r"^(\p{IsWhite_Space}*)([0-9]+)[.:](\p{IsWhite_Space}+)(.*)\z"
 DEFINITION = r"^((?:\p{IsWhite_Space}*>\p{IsWhite_Space}*)*\p{IsWhite_Space}*)\[\^([0-9]+)\]\p{IsWhite_Space}*:(.*)\z"
 REFERENCE = r"\[\^([0-9]+)\]"
+#: A line without these has no number that bare_numbers() converts.
+_MAY_BE_BARE = r"[.!?);:][*_]*[0-9]|[0-9]\p{IsWhite_Space}*:"
 #: Code spans and what lies between them; an odd run of backticks stands alone.
 _PIECES = r"(?s)(?:(`+)(?:(?!`).)+?\1(?!`))|[^`]+|`+"
 
@@ -63,7 +65,7 @@ def convert_footnotes(docs: DataFrame) -> DataFrame:
     lines with their definition."""
     line, w, doc = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no"), Window.partitionBy("doc_id")
     rows = explode_lines(docs)
-    rows = rows.withColumn("line", F.when(line.rlike(ATX), line).otherwise(outside_spans(line, bare_numbers)))
+    rows = rows.withColumn("line", F.when(line.rlike(_MAY_BE_BARE) & ~line.rlike(ATX), outside_spans(line, bare_numbers)).otherwise(line))
     rows = _list_block(rows)
     promoted = F.col("_in") & F.col("_h2") & ~F.col("_defined") & line.rlike(LIST_LINE)
     rows = rows.withColumn("line", F.when(promoted, F.regexp_replace(line, LIST_LINE, "$1[^$2]:$3$4")).otherwise(line))
@@ -71,11 +73,11 @@ def convert_footnotes(docs: DataFrame) -> DataFrame:
     # numbering
     toggle = X.ltrim(F.regexp_replace(line, r"^[\p{IsWhite_Space}>]+", "")).rlike("^(```|~~~)")
     rows = rows.withColumn("_mark", F.coalesce(toggle, F.lit(False))).withColumn("_open", (F.sum(F.col("_mark").cast("int")).over(w) % 2 == 1) | F.col("_mark"))
-    rows = rows.withColumn("_def", F.when(~F.col("_open") & line.rlike(DEFINITION), F.regexp_extract(line, DEFINITION, 2).try_cast("long")))
+    rows = rows.withColumn("_def", F.when(~F.col("_open") & line.contains("[^") & line.rlike(DEFINITION), F.regexp_extract(line, DEFINITION, 2).try_cast("long")))
     body = F.when(F.col("_def").isNotNull(), F.regexp_extract(line, DEFINITION, 3)).otherwise(line)
     plain = outside_spans_only(body)
     refs = F.transform(F.regexp_extract_all(plain, F.lit(REFERENCE), F.lit(1)), lambda x: x.try_cast("long"))
-    rows = rows.withColumn("_refs", F.when(~F.col("_open"), refs).otherwise(F.array().cast("array<long>")))
+    rows = rows.withColumn("_refs", F.when(~F.col("_open") & line.contains("[^"), refs).when(line.isNotNull(), F.array().cast("array<long>")))
     rows = _list_block(rows)
     referenced = F.max(F.size("_refs") > 0).over(doc)
     scanned = F.coalesce(F.max(F.col("_def").isNotNull()).over(w), F.lit(False))
@@ -97,7 +99,7 @@ def convert_footnotes(docs: DataFrame) -> DataFrame:
     new = lambda old: F.col("_map")[old].cast("string")
     as_definition = F.concat(F.regexp_extract(line, DEFINITION, 1), F.lit("[^"), new(F.col("_def")), F.lit("]:"), mapped(F.regexp_extract(line, DEFINITION, 3)))
     as_item = F.concat(F.regexp_extract(line, LIST_LINE, 1), F.lit("[^"), new(F.col("_list")), F.lit("]:"), F.regexp_extract(line, LIST_LINE, 3), mapped(F.regexp_extract(line, LIST_LINE, 4)))
-    made = F.when(F.col("_skip") | F.col("_open"), line).when(F.col("_def").isNotNull(), as_definition).when(F.col("_list").isNotNull(), as_item).otherwise(mapped(line))
+    made = F.when(F.col("_skip") | F.col("_open"), line).when(F.col("_def").isNotNull(), as_definition).when(F.col("_list").isNotNull(), as_item).when(line.contains("[^"), mapped(line)).otherwise(line)
     rows = rows.withColumn("_number", F.when(~F.col("_skip"), F.coalesce(F.col("_map")[F.col("_def")], F.col("_map")[F.col("_list")])))
     rows = rows.withColumn("line", made)
     return _ordered_definitions(rows)

@@ -259,11 +259,10 @@ UNION ALL SELECT doc_id, m, '' FROM m
 UNION ALL SELECT doc_id, m + n, '[^' || CAST(n AS VARCHAR) || ']: note ' || CAST(p AS VARCHAR) FROM f JOIN m USING (doc_id)""")
 def footnote_definition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _read(spark, sf_dir, "lineitem")
-    refs = _docs(items, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[F.concat(F.lit("Part[^"), _s("l_partkey"), F.lit("]"))])
-    notes = F.concat(F.lit("[^"), _s("l_partkey"), F.lit("]: note "), _s("l_partkey"))
-    defs = _docs(items.select("l_orderkey", "l_partkey").distinct(), "l_orderkey", "l_partkey", line=[notes]).withColumnRenamed("lines", "defs")
-    docs = refs.join(defs, "doc_id").select("doc_id", F.concat("lines", F.array(F.lit("")), "defs").alias("lines"))
-    return _out(footnotes.convert_footnotes(docs))
+    items = _spread(items, "l_orderkey").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
+    refs = F.transform("_all.l_partkey", lambda p: F.concat(F.lit("Part[^"), p.cast("string"), F.lit("]")))
+    notes = F.transform(F.array_sort(F.array_distinct("_all.l_partkey")), lambda p: F.concat(F.lit("[^"), p.cast("string"), F.lit("]: note "), p.cast("string")))
+    return _out(footnotes.convert_footnotes(items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines"))))
 
 
 @query("""
