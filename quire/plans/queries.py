@@ -60,6 +60,13 @@ def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFr
     return grouped.select("doc_id", F.flatten(F.col("_all._lines")).alias("lines"))
 
 
+def _two_parts(rows: DataFrame, order: str, line: Column, again: str, notes: list[Column]) -> DataFrame:
+    """Documents of rows with doc_id, which meet once: a line for each in one order, and notes for each in another."""
+    parts = [F.array_sort(F.collect_list(F.struct(F.col(o), F.array(*x).alias("_lines")))).alias(f"_{i}") for i, (o, x) in enumerate(((order, [line]), (again, notes)))]
+    grouped = rows.groupBy("doc_id").agg(*parts)
+    return grouped.select("doc_id", *[F.flatten(F.col(f"_{i}._lines")).alias(x) for i, x in enumerate(("lines", "notes"))])
+
+
 def _head(docs: DataFrame, *first: str) -> DataFrame:
     """Documents with fixed lines before their own."""
     return docs.select("doc_id", F.concat(F.array(*map(F.lit, first)), "lines").alias("lines"))
@@ -483,13 +490,13 @@ def footnote_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in definitions count after those of the text, in the order in which they stand there;
     code is left out."""
     orders = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey"))
-    orders = orders.withColumn("_first", F.min("o_orderkey").over(Window.partitionBy("o_custkey")))
+    orders = _spread(orders, "o_custkey").withColumn("_first", F.min("o_orderkey").over(Window.partitionBy("doc_id")))
     key = _s("o_orderkey")
-    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
+    ref = F.concat(F.lit("Order[^"), key, F.lit("]"))
     note = F.concat(F.lit("[^"), key, F.lit("]: after[^"), _s("_first"), F.lit("] and[^"), (F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit("]"))
-    notes = _docs(orders, "o_custkey", "_down", line=[note, F.concat(F.lit("  more "), key)]).withColumnRenamed("lines", "notes")
+    docs = _two_parts(orders, "o_orderkey", ref, "_down", [note, F.concat(F.lit("  more "), key)])
     code = F.array(F.lit("```"), F.lit("skip[^77]"), F.lit("```"))
-    docs = refs.join(notes, "doc_id").select("doc_id", F.concat(code, "lines", F.array(F.lit("")), "notes").alias("lines"))
+    docs = docs.select("doc_id", F.concat(code, "lines", F.array(F.lit("")), "notes").alias("lines"))
     return _out(footnotes.convert_footnotes(docs))
 
 
@@ -502,11 +509,10 @@ UNION ALL SELECT doc_id, 2 * n - r + 1, '[^' || CAST(2 * n - r + 1 AS VARCHAR) |
 def footnote_list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of a trailing list get the numbers behind the references', from the last item up."""
     orders, key = _read(spark, sf_dir, "orders"), _s("o_orderkey")
-    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
+    ref = F.concat(F.lit("Order[^"), key, F.lit("]"))
     item = F.concat((F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit(". note[^"), key, F.lit("]"))
-    items = _docs(orders, "o_custkey", "o_orderkey", line=[item]).withColumnRenamed("lines", "items")
-    docs = refs.join(items, "doc_id").select("doc_id", F.concat("lines", F.array(F.lit("")), "items").alias("lines"))
-    return _out(footnotes.convert_footnotes(docs))
+    docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "o_orderkey", [item])
+    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", F.array(F.lit("")), "notes").alias("lines"))))
 
 
 @query("""
@@ -520,9 +526,9 @@ def footnote_spaced_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty lines between definitions travel with the definition after them; that of the one which comes
     first goes behind it."""
     orders, key = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey")), _s("o_orderkey")
-    refs = _docs(orders, "o_custkey", "o_orderkey", line=[F.concat(F.lit("Order[^"), key, F.lit("]"))])
-    notes = _docs(orders, "o_custkey", "_down", line=[F.lit(""), F.concat(F.lit("[^"), key, F.lit("]: note "), key)]).withColumnRenamed("lines", "notes")
-    return _out(footnotes.convert_footnotes(refs.join(notes, "doc_id").select("doc_id", F.concat("lines", "notes").alias("lines"))))
+    ref, note = F.concat(F.lit("Order[^"), key, F.lit("]")), F.concat(F.lit("[^"), key, F.lit("]: note "), key)
+    docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "_down", [F.lit(""), note])
+    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", "notes").alias("lines"))))
 
 
 @query("""
