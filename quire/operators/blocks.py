@@ -24,7 +24,7 @@ def format_breaks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lines", outside_code(F.col("lines"), change))
 
 
-def setext_headings(docs: DataFrame) -> DataFrame:
+def setext_headings(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Underlined headings as # and ## headings.
 
     A line whose successor is an underline under an indent with quote marks of the same length in bytes
@@ -39,7 +39,7 @@ def setext_headings(docs: DataFrame) -> DataFrame:
     apart = (own != under) | (F.substr(text, F.lit(1), F.lit(1)) != F.substr(rule, F.lit(1), F.lit(1)))
     fits = ~F.col("code") & (F.octet_length(own) == F.octet_length(under)) & ~X.is_blank(line) & (text != "") & rule.rlike(r"^(={3,}|-{3,})\z") & apart
     ruled = F.exists("lines", lambda x: x.rlike(r"(={3,}|-{3,})\p{IsWhite_Space}*\z"))
-    rows = explode_lines(docs, ruled).withColumn("_below", below).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    rows = explode_lines(docs, ruled, tasks=tasks).withColumn("_below", below).withColumn("_fits", F.coalesce(fits, F.lit(False)))
     rows = rows.withColumn("_island", F.sum((~F.col("_fits")).cast("int")).over(w))
     place = F.row_number().over(Window.partitionBy("doc_id", "_island", "_fits").orderBy("line_no"))
     rows = rows.withColumn("_heading", F.col("_fits") & (place % 2 == 1))
@@ -69,14 +69,14 @@ def numbered_item(line: Column, number: Column) -> Column:
     return F.concat(part(1), number.cast("string"), F.lit("."), part(2), rest)
 
 
-def renumber_lists(docs: DataFrame) -> DataFrame:
+def renumber_lists(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ordered list items numbered from 1 at every indent.
 
     Every line that isn't blank or code is an event with a threshold; it ends all lists of a larger
     indent. An item's number counts the items of its indent since the last event below that indent:
     for each indent that a document's items have, its items and the events below it form one window."""
     line, w = F.col("line"), _by_line()
-    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike(ITEM)))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike(ITEM)), tasks=tasks)
     rows = rows.withColumn("_blank", F.lag(F.coalesce(X.is_blank(line) & ~F.col("fence.marker"), F.lit(False)), 1, False).over(w))
     item, indent, below = item_threshold(line, F.col("code"), F.col("_blank"))
     rows = rows.withColumn("_item", item).withColumn("_indent", indent).withColumn("_below", below)
@@ -101,12 +101,12 @@ def _rewritten(line: Column, marker: Column) -> Column:
     return F.concat(F.regexp_extract(line, LOCAL_FENCE, 1), marker, F.when(F.lower(language) == "null", "").otherwise(language))
 
 
-def compress_fences(docs: DataFrame) -> DataFrame:
+def compress_fences(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Fence delimiters as three backticks, unless a line inside a block could then be taken for its
     end; the word null goes from both delimiters. An unclosed last block has only its first line changed."""
     line, fence, w = F.col("line"), F.col("fence"), _by_line()
     block = Window.partitionBy("doc_id", "_block")
-    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~"))).withColumn("_block", F.col("fence.block"))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~")), tasks=tasks).withColumn("_block", F.col("fence.block"))
     opens = F.col("fence.marker") & ~F.col("fence.was_in")
     closes = F.col("fence.marker") & F.col("fence.was_in") & ~F.col("fence.is_in")
     inner = F.regexp_extract(line, r"(`{3,}|~{3,})", 1)
@@ -129,12 +129,12 @@ def compress_fences(docs: DataFrame) -> DataFrame:
     return pack_lines(rows.withColumn("line", F.coalesce(changed, line)))
 
 
-def attach_orphan_specifiers(docs: DataFrame) -> DataFrame:
+def attach_orphan_specifiers(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """A language name on a line of its own, after a blank line and before an unlabelled fence, moves
     onto the fence; the blank lines between them go."""
     line, w = F.col("line"), _by_line()
     ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~")))
+    rows = explode_lines(docs, F.exists("lines", lambda x: x.rlike("```|~~~")), tasks=tasks)
     parts = F.filter(F.transform(F.split(X.trim(line), ","), X.trim), lambda x: x != "")
     spec = F.lower(F.array_join(parts, ","))
     blank = X.is_blank(line)

@@ -56,7 +56,7 @@ def _list_block(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_h2", F.coalesce(heading["is"], F.lit(False))).withColumn("_defined", F.coalesce(defined, F.lit(False)))
 
 
-def convert_footnotes(docs: DataFrame) -> DataFrame:
+def convert_footnotes(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Documents with footnotes in reference syntax, numbered by first use, definitions in that order.
 
     References are numbered 1, 2, ... as they first occur outside fences (here a plain toggle on fence
@@ -64,7 +64,7 @@ def convert_footnotes(docs: DataFrame) -> DataFrame:
     them from the last up. A trailing block of definitions is sorted by the new numbers, continuation
     lines with their definition."""
     line, w, doc = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no"), Window.partitionBy("doc_id")
-    rows = explode_lines(docs)
+    rows = explode_lines(docs, tasks=tasks)
     rows = rows.withColumn("line", F.when(line.rlike(_MAY_BE_BARE) & ~line.rlike(ATX), outside_spans(line, bare_numbers)).otherwise(line))
     rows = _list_block(rows)
     promoted = F.col("_in") & F.col("_h2") & ~F.col("_defined") & line.rlike(LIST_LINE)

@@ -86,14 +86,17 @@ def fence_state(lines: Column) -> Column:
     return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(_fences(F.when(~plain, lines)))
 
 
-def explode_lines(docs: DataFrame, needed: Column | None = None) -> DataFrame:
+def explode_lines(docs: DataFrame, needed: Column | None = None, tasks: int | None = None) -> DataFrame:
     """(doc_id, line_no, line, fence, code): one row per line; code tells fence markers and what is
     inside. Documents without lines give one row of nulls, so that they aren't lost; so do those that aren't
-    needed, whose lines stay together in a column whole, which pack_lines() takes up again."""
+    needed, whose lines stay together in a column whole, which pack_lines() takes up again. With tasks, documents are dealt
+    to as many; Spark forgets behind a Python function where they are, and its own number doesn't grow with the table."""
     lines, needed = F.col("lines"), F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
     docs = docs.select("doc_id", F.when(needed, lines).alias("lines"), F.when(~needed, lines).alias("whole"))
     zipped = F.arrays_zip(lines.alias("line"), F.col("_fence").alias("fence"))
-    rows = docs.withColumn("_fence", fence_state(lines)).select("doc_id", "whole", F.posexplode_outer(zipped).alias("line_no", "_x"))
+    docs = docs.withColumn("_fence", fence_state(lines))
+    docs = docs.repartition(tasks, "doc_id") if tasks else docs
+    rows = docs.select("doc_id", "whole", F.posexplode_outer(zipped).alias("line_no", "_x"))
     rows = rows.select("doc_id", F.col("line_no").cast("long"), "_x.line", "_x.fence", "whole")
     return rows.withColumn("code", F.coalesce(F.col("fence.marker") | F.col("fence.is_in"), F.lit(False)))
 

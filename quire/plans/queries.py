@@ -54,6 +54,12 @@ def _spread(rows: DataFrame, doc: str, each: int = ROWS_A_TASK) -> DataFrame:
 
 def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFrame:
     """Documents of rows: the lines of each row, in the given order."""
+def _dealt(change: Callable[..., DataFrame], docs: DataFrame, rows: DataFrame, each: int = ROWS_A_TASK) -> DataFrame:
+    """change of documents that were made of rows, in as many tasks as these ask for."""
+    n = _tasks(rows, each)
+    return change(docs, tasks=n if n > 1 else None)
+
+
     each = F.array(*line) if isinstance(line, list) else line
     item = F.struct(*[F.col(o) for o in order], each.alias("_lines"))
     grouped = _spread(rows, doc).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
@@ -223,7 +229,8 @@ SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no, CAST(r AS VARCHAR) || '. part '
 """)
 def list_renumber_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat((F.col("l_partkey") + 1).cast("string"), F.lit(". part "), _s("l_partkey"))
-    return _out(blocks.renumber_lists(_docs(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[item])))
+    rows = _read(spark, sf_dir, "lineitem")
+    return _out(_dealt(blocks.renumber_lists, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[item]), rows))
 
 
 @query("""
@@ -237,7 +244,8 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY doc_id
 def list_renumber_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.array(F.concat(F.lit("7. order "), _s("o_orderkey")), F.lit("   9. status"), F.lit("   9. date"))
     each = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.array(F.lit("# order")), item)).otherwise(item)
-    return _out(blocks.renumber_lists(_docs(_read(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", line=each)))
+    rows = _read(spark, sf_dir, "orders")
+    return _out(_dealt(blocks.renumber_lists, _docs(rows, "o_custkey", "o_orderkey", line=each), rows))
 
 
 _RANKED = """
@@ -249,7 +257,8 @@ f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY min(r))
 @query(_RANKED + "SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no, 'Part[^' || CAST(n AS VARCHAR) || '] shipped' AS line FROM t JOIN f USING (doc_id, p)")
 def footnote_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("Part[^"), _s("l_partkey"), F.lit("] shipped"))
-    return _out(footnotes.convert_footnotes(_docs(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line])))
+    rows = _read(spark, sf_dir, "lineitem")
+    return _out(_dealt(footnotes.convert_footnotes, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line]), rows))
 
 
 @query(_RANKED + """SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no,
@@ -257,7 +266,8 @@ CASE WHEN p % 2 = 0 THEN 'Sold the part.[^' || CAST(n AS VARCHAR) || '] today' E
 def footnote_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _s("l_partkey")
     line = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Sold the part."), p, F.lit(" today"))).otherwise(F.concat(F.lit("Sold the part "), p, F.lit(": today `a.1 `")))
-    return _out(footnotes.convert_footnotes(_docs(_read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line])))
+    rows = _read(spark, sf_dir, "lineitem")
+    return _out(_dealt(footnotes.convert_footnotes, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line]), rows))
 
 
 @query(_RANKED + """, m AS (SELECT doc_id, max(r) AS m FROM t GROUP BY doc_id)
@@ -269,7 +279,7 @@ def footnote_definition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _spread(items, "l_orderkey").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
     refs = F.transform("_all.l_partkey", lambda p: F.concat(F.lit("Part[^"), p.cast("string"), F.lit("]")))
     notes = F.transform(F.array_sort(F.array_distinct("_all.l_partkey")), lambda p: F.concat(F.lit("[^"), p.cast("string"), F.lit("]: note "), p.cast("string")))
-    return _out(footnotes.convert_footnotes(items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines"))))
+    return _out(_dealt(footnotes.convert_footnotes, items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines")), rows))
 
 
 @query("""
@@ -489,7 +499,8 @@ UNION ALL SELECT doc_id, 3 + n + 2 * r, '  more ' || CAST(k AS VARCHAR) FROM t
 def footnote_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References in definitions count after those of the text, in the order in which they stand there;
     code is left out."""
-    orders = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey"))
+    rows = _read(spark, sf_dir, "orders")
+    orders = rows.withColumn("_down", -F.col("o_orderkey"))
     orders = _spread(orders, "o_custkey").withColumn("_first", F.min("o_orderkey").over(Window.partitionBy("doc_id")))
     key = _s("o_orderkey")
     ref = F.concat(F.lit("Order[^"), key, F.lit("]"))
@@ -497,7 +508,7 @@ def footnote_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _two_parts(orders, "o_orderkey", ref, "_down", [note, F.concat(F.lit("  more "), key)])
     code = F.array(F.lit("```"), F.lit("skip[^77]"), F.lit("```"))
     docs = docs.select("doc_id", F.concat(code, "lines", F.array(F.lit("")), "notes").alias("lines"))
-    return _out(footnotes.convert_footnotes(docs))
+    return _out(_dealt(footnotes.convert_footnotes, docs, rows))
 
 
 @query("""
@@ -512,7 +523,7 @@ def footnote_list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat(F.lit("Order[^"), key, F.lit("]"))
     item = F.concat((F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit(". note[^"), key, F.lit("]"))
     docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "o_orderkey", [item])
-    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", F.array(F.lit("")), "notes").alias("lines"))))
+    return _out(_dealt(footnotes.convert_footnotes, docs.select("doc_id", F.concat("lines", F.array(F.lit("")), "notes").alias("lines")), orders))
 
 
 @query("""
@@ -528,7 +539,7 @@ def footnote_spaced_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, key = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey")), _s("o_orderkey")
     ref, note = F.concat(F.lit("Order[^"), key, F.lit("]")), F.concat(F.lit("[^"), key, F.lit("]: note "), key)
     docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "_down", [F.lit(""), note])
-    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", "notes").alias("lines"))))
+    return _out(_dealt(footnotes.convert_footnotes, docs.select("doc_id", F.concat("lines", "notes").alias("lines")), orders))
 
 
 @query("""

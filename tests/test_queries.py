@@ -60,3 +60,13 @@ def test_lines_between_html_tables_stay_together():
     table = ["<table><tr><td>x</td></tr><tr><td>y</td></tr></table>"]
     found = parts_of(["a", "b", *table, "```", "<table>", "```", "c"])
     assert [(t, x) for t, x in found if not t] == [(False, ["a", "b"]), (False, ["```", "<table>", "```", "c"])]
+
+
+def test_passes_deal_documents_to_the_tasks_asked_for(spark):
+    from quire.operators import blocks, footnotes
+
+    docs = spark.createDataFrame([(i, ["7. a", "see.[^9]"]) for i in range(40)], "doc_id long, lines array<string>").coalesce(1)
+    for change in (blocks.renumber_lists, footnotes.convert_footnotes):
+        done = change(docs, tasks=7)
+        assert done.rdd.getNumPartitions() == 7
+        assert {r.doc_id: r.lines for r in done.collect()} == {r.doc_id: r.lines for r in change(docs).collect()}
