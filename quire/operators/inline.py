@@ -101,13 +101,13 @@ def ellipsis_outside(c: Column, literal: Column) -> Column:
     return F.when(~c.contains("..."), c).when(F.size(literal) > 0, whole).otherwise(X.dots_to_ellipsis(c))
 
 
-def replace_ellipsis(docs: DataFrame) -> DataFrame:
+def replace_ellipsis(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ellipses for dot runs, outside fenced and indented code, link definitions and protected spans.
 
     Indented lines are code when their run of indented or blank lines holds one that begins right after
     the start, a blank line, a heading, a link definition, a directive or a fence."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = with_link_parts(explode_lines(docs, F.exists("lines", lambda x: x.contains("..."))))
+    rows = with_link_parts(explode_lines(docs, F.exists("lines", lambda x: x.contains("...")), tasks=tasks))
     blank, indented = X.is_blank(line), X.indent_columns(line) >= 4
     kind = X.block_kind(line)
     opens = blank | kind.isin("heading", "link_reference_definition", "markdownlint_directive") | F.col("fence.marker")

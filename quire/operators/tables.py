@@ -115,10 +115,10 @@ def reflow_block(blocks: DataFrame, source: str = "block") -> DataFrame:
     return step.drop(*[x for x in step.columns if x.startswith("_")])
 
 
-def reflow_tables(docs: DataFrame, ellipsis: bool = False) -> DataFrame:
+def reflow_tables(docs: DataFrame, ellipsis: bool = False, tasks: int | None = None) -> DataFrame:
     """Documents with every pipe table outside fenced code reflowed; with ellipsis, its dot runs are
     replaced before widths are measured."""
-    rows = find_tables(explode_lines(docs, F.exists("lines", lambda x: X.ltrim(x).startswith("|"))))
+    rows = find_tables(explode_lines(docs, F.exists("lines", lambda x: X.ltrim(x).startswith("|")), tasks=tasks))
     if ellipsis:
         rows = rows.withColumn("line", F.when(F.col("table_id").isNotNull(), X.dots_to_ellipsis(F.col("line"))).otherwise(F.col("line")))
     # a table's lines meet again by document, so that nothing is shuffled a second time

@@ -38,6 +38,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ROWS_A_TASK = 50_000
 #: Documents, where each row makes one of several lines.
 DOCUMENTS_A_TASK = 5_000
+#: Rows of the documents table, which are some thousand characters long.
+TEXTS_A_TASK = 1_000
 
 
 def _tasks(rows: DataFrame, each: int) -> int:
@@ -52,14 +54,14 @@ def _spread(rows: DataFrame, doc: str, each: int = ROWS_A_TASK) -> DataFrame:
     return rows.repartition(n, "doc_id") if n > 1 else rows
 
 
-def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFrame:
-    """Documents of rows: the lines of each row, in the given order."""
 def _dealt(change: Callable[..., DataFrame], docs: DataFrame, rows: DataFrame, each: int = ROWS_A_TASK) -> DataFrame:
     """change of documents that were made of rows, in as many tasks as these ask for."""
     n = _tasks(rows, each)
     return change(docs, tasks=n if n > 1 else None)
 
 
+def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFrame:
+    """Documents of rows: the lines of each row, in the given order."""
     each = F.array(*line) if isinstance(line, list) else line
     item = F.struct(*[F.col(o) for o in order], each.alias("_lines"))
     grouped = _spread(rows, doc).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"))
@@ -275,8 +277,8 @@ SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no, 'Part[^' || CAST(n AS VARCHAR)
 UNION ALL SELECT doc_id, m, '' FROM m
 UNION ALL SELECT doc_id, m + n, '[^' || CAST(n AS VARCHAR) || ']: note ' || CAST(p AS VARCHAR) FROM f JOIN m USING (doc_id)""")
 def footnote_definition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _read(spark, sf_dir, "lineitem")
-    items = _spread(items, "l_orderkey").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
+    rows = _read(spark, sf_dir, "lineitem")
+    items = _spread(rows, "l_orderkey").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
     refs = F.transform("_all.l_partkey", lambda p: F.concat(F.lit("Part[^"), p.cast("string"), F.lit("]")))
     notes = F.transform(F.array_sort(F.array_distinct("_all.l_partkey")), lambda p: F.concat(F.lit("[^"), p.cast("string"), F.lit("]: note "), p.cast("string")))
     return _out(_dealt(footnotes.convert_footnotes, items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines")), rows))
@@ -349,8 +351,9 @@ def wrap_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wrap_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
-    done = wrap.wrap(docs)
+    rows = _read(spark, sf_dir, "documents")
+    docs = _spread(rows, "doc_id", TEXTS_A_TASK).select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
+    done = _dealt(wrap.wrap, docs, rows, TEXTS_A_TASK)
     widths = F.transform("lines", X.display_width)
     return done.select("doc_id", F.size("lines").alias("n_lines"), F.coalesce(F.array_max(widths), F.lit(0)).alias("widest"))
 
@@ -417,7 +420,7 @@ def blockquote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
     every = Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)
-    return _out(normalize(docs, every))
+    return _out(normalize(docs, every, _tasks(docs, TEXTS_A_TASK)))
 
 
 @query(_NATION_TABLE.format(first="':' || repeat('-', a - 1)", second="repeat('-', b - 1) || ':'"))
@@ -627,8 +630,9 @@ def normalize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<table><tr><th>a</th></tr>", "<tr><td>$</td></tr></table>", "", "`x`** y**", "", "[^8]: note $",
     ]
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("|#|"), F.concat(F.lit("|"), _s("c_custkey"), F.lit("|"))), F.lit("$"), F.col("c_name"))
-    docs = _customers(spark, sf_dir, *map(fill, made))
-    return _out(normalize(docs, Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)))
+    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*map(fill, made)).alias("lines"))
+    every = Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)
+    return _out(normalize(docs, every, _tasks(docs, DOCUMENTS_A_TASK)))
 
 
 def _customers(spark: SparkSession, sf_dir: str, *lines_: Column) -> DataFrame:
