@@ -5,11 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +31,27 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, Python functions get at most that many rows at a time; a lower setting holds."""
+    was = spark.conf.get(_BATCH)
+    if not 0 < int(was) <= rows:
+        spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, was)
+
+
+def materialize(df: DataFrame, label: str, by: str | None = None, rows: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost
-    executor loses nothing of it. With by, there is a folder for each value of that column. The files go when the
-    Python process of the driver ends or release() is called."""
+    executor loses nothing of it. With by, there is a folder for each value of that column. With rows, Python
+    functions in df get at most that many at a time, so that long ones aren't held by the ten thousand. The files go
+    when the Python process of the driver ends or release() is called."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    with batches_of(spark, rows) if rows else nullcontext():
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     _made[path] = spark
     found = spark.read.schema(df.schema).parquet(path)
     found._written = path

@@ -43,6 +43,8 @@ WINDOW, GRAM = 50, 11
 DEPTH, CELL_BLOCK, MIN_CELLS, MAX_CELLS = 2, 1 << 20, 1 << 20, 1 << 28
 #: Counters for each key at least, so that one in twenty unique keys passes by chance.
 CELLS_PER_KEY = 4
+#: Keys that a task holds before it sends a sketch of them; texts that a Python worker has at a time.
+SKETCH_KEYS, TEXT_ROWS = 500_000, 1000
 _SEEDS = [np.uint64(0x632BE59BD9B4E019), np.uint64(0xE220A8397B1DCDAF)]
 
 
@@ -88,9 +90,9 @@ _PARTIAL = pa.schema([("block", pa.int32()), ("cells", pa.binary()), ("many", pa
 _MERGED = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 
 
-def _sketch(width: int):
+def _sketch(width: int, named: bool):
     """One task's sketch, as blocks of touched cells: row * blocks + block, cells, and which of them
-    counted 2 or more."""
+    counted 2 or more. Keys are the first column, or named the hashes of whole rows."""
     blocks = width // CELL_BLOCK
 
     def emit(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -108,11 +110,10 @@ def _sketch(width: int):
         parts, size = [], 0
         for batch in batches:
             # a row's keys, once for each of its owners
-            keys = _unsigned(batch.column(0))
-            _, once = np.unique(_names(batch.columns), return_index=True)
-            parts.append(keys[once])
+            names, once = np.unique(_names(batch.columns), return_index=True)
+            parts.append(names if named else _unsigned(batch.column(0))[once])
             size += len(once)
-            if size > 2_000_000:
+            if size > SKETCH_KEYS:
                 yield emit(parts)
                 parts, size = [], 0
         if size:
@@ -137,11 +138,12 @@ def _merge(least: int):
     return merge
 
 
-def sketch(keys: DataFrame, width: int, least: int) -> np.ndarray:
+def sketch(keys: DataFrame, width: int, least: int, named: bool = False) -> np.ndarray:
     """Bits of DEPTH rows of width counters: which of them count the first column of keys, once for
-    each distinct row, at least that often (1 or 2)."""
+    each distinct row, at least that often (1 or 2); or named, the hashes of the rows. Hashes of keys are
+    taken here, as each Python function of a stage has a worker of its own for each core."""
     blocks = DEPTH * (width // CELL_BLOCK)
-    partial = keys.mapInArrow(_sketch(width), "block int, cells binary, many binary")
+    partial = keys.mapInArrow(_sketch(width, named), "block int, cells binary, many binary")
     merged = partial.repartition(min(blocks, 4096), "block").mapInArrow(_merge(least), "block int, bits binary")
     out = np.zeros((blocks, CELL_BLOCK // 8), np.uint8)
     for block, bits in merged.toLocalIterator():  # DEPTH * max_cells bits at most
@@ -224,7 +226,8 @@ def _windows(marked: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
             continue
         for c, x in zip(columns, (np.full(len(at), doc), np.full(len(at), copy, np.int32), first[at], W.signed(keys[at]))):
             c.append(x)
-        columns[4] += [W.signed(each[a : b + 1]) for a, b in zip(first[at].tolist(), last[at].tolist())]
+        # copies, as a view would keep all windows of its text
+        columns[4] += [W.signed(each[a : b + 1].copy()) for a, b in zip(first[at].tolist(), last[at].tolist())]
         size += int((last[at] - first[at] + 1).sum())
         if size > 1_000_000:
             yield rows()
@@ -257,15 +260,10 @@ def _listed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     return _windows(marked())
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(W.signed(_names(batch.columns)))], names=["name"])
-
-
-def _filtered(bits: np.ndarray, df: DataFrame, make, schema: str, label: str) -> DataFrame:
+def _filtered(bits: np.ndarray, df: DataFrame, make, schema: str, label: str, rows: int | None = None) -> DataFrame:
     """What make(bits) lets through of a table, written."""
     sent = df.sparkSession.sparkContext.broadcast(bits)
-    found = materialize(df.mapInArrow(make(sent), schema), label)
+    found = materialize(df.mapInArrow(make(sent), schema), label, rows=rows)
     sent.destroy()
     return found
 
@@ -277,10 +275,9 @@ def _owned_windows(texts: DataFrame, own: DataFrame, max_cells: int) -> DataFram
     if n > max_cells:
         lists = own.groupBy("doc_id", "copy").agg(F.collect_list("first").alias("firsts"))
         held = texts.join(lists, ["doc_id", "copy"]).select("doc_id", "copy", "text", "firsts")
-        return materialize(held.mapInArrow(_listed_windows, _WINDOWS_SPARK), "windows")
-    names = own.mapInArrow(_named, "name long")
+        return materialize(held.mapInArrow(_listed_windows, _WINDOWS_SPARK), "windows", rows=TEXT_ROWS)
     width = max(MIN_CELLS, 1 << n.bit_length())
-    return _filtered(sketch(names, min(max_cells, width), 1), texts, _sketched_windows, _WINDOWS_SPARK, "windows")
+    return _filtered(sketch(own, min(max_cells, width), 1, True), texts, _sketched_windows, _WINDOWS_SPARK, "windows", TEXT_ROWS)
 
 
 def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -288,7 +285,7 @@ def repeated_spans(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     of a smaller doc_id; last is exclusive, spans may overlap. copy is the hash of the text that has
     them, which tells the texts of one doc_id apart."""
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("copy"), "text")
-    every = materialize(texts.mapInArrow(_runs, _RUNS_SPARK), "runs")
+    every = materialize(texts.mapInArrow(_runs, _RUNS_SPARK), "runs", rows=TEXT_ROWS)
     parts = [_filtered(sketch(some.select("key", "doc_id", "copy"), width, 2), some, _passing, _RUNS_SPARK, "passing") for some, width in sliced(every, "key", max_cells)]
     found = reduce(DataFrame.union, parts)
     discard(every)
@@ -330,13 +327,20 @@ _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_r
 _KEPT_ARROW = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
+#: Texts that are Python strings at a time.
+_KEPT_ROWS = 200
+
+
 @F.arrow_udf(_KEPT)
 def _keep(texts: pa.Array, firsts: pa.Array, lasts: pa.Array) -> pa.Array:
-    rows = []
-    for x, a, b in zip(texts, firsts.to_pylist(), lasts.to_pylist()):
-        n, kept = kept_words(x.as_py() or "", list(zip(a or (), b or ())))
-        rows.append({"n_words": n, "n_removed": n - len(kept), "kept": " ".join(kept)})
-    return pa.array(rows, _KEPT_ARROW)
+    parts = [pa.array([], _KEPT_ARROW)]
+    for at in range(0, len(texts), _KEPT_ROWS):
+        rows = []
+        for x, a, b in zip(*(c.slice(at, _KEPT_ROWS).to_pylist() for c in (texts, firsts, lasts))):
+            n, kept = kept_words(x or "", list(zip(a or (), b or ())))
+            rows.append({"n_words": n, "n_removed": n - len(kept), "kept": " ".join(kept)})
+        parts.append(pa.array(rows, _KEPT_ARROW))
+    return pa.concat_arrays(parts)
 
 
 def deduplicate(docs: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:

@@ -7,9 +7,11 @@ import json
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -388,6 +390,66 @@ def test_substring_slices_read_the_runs_once(spark, monkeypatch):
     assert read[0] == 1 and read[1] > 1 and read[2] > 20
 
 
+def peak_bytes(f):
+    """What numpy and Python held at most while f ran."""
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_substring_stages_have_one_python_function(spark, monkeypatch):
+    """Two in a row make two Python workers for each core, which stay."""
+    base = " ".join(f"w{i}" for i in range(200))
+    plans, real = [], substring.sketch
+    monkeypatch.setattr(substring, "sketch", lambda keys, *a: plans.append(keys._jdf.queryExecution().optimizedPlan().toString()) or real(keys, *a))
+    got = by_id(substring.deduplicate(frame(spark, [base + " x", base + " y", "z " + base])))
+    assert [got[i]["kept"] for i in range(3)] == [base + " x", "y", "z"]
+    assert len(plans) == 2 and not any("InArrow" in p for p in plans)
+
+
+def test_substring_holds_chosen_windows_only():
+    """Not all windows of the texts that have a chosen run."""
+
+    def marked():
+        for doc in range(100):
+            each = np.arange(100_000, dtype=np.uint64)
+            yield doc, 0, (np.array([10]), np.array([29]), np.array([7], np.uint64), each), np.array([0])
+
+    out = list(substring._windows(marked()))  # also imports what pyarrow imports when first used
+    assert peak_bytes(lambda: list(substring._windows(marked()))) < 8_000_000
+    assert [x.num_rows for x in out] == [100] and out[0].column(4).to_pylist() == [list(range(10, 30))] * 100
+
+
+def test_substring_keeps_words_of_few_texts_at_a_time():
+    n, text = 3001, " ".join(f"w{i}" for i in range(2000))
+    texts = pa.array([None if i % 7 == 3 else text for i in range(n)])
+    firsts, lasts = (pa.array([x if i % 2 else None for i in range(n)], pa.list_(pa.int64())) for x in ([2, 5], [4, 2000]))
+    out = []
+    assert peak_bytes(lambda: out.append(substring._keep.func(texts, firsts, lasts))) < 12_000_000
+    for i, x in enumerate(out[0].to_pylist()):
+        kept = [] if i % 7 == 3 else ["w0", "w1", "w4"] if i % 2 else text.split()
+        assert x == {"n_words": 2000 * (i % 7 != 3), "n_removed": 1997 * (i % 7 != 3 and i % 2), "kept": " ".join(kept)}
+    assert len(substring._keep.func(texts[:0], firsts[:0], lasts[:0])) == 0
+
+
+def test_substring_reads_texts_in_small_batches(spark, monkeypatch):
+    sizes = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(sizes)
+    docs = spark.range(5000).select(F.lit(1).alias("doc_id"), F.lit(0).alias("copy"), F.lit("a").alias("text"))
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    read = substring.materialize(docs.coalesce(1).mapInArrow(count, "n long"), "counts", rows=substring.TEXT_ROWS)
+    assert [r.n for r in read.collect()] == [substring.TEXT_ROWS] * 5 and spark.conf.get(sizes) == before
+    asked, real = {}, substring.materialize
+    monkeypatch.setattr(substring, "materialize", lambda df, label, *a, **b: asked.update({label: b.get("rows")}) or real(df, label, *a, **b))
+    base = " ".join(f"w{i}" for i in range(60))
+    for cells in (1 << 20, 1):
+        substring._owned_windows(frame(spark, [base]).select("doc_id", F.hash("text").alias("copy"), "text"), spark.createDataFrame([(0, 0, 0)], "doc_id long, copy int, first long"), cells)
+        assert asked.pop("windows") == substring.TEXT_ROWS
+
+
 def test_substring_on_repeated_ids_and_clashing_names(spark):
     words = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
     rows = [(1, words[0]), (1, words[1]), (1, words[1]), (2, words[0] + " " + words[2]), (2, words[2]), (None, words[2]), (3, words[2])]
