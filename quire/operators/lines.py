@@ -9,20 +9,17 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.arrays import let, scan
 
 # Patterns of quote marks and fences.
 _QUOTE = re.compile(r"[\s]*(?:>[\s]*)+")
 _FENCE = re.compile(r"[ \t  - 　]*(`{3,}|~{3,})([^\r\n]*)\Z")
-FENCE_STATE = T.ArrayType(
-    T.StructType([T.StructField("was_in", T.BooleanType()), T.StructField("marker", T.BooleanType()), T.StructField("is_in", T.BooleanType()), T.StructField("block", T.IntegerType())])
-)
-_FENCE_ARROW = pa.list_(pa.struct([("was_in", pa.bool_()), ("marker", pa.bool_()), ("is_in", pa.bool_()), ("block", pa.int32())]))
+_BLANKS, _SPACES = r"[\p{IsWhite_Space}\x1c-\x1f]*", r"[ \t\xa0\u2000-\u200a\u3000]*"
+_SPARK_QUOTE, _SPARK_FENCE, _SPARK_BARE = rf"^({_BLANKS}(?:>{_BLANKS})+)", rf"^{_SPACES}(`{{3,}}|~{{3,}})[^\r\n]*\z", rf"^{_SPACES}(?:`{{3,}}|~{{3,}})[ \t]*\z"
 
 
 def split_lines(text: Column) -> Column:
@@ -68,22 +65,58 @@ class FenceState:
         return was_in, found is not None, self.open is not None and depth >= self.open[2], self.block
 
 
-@F.arrow_udf(FENCE_STATE)
-def _fences(column: pa.Array) -> pa.Array:
-    out = []
-    for lines in column.to_pylist():
-        state = FenceState()
-        out.append([dict(zip(("was_in", "marker", "is_in", "block"), state.read(x or ""))) for x in lines or ()])
-    return pa.array(out, _FENCE_ARROW)
+def _fence_parts(line: Column) -> Column:
+    """struct(depth, mark, bare): a line's quote depth, its fence mark (empty for none), and whether nothing stands
+    behind that."""
+    has_mark = line.contains("```") | line.contains("~~~")
+
+    def parts(quote: Column) -> Column:
+        depth = F.length(quote) - F.length(F.replace(quote, F.lit(">"), F.lit("")))
+        inner = F.substr(line, F.length(quote) + 1)
+        mark = F.when(has_mark, F.regexp_extract(inner, _SPARK_FENCE, 1)).otherwise("")
+        return F.struct(depth.alias("depth"), mark.alias("mark"), (has_mark & inner.rlike(_SPARK_BARE)).alias("bare"))
+
+    return let(F.when(line.contains(">"), F.regexp_extract(line, _SPARK_QUOTE, 1)).otherwise(""), parts)
+
+
+def _after_line(state: Column, line: Column) -> Column:
+    """The fence state behind a line, as FenceState.read() has it: open is the mark that opened a block, empty outside."""
+    inside = line["depth"] >= state["depth"]
+    was_in = (state["open"] != "") & inside
+    opens, ended = (line["mark"] != "") & ~was_in, (line["depth"] == state["depth"]) & line["bare"] & line["mark"].startswith(state["open"])
+    open_ = F.when(opens, line["mark"]).when(was_in & ~((line["mark"] != "") & ended), state["open"]).otherwise("")
+    # a line that opens a block is in it, and so is one that leaves it open
+    return F.struct(
+        open_.alias("open"), F.when(opens, line["depth"]).otherwise(state["depth"]).alias("depth"), (state["block"] + opens.cast("int")).alias("block"),
+        was_in.alias("was_in"), (line["mark"] != "").alias("marker"), (open_ != "").alias("is_in"),
+    )
 
 
 def fence_state(lines: Column) -> Column:
     """For each line of an array: was_in, marker, is_in and block. Documents without a run of three
     marks skip the reader."""
-    plain = ~F.exists(lines, lambda x: x.rlike("```|~~~"))
+    lines = F.transform(lines, lambda x: F.coalesce(x, F.lit("")))
+    plain = ~F.exists(lines, lambda x: x.contains("```") | x.contains("~~~"))
     outside = F.struct(F.lit(False).alias("was_in"), F.lit(False).alias("marker"), F.lit(False).alias("is_in"), F.lit(0).alias("block"))
-    # a Python function is run for every row, so the others get nothing to read
-    return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(_fences(F.when(~plain, lines)))
+    zero = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("block"), *[F.lit(False).alias(x) for x in ("was_in", "marker", "is_in")])
+    states = scan(F.transform(lines, _fence_parts), zero, _after_line)
+    read = F.transform(states, lambda s: F.struct(s["was_in"].alias("was_in"), s["marker"].alias("marker"), s["is_in"].alias("is_in"), s["block"].alias("block")))
+    return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(read)
+
+
+def code_lines(lines: Column) -> Column:
+    """For each line of an array whether it is a fence marker or fenced code."""
+    return F.transform(fence_state(lines), lambda f: f["marker"] | f["is_in"])
+
+
+def known_lines(lines: Column) -> Column:
+    """Lines without null ones; none for a document of null."""
+    return F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: x.isNotNull())
+
+
+def dealt(docs: DataFrame, tasks: int | None) -> DataFrame:
+    """Documents in as many partitions, if a number is given. Passes over arrays need none."""
+    return docs.repartition(tasks, "doc_id") if tasks else docs
 
 
 def explode_lines(docs: DataFrame, needed: Column | None = None, tasks: int | None = None) -> DataFrame:

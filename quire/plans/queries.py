@@ -81,7 +81,9 @@ def _head(docs: DataFrame, *first: str) -> DataFrame:
 
 
 def _out(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode("lines").alias("line_no", "line")).select("doc_id", F.col("line_no").cast("long"), "line")
+    """A row for each line. Spark would compute lines again, to leave out those of none before they are exploded."""
+    rows = docs.select("doc_id", F.posexplode_outer("lines").alias("line_no", "line")).where("line_no is not null")
+    return rows.select("doc_id", F.col("line_no").cast("long"), "line")
 
 
 def _s(c: str) -> Column:
@@ -260,7 +262,7 @@ f AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY min(r))
 def footnote_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("Part[^"), _s("l_partkey"), F.lit("] shipped"))
     rows = _read(spark, sf_dir, "lineitem")
-    return _out(_dealt(footnotes.convert_footnotes, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line]), rows))
+    return _out(footnotes.convert_footnotes(_docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line])))
 
 
 @query(_RANKED + """SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no,
@@ -269,7 +271,7 @@ def footnote_bare(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _s("l_partkey")
     line = F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("Sold the part."), p, F.lit(" today"))).otherwise(F.concat(F.lit("Sold the part "), p, F.lit(": today `a.1 `")))
     rows = _read(spark, sf_dir, "lineitem")
-    return _out(_dealt(footnotes.convert_footnotes, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line]), rows))
+    return _out(footnotes.convert_footnotes(_docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[line])))
 
 
 @query(_RANKED + """, m AS (SELECT doc_id, max(r) AS m FROM t GROUP BY doc_id)
@@ -278,10 +280,10 @@ UNION ALL SELECT doc_id, m, '' FROM m
 UNION ALL SELECT doc_id, m + n, '[^' || CAST(n AS VARCHAR) || ']: note ' || CAST(p AS VARCHAR) FROM f JOIN m USING (doc_id)""")
 def footnote_definition_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem")
-    items = _spread(rows, "l_orderkey").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
+    items = _spread(rows, "l_orderkey").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("_all"))
     refs = F.transform("_all.l_partkey", lambda p: F.concat(F.lit("Part[^"), p.cast("string"), F.lit("]")))
     notes = F.transform(F.array_sort(F.array_distinct("_all.l_partkey")), lambda p: F.concat(F.lit("[^"), p.cast("string"), F.lit("]: note "), p.cast("string")))
-    return _out(_dealt(footnotes.convert_footnotes, items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines")), rows))
+    return _out(footnotes.convert_footnotes(items.select("doc_id", F.concat(refs, F.array(F.lit("")), notes).alias("lines"))))
 
 
 @query("""
@@ -511,7 +513,7 @@ def footnote_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _two_parts(orders, "o_orderkey", ref, "_down", [note, F.concat(F.lit("  more "), key)])
     code = F.array(F.lit("```"), F.lit("skip[^77]"), F.lit("```"))
     docs = docs.select("doc_id", F.concat(code, "lines", F.array(F.lit("")), "notes").alias("lines"))
-    return _out(_dealt(footnotes.convert_footnotes, docs, rows))
+    return _out(footnotes.convert_footnotes(docs))
 
 
 @query("""
@@ -526,7 +528,7 @@ def footnote_list_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = F.concat(F.lit("Order[^"), key, F.lit("]"))
     item = F.concat((F.col("o_orderkey") + 5 * 10**12).cast("string"), F.lit(". note[^"), key, F.lit("]"))
     docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "o_orderkey", [item])
-    return _out(_dealt(footnotes.convert_footnotes, docs.select("doc_id", F.concat("lines", F.array(F.lit("")), "notes").alias("lines")), orders))
+    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", F.array(F.lit("")), "notes").alias("lines"))))
 
 
 @query("""
@@ -542,7 +544,7 @@ def footnote_spaced_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, key = _read(spark, sf_dir, "orders").withColumn("_down", -F.col("o_orderkey")), _s("o_orderkey")
     ref, note = F.concat(F.lit("Order[^"), key, F.lit("]")), F.concat(F.lit("[^"), key, F.lit("]: note "), key)
     docs = _two_parts(_spread(orders, "o_custkey"), "o_orderkey", ref, "_down", [F.lit(""), note])
-    return _out(_dealt(footnotes.convert_footnotes, docs.select("doc_id", F.concat("lines", "notes").alias("lines")), orders))
+    return _out(footnotes.convert_footnotes(docs.select("doc_id", F.concat("lines", "notes").alias("lines"))))
 
 
 @query("""
