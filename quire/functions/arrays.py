@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Elements whose states are put together at a time, so that no long array is copied for each of them.
-_CHUNK = 64
+_CHUNK = 16
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -20,13 +20,16 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
     """The state behind each item: step of the state before it and the item. zero has the type of a state."""
-    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(_CHUNK)))
-    chunks = F.coalesce(F.transform(starts, lambda at: F.slice(items, at, F.lit(_CHUNK))), F.array(items))
     last = lambda done: F.element_at(done, -1)
     # the states of a chunk, behind the last one of the chunk before
     read = lambda state, chunk: F.aggregate(chunk, F.array(state), lambda done, x: F.concat(done, F.array(step(last(done), x))))
-    found = F.aggregate(chunks, F.array(F.array(zero)), lambda done, chunk: F.concat(done, F.array(read(last(last(done)), chunk))))
-    return F.flatten(F.transform(found, lambda x: F.slice(x, F.lit(2), F.size(x))))
+
+    def found(items: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(items) + 1, F.lit(_CHUNK)), lambda at: at <= F.size(items))
+        add = lambda done, at: F.concat(done, F.array(read(last(last(done)), F.slice(items, at, F.lit(_CHUNK)))))
+        return F.when(items.isNotNull(), F.aggregate(starts, F.array(F.array(zero)), add))
+
+    return F.flatten(F.transform(let(items, found), lambda x: F.slice(x, F.lit(2), F.size(x))))
 
 
 def last_where(items: Column, fits: Callable[[Column], Column]) -> Column:
@@ -42,3 +45,19 @@ def first_where(items: Column, fits: Callable[[Column], Column]) -> Column:
 def part(items: Column, start: Column, end: Column) -> Column:
     """The items from start on and before end."""
     return F.slice(items, start + 1, F.greatest(end - start, F.lit(0)))
+
+
+def replaced(items: Column, changes: Column) -> Column:
+    """Items with others in place of some stretches: changes are (at, upto, made), in order and apart from each other."""
+
+    def written(changes: Column) -> Column:
+        behind = lambda c, k: part(items, c["upto"], F.coalesce(F.get(changes, k + 1)["at"], F.size(items)))
+        new = F.transform(changes, lambda c, k: F.concat(c["made"], behind(c, k)))
+        return F.when(F.size(changes) > 0, F.concat(part(items, F.lit(0), F.get(changes, F.lit(0))["at"]), F.flatten(new))).otherwise(items)
+
+    return let(changes, written)
+
+
+def change(at: Column, upto: Column, made: Column) -> Column:
+    """What replaced() puts in place of the items from at on and before upto."""
+    return F.struct(at.alias("at"), upto.alias("upto"), made.alias("made"))

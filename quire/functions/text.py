@@ -21,6 +21,7 @@ BARE_LABEL = r"^\p{IsWhite_Space}*\[[^\]]+\]:\p{IsWhite_Space}*\z"
 LINK_TITLE = r"(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|\((?:[^)\\]|\\.)*\))\p{IsWhite_Space}*\z"
 LINK_TARGET = r"^\p{IsWhite_Space}+(?:<[^>\p{IsWhite_Space}]+>|[^\p{IsWhite_Space}]+)(?:\p{IsWhite_Space}+" + LINK_TITLE[:-2] + r")?\z"
 DIRECTIVE = r"(?i)^\p{IsWhite_Space}*<!--\p{IsWhite_Space}*markdownlint-(?:disable|enable|disable-line|disable-next-line)(?:\p{IsWhite_Space}+[A-Za-z0-9_\-/]+)*\p{IsWhite_Space}*-->\p{IsWhite_Space}*\z"
+_KIND_MARK = r"^\p{IsWhite_Space}*[#>\[<*+\-\p{Nd}]"
 SEPARATOR = r"^[\p{IsWhite_Space}|:-]+\z"
 BREAK = r"^[ ]{0,3}((?:[ \t]*\*){3,}|(?:[ \t]*-){3,}|(?:[ \t]*_){3,})[ \t]*\z"
 FENCE = r"^(\p{IsWhite_Space}*)(`{3,}|~{3,})([^\r\n]*)\z"
@@ -64,7 +65,8 @@ def leading_indent(c: Column) -> Column:
 
 def indent_columns(c: Column) -> Column:
     """Columns of the spaces and tabs that a line begins with, a tab being TAB of them."""
-    return F.length(F.regexp_replace(F.regexp_extract(c, "^([ \\t]*)", 1), "\\t", " " * TAB))
+    indent = F.length(F.regexp_replace(F.regexp_extract(c, "^([ \\t]*)", 1), "\\t", " " * TAB))
+    return F.when(c.isNull(), None).when(c.startswith(" ") | c.startswith("\t"), indent).otherwise(0)
 
 
 def display_width(c: Column) -> Column:
@@ -87,7 +89,8 @@ def block_kind(c: Column) -> Column:
     found = F.lit(None).cast("string")
     for condition, name in reversed(kinds):
         found = F.when(condition, F.lit(name)).otherwise(found)
-    return F.when(indent_columns(c) < 4, found)
+    # most lines begin with none of the marks
+    return F.when(c.rlike(_KIND_MARK) & (indent_columns(c) < 4), found)
 
 
 def quote_prefix(c: Column) -> Column:

@@ -6,13 +6,14 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.arrays import let, scan
 from . import spans
-from .lines import FenceState, explode_lines, pack_lines, with_link_parts
+from .lines import FenceState, dealt, fence_state, known_lines, link_parts
 
 Token = tuple[str, str, str, str]  # kind, raw, fence, code
 
@@ -63,10 +64,11 @@ _SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _MAY_BE_LITERAL = r"[`\[<:/\\]|www\."
 
 
-@F.arrow_udf(T.ArrayType(_SPAN))
+@F.arrow_udf(T.ArrayType(T.ArrayType(_SPAN)))
 def _literal(column: pa.Array) -> pa.Array:
     # Spark counts code points, as Python does
-    return pa.array([[{"start": a, "end": b} for a, b in spans.literal_spans(x)] if x else [] for x in column.to_pylist()], _SPANS_ARROW)
+    of = lambda x: [{"start": a, "end": b} for a, b in spans.literal_spans(x)] if x else []
+    return pa.array([[of(x) for x in lines] if lines else [] for lines in column.to_pylist()], pa.list_(_SPANS_ARROW))
 
 
 def merged_spans(found: Column) -> Column:
@@ -82,13 +84,6 @@ def merged_spans(found: Column) -> Column:
     return F.aggregate(F.array_sort(found), none, add)
 
 
-def literal_spans(line: Column) -> Column:
-    """Where dots stay as they are: the merged (start, end) of code, links, autolinks, addresses and paths."""
-    none = F.array().cast(T.ArrayType(_SPAN))
-    may = line.contains("...") & line.rlike(_MAY_BE_LITERAL)
-    return F.when(may, merged_spans(_literal(F.when(may, line)))).otherwise(none)
-
-
 def ellipsis_outside(c: Column, literal: Column) -> Column:
     """Dot runs as ellipses except inside spans, which are sorted and don't overlap."""
 
@@ -101,23 +96,44 @@ def ellipsis_outside(c: Column, literal: Column) -> Column:
     return F.when(~c.contains("..."), c).when(F.size(literal) > 0, whole).otherwise(X.dots_to_ellipsis(c))
 
 
+def _indented_code(lines: Column, states: Column) -> Column:
+    """For each line whether it is indented code: its run of indented or blank lines holds one so far that begins right
+    after the start, a blank line, a heading, a link definition, a directive or a fence."""
+
+    def row(x: Column, f: Column) -> Column:
+        opens = F.coalesce(X.is_blank(x) | X.block_kind(x).isin("heading", "link_reference_definition", "markdownlint_directive") | f["marker"], F.lit(False))
+        return F.struct(opens.alias("opens"), (X.indent_columns(x) >= 4).alias("indented"), X.is_blank(x).alias("blank"))
+
+    def step(state: Column, x: Column) -> Column:
+        begun = ((x["indented"] | x["blank"]) & state["begun"]) | (state["opens"] & x["indented"])
+        return let(begun, lambda b: F.struct(x["opens"].alias("opens"), b.alias("begun"), (b & x["indented"] & ~x["blank"]).alias("code")))
+
+    zero = F.struct(F.lit(True).alias("opens"), F.lit(False).alias("begun"), F.lit(False).alias("code"))
+    found = F.transform(scan(F.zip_with(lines, states, row), zero, step), lambda s: s["code"])
+    return F.when(F.exists(lines, lambda x: X.indent_columns(x) >= 4), found).otherwise(F.transform(lines, lambda _: F.lit(False)))
+
+
 def replace_ellipsis(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ellipses for dot runs, outside fenced and indented code, link definitions and protected spans.
 
     Indented lines are code when their run of indented or blank lines holds one that begins right after
     the start, a blank line, a heading, a link definition, a directive or a fence."""
-    line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    rows = with_link_parts(explode_lines(docs, F.exists("lines", lambda x: x.contains("...")), tasks=tasks))
-    blank, indented = X.is_blank(line), X.indent_columns(line) >= 4
-    kind = X.block_kind(line)
-    opens = blank | kind.isin("heading", "link_reference_definition", "markdownlint_directive") | F.col("fence.marker")
-    rows = rows.withColumn("_opens", F.coalesce(F.lag(F.coalesce(opens, F.lit(False))).over(w), F.lit(True)))
-    rows = rows.withColumn("_run", F.sum((~(blank | indented)).cast("int")).over(w))
-    run = Window.partitionBy("doc_id", "_run").orderBy("line_no")
-    code = indented & ~blank & F.max(F.col("_opens") & indented).over(run)
-    skip = F.col("code") | code | F.col("link_part") | F.coalesce(kind == "link_reference_definition", F.lit(False))
-    rows = rows.withColumn("_code", skip).withColumn("_spans", F.when(~F.col("_code"), literal_spans(line)))
-    return pack_lines(rows.withColumn("line", F.when(F.col("_code"), line).otherwise(ellipsis_outside(line, F.col("_spans")))))
+    lines, dots = F.col("lines"), lambda x: x.contains("...")
+    docs = dealt(docs, tasks).select("doc_id", known_lines(lines).alias("lines"))
+    docs = docs.withColumn("_states", F.when(F.exists("lines", dots), let(lines, fence_state)))
+    docs = docs.withColumn("_indented", F.when(F.col("_states").isNotNull(), _indented_code(lines, F.col("_states"))))
+    code = F.transform("_states", lambda f: f["marker"] | f["is_in"])
+    docs = docs.withColumn("_parts", let(code, lambda c: F.when(c.isNotNull(), link_parts(lines, c))))
+    # lines in which dots are to be replaced, null for others
+    free = lambda x: dots(x) & ~F.coalesce(X.block_kind(x) == "link_reference_definition", F.lit(False))
+    kept = F.zip_with(F.zip_with("_states", "_indented", lambda f, i: f["marker"] | f["is_in"] | i), "_parts", lambda c, p: c | p)
+    docs = docs.withColumn("_free", F.zip_with("lines", kept, lambda x, c: F.when(~c & free(x), x))).drop("_states", "_indented", "_parts")
+    asked = F.transform("_free", lambda x: F.when(x.rlike(_MAY_BE_LITERAL), x))
+    docs = docs.withColumn("_asked", F.when(F.exists(asked, lambda x: x.isNotNull()), asked))
+    docs = docs.withColumn("_spans", _literal("_asked"))
+    made = F.zip_with("_free", "_spans", lambda x, found: F.when(x.isNotNull(), ellipsis_outside(x, merged_spans(F.coalesce(found, F.array().cast(T.ArrayType(_SPAN)))))))
+    done = F.zip_with(lines, F.when(F.col("_free").isNotNull(), made), lambda x, new: F.coalesce(new, x))
+    return docs.select("doc_id", F.coalesce(done, lines).alias("lines"))
 
 
 _MARKS = re.compile(r"[*_]+")

@@ -1,15 +1,14 @@
 """Documents as arrays of lines, lines as rows, and the fence state of each line.
 
 A document is (doc_id, lines array<string>). Operators take and return that shape. Those that need
-neighbours explode it to (doc_id, line_no, line, fence ...), work in windows per document, and pack
-the lines again; all of this shares one shuffle by doc_id.
+neighbours carry a state from line to line, and shuffle nothing.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -95,13 +94,15 @@ def _after_line(state: Column, line: Column) -> Column:
 def fence_state(lines: Column) -> Column:
     """For each line of an array: was_in, marker, is_in and block. Documents without a run of three
     marks skip the reader."""
-    lines = F.transform(lines, lambda x: F.coalesce(x, F.lit("")))
-    plain = ~F.exists(lines, lambda x: x.contains("```") | x.contains("~~~"))
     outside = F.struct(F.lit(False).alias("was_in"), F.lit(False).alias("marker"), F.lit(False).alias("is_in"), F.lit(0).alias("block"))
     zero = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("block"), *[F.lit(False).alias(x) for x in ("was_in", "marker", "is_in")])
-    states = scan(F.transform(lines, _fence_parts), zero, _after_line)
-    read = F.transform(states, lambda s: F.struct(s["was_in"].alias("was_in"), s["marker"].alias("marker"), s["is_in"].alias("is_in"), s["block"].alias("block")))
-    return F.when(plain, F.transform(lines, lambda _: outside)).otherwise(read)
+
+    def read(lines: Column) -> Column:
+        states = scan(F.transform(lines, lambda x: _fence_parts(F.coalesce(x, F.lit("")))), zero, _after_line)
+        return F.transform(states, lambda s: F.struct(*[s[x].alias(x) for x in ("was_in", "marker", "is_in", "block")]))
+
+    fenced = lambda x: F.exists(x, lambda line: line.contains("```") | line.contains("~~~"))
+    return let(lines, lambda x: F.when(fenced(x), read(x)).otherwise(F.transform(x, lambda _: outside)))
 
 
 def code_lines(lines: Column) -> Column:
@@ -119,45 +120,37 @@ def dealt(docs: DataFrame, tasks: int | None) -> DataFrame:
     return docs.repartition(tasks, "doc_id") if tasks else docs
 
 
-def explode_lines(docs: DataFrame, needed: Column | None = None, tasks: int | None = None) -> DataFrame:
+def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line, fence, code): one row per line; code tells fence markers and what is
-    inside. Documents without lines give one row of nulls, so that they aren't lost; so do those that aren't
-    needed, whose lines stay together in a column whole, which pack_lines() takes up again. With tasks, documents are dealt
-    to as many; Spark forgets behind a Python function where they are, and its own number doesn't grow with the table."""
-    lines, needed = F.col("lines"), F.lit(True) if needed is None else F.coalesce(needed, F.lit(False))
-    docs = docs.select("doc_id", F.when(needed, lines).alias("lines"), F.when(~needed, lines).alias("whole"))
-    zipped = F.arrays_zip(lines.alias("line"), F.col("_fence").alias("fence"))
-    docs = docs.withColumn("_fence", fence_state(lines))
-    docs = docs.repartition(tasks, "doc_id") if tasks else docs
-    rows = docs.select("doc_id", "whole", F.posexplode_outer(zipped).alias("line_no", "_x"))
-    rows = rows.select("doc_id", F.col("line_no").cast("long"), "_x.line", "_x.fence", "whole")
+    inside. Documents without lines give one row of nulls, so that they aren't lost."""
+    zipped = F.arrays_zip(F.col("lines").alias("line"), fence_state(F.col("lines")).alias("fence"))
+    rows = docs.select("doc_id", F.posexplode_outer(zipped).alias("line_no", "_x"))
+    rows = rows.select("doc_id", F.col("line_no").cast("long"), "_x.line", "_x.fence")
     return rows.withColumn("code", F.coalesce(F.col("fence.marker") | F.col("fence.is_in"), F.lit(False)))
 
 
-def with_link_parts(rows: DataFrame) -> DataFrame:
-    """Exploded lines with link_part: the target or title of a link definition on a line of its own, or
-    the blank line that stands there instead. It takes no more than the two lines before to tell."""
-    line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    bare = ~F.col("code") & line.rlike(X.BARE_LABEL)
-    needs = ~F.col("code") & line.rlike(X.LINK_DEFINITION) & ~bare & ~line.rlike(r"\p{IsWhite_Space}" + X.LINK_TITLE) & ~line.rlike(X.FOOTNOTE_DEFINITION)
-    rows = rows.withColumn("_bare", F.coalesce(F.lag(bare).over(w), F.lit(False))).withColumn("_needs", F.coalesce(F.lag(needs).over(w), F.lit(False)))
-    target = F.col("_bare") & ~F.col("code") & line.rlike(X.LINK_TARGET) & X.block_kind(line).isNull()
-    rows = rows.withColumn("_target", F.coalesce(target, F.lit(False)))
-    open_ = F.lag(F.col("_target") & ~line.rlike(r"\p{IsWhite_Space}" + X.LINK_TITLE)).over(w)
-    rows = rows.withColumn("_needs", F.col("_needs") | F.coalesce(open_, F.lit(False)))
-    title = line.rlike(r"^\p{IsWhite_Space}{0,3}" + X.LINK_TITLE)
-    part = F.col("_target") | (F.col("_bare") & X.is_blank(line)) | (F.col("_needs") & (X.is_blank(line) | title))
-    return rows.withColumn("link_part", F.coalesce(part & ~F.col("code"), F.lit(False))).drop("_bare", "_needs", "_target")
-
-
-def pack_lines(rows: DataFrame, line: str = "line", sub: str | None = None) -> DataFrame:
-    """(doc_id, lines) of lines in order of line_no (and sub); null lines are left out, documents with whole lines keep
-    these."""
-    keys = [F.col("line_no"), F.col(sub) if sub else F.lit(0)]
-    item = F.when(F.col(line).isNotNull(), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col(line).alias("line")))
-    whole = F.first("whole") if "whole" in rows.columns else F.lit(None).cast("array<string>")
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("_all"), whole.alias("_whole"))
-    return grouped.select("doc_id", F.coalesce("_whole", F.col("_all.line")).alias("lines"))
+def link_parts(lines: Column, code: Column) -> Column:
+    """For each line whether it is the target or title of a link definition on a line of its own, or the blank line that
+    stands there instead. It takes no more than the two lines before to tell."""
+    titled = lambda line: line.rlike(r"\p{IsWhite_Space}" + X.LINK_TITLE)
+
+    def step(state: Column, x: Column) -> Column:
+        line, plain = x["line"], ~x["code"]
+        bare = plain & line.contains("]:") & line.rlike(X.BARE_LABEL)
+        needs = plain & line.contains("]:") & line.rlike(X.LINK_DEFINITION) & ~line.rlike(X.BARE_LABEL) & ~titled(line) & ~line.rlike(X.FOOTNOTE_DEFINITION)
+        target = state["bare"] & plain & line.rlike(X.LINK_TARGET) & X.block_kind(line).isNull()
+
+        def made(target: Column) -> Column:
+            wanted = target | (plain & (state["bare"] | state["needs"]) & X.is_blank(line)) | (plain & state["needs"] & line.rlike(r"^\p{IsWhite_Space}{0,3}" + X.LINK_TITLE))
+            return F.struct(bare.alias("bare"), (needs | (target & ~titled(line))).alias("needs"), wanted.alias("part"))
+
+        return let(target, made)
+
+    rows = F.zip_with(lines, code, lambda x, c: F.struct(x.alias("line"), c.alias("code")))
+    states = scan(rows, F.struct(*[F.lit(False).alias(x) for x in ("bare", "needs", "part")]), step)
+    # without a line that others may belong to, there is none
+    some = F.exists(lines, lambda x: x.contains("]:") & x.rlike(X.LINK_DEFINITION) & (~x.rlike(X.FOOTNOTE_DEFINITION) | x.rlike(X.BARE_LABEL)))
+    return F.when(some, F.transform(states, lambda s: s["part"])).otherwise(F.transform(lines, lambda _: F.lit(False)))
 
 
 def outside_code(lines: Column, change) -> Column:

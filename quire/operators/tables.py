@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .lines import explode_lines, pack_lines
+from ..functions.arrays import let, part, scan
+from .lines import code_lines, dealt, explode_lines, known_lines
 
 Cells = Column  # array<array<string>>
 
 
+def _starts(line: Column, code: Column) -> Column:
+    """Whether a line can start a table."""
+    return F.coalesce(~code & line.contains("|") & X.ltrim(line).startswith("|") & (X.indent_columns(line) < 4), F.lit(False))
+
+
+def _goes_on(line: Column, code: Column) -> Column:
+    """Whether a line continues one, besides those that start one."""
+    shape = line.contains("|") | line.rlike(X.SEPARATOR)
+    return F.coalesce(~code & shape & ~X.is_blank(line) & X.block_kind(line).isNull() & (X.indent_columns(line) < 4), F.lit(False))
+
+
 def find_tables(rows: DataFrame) -> DataFrame:
     """Exploded lines with table_id, null outside tables.
 
@@ -19,13 +31,22 @@ def find_tables(rows: DataFrame) -> DataFrame:
     a run, so the running count of breakers names the run, and a run's lines from its first starting
     line on are a table."""
     line, w = F.col("line"), Window.partitionBy("doc_id").orderBy("line_no")
-    starts = ~F.col("code") & (X.indent_columns(line) < 4) & X.ltrim(line).startswith("|")
-    goes_on = ~F.col("code") & ~X.is_blank(line) & X.block_kind(line).isNull() & (X.indent_columns(line) < 4) & (line.contains("|") | line.rlike(X.SEPARATOR))
-    marked = rows.withColumn("_starts", F.coalesce(starts, F.lit(False)))
-    marked = marked.withColumn("_run", F.sum(F.when(F.col("_starts") | F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(w))
+    marked = rows.withColumn("_starts", _starts(line, F.col("code")))
+    goes_on = F.col("_starts") | _goes_on(line, F.col("code"))
+    marked = marked.withColumn("_run", F.sum(F.when(goes_on, 0).otherwise(1)).over(w))
     begun = F.sum(F.col("_starts").cast("int")).over(Window.partitionBy("doc_id", "_run").orderBy("line_no"))
-    breaker = ~(F.col("_starts") | F.coalesce(goes_on, F.lit(False)))
-    return marked.withColumn("table_id", F.when(~breaker & (begun > 0), F.col("_run"))).drop("_starts", "_run")
+    return marked.withColumn("table_id", F.when(goes_on & (begun > 0), F.col("_run"))).drop("_starts", "_run")
+
+
+def parts_with_tables(lines: Column, code: Column) -> Column:
+    """Lines as stretches (table, block): a letter for each line, and a table from a starting one on."""
+    letters = F.array_join(F.zip_with(lines, code, lambda x, c: F.when(_starts(x, c), "s").when(_goes_on(x, c), "g").otherwise("b")), "")
+
+    def cut(parts: Column) -> Column:
+        ends = lambda ends: F.zip_with(parts, ends, lambda x, end: F.struct(x.startswith("s").alias("table"), part(lines, end - F.length(x), end).alias("block")))
+        return let(scan(parts, F.lit(0), lambda at, x: at + F.length(x)), ends)
+
+    return let(F.regexp_extract_all(letters, F.lit("s[sg]*|[^s]+"), F.lit(0)), cut)
 
 
 def _empty(c: Column) -> Column:
@@ -54,82 +75,126 @@ def _is_separator_row(row: Column) -> Column:
     return F.forall(row, lambda c: c.rlike(X.SEPARATOR))
 
 
-def reflow_block(blocks: DataFrame, source: str = "block") -> DataFrame:
-    """Blocks (array<string>) with out, their reflowed lines; the lines themselves where a block is no
-    table: ragged rows, one lone cell, or a separator of another width."""
-    c = F.col
-    step = blocks.withColumn("_indent", X.leading_indent(F.get(c(source), F.lit(0))))
-    step = step.withColumn("_lines", F.filter(F.transform(c(source), X.trim), lambda x: ~x.startswith("\\-")))
-    step = step.withColumn("_sep_at", F.array_position(F.transform("_lines", lambda x: x.rlike(X.SEPARATOR)), True).cast("int"))
-    step = step.withColumn("_sep", F.when(c("_sep_at") > 0, X.split_cells(F.get(c("_lines"), c("_sep_at") - 1))))
-    body = F.when(c("_sep_at") > 0, F.filter("_lines", lambda _, i: i != c("_sep_at") - 1)).otherwise(c("_lines"))
-    step = step.withColumn("_cells", F.transform(body, X.split_cells))
-    first = F.get(c("_cells"), F.lit(0))
-    n = F.coalesce(F.size(first), F.lit(0))
-    embedded = F.filter(
-        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda w: _concatenated(first, w)
-        & F.exists(_pieces(first, w), lambda r: F.forall(r, lambda x: x.contains("-") & x.rlike(X.SEPARATOR))),
-    )
-    prefix = F.coalesce(F.array_max(F.transform(first, lambda x, i: F.when(~_empty(x), i + 1).otherwise(0))), F.lit(0))
-    later = F.slice(c("_cells"), 2, F.greatest(F.size("_cells"), F.lit(1)))
-    by_prefix = (prefix > 0) & (prefix < n) & F.exists(later, lambda r: _concatenated(r, c("_prefix")))
-    step = step.withColumn("_prefix", prefix).withColumn("_embedded", embedded)
-    step = step.withColumn("_width", F.when(F.size("_embedded") > 0, F.get(c("_embedded"), F.lit(0))).when(by_prefix, c("_prefix")).otherwise(n))
-    cut = F.transform(
-        "_cells",
-        lambda r, i: F.when(
-            (i == 0) & (c("_width") < F.size(r)) & F.forall(F.slice(r, c("_width") + 1, F.greatest(F.size(r) - c("_width"), F.lit(0))), _empty), F.slice(r, 1, c("_width"))
-        ).otherwise(r),
-    )
-    step = step.withColumn("_cells", cut).withColumn("_split", F.exists("_cells", lambda r: _concatenated(r, c("_width"))))
-    logical = F.flatten(F.transform("_cells", lambda r: F.when(_concatenated(r, c("_width")), _pieces(r, c("_width"))).otherwise(F.array(r))))
-    step = step.withColumn("_rows", F.filter(logical, lambda r: F.exists(r, lambda x: ~_empty(x))))
-    step = step.withColumn("_columns", F.coalesce(F.array_max(F.transform("_rows", lambda r: F.size(r))), F.lit(0)))
-    second = F.get(c("_rows"), F.lit(1))
-    promoted = (c("_sep").isNull() | (F.size("_sep") != c("_columns"))) & second.isNotNull() & _is_separator_row(second)
-    step = step.withColumn("_promoted", F.coalesce(promoted, F.lit(False)))
-    ragged = ~c("_split") & F.exists("_rows", lambda r: (F.size(r) != F.size(F.get(c("_rows"), F.lit(0)))) & ~_is_separator_row(r))
-    step = step.withColumn("_ragged", ragged).withColumn("_sep", F.when(c("_promoted"), second).otherwise(c("_sep")))
-    step = step.withColumn("_rows", F.when(c("_promoted"), F.filter("_rows", lambda _, i: i != 1)).otherwise(c("_rows")))
-    lone = c("_sep").isNull() & (F.size("_rows") == 1) & (F.size(F.get(c("_rows"), F.lit(0))) == 1)
-    step = step.withColumn("_rows", F.transform("_rows", lambda r: F.transform(r, lambda x: F.replace(x, F.lit("|"), F.lit("\\|")))))
-    least = F.when(c("_sep").isNotNull(), 3).otherwise(0)
-    columns = F.when(c("_columns") > 0, F.sequence(F.lit(0), c("_columns") - 1)).otherwise(F.array().cast("array<int>"))
-    widths = F.transform(columns, lambda j: F.greatest(least, F.array_max(F.transform("_rows", lambda r: F.coalesce(X.display_width(F.get(r, j)), F.lit(0))))))
-    step = step.withColumn("_widths", widths)
-    pad = lambda x, j: F.concat(x, F.repeat(F.lit(" "), F.greatest(F.get(c("_widths"), j) - X.display_width(x), F.lit(0))))
-    written = F.transform("_rows", lambda r: F.concat(c("_indent"), F.lit("| "), F.array_join(F.transform(r, pad), " | "), F.lit(" |")))
-    dashes = F.transform(
-        "_sep",
-        lambda x, j: F.concat(
-            F.when(x.startswith(":"), ":").otherwise(""),
-            F.repeat(F.lit("-"), F.greatest(F.get(c("_widths"), j), F.lit(3)) - x.startswith(":").cast("int") - (x.endswith(":") & (F.length(x) > 1)).cast("int")),
-            F.when(x.endswith(":") & (F.length(x) > 1), ":").otherwise(""),
-        ),
-    )
-    rule = F.concat(c("_indent"), F.lit("| "), F.array_join(dashes, " | "), F.lit(" |"))
-    whole = F.when(c("_sep").isNotNull(), F.concat(F.slice(written, 1, 1), F.array(rule), F.slice(written, 2, F.greatest(F.size("_rows"), F.lit(1))))).otherwise(written)
-    bad = c("_ragged") | lone | (c("_sep").isNotNull() & (F.size("_sep") != c("_columns")))
-    step = step.withColumn("out", F.when(bad, c(source)).otherwise(whole))
-    return step.drop(*[x for x in step.columns if x.startswith("_")])
+def _read(block: Column) -> Column:
+    """struct(indent, sep, cells) of a block: the cells of its separator, and of its other lines."""
+
+    def read(lines: Column) -> Column:
+        def cut(at: Column) -> Column:
+            sep = F.when(at > 0, X.split_cells(F.get(lines, at - 1)))
+            body = F.when(at > 0, F.filter(lines, lambda _, i: i != at - 1)).otherwise(lines)
+            return F.struct(X.leading_indent(F.get(block, F.lit(0))).alias("indent"), sep.alias("sep"), F.transform(body, X.split_cells).alias("cells"))
+
+        return let(F.array_position(F.transform(lines, lambda x: x.rlike(X.SEPARATOR)), True).cast("int"), cut)
+
+    return let(F.filter(F.transform(block, X.trim), lambda x: ~x.startswith("\\-")), read)
+
+
+def _width(cells: Column) -> Column:
+    """How many columns a table has: its first row's, or those of the rows that are written behind each other in one."""
+
+    def of(first: Column) -> Column:
+        n = F.coalesce(F.size(first), F.lit(0))
+        embedded = F.filter(
+            F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
+            lambda w: _concatenated(first, w) & F.exists(_pieces(first, w), lambda r: F.forall(r, lambda x: x.contains("-") & x.rlike(X.SEPARATOR))),
+        )
+        prefix = F.coalesce(F.array_max(F.transform(first, lambda x, i: F.when(~_empty(x), i + 1).otherwise(0))), F.lit(0))
+        later = F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1)))
+        by_prefix = let(prefix, lambda p: F.when((p > 0) & (p < n) & F.exists(later, lambda r: _concatenated(r, p)), p).otherwise(n))
+        return let(F.get(embedded, F.lit(0)), lambda w: F.coalesce(w, by_prefix))
+
+    return let(F.get(cells, F.lit(0)), of)
+
+
+def _logical(x: Column) -> Column:
+    """struct(indent, sep, rows, split): rows that stand on one line apart, without those of empty cells only."""
+
+    def of(width: Column) -> Column:
+        behind = lambda r: F.slice(r, width + 1, F.greatest(F.size(r) - width, F.lit(0)))
+        cut = F.transform(x["cells"], lambda r, i: F.when((i == 0) & (width < F.size(r)) & F.forall(behind(r), _empty), F.slice(r, 1, width)).otherwise(r))
+
+        def apart(cells: Column) -> Column:
+            rows = F.flatten(F.transform(cells, lambda r: F.when(_concatenated(r, width), _pieces(r, width)).otherwise(F.array(r))))
+            split = F.exists(cells, lambda r: _concatenated(r, width))
+            return F.struct(x["indent"].alias("indent"), x["sep"].alias("sep"), F.filter(rows, lambda r: F.exists(r, lambda c: ~_empty(c))).alias("rows"), split.alias("split"))
+
+        return let(cut, apart)
+
+    return let(_width(x["cells"]), of)
+
+
+def _with_rule(x: Column) -> Column:
+    """struct(indent, sep, rows, columns, bad): the separator may be the second row; bad where a block is no table: ragged
+    rows, one lone cell, or a separator of another width."""
+    rows, second = x["rows"], F.get(x["rows"], F.lit(1))
+
+    def of(columns: Column) -> Column:
+        promoted = (x["sep"].isNull() | (F.size(x["sep"]) != columns)) & second.isNotNull() & _is_separator_row(second)
+        ragged = ~x["split"] & F.exists(rows, lambda r: (F.size(r) != F.size(F.get(rows, F.lit(0)))) & ~_is_separator_row(r))
+
+        def made(promoted: Column) -> Column:
+            sep, left = F.when(promoted, second).otherwise(x["sep"]), F.when(promoted, F.filter(rows, lambda _, i: i != 1)).otherwise(rows)
+            lone = sep.isNull() & (F.size(left) == 1) & (F.size(F.get(left, F.lit(0))) == 1)
+            bad = ragged | lone | (sep.isNotNull() & (F.size(sep) != columns))
+            escaped = F.transform(left, lambda r: F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("\\|"))))
+            return F.struct(x["indent"].alias("indent"), sep.alias("sep"), escaped.alias("rows"), columns.alias("columns"), bad.alias("bad"))
+
+        return let(F.coalesce(promoted, F.lit(False)), made)
+
+    return let(F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)), of)
+
+
+def _written(x: Column) -> Column:
+    """The lines of a table, null where it is bad."""
+    # cells with their widths
+    shown = F.transform(x["rows"], lambda r: F.transform(r, lambda c: F.struct(c.alias("text"), X.display_width(c).alias("width"))))
+    columns = F.when(x["columns"] > 0, F.sequence(F.lit(0), x["columns"] - 1)).otherwise(F.array().cast("array<int>"))
+    least = F.when(x["sep"].isNotNull(), 3).otherwise(0)
+
+    def of(rows: Column) -> Column:
+        widths = F.transform(columns, lambda j: F.greatest(least, F.array_max(F.transform(rows, lambda r: F.coalesce(F.get(r, j)["width"], F.lit(0))))))
+
+        def lines(widths: Column) -> Column:
+            pad = lambda c, j: F.concat(c["text"], F.repeat(F.lit(" "), F.greatest(F.get(widths, j) - c["width"], F.lit(0))))
+            written = F.transform(rows, lambda r: F.concat(x["indent"], F.lit("| "), F.array_join(F.transform(r, pad), " | "), F.lit(" |")))
+            right = lambda c: c.endswith(":") & (F.length(c) > 1)
+            dashes = F.transform(
+                x["sep"],
+                lambda c, j: F.concat(
+                    F.when(c.startswith(":"), ":").otherwise(""),
+                    F.repeat(F.lit("-"), F.greatest(F.get(widths, j), F.lit(3)) - c.startswith(":").cast("int") - right(c).cast("int")),
+                    F.when(right(c), ":").otherwise(""),
+                ),
+            )
+            rule = F.concat(x["indent"], F.lit("| "), F.array_join(dashes, " | "), F.lit(" |"))
+            ruled = lambda w: F.concat(F.slice(w, 1, 1), F.array(rule), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))))
+            return let(written, lambda w: F.when(x["sep"].isNotNull(), ruled(w)).otherwise(w))
+
+        return let(widths, lines)
+
+    return F.when(~x["bad"], let(shown, of))
+
+
+def reflowed(docs: DataFrame, parts: str) -> DataFrame:
+    """(doc_id, lines ...) whose column of parts (table, block) becomes lines again, tables reflowed; a block that is no
+    table stays. Where it is null, so do the lines."""
+    docs = docs.withColumn("_made", F.transform(parts, lambda p: F.when(p["table"], _read(p["block"]))))
+    for step in (_logical, _with_rule, _written):
+        docs = docs.withColumn("_made", F.transform("_made", lambda x: F.when(x.isNotNull(), step(x))))
+    lines = F.flatten(F.zip_with(parts, "_made", lambda p, made: F.coalesce(made, p["block"])))
+    return docs.withColumn("lines", F.coalesce(lines, "lines")).drop("_made", parts)
 
 
 def reflow_tables(docs: DataFrame, ellipsis: bool = False, tasks: int | None = None) -> DataFrame:
     """Documents with every pipe table outside fenced code reflowed; with ellipsis, its dot runs are
     replaced before widths are measured."""
-    rows = find_tables(explode_lines(docs, F.exists("lines", lambda x: X.ltrim(x).startswith("|")), tasks=tasks))
+    docs = dealt(docs, tasks).select("doc_id", known_lines(F.col("lines")).alias("lines"))
+    some = F.exists("lines", lambda x: x.contains("|") & X.ltrim(x).startswith("|"))
+    docs = docs.withColumn("_parts", F.when(some, let(code_lines(F.col("lines")), lambda code: parts_with_tables(F.col("lines"), code))))
     if ellipsis:
-        rows = rows.withColumn("line", F.when(F.col("table_id").isNotNull(), X.dots_to_ellipsis(F.col("line"))).otherwise(F.col("line")))
-    # a table's lines meet again by document, so that nothing is shuffled a second time
-    item = F.struct("line_no", "line")
-    blocks = rows.groupBy("doc_id", F.coalesce("table_id", -1 - F.col("line_no")).alias("part")).agg(
-        F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(item)).alias("_b"), F.max("table_id").isNotNull().alias("is_table"), F.first("whole").alias("whole")
-    )
-    blocks = blocks.select("doc_id", "line_no", "is_table", F.col("_b.line").alias("block"), "whole")
-    done = reflow_block(blocks.withColumn("rows", F.when(F.col("is_table"), F.col("block"))), "rows")
-    lines = F.when(F.col("is_table"), F.col("out")).otherwise(F.col("block"))
-    return pack_lines(done.select("doc_id", "line_no", "whole", F.posexplode_outer(lines).alias("sub", "line")), sub="sub")
+        dots = lambda p: F.when(p["table"], F.transform(p["block"], X.dots_to_ellipsis)).otherwise(p["block"])
+        docs = docs.withColumn("_parts", F.transform("_parts", lambda p: F.struct(p["table"].alias("table"), dots(p).alias("block"))))
+    return reflowed(docs, "_parts")
 
 
 def cells(docs: DataFrame) -> DataFrame:

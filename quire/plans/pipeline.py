@@ -27,43 +27,51 @@ class Options:
     breaks: bool = False
 
 
-def with_frontmatter(docs: DataFrame, change: Callable[[DataFrame], DataFrame], tasks: int = 1) -> DataFrame:
+def with_frontmatter(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """change applied to documents without their YAML front matter, which is put back unchanged. It
-    travels in the key that change() groups by, so that the documents are read once and joined with
-    nothing. Beyond one task, documents are dealt by that key, and so by each pass."""
+    travels with doc_id, so that the documents are read once and joined with nothing."""
     end = X.frontmatter_end(F.col("lines"))
     front = F.when(F.col("_end") > 0, F.slice("lines", F.lit(1), F.col("_end"))).alias("front")
     split = docs.select("doc_id", end.alias("_end"), "lines")
     body = split.select(F.struct("doc_id", front).alias("doc_id"), F.slice("lines", F.col("_end") + 1, F.size("lines")).alias("lines"))
-    body = body.repartition(tasks, "doc_id") if tasks > 1 else body
     none = F.array().cast("array<string>")
     whole = F.concat(F.coalesce("doc_id.front", none), F.coalesce("lines", none)).alias("lines")
     return change(body).select("doc_id.doc_id", whole)
 
 
-def normalize_body(docs: DataFrame, options: Options = Options(), tasks: int | None = None) -> DataFrame:
+#: More partitions than any table has.
+_ALL_PARTITIONS = 1 << 20
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """The documents, in the partitions that they are in. Spark doesn't merge the expressions of one pass into those of
+    the next over this; planning all of them as one would not end."""
+    return docs.coalesce(_ALL_PARTITIONS)
+
+
+def normalize_body(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """All chosen passes in their fixed order, without regard to front matter."""
-    if options.fences:
-        docs = blocks.attach_orphan_specifiers(blocks.compress_fences(docs, tasks), tasks)
-    docs = tables.reflow_tables(html.convert_html_tables(docs), options.ellipsis, tasks)
     for wanted, change in (
-        (options.headings, lambda d: blocks.setext_headings(d, tasks)),
+        (options.fences, blocks.compress_fences),
+        (options.fences, blocks.attach_orphan_specifiers),
+        (True, html.convert_html_tables),
+        (True, lambda d: tables.reflow_tables(d, options.ellipsis)),
+        (options.headings, blocks.setext_headings),
         (options.code_emphasis, inline.fix_code_emphasis),
-        (options.wrap, lambda d: wrap.wrap(d, tasks=tasks)),
-        (options.ellipsis, lambda d: inline.replace_ellipsis(d, tasks)),
-        (options.footnotes, lambda d: footnotes.convert_footnotes(d, tasks)),
-        (options.renumber, lambda d: blocks.renumber_lists(d, tasks)),
+        (options.wrap, wrap.wrap),
+        (options.ellipsis, inline.replace_ellipsis),
+        (options.footnotes, footnotes.convert_footnotes),
+        (options.renumber, blocks.renumber_lists),
         (options.breaks, blocks.format_breaks),
     ):
         if wanted:
-            docs = change(docs)
+            docs = _apart(change(docs))
     return docs
 
 
-def normalize(docs: DataFrame, options: Options = Options(), tasks: int = 1) -> DataFrame:
-    """(doc_id, lines) normalised; doc_id has to be unique. With tasks, documents are dealt to as many; otherwise Spark
-    chooses their number."""
-    return with_frontmatter(docs.select("doc_id", "lines"), lambda d: normalize_body(d, options, tasks if tasks > 1 else None), tasks)
+def normalize(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """(doc_id, lines) normalised, a document after the other: nothing is shuffled."""
+    return with_frontmatter(docs.select("doc_id", "lines"), lambda d: normalize_body(d, options))
 
 
 def normalize_texts(docs: DataFrame, options: Options = Options()) -> DataFrame:

@@ -54,12 +54,6 @@ def _spread(rows: DataFrame, doc: str, each: int = ROWS_A_TASK) -> DataFrame:
     return rows.repartition(n, "doc_id") if n > 1 else rows
 
 
-def _dealt(change: Callable[..., DataFrame], docs: DataFrame, rows: DataFrame, each: int = ROWS_A_TASK) -> DataFrame:
-    """change of documents that were made of rows, in as many tasks as these ask for."""
-    n = _tasks(rows, each)
-    return change(docs, tasks=n if n > 1 else None)
-
-
 def _docs(rows: DataFrame, doc: str, *order: str, line: Column | list) -> DataFrame:
     """Documents of rows: the lines of each row, in the given order."""
     each = F.array(*line) if isinstance(line, list) else line
@@ -234,7 +228,7 @@ SELECT doc_id, CAST(r - 1 AS BIGINT) AS line_no, CAST(r AS VARCHAR) || '. part '
 def list_renumber_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat((F.col("l_partkey") + 1).cast("string"), F.lit(". part "), _s("l_partkey"))
     rows = _read(spark, sf_dir, "lineitem")
-    return _out(_dealt(blocks.renumber_lists, _docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[item]), rows))
+    return _out(blocks.renumber_lists(_docs(rows, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", line=[item])))
 
 
 @query("""
@@ -249,7 +243,7 @@ def list_renumber_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.array(F.concat(F.lit("7. order "), _s("o_orderkey")), F.lit("   9. status"), F.lit("   9. date"))
     each = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.array(F.lit("# order")), item)).otherwise(item)
     rows = _read(spark, sf_dir, "orders")
-    return _out(_dealt(blocks.renumber_lists, _docs(rows, "o_custkey", "o_orderkey", line=each), rows))
+    return _out(blocks.renumber_lists(_docs(rows, "o_custkey", "o_orderkey", line=each)))
 
 
 _RANKED = """
@@ -355,7 +349,7 @@ def wrap_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wrap_line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "documents")
     docs = _spread(rows, "doc_id", TEXTS_A_TASK).select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
-    done = _dealt(wrap.wrap, docs, rows, TEXTS_A_TASK)
+    done = wrap.wrap(docs)
     widths = F.transform("lines", X.display_width)
     return done.select("doc_id", F.size("lines").alias("n_lines"), F.coalesce(F.array_max(widths), F.lit(0)).alias("widest"))
 
@@ -420,9 +414,9 @@ def blockquote_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
+    docs = _spread(_read(spark, sf_dir, "documents"), "doc_id", TEXTS_A_TASK).select("doc_id", lines.split_lines(F.col("text")).alias("lines"))
     every = Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)
-    return _out(normalize(docs, every, _tasks(docs, TEXTS_A_TASK)))
+    return _out(normalize(docs, every))
 
 
 @query(_NATION_TABLE.format(first="':' || repeat('-', a - 1)", second="repeat('-', b - 1) || ':'"))
@@ -632,9 +626,9 @@ def normalize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<table><tr><th>a</th></tr>", "<tr><td>$</td></tr></table>", "", "`x`** y**", "", "[^8]: note $",
     ]
     fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("|#|"), F.concat(F.lit("|"), _s("c_custkey"), F.lit("|"))), F.lit("$"), F.col("c_name"))
-    docs = _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array(*map(fill, made)).alias("lines"))
+    docs = _customers(spark, sf_dir, *map(fill, made))
     every = Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)
-    return _out(normalize(docs, every, _tasks(docs, DOCUMENTS_A_TASK)))
+    return _out(normalize(docs, every))
 
 
 def _customers(spark: SparkSession, sf_dir: str, *lines_: Column) -> DataFrame:

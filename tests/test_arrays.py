@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import let, part, scan
 from quire.operators import footnotes
+from quire.plans.pipeline import Options, normalize
 
 
 def plan_of(frame):
@@ -23,3 +24,13 @@ def test_footnotes_shuffle_nothing(spark):
     done = footnotes.convert_footnotes(docs)
     assert "Exchange" not in plan_of(done) and "ArrowEvalPython" not in plan_of(done)
     assert {r.doc_id: r.lines for r in done.collect()} == {1: ["a[^1] b[^2]", "", "[^1]: y", "  z", "", "[^2]: x"], 2: []}
+
+
+def test_the_whole_normaliser_shuffles_nothing(spark):
+    every = Options(wrap=True, ellipsis=True, fences=True, footnotes=True, code_emphasis=True, headings=True, renumber=True, breaks=True)
+    lines = ["Title", "===", "", "~~~", "x...", "~~~", "", "3. a", "9. b", "", "|a|b|", "|c|d...|", "", "so.7 `x`**y**", "and on...", "", "---", "", "[^7]: note"]
+    docs = spark.createDataFrame([(i, lines) for i in range(40)], "doc_id long, lines array<string>").repartition(3)
+    done = normalize(docs, every)
+    assert plan_of(done).count("Exchange") == 1 and done.rdd.getNumPartitions() == 3
+    want = ["# Title", "", "```", "x...", "```", "", "1. a", "2. b", "", "| a | b  |", "| c | d… |", "", "so.[^1] **`x`y** and on…", "", "_" * 70, "", "[^1]: note"]
+    assert {r.doc_id: r.lines for r in done.collect()} == dict.fromkeys(range(40), want)
