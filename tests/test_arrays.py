@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import let, part, scan
 from quire.operators import footnotes
+from quire.plans import queries as plans
 from quire.plans.pipeline import Options, normalize
 
 
@@ -34,3 +35,9 @@ def test_the_whole_normaliser_shuffles_nothing(spark):
     assert plan_of(done).count("Exchange") == 1 and done.rdd.getNumPartitions() == 3
     want = ["# Title", "", "```", "x...", "```", "", "1. a", "2. b", "", "| a | b  |", "| c | d… |", "", "so.[^1] **`x`y** and on…", "", "_" * 70, "", "[^1]: note"]
     assert {r.doc_id: r.lines for r in done.collect()} == dict.fromkeys(range(40), want)
+
+
+def test_full_pipeline_writes_no_lines_to_disk(spark, sf_dir):
+    """A table of one task isn't dealt, so that nothing is shuffled at all."""
+    done = plans.full_pipeline(spark, sf_dir)
+    assert "Exchange" not in plan_of(done) and done.columns == ["doc_id", "line_no", "line"]
